@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classifier import classify
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .lm_score import lm_score
 from .mixing import mix_sources
+from .packing import pack
+from .quality_rules import quality_rules
+from .token_counts import token_counts
+from .url_filter import url_filter
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +32,30 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary=vocabulary("piece_bpe_32k.model"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), "text")
@@ -65,5 +102,16 @@ SELECT d.doc_id, CAST(coalesce(sum(lines), 0) AS BIGINT) AS n_lines, CAST(coales
 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_exact_dedup": op2_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_source_mix": op1_source_mix,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
+    "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_url_filter": op6_url_filter,
+    "op7_token_counts": op7_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
+}
+#: None for the others: learned models, token ids and hashes that SQL lacks; tests hold them against brute force.
 ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op10_line_dedup": SQL_OP10}
