@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .classifier import classify
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .lm_score import lm_score
 from .mixing import mix_sources
@@ -52,6 +53,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary=vocabulary("piece_bpe_32k.model"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,6 +107,19 @@ SELECT d.doc_id, CAST(coalesce(sum(lines), 0) AS BIGINT) AS n_lines, CAST(coales
 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+SQL_OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') AS g FROM w, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+SELECT k.doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT) AS class_size,
+  CAST(coalesce(x.links, 0) AS BIGINT) AS n_links, CAST(coalesce(x.same, 0) + 1 AS BIGINT) AS copies
+FROM k LEFT JOIN (SELECT a, count(*) AS links, count(*) FILTER (same) AS same FROM l GROUP BY a) x ON x.a = k.doc_id
+"""
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_dedup": op2_exact_dedup,
@@ -110,8 +128,9 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 #: None for the others: learned models, token ids and hashes that SQL lacks; tests hold them against brute force.
-ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op10_line_dedup": SQL_OP10}
+ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op8_jaccard_join": SQL_OP8, "op10_line_dedup": SQL_OP10}
