@@ -20,9 +20,8 @@ BROADCAST_SOURCES = 50_000
 P = "__mix_"
 
 
-def quality_weight(text: Column) -> Column:
-    """1 for text whose words have a usual mean length, 1/2 otherwise, half of either where symbols are frequent."""
-    n = word_count(text)
+def quality_weight(text: Column, n: Column) -> Column:
+    """n: the text's words. 1 for text whose words have a usual mean length, 1/2 otherwise, half of either where symbols are frequent."""
     length = F.coalesce(F.length(text), F.lit(0))
     symbols = length - F.coalesce(F.length(F.translate(text, "#*$%&|<>", "")), F.lit(0))
     usual = F.when((n > 0) & (length >= 4 * n) & (length <= 10 * n), F.lit(1.0)).otherwise(F.lit(0.5))
@@ -55,10 +54,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return t.withColumn(P + "target", F.least(P + "cap", F.col(P + "weight") * F.col(P + "level"))).drop(P + "weight", P + "cap", P + "level")
 
 
-def mix_core(docs: DataFrame, *, text: str, doc_id: str, source: str, weights, share, cap, seed, weight: Column | None) -> DataFrame:
-    """docs with size, source size, target, whole epochs and taken words in columns that start with __mix_."""
-    w = weight if weight is not None else quality_weight(F.col(text))
-    base = docs.withColumns({P + "source": F.col(source), P + "size": word_count(F.col(text)), P + "key": -F.log(uniform(F.col(doc_id), seed)) / w})
+def measured(docs: DataFrame, *columns: str, text: str, doc_id: str, source: str, seed: str, weight: Column | None) -> DataFrame:
+    """The named columns, and source, size, key and a hash of the text; written once, so that texts are counted once."""
+    base = docs.withColumn(P + "size", word_count(F.col(text)))
+    w = weight if weight is not None else quality_weight(F.col(text), F.col(P + "size"))
+    own = {"source": F.col(source), "id": F.col(doc_id), "key": -F.log(uniform(F.col(doc_id), seed)) / w, "hash": F.xxhash64(text)}
+    return stage(base.select(*columns, P + "size", *(c.alias(P + n) for n, c in own.items())), "mix-measured")
+
+
+def mix_core(base: DataFrame, *, weights, share, cap) -> DataFrame:
+    """base, as measured, with source size, target, whole epochs and taken words in columns that start with __mix_."""
     base = base.withColumn(P + "range", F.floor((1 - F.exp(-F.col(P + "key"))) * BUCKETS).cast("int"))
 
     ranges = base.groupBy(P + "source", P + "range").agg(F.sum(P + "size").alias(P + "sum"))
@@ -82,7 +87,7 @@ def mix_core(docs: DataFrame, *, text: str, doc_id: str, source: str, weights, s
 
     inside = F.when(F.col(P + "range") < F.col(P + "edge"), F.col(P + "size")).otherwise(F.lit(0).cast("long"))
     clear = rows.where(F.col(P + "range") != F.col(P + "edge")).withColumn(P + "part", inside)
-    order = Window.partitionBy(P + "source").orderBy(P + "key", F.col(doc_id).asc_nulls_last(), P + "size", F.xxhash64(text))
+    order = Window.partitionBy(P + "source").orderBy(P + "key", F.col(P + "id").asc_nulls_last(), P + "size", P + "hash")
     prior = F.sum(P + "size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(P + "size") + F.col(P + "before")
     at_edge = rows.where(F.col(P + "range") == F.col(P + "edge"))
     at_edge = at_edge.withColumn(P + "part", F.greatest(F.lit(0).cast("long"), F.least(F.col(P + "size"), F.col(P + "rest") - prior)))
@@ -98,9 +103,9 @@ def mix_sources(docs: DataFrame, *, text="text", doc_id="doc_id", source="source
     target 0; rows that repeat an id share a key and are taken in the order of size and text. An empty table gives an
     empty table. Other columns of docs are left out, so none can clash.
     """
-    m = mix_core(docs, text=text, doc_id=doc_id, source=source, weights=weights, share=share, cap=cap, seed=seed, weight=weight)
+    m = mix_core(measured(docs, text=text, doc_id=doc_id, source=source, seed=seed, weight=weight), weights=weights, share=share, cap=cap)
     names = {n: F.col(P + n) for n in ("size", "source_size", "target", "epochs", "taken")}
-    return m.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *(c.alias(n) for n, c in names.items()))
+    return m.select(F.col(P + "id").alias("doc_id"), F.col(P + "source").alias("source"), *(c.alias(n) for n, c in names.items()))
 
 
 def mixed_documents(docs: DataFrame, *, text="text", doc_id="doc_id", source="source", weights=(5, 2, 1), share=1.5, cap=2.0, seed="mix", weight: Column | None = None) -> DataFrame:
@@ -108,7 +113,7 @@ def mixed_documents(docs: DataFrame, *, text="text", doc_id="doc_id", source="so
 
     The document at the end of a budget is in if at least half of it is taken. Documents without words are in no mix.
     """
-    m = mix_core(docs, text=text, doc_id=doc_id, source=source, weights=weights, share=share, cap=cap, seed=seed, weight=weight)
+    m = mix_core(measured(docs, *docs.columns, text=text, doc_id=doc_id, source=source, seed=seed, weight=weight), weights=weights, share=share, cap=cap)
     copies = F.col(P + "epochs") + F.when((F.col(P + "part") > 0) & (F.col(P + "part") * 2 >= F.col(P + "size")), 1).otherwise(0)
     m = m.where(F.col(P + "size") > 0).withColumn(P + "copy", F.explode(F.sequence(F.lit(0), F.lit(int(cap) + 1))))
     return m.where(F.col(P + "copy") < copies).select(*docs.columns)
