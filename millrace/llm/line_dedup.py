@@ -88,3 +88,14 @@ def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int =
     out = out.withColumns({"__lines": lines, "__removed_lines": F.when(some, lines - stay).otherwise(F.lit(0).cast("long"))})
     out = out.withColumn(text, F.when(some, F.array_join(F.transform("__left", lambda c: c["chunk"]), "\n")).otherwise(F.col(text)))
     return out.select(*docs.columns, "__lines", "__removed_lines")
+
+
+def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", chars: str | None = "n_chars", divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
+    """docs in their own columns after line dedup: changed texts have their length put in `chars`, if docs has such a
+    column, and a document of which no word is left goes. Others stay as they are."""
+    out = line_dedup(docs, text=text, doc_id=doc_id, divisor=divisor, long=long)
+    changed = F.col("__removed_lines") > 0
+    out = out.where(~changed | F.col(text).rlike(WORD))
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.when(changed, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return out.select(*docs.columns)
