@@ -29,16 +29,19 @@ def chunk_hash(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
-def clashes(texts: DataFrame, norm: str, pattern: str = CHUNK, hashed=chunk_hash) -> DataFrame:
-    """(h, chunk, variant) for every hash that stands for several different chunks; variants count from 0 in chunk order.
+def clashes(texts: DataFrame, norm: str, pattern: str = CHUNK, hashed=chunk_hash) -> DataFrame | None:
+    """(h, chunk, variant) for every hash that stands for several different chunks, None if there is no such hash;
+    variants count from 0 in chunk order.
 
-    Each distinct chunk leaves a map task once; equality is that of the grouped bytes.
+    Each distinct chunk leaves a map task once; equality is that of the grouped bytes. Only hashes are counted then.
     """
     c = texts.select(F.explode(chunks(F.col(norm), pattern)).alias("chunk"))
     c = c.select(hashed(F.col("chunk")).alias("h"), "chunk").distinct()
-    several = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    variant = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
-    return c.withColumns({"several": several, "variant": variant}).where("several > 1").select("h", "chunk", "variant")
+    several = stage(c.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(F.col("h").alias("sh")), "dedup-clashes")
+    if several.isEmpty():
+        return None
+    c = c.join(several, F.col("h") == F.col("sh"), "left_semi")
+    return stage(c.withColumn("variant", F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1), "dedup-variants")
 
 
 def exact_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", pattern: str = CHUNK, hashed=chunk_hash) -> DataFrame:
@@ -50,10 +53,10 @@ def exact_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", pattern: str =
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select("doc_id", F.length("t").alias("n"), normalised(F.col("t")).alias("norm"))
-    odd = stage(clashes(d, "norm", pattern, hashed), "dedup-clashes")
+    odd = clashes(d, "norm", pattern, hashed)
     ids = F.transform(chunks(F.col("norm"), pattern), hashed)
     sha = F.sha2(F.col("norm").cast("binary"), 256)
-    if odd.isEmpty():
+    if odd is None:
         rows = d.select("doc_id", "n", ids.alias("recipe"), sha.alias("text_sha256"))
     else:
         rows = told_apart(d.select("doc_id", "n", "norm", sha.alias("text_sha256")), odd, pattern, hashed)
