@@ -1 +1,210 @@
+"""Library lists, searches, lookups, orders, table changes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.prices import rounded
+from ..operators import library as L
+from ..operators.grouping import group_key
+from .registry import query
+
+N = F.count(F.lit(1))
+
+
+def ids_of(p, mod):
+    """Ids that a request would name: a selection made by the request, not a cut of the input."""
+    return p.where(F.col("id") % mod == 0).select("id")
+
+
+@query("list_products", "products", sql="SELECT id, sku, updated_at FROM products WHERE user_id = 'u3' AND category = 'cat2' ORDER BY updated_at DESC, id LIMIT 20 OFFSET 5")
+def list_products(p):
+    return L.list_products(p, "u3", "cat2", 20, 5).select("id", "sku", "updated_at")
+
+
+@query("search_products", "products", sql="""SELECT id, CASE WHEN sku ILIKE '%R_n%' THEN 1 WHEN name_zh ILIKE '%R_n%' THEN 2 ELSE 3 END AS rank FROM products
+  WHERE user_id = 'local' AND (sku ILIKE '%R_n%' OR name_zh ILIKE '%R_n%' OR name_en ILIKE '%R_n%') ORDER BY rank, id LIMIT 50""")
+def search_products(p):
+    return L.search_products(p, "local", "R_n").select("id", "rank")
+
+
+@query("search_substring", "products_raw", sql="SELECT idx FROM products_raw WHERE contains(lower(model), 'ab-1') OR contains(lower(name_zh), 'ab-1')")
+def search_substring(p):
+    return L.search_substring(p, "AB-1", "model", "name_zh").select("idx")
+
+
+@query("filter_price_range", "products", sql="SELECT id FROM products WHERE price_rmb IS NOT NULL AND price_rmb >= 950 AND price_rmb <= 1050.5")
+def filter_price_range(p):
+    return p.where(L.price_between(F.col("price_rmb"), 950, 1050.5)).select("id")
+
+
+@query("filter_keyword", "products", sql="SELECT id FROM products WHERE (contains(lower(name_zh), 'ring') OR contains(lower(name_zh), 'red')) AND NOT contains(lower(name_en), 'promo')")
+def filter_keyword(p):
+    return p.where(L.keyword_filter(F.col("name_zh"), ["Ring", "RED"]) & L.keyword_filter(F.col("name_en"), ["promo"], include=False)).select("id")
+
+
+@query("filter_cert", "products", sql="SELECT id FROM products WHERE contains(upper(coalesce(cert, '')), 'ROHS') OR contains(upper(coalesce(cert, '')), 'FCC')")
+def filter_cert(p):
+    return p.where(L.cert_filter(F.col("cert"), ["RoHS", "fcc"])).select("id")
+
+
+@query("filter_regex", "products", sql="SELECT id FROM products WHERE regexp_matches(sku, '^SKU-1[0-9]+$')")
+def filter_regex(p):
+    return p.where(L.regex_filter(F.col("sku"), "^SKU-1[0-9]+$")).select("id")
+
+
+@query("filter_chain", "products", sql="SELECT id FROM products WHERE price_rmb >= 920 AND contains(lower(name_zh), 'r') AND contains(upper(coalesce(cert, '')), 'CE')")
+def filter_chain(p):
+    return L.filter_chain(p, L.price_between(F.col("price_rmb"), 920, None), L.keyword_filter(F.col("name_zh"), ["r"]), L.cert_filter(F.col("cert"), ["CE"])).select("id")
+
+
+@query("nl_filter", "products", sql="SELECT id FROM products WHERE price_usd > 115 AND price_usd < 120.5")
+def nl_filter(p):
+    return p.where(L.nl_predicate("price above 115 and below 120.5", p.columns)).select("id")
+
+
+@query("sku_leak_filter", "products", sql="SELECT id, sku FROM products WHERE NOT contains(sku, chr(10)) AND NOT instr(sku, ':') BETWEEN 1 AND 15")
+def sku_leak_filter(p):
+    return p.where(~L.leaks(F.col("sku"))).select("id", "sku")
+
+
+@query("lookup_by_skus", "products", sql="SELECT sku, min(id) AS id FROM products WHERE user_id = 'u4' AND sku IN (SELECT sku FROM products WHERE id % 3 = 0) GROUP BY sku")
+def lookup_by_skus(p):
+    return L.lookup_by_skus(p, "u4", p.where("id % 3 = 0")).select("sku", "id")
+
+
+_FIRST = "row_number() OVER (PARTITION BY sku ORDER BY CASE user_id WHEN 'ev_alls' THEN 0 WHEN 'local' THEN 1 ELSE 2 END, id) = 1"
+
+
+@query("lookup_by_ids_dedup", "products", sql=f"SELECT id, sku, user_id FROM products WHERE id % 2 = 0 AND NOT contains(sku, chr(10)) AND NOT instr(sku, ':') BETWEEN 1 AND 15 QUALIFY {_FIRST}")
+def lookup_by_ids_dedup(p):
+    return L.lookup_by_ids(p, ids_of(p, 2)).select("id", "sku", "user_id")
+
+
+@query("dedup_user_priority", "products", sql=f"SELECT id, sku, user_id FROM products QUALIFY {_FIRST}")
+def dedup_user_priority(p):
+    return L.first_per_sku(p).select("id", "sku", "user_id")
+
+
+_ONE = "one AS (SELECT user_id, sku, min(id) AS id, arg_min(price_rmb, id) AS price_rmb FROM products GROUP BY 1, 2)"
+
+
+@query("order_match", "order_lines", "products", sql=f"{_ONE} SELECT order_id, line_no, trim(o.sku) AS sku, coalesce(TRY_CAST(qty AS INT), 1) AS qty, one.id, count(*) AS n FROM order_lines o LEFT JOIN one ON one.user_id = o.user_id AND one.sku = trim(o.sku) GROUP BY ALL")
+def order_match(o, p):
+    return L.order_match(o, p).groupBy("order_id", "line_no", "sku", "qty", "id").agg(N.alias("n"))
+
+
+@query("order_not_found", "order_lines", "products", sql="SELECT trim(o.sku) AS sku, o.user_id, count(*) AS n FROM order_lines o WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.user_id = o.user_id AND p.sku = trim(o.sku)) GROUP BY 1, 2")
+def order_not_found(o, p):
+    return L.order_not_found(o, p).groupBy("sku", "user_id").agg(N.alias("n"))
+
+
+_UP = ["name_zh", "category", "price_rmb", "price_usd", "moq", "updated_at"]
+
+
+@query("upsert_products", "products", "incoming", sql="""n AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY user_id, sku ORDER BY id DESC) = 1)
+SELECT p.id, p.user_id, p.sku, CASE WHEN n.id IS NULL THEN p.name_zh ELSE n.name_zh END AS name_zh, CASE WHEN n.id IS NULL THEN p.category ELSE n.category END AS category, CASE WHEN n.id IS NULL THEN p.price_rmb ELSE n.price_rmb END AS price_rmb, CASE WHEN n.id IS NULL THEN p.moq ELSE n.moq END AS moq, p.created_at FROM products p LEFT JOIN n ON n.user_id = p.user_id AND n.sku = p.sku
+UNION ALL SELECT id, user_id, sku, name_zh, category, price_rmb, moq, NULL FROM n WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.user_id = n.user_id AND p.sku = n.sku)""")
+def upsert_products(p, new):
+    return L.upsert(p, new, _UP).select("id", "user_id", "sku", "name_zh", "category", "price_rmb", "moq", "created_at")
+
+
+@query("patch_products", "products", sql="SELECT id, CASE WHEN id % 6 = 0 THEN round(coalesce(price_rmb * 2, price_rmb) + 1e-9, 4) ELSE round(price_rmb + 1e-9, 4) END AS price_rmb, CASE WHEN id % 12 = 0 THEN 'patched' ELSE category END AS category FROM products")
+def patch_products(p):
+    changes = p.where("id % 6 = 0").select("id", (F.col("price_rmb") * 2).alias("price_rmb"), F.when(F.col("id") % 12 == 0, "patched").alias("category"))
+    return L.patch(p, changes, ["price_rmb", "category"]).select("id", rounded("price_rmb", 4).alias("price_rmb"), "category")
+
+
+@query("delete_products", "products", sql="SELECT id FROM products WHERE NOT (user_id = 'u2' AND id % 3 = 0)")
+def delete_products(p):
+    return L.delete(p, ids_of(p, 3), "u2").select("id")
+
+
+@query("delete_count", "products", sql="SELECT count(*) AS deleted FROM products WHERE user_id = 'u2' AND id % 3 = 0")
+def delete_count(p):
+    return L.delete_count(p, ids_of(p, 3), "u2")
+
+
+@query("migrate_missing", "products", sql="SELECT id, user_id, coalesce(price_rmb, CASE WHEN id % 4 <> 0 THEN NULL ELSE 0 END) AS price_rmb FROM products")
+def migrate_missing(p):
+    target = p.where("id % 4 <> 0").select("id", "user_id", "price_rmb")
+    source = p.select(F.col("id").cast("string").alias("id"), "user_id", F.col("price_rmb").cast("string").alias("price_rmb"))
+    return L.migrate_missing(target, source, {"price_rmb": 0.0})
+
+
+@query("unique_sku_suffix", "products_raw", sql="""lib AS (SELECT DISTINCT user_id, model AS sku FROM products_raw WHERE idx % 7 < 2),
+b AS (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, model ORDER BY idx) - CASE WHEN lib.sku IS NULL THEN 1 ELSE 0 END AS k FROM products_raw r LEFT JOIN lib ON lib.user_id = r.user_id AND lib.sku = r.model WHERE model <> ''),
+f AS (SELECT m.user_id, m.model, n, m.model || '-' || CASE WHEN n >= 26 THEN chr(CAST((n - 26) // 26 + 65 AS INT)) ELSE '' END || chr(CAST(n % 26 + 65 AS INT)) AS name FROM (SELECT DISTINCT user_id, model FROM b WHERE k > 0) m, range(702) t(n)),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, model ORDER BY n) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM lib WHERE lib.user_id = f.user_id AND lib.sku = f.name) AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = f.user_id AND b.model = f.name))
+SELECT b.idx, CASE WHEN b.k = 0 THEN b.model ELSE g.name END AS new_sku FROM b LEFT JOIN g ON g.user_id = b.user_id AND g.model = b.model AND g.k = b.k WHERE b.k = 0 OR g.name IS NOT NULL""")
+def unique_sku_suffix(p):
+    library = p.where("idx % 7 < 2").select("user_id", F.col("model").alias("sku")).distinct()
+    return L.unique_skus(p, library, "idx").select("idx", "new_sku")
+
+
+@query("import_products", "products_raw", sql="""x AS (SELECT *, count(*) OVER (PARTITION BY user_id, model) AS same, row_number() OVER (PARTITION BY user_id, model ORDER BY idx) AS k FROM products_raw)
+SELECT user_id, CAST(count(*) FILTER (k <= 703) AS BIGINT) AS imported, CAST(count(*) FILTER (k > 703) AS BIGINT) AS skipped, CAST(count(*) FILTER (price_rmb IS NULL) AS BIGINT) AS without_price, round(sum(CASE WHEN k <= 703 THEN round(coalesce(price_rmb, 0) / 7.2 + 1e-9, 2) ELSE 0 END) + 1e-9, 2) AS total_usd FROM x GROUP BY user_id""")
+def import_products(p):
+    none = p.limit(0).select("user_id", F.col("model").alias("sku"))
+    done = L.unique_skus(p, none, "idx").withColumn("price_usd", rounded(F.coalesce("price_rmb", F.lit(0.0)) / 7.2, 2))
+    imported = done.groupBy("user_id").agg(N.alias("imported"), rounded(F.sum("price_usd"), 2).alias("total_usd"))
+    seen = p.groupBy("user_id").agg(N.alias("seen"), F.count(F.when(F.col("price_rmb").isNull(), 1)).alias("without_price"))
+    return seen.join(imported, "user_id").select("user_id", "imported", (F.col("seen") - F.col("imported")).alias("skipped"), "without_price", "total_usd")
+
+
+@query("save_products_web", "texts", sql="""SELECT id, CASE WHEN regexp_replace(coalesce(model, ''), '^\\s+|\\s+$', '', 'g') <> '' AND id % 4 <> 1 THEN regexp_replace(model, '^\\s+|\\s+$', '', 'g') WHEN id % 8 <> 1 AND name <> '' THEN substr(name, 1, 20) ELSE coalesce(nullif(substr(regexp_replace(coalesce(spec, ''), '^\\s+|\\s+$', '', 'g'), 1, 20), ''), 'Item_' || id) END AS model FROM texts""")
+def save_products_web(t):
+    from ..functions.models import web_model
+
+    model, name = F.when(F.col("id") % 4 != 1, F.col("model")), F.when(F.col("id") % 8 != 1, F.col("name"))
+    return t.select("id", web_model(model, name, F.col("spec"), F.col("id")).alias("model"))
+
+
+@query("distinct_categories", "products", sql="SELECT DISTINCT category FROM products WHERE user_id = 'u5' AND category <> '' ORDER BY 1")
+def distinct_categories(p):
+    return L.for_user(p, "u5").where(F.col("category") != "").select("category").distinct().orderBy("category")
+
+
+@query("product_count", "products", sql="SELECT user_id, count(*) AS n FROM products GROUP BY 1")
+def product_count(p):
+    return p.groupBy("user_id").agg(N.alias("n"))
+
+
+@query("usage_quota", "products", "users", sql="SELECT u.id, u.tier, coalesce(n, 0) AS product_count, u.upload_count, u.tier = 'free' AND (coalesce(n, 0) + 10 > 200 OR u.upload_count + 1 > 20) AS over FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM products GROUP BY 1) p ON p.user_id = u.id")
+def usage_quota(p, u):
+    n = p.groupBy("user_id").agg(N.alias("n"))
+    count = F.coalesce("n", F.lit(0))
+    return u.join(n, F.col("id") == F.col("user_id"), "left").select("id", "tier", count.alias("product_count"), "upload_count", ((F.col("tier") == "free") & ((count + 10 > 200) | (F.col("upload_count") + 1 > 20))).alias("over"))
+
+
+@query("order_by_source", "products", sql="SELECT id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY created_at, id) AS place FROM products")
+def order_by_source(p):
+    """Rows by source file and time; the place within the file shows the order."""
+    from pyspark.sql import Window
+
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("source_file").orderBy("created_at", "id"))).select("id", "source_file", "place").orderBy("source_file", "place")
+
+
+@query("newest_first", "products", sql="SELECT id, created_at FROM products WHERE user_id = 'u6' ORDER BY created_at DESC, id LIMIT 25")
+def newest_first(p):
+    """A page of a user's products; product_count has the total."""
+    return L.for_user(p, "u6").orderBy(F.desc("created_at"), "id").limit(25).select("id", "created_at")
+
+
+@query("csv_export", "products", sql="SELECT id, sku, name_zh, name_en, category, price_rmb, price_usd, moq, '{\"units\":\"' || units_per_carton || '\"}' AS specs FROM products WHERE user_id = 'local' ORDER BY id LIMIT 10000")
+def csv_export(p):
+    specs = F.to_json(F.create_map(F.lit("units"), F.col("units_per_carton").cast("string")))
+    return L.export_rows(p.withColumn("specs", specs), "local", ["id", "sku", "name_zh", "name_en", "category", "price_rmb", "price_usd", "moq", "specs"])
+
+
+@query("select_export_columns", "products", sql="SELECT id, coalesce(nullif(name_zh, ''), '') AS name_zh, '' AS name_en, coalesce(nullif(category, ''), 'none') AS category FROM products")
+def select_export_columns(p):
+    return L.export_columns(p.select("id", "name_zh", "name_en", "category"), ["name_zh", "category"], ["name_zh", "name_en", "category"], {"category": "none"})
+
+
+@query("grouped_output", "products", sql="SELECT CASE WHEN category = '' THEN 'Uncategorized' ELSE category END AS sheet, id, row_number() OVER (PARTITION BY category ORDER BY sku, id) AS line FROM products")
+def grouped_output(p):
+    from pyspark.sql import Window
+
+    p = p.withColumn("sheet", group_key(F.col("category")))
+    return p.withColumn("line", F.row_number().over(Window.partitionBy("sheet").orderBy("sku", "id"))).select("sheet", "id", "line")

@@ -36,7 +36,7 @@ SELECT p_partkey AS id, {_USER} AS user_id,
   p_name AS name_zh, p_type || ' ' || p_name AS name_en,
   CASE WHEN p_size % 9 = 0 THEN '' ELSE 'cat' || CAST(p_size % 5 AS STRING) END AS category,
   CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS price_rmb,
-  CASE WHEN p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(round(p_retailprice / 8, 2) AS DOUBLE) END AS price_usd,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(round(p_retailprice / 8 + 0.000000001, 2) AS DOUBLE) END AS price_usd,
   p_size AS moq, 1 + p_size % 12 AS units_per_carton, CAST(p_size AS DOUBLE) / 2 AS gross_weight, CAST(p_size AS DOUBLE) / 4 AS net_weight, CAST(p_size AS DOUBLE) / 64 AS cbm,
   CASE p_size % 4 WHEN 0 THEN 'CE, FCC' WHEN 1 THEN 'rohs' WHEN 2 THEN 'ISO9001' ELSE NULL END AS cert,
   'file' || lpad(CAST(p_partkey % 20 AS STRING), 2, '0') || '.xlsx' AS source_file,
@@ -55,7 +55,7 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no, CASE l_partkey % 7 WHEN
 FROM {lineitem}""",
     "quote_items": """
 SELECT l_orderkey AS quote_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line_no,
-  l_partkey AS part_id, 'SKU-' || CAST(l_partkey AS STRING) AS sku, CAST(l_quantity AS INT) AS qty, CAST(round(l_extendedprice / l_quantity, 2) AS DOUBLE) AS unit_price, p_size AS moq,
+  l_partkey AS part_id, 'SKU-' || CAST(l_partkey AS STRING) AS sku, CAST(l_quantity AS INT) AS qty, CAST(round(l_extendedprice / l_quantity + 0.000000001, 2) AS DOUBLE) AS unit_price, p_size AS moq,
   CAST(p_size AS DOUBLE) / 4 AS nw, CAST(p_size AS DOUBLE) / 2 AS gw, CAST(p_size AS DOUBLE) / 64 AS cbm, 1 + p_size % 12 AS units_per_carton,
   CASE l_linenumber % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'CNY' ELSE '' END AS currency
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
@@ -71,7 +71,7 @@ SELECT row_id, price, CASE row_id % 12 WHEN 0 THEN price WHEN 1 THEN '1,' || lpa
     WHEN 4 THEN CAST(q AS STRING) || ' USD' WHEN 5 THEN CAST(q AS STRING) || '-' || CAST(q + 500 AS STRING) WHEN 6 THEN CAST(q AS STRING) || '~' || CAST(q + 100 AS STRING)
     WHEN 7 THEN CAST(q AS STRING) || 'K' WHEN 8 THEN CAST(q AS STRING) || 'W' WHEN 9 THEN CAST(q AS STRING) || '% off' WHEN 10 THEN 'EUR ' || CAST(q AS STRING) ELSE 'price: n/a' END AS text
 FROM (SELECT row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) * 7 + l_partkey AS row_id,
-    l_partkey AS pk, l_orderkey AS ok, l_linenumber AS ln, CAST(CAST(l_extendedprice AS BIGINT) AS STRING) AS price, CAST(l_quantity AS INT) AS q FROM {lineitem} WHERE l_linenumber = 1) AS x""",
+    l_partkey AS pk, l_orderkey AS ok, l_linenumber AS ln, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS price, CAST(l_quantity AS INT) AS q FROM {lineitem} WHERE l_linenumber = 1) AS x""",
     "texts": """
 SELECT p_partkey AS id, p_size AS s, p_name AS name, CASE p_partkey % 8
     WHEN 0 THEN CAST(p_size AS STRING) || '*' || CAST(p_size + 5 AS STRING) || '*3cm' WHEN 1 THEN 'Dia:' || CAST(p_size AS STRING) || 'cm H:20cm'
