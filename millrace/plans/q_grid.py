@@ -1 +1,187 @@
+"""Sheets and texts to product rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import grid as G
+from .registry import query
+
+C = F.col
+COLS = {1: "model", 2: "name", 3: "spec", 4: "price_text"}
+_WIDE = "wd AS (SELECT file, sheet, row_no, coalesce(max(CASE WHEN col_no = 1 THEN value END), '') AS model, coalesce(max(CASE WHEN col_no = 2 THEN value END), '') AS name, coalesce(max(CASE WHEN col_no = 3 THEN value END), '') AS spec, coalesce(max(CASE WHEN col_no = 4 THEN value END), '') AS price_text FROM cells GROUP BY ALL)"
+
+
+def body(c):
+    return G.wide(c, COLS).where("row_no > 3")
+
+
+@query("header_row", "cells", sql="SELECT DISTINCT file, sheet, 3 AS header FROM cells")
+def header_row(c):
+    return G.header_row(c)
+
+
+@query("header_mapping", "cells", sql="SELECT DISTINCT file, sheet, 1 AS model, 3 AS spec, 2 AS name, 4 AS price, CAST(NULL AS INT) AS qty, CAST(NULL AS INT) AS packing, CAST(NULL AS INT) AS category, CAST(NULL AS INT) AS remark FROM cells")
+def header_mapping(c):
+    return G.header_mapping(c, G.header_row(c))
+
+
+@query("sheet_currency", "cells", sql="SELECT file, sheet, CASE WHEN max(contains(lower(value), 'fob')) THEN 'USD' ELSE 'CNY' END AS currency FROM cells WHERE row_no = 3 GROUP BY ALL")
+def sheet_currency(c):
+    h = G.header_row(c)
+    return G.sheet_currency(c, h, G.header_mapping(c, h))
+
+
+@query("column_roles", "cells", sql="""v AS (SELECT file, sheet, col_no, trim(value) AS v FROM cells WHERE row_no > 3 AND trim(value) <> ''),
+g AS (SELECT file, sheet, col_no, count(*) AS total, 2 * count(*) FILTER (regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\\-_\\./\\+]+$') AND NOT regexp_matches(v, '^[\\d,]+(?:\\.\\d+)?$') AND length(v) < 30) AS model,
+  count(*) FILTER (TRY_CAST(replace(regexp_extract(v, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) BETWEEN 0.011 AND 999999) AS price, count(*) FILTER (regexp_matches(lower(v), 'motor|battery')) AS spec, count(*) FILTER (regexp_matches(v, '^\\d{1,4}$')) AS qty FROM v GROUP BY ALL)
+SELECT file, sheet, col_no, total, CASE WHEN greatest(model, price, spec, qty) < 2 THEN NULL WHEN model >= greatest(price, spec, qty) THEN 'model' WHEN price >= greatest(spec, qty) THEN 'price' WHEN spec >= qty THEN 'spec' ELSE 'qty' END AS role FROM g""")
+def column_roles(c):
+    return G.column_roles(c, G.header_row(c))
+
+
+@query("sheet_layout", "cells", sql="SELECT DISTINCT file, sheet, 'price' AS layout FROM cells")
+def sheet_layout(c):
+    return G.sheet_layout(c)
+
+
+@query("blank_run_cutoff", "cells", sql=f"{_WIDE} SELECT file, sheet, row_no FROM wd WHERE row_no BETWEEN 4 AND 23 AND concat(model, name, spec, price_text) <> ''")
+def blank_run_cutoff(c):
+    return G.blank_run_cutoff(body(c), list(COLS.values()), run=3).select("file", "sheet", "row_no")
+
+
+@query("forward_fill_model", "cells", sql=f"{_WIDE} SELECT file, row_no, coalesce(last_value(nullif(model, '') IGNORE NULLS) OVER (PARTITION BY file, sheet ORDER BY row_no), '') AS filled FROM wd WHERE row_no > 3")
+def forward_fill_model(c):
+    return G.fill_down(body(c), G.SHEET, "row_no", "model", "filled").select("file", "row_no", "filled")
+
+
+@query("fill_merged_cells", "cells", sql="SELECT file, row_no, col_no, coalesce(last_value(nullif(value, '') IGNORE NULLS) OVER (PARTITION BY file, sheet, col_no ORDER BY row_no), '') AS filled FROM cells WHERE row_no > 3")
+def fill_merged_cells(c):
+    return G.fill_merged_cells(c, G.header_row(c)).select("file", "row_no", "col_no", "filled")
+
+
+@query("attach_remarks", "cells", sql=f"""{_WIDE},
+x AS (SELECT *, CASE WHEN contains(lower(model), 'remark') THEN concat_ws(' ', nullif(name, ''), nullif(spec, '')) WHEN contains(lower(model), 'battery') THEN '[电池] ' || concat_ws(' ', nullif(name, ''), nullif(spec, '')) END AS extra FROM wd WHERE row_no > 3),
+y AS (SELECT *, sum(CASE WHEN extra IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file, sheet ORDER BY row_no) AS product FROM x)
+SELECT file, min(row_no) AS row_no, arg_min(model, row_no) AS model, coalesce(string_agg(extra, ' ' ORDER BY row_no), '') AS remark FROM y WHERE product > 0 GROUP BY file, sheet, product""")
+def attach_remarks(c):
+    return G.attach_remarks(body(c), "model", ["name", "spec"]).select("file", "row_no", "model", "remark")
+
+
+_PRODUCT = """(model <> '' AND NOT regexp_matches(lower(model), '^(contract|order|po|p\\.?o\\.?|invoice|quote|ref|reference|date|payment|delivery|shipment|document|doc)(\\s*(no|#|number|\\.?))?\\s*[:\\-\\.]?\\s*[\\w\\-\\d]+|^(packing\\s*(list|detail|info))')
+  AND (regexp_matches(model, '[A-Za-z]+\\d+') OR price_text <> '' OR regexp_matches(model, '[A-Za-z]+[\\d\\-/]+') OR regexp_matches(model, '[A-Z][a-z]+\\s[A-Z][a-z]+')))"""
+
+
+@query("is_product_row", "cells", sql=f"{_WIDE} SELECT file, row_no, {_PRODUCT} AS product FROM wd WHERE row_no > 3 OR row_no = 2")
+def is_product_row(c):
+    return G.wide(c, COLS).where("row_no > 3 or row_no = 2").select("file", "row_no", G.is_product_row(C("model"), F.lit(""), C("price_text")).alias("product"))
+
+
+@query("non_product_rows", "candidates", sql="SELECT row_no FROM candidates WHERE NOT regexp_matches(lower(model), '^payment')")
+def non_product_rows(c):
+    return c.where(~G.is_non_product(C("model"), C("name_zh"), C("spec_zh"))).select("row_no")
+
+
+@query("single_row_filename_filter", "parsed", sql="x AS (SELECT CASE WHEN row_no % 9 = 0 THEN 'solo' || row_no ELSE 'f' || file END AS file, CASE WHEN row_no % 18 = 0 THEN 'list.xlsx' ELSE model END AS model, row_no FROM parsed) SELECT row_no FROM x WHERE NOT (row_no % 18 = 0)")
+def single_row_filename_filter(p):
+    p = p.select(F.when(C("row_no") % 9 == 0, F.concat(F.lit("solo"), C("row_no").cast("string"))).otherwise(F.concat(F.lit("f"), C("file").cast("string"))).alias("file"), F.when(C("row_no") % 18 == 0, "list.xlsx").otherwise(C("model")).alias("model"), "row_no")
+    return G.single_row_filter(p, "file").select("row_no")
+
+
+@query("normalize_frame", "texts", sql="SELECT CASE WHEN id % 7 = 0 THEN '' ELSE model END AS model, CASE WHEN id % 14 = 0 THEN '' ELSE name END AS name FROM texts WHERE id % 14 <> 0 AND lower(CASE WHEN id % 7 = 0 THEN '' ELSE model END) <> 'total'")
+def normalize_frame(t):
+    t = t.select(F.when(C("id") % 7 == 0, "").otherwise(C("model")).alias("Item No. model"), F.when(C("id") % 14 == 0, "").otherwise(C("name")).alias("Product name"))
+    return G.normalize_frame(t, {"model": ["model", "total"], "name": ["product name"]})
+
+
+@query("segment_by_marker", "kv_cells", sql="""x AS (SELECT *, sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS segment FROM kv_cells)
+SELECT file, segment, max(CASE WHEN key = 'Model' THEN value END) AS model, TRY_CAST(arg_max(value, row_no) FILTER (key = 'Price') AS DOUBLE) AS price, coalesce(string_agg(key || ': ' || value, '; ' ORDER BY row_no) FILTER (key NOT IN ('Model', 'Price')), '') AS spec FROM x WHERE segment > 0 GROUP BY 1, 2""")
+def segment_by_marker(k):
+    return G.segment_by_marker(k, ["file"], "row_no", "key", "value")
+
+
+@query("kv_single_product", "kv_cells", sql="SELECT file, arg_min(value, row_no) FILTER (key = 'Model') AS model, TRY_CAST(arg_min(value, row_no) FILTER (key = 'Price') AS DOUBLE) AS price, coalesce(string_agg(key || ': ' || value, '; ' ORDER BY row_no) FILTER (key NOT IN ('Model', 'Price')), '') AS spec FROM kv_cells GROUP BY 1")
+def kv_single_product(k):
+    return G.kv_single_product(k, ["file"], "row_no", "key", "value")
+
+
+_SPECS = "SELECT {0}, count(*) AS n, array_to_string(list(t ORDER BY o)[1:50], '; ') AS spec FROM (SELECT {0}, substr({1}, 1, 50) AS head, min({2}) AS o, arg_min({1}, {2}) AS t FROM {3} GROUP BY ALL) GROUP BY {0}"
+
+
+@query("aggregate_specs", "products_raw", sql=_SPECS.format("model", "name_zh", "idx", "products_raw"))
+def aggregate_specs(p):
+    return G.aggregate_specs(p, ["model"], "idx", "name_zh")
+
+
+@query("param_list_products", "kv_cells", sql="""x AS (SELECT *, sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS segment FROM kv_cells),
+y AS (SELECT file, segment, key || ': ' || value AS spec, row_no FROM x WHERE segment > 0 AND key <> 'Model' QUALIFY row_number() OVER (PARTITION BY file, segment, key ORDER BY row_no) = 1)
+SELECT file, segment, count(*) AS n, string_agg(spec, '; ' ORDER BY row_no) AS spec FROM y GROUP BY 1, 2""")
+def param_list_products(k):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = k.withColumn("segment", F.sum(F.when(C("key") == "Model", 1).otherwise(0)).over(w)).where("segment > 0 and key != 'Model'")
+    first = r.groupBy("file", "segment", F.substring("key", 1, 50).alias("name")).agg(F.min_by(F.struct("key", "value"), "row_no").alias("x"), F.min("row_no").alias("row_no"))
+    return G.aggregate_specs(first.select("file", "segment", "row_no", F.concat("x.key", F.lit(": "), "x.value").alias("text")), ["file", "segment"], "row_no", "text")
+
+
+@query("text_blocks_to_products", "text_lines", sql="""x AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM text_lines)
+SELECT doc_id, block, min(pos) AS first, arg_max(substr(line, 8), pos) FILTER (line LIKE 'Model:%') AS model, TRY_CAST(arg_max(substr(line, 8), pos) FILTER (line LIKE 'Price:%') AS DOUBLE) AS price, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Name:%') AS name, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Spec:%') AS spec, arg_max(substr(line, 6), pos) FILTER (line LIKE 'Qty:%') AS qty
+FROM x WHERE trim(line) <> '' GROUP BY 1, 2""")
+def text_blocks_to_products(t):
+    return G.text_blocks(t, "doc_id", "pos", "line")
+
+
+@query("document_blocks", "documents", sql="""l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
+x AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l)
+SELECT doc_id, block, min(i) - 1 AS first FROM x WHERE trim(line) <> '' GROUP BY 1, 2""")
+def document_blocks(d):
+    """Blocks of lines of real texts, for volume."""
+    lines = d.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return G.text_blocks(lines, "doc_id", "pos", "line").select("doc_id", "block", "first")
+
+
+@query("suffix_repeated_models", "text_lines", sql="""x AS (SELECT doc_id, pos, CASE WHEN line LIKE 'Model:%' THEN 'EV' || pos % 3 END AS model FROM text_lines WHERE line LIKE 'Model:%' OR line LIKE 'Name:%')
+SELECT doc_id, pos, CASE WHEN model IS NULL THEN 'OCR-' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) WHEN row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) > 1 THEN model || '-' || row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) ELSE model END AS unique_model FROM x""")
+def suffix_repeated_models(t):
+    is_model = C("line").startswith("Model:")
+    x = t.where(is_model | C("line").startswith("Name:")).select("doc_id", "pos", F.when(is_model, F.concat(F.lit("EV"), (C("pos") % 3).cast("string"))).alias("model"))
+    return G.suffix_repeated(x, "doc_id", "pos", "model").select("doc_id", "pos", "unique_model")
+
+
+@query("price_table_rows", "cells", sql=f"{_WIDE} SELECT file, row_no, model, name || CASE WHEN spec <> '' THEN '; ' || spec ELSE '' END AS spec, TRY_CAST(price_text AS DOUBLE) AS price FROM wd WHERE row_no > 3 AND price_text <> ''")
+def price_table_rows(c):
+    spec = F.concat_ws("; ", F.nullif(C("name"), F.lit("")), F.nullif(C("spec"), F.lit("")))
+    return body(c).where("price_text != ''").select("file", "row_no", "model", spec.alias("spec"), C("price_text").try_cast("double").alias("price"))
+
+
+@query("horizontal_unpivot", "cells", sql="""m AS (SELECT file, col_no, value AS model FROM cells WHERE row_no = 3 AND col_no > 1), n AS (SELECT file, row_no, value AS name FROM cells WHERE row_no > 3 AND col_no = 1 AND value <> '')
+SELECT c.file, c.col_no, model, string_agg(name || ': ' || trim(c.value), chr(10) ORDER BY c.row_no) AS spec FROM cells c JOIN m ON m.file = c.file AND m.col_no = c.col_no JOIN n ON n.file = c.file AND n.row_no = c.row_no WHERE c.value <> '' GROUP BY ALL""")
+def horizontal_unpivot(c):
+    return G.horizontal_unpivot(c, 1, 3).select("file", "col_no", "model", "spec")
+
+
+@query("vertical_rows", "cells", sql=f"{_WIDE} SELECT file, row_no, substr(trim(model), 1, 30) AS model, TRY_CAST(regexp_extract(price_text, '\\d+(?:\\.\\d+)?') AS DOUBLE) AS price FROM wd WHERE row_no > 3 AND (model <> '' OR price_text <> '')")
+def vertical_rows(c):
+    return G.vertical_rows(body(c)).select("file", "row_no", "model", "price")
+
+
+@query("invoice_rows", "quote_items", sql="""x AS (SELECT quote_id, line_no, CASE WHEN line_no % 5 = 0 THEN 'Total: ' ELSE sku END AS model, qty, CASE WHEN line_no % 2 = 0 THEN NULL ELSE unit_price END AS unit_price, qty * unit_price AS total FROM quote_items)
+SELECT quote_id, line_no, model, round(coalesce(unit_price, total / qty), 4) AS unit_price, round(total, 4) AS total FROM x WHERE line_no % 5 <> 0""")
+def invoice_rows(q):
+    x = q.select("quote_id", "line_no", F.when(C("line_no") % 5 == 0, "Total: ").otherwise(C("sku")).alias("model"), "qty", F.when(C("line_no") % 2 != 0, C("unit_price")).alias("unit_price"), (C("qty") * C("unit_price")).alias("total"))
+    return G.invoice_rows(x).select("quote_id", "line_no", "model", F.round("unit_price", 4).alias("unit_price"), F.round("total", 4).alias("total"))
+
+
+@query("union_sheets", "products_raw", "products", sql="SELECT idx, model, NULL AS sku, 0 AS frame_no FROM products_raw UNION ALL SELECT id, NULL, sku, 1 FROM products")
+def union_sheets(a, b):
+    return G.union_all([a.select("idx", "model"), b.select(C("id").alias("idx"), "sku")]).select("idx", "model", "sku", "frame_no")
+
+
+@query("cross_table_price", "cells", sql=f"""{_WIDE},
+p AS (SELECT file, row_no, row_number() OVER (PARTITION BY file ORDER BY row_no) AS i FROM wd WHERE row_no BETWEEN 4 AND 7),
+n AS (SELECT file, col_no, arg_min(TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE), row_no) AS price FROM cells WHERE row_no > 30 AND TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) > 0 GROUP BY 1, 2)
+SELECT p.file, p.row_no, n.price FROM p JOIN n ON n.file = p.file AND n.col_no = p.i""")
+def cross_table_price(c):
+    products = G.wide(c, COLS).where("row_no between 4 and 7").select("file", "row_no", F.lit(None).cast("double").alias("price"))
+    return G.cross_table_price(products, c.where("row_no > 30"))

@@ -1 +1,192 @@
+"""Texts of specifications, models, languages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import language as G
+from ..functions import models as M
+from ..functions import specs as S
+from ..functions.prices import rounded
+from .registry import query
+
+C = F.col
+_STRIP = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("clean_spec", "texts", sql="""SELECT id, CASE id % 6 WHEN 0 THEN 'Motor: ' || s || 'W' || chr(10) || 'Range: 80km' WHEN 1 THEN 'Motor:500W' WHEN 2 THEN 'Standard configuration. Contact us for details.' WHEN 3 THEN 'Size: 1360* (尺寸单位缺失)' WHEN 4 THEN 'Length: 5 -' ELSE 'Color: red' || chr(10) || 'Grade: ' || kind END AS spec FROM texts""")
+def clean_spec(t):
+    return t.select("id", S.clean_spec(C("spec")).alias("spec"))
+
+
+@query("fix_truncated_spec", "texts", sql="SELECT id, CASE WHEN length(spec) < 3 THEN spec WHEN regexp_matches(spec, '\\d+\\*\\s*$') THEN spec || ' (尺寸单位缺失)' WHEN regexp_matches(spec, '\\*\\s*$|-\\s+$|[:：]\\s*$|,\\s*$') THEN spec || ' (may be incomplete)' ELSE spec END AS spec FROM texts")
+def fix_truncated_spec(t):
+    return t.select("id", S.fix_truncated_spec(C("spec")).alias("spec"))
+
+
+@query("format_spec", "texts")
+def format_spec(t):
+    return t.select("id", S.format_spec(C("spec")).alias("spec"))
+
+
+@query("clean_spec_text", "texts", sql="SELECT id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(packaging, '\\n+', chr(10), 'g'), ' +', ' ', 'g'), '; +', ';', 'g'), ';', ';' || chr(10)), '^\\s+|\\s+$', '', 'g') AS spec FROM texts")
+def clean_spec_text(t):
+    return t.select("id", S.clean_spec_text(C("packaging")).alias("spec"))
+
+
+@query("spec_to_map", "texts", sql="""SELECT id, s || '.5kg' AS gross, CAST(s AS VARCHAR) AS nw, CASE WHEN id % 3 = 0 THEN '0.12m' END AS cbm, CASE WHEN id % 2 = 0 THEN 6 ELSE 4 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS n FROM texts""")
+def spec_to_map(t):
+    m = S.spec_to_map(C("packaging"))
+    return t.withColumn("m", m).select("id", F.try_element_at("m", F.lit("weight")).alias("gross"), F.try_element_at("m", F.lit("NW")).alias("nw"), F.try_element_at("m", F.lit("CBM")).alias("cbm"), F.size("m").alias("n"))
+
+
+@query("map_to_spec", "texts", sql="SELECT id, 'size: ' || s || '; kind: ' || kind AS spec FROM texts")
+def map_to_spec(t):
+    return t.select("id", S.map_to_spec(F.create_map(F.lit("size"), C("s").cast("string"), F.lit("kind"), C("kind"))).alias("spec"))
+
+
+@query("parse_spec_dict", "texts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS n, CAST(s AS VARCHAR) AS weight, CASE WHEN id % 3 = 0 THEN kind END AS grade FROM texts")
+def parse_spec_dict(t):
+    text = F.concat(F.lit("Model: x\r\nWeight："), C("s").cast("string"), F.when(C("id") % 3 == 0, F.concat(F.lit("\n\nGrade-"), "kind")).otherwise("\nplain"))
+    return t.withColumn("m", S.parse_spec_dict(text)).select("id", F.size("m").alias("n"), F.try_element_at("m", F.lit("Weight")).alias("weight"), F.try_element_at("m", F.lit("Grade")).alias("grade"))
+
+
+@query("serialize_specs", "texts", sql="SELECT id, concat_ws(chr(10), '尺寸: ' || s, 'HTML: ' || nullif(html, ''), CASE WHEN number_text <> '' THEN 'No: ' || number_text END) AS spec FROM texts")
+def serialize_specs(t):
+    return t.select("id", S.serialize_specs({"s": "尺寸", "html": "HTML", "number_text": "No"}).alias("spec"))
+
+
+@query("extract_dimensions", "texts", sql="""SELECT id, CASE id % 8 WHEN 0 THEN s * 10.0 WHEN 2 THEN s * 1.0 WHEN 3 THEN round(s * 25.4 + 1e-9, 1) WHEN 4 THEN s * 1.0 WHEN 6 THEN s * 1.0 END::DOUBLE AS length, CASE id % 8 WHEN 0 THEN (s + 5) * 10.0 WHEN 2 THEN 5.0 WHEN 3 THEN round(s * 25.4 + 1e-9, 1) WHEN 4 THEN 20.0 WHEN 6 THEN 7.0 END::DOUBLE AS width,
+  CASE id % 8 WHEN 0 THEN 30.0 WHEN 1 THEN 200.0 WHEN 2 THEN 3.0 WHEN 4 THEN 30.0 END::DOUBLE AS height, CASE id % 8 WHEN 1 THEN s * 10.0 END::DOUBLE AS diameter, CASE id % 8 WHEN 0 THEN 'cm' WHEN 1 THEN 'cm' WHEN 2 THEN 'mm' WHEN 3 THEN 'inch' WHEN 4 THEN 'mm' WHEN 6 THEN 'mm' END AS unit FROM texts""")
+def extract_dimensions(t):
+    return t.withColumn("d", S.extract_dimensions(C("dims"))).select("id", "d.length", "d.width", "d.height", "d.diameter", "d.unit")
+
+
+@query("packaging_fields", "texts", sql="""SELECT id, s || 'x20x30' AS carton_size, CASE WHEN id % 2 = 0 THEN 7.0 ELSE s + 0.5 END::DOUBLE AS gross_weight, s::DOUBLE AS net_weight, CASE WHEN id % 3 = 0 THEN 0.12 ELSE 0 END::DOUBLE AS cbm, s AS units_per_carton, CASE WHEN id % 2 = 0 THEN 'box' ELSE '' END AS packing_type FROM texts""")
+def packaging_fields(t):
+    return t.withColumn("p", S.packaging_fields(C("packaging"))).select("id", "p.*")
+
+
+@query("product_key", "texts", sql="SELECT id, substr(md5(concat_ws('|', nullif(" + _STRIP.format("model") + ", ''), 'Motor=' || s, CASE WHEN number_text <> '' THEN number_text END)), 1, 12) AS product_key FROM texts")
+def product_key(t):
+    return t.select("id", M.product_key(C("model"), F.concat(F.lit("Motor="), C("s").cast("string")), C("number_text")).alias("product_key"))
+
+
+@query("normalize_model", "texts", sql="SELECT id, regexp_replace(CASE WHEN starts_with(lower(model), 'model') THEN substr(lower(model), 6) ELSE lower(model) END, '[^a-z0-9]', '', 'g') AS model FROM texts")
+def normalize_model(t):
+    return t.select("id", M.normalize_model(C("model")).alias("model"))
+
+
+@query("model_keywords", "texts", sql="""k AS (SELECT id, lower(model) AS m FROM texts),
+w AS (SELECT id, unnest(list_distinct(list_filter([m, regexp_replace(m, '[^a-z0-9]', '', 'g')] || list_filter(regexp_extract_all(m, '\\d+') || regexp_extract_all(m, '[a-z]+') || string_split_regex(m, '[-_\\s]+'), lambda x: length(x) >= 3), lambda x: x <> ''))) AS word FROM k)
+SELECT id, word FROM w""")
+def model_keywords(t):
+    return t.select("id", F.explode(M.model_keywords(C("model"))).alias("word"))
+
+
+@query("clean_sku", "texts", sql="SELECT id, trim(CASE WHEN instr(x, ':') BETWEEN 2 AND 20 THEN substr(x, 1, instr(x, ':') - 1) ELSE x END) AS sku FROM (SELECT id, string_split(string_split(model, chr(10))[1], ';')[1] AS x FROM texts)")
+def clean_sku(t):
+    return t.select("id", M.clean_sku(C("model")).alias("sku"))
+
+
+@query("repair_model", "texts", sql="SELECT id, CASE WHEN model <> '' AND ((name <> '' AND (length(model) > length(name) * 3 OR regexp_matches(model, '^\\d+$'))) OR starts_with(model, '=')) THEN name ELSE model END AS model FROM texts")
+def repair_model(t):
+    return t.select("id", M.repair_model(C("model"), C("name")).alias("model"))
+
+
+@query("model_from_spec", "texts", sql="SELECT id, coalesce(nullif(regexp_extract(model, '^([A-Z]{1,3}[\\-\\d]+)', 1), ''), nullif(regexp_extract(model, '^([A-Z]\\d{3,})', 1), '')) AS model FROM texts")
+def model_from_spec(t):
+    return t.select("id", M.model_from_spec(C("model")).alias("model"))
+
+
+@query("display_name", "texts", sql="SELECT id, CASE WHEN model = name THEN model ELSE model || chr(10) || name END AS shown FROM texts")
+def display_name(t):
+    return t.select("id", M.display_name(C("model"), C("name")).alias("shown"))
+
+
+_WORDS = "|".join(sorted({*M.FIELD_NAMES, *M.TERM_WORDS}))
+_FIELD = f"regexp_matches(lower({{0}}), '\\b({_WORDS})\\b')"
+_VALID = f"length({{0}}) BETWEEN 2 AND 40 AND NOT contains({{0}}, ':') AND NOT {_FIELD} AND NOT regexp_matches(lower({{0}}), '(\\d+\\.?\\d*\\s*mm|\\d+\\.?\\d*\\s*cm|\\d+v\\b|\\d+w\\b)')"
+
+
+@query("is_valid_model", "texts", sql=f"SELECT id, {_VALID.format('model')} AND regexp_matches(model, '[A-Za-z]') AND regexp_matches(model, '\\d') AS strict, {_VALID.format('model')} AND (regexp_matches(model, '\\d') OR (regexp_matches(model, '[A-Za-z]') AND length(model) <= 12)) AS lax FROM texts")
+def is_valid_model(t):
+    return t.select("id", M.is_valid_model(C("model")).alias("strict"), M.is_valid_model(C("model"), strict=False).alias("lax"))
+
+
+@query("valid_pdf_model", "texts", sql="""SELECT id, length(model) BETWEEN 2 AND 40 AND NOT regexp_matches(lower(model), ':|\\d+\\s*mm|usd$|\\d+usd|^\\d+\\.\\d+|motor|battery|weight|speed|power|voltage|current|controller|charger|description|photo|picture|material|dimension')
+  AND (regexp_matches(model, '\\d') OR len(list_filter(string_split_regex(replace(model, '-', ' '), '\\s+'), lambda x: x <> '')) >= 2 OR length(model) >= 5) AS ok FROM texts""")
+def valid_pdf_model(t):
+    return t.select("id", M.valid_pdf_model(C("model")).alias("ok"))
+
+
+@query("detect_column_kind", "cells", sql="SELECT file, col_no, CASE WHEN value LIKE '%rice%' THEN 'price' WHEN value LIKE '%pec%' THEN 'spec' WHEN value LIKE '%ame%' THEN 'name' ELSE 'model' END AS kind FROM cells WHERE row_no = 3")
+def detect_column_kind(c):
+    from ..operators.grid import column_kind
+
+    return c.where("row_no = 3").select("file", "col_no", column_kind(C("value")).alias("kind"))
+
+
+@query("sanitize_products", "texts", sql="SELECT id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, CASE number_text WHEN '12.5' THEN 12.5 WHEN 'abc' THEN 0 WHEN '7' THEN 7 END::DOUBLE AS number FROM texts")
+def sanitize_products(t):
+    return t.select("id", G.escape_html(C("html")).alias("html"), G.sanitized_number(C("number_text")).alias("number"))
+
+
+_ZH = F.when(C("id") % 3 == 0, F.concat(F.lit("红色 锂电池 ABC\nred "), "name", F.lit("\n  \n"))).when(C("id") % 3 == 1, F.lit("型号 EV12价格")).otherwise(C("name"))
+
+
+@query("filter_by_lang", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN '红色 锂电池 ABC' WHEN 1 THEN '型号 EV12价格' ELSE '' END AS chinese, CASE id % 3 WHEN 0 THEN 'red ' || name WHEN 1 THEN '' ELSE name END AS english FROM texts")
+def filter_by_lang(t):
+    return t.select("id", G.lines_of(_ZH, True).alias("chinese"), G.lines_of(_ZH, False).alias("english"))
+
+
+@query("is_mostly_english", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 5 / (13 + length(replace(name, ' ', '')) + 2)::DOUBLE < 0.2 WHEN 1 THEN false ELSE true END AS english FROM texts WHERE id % 3 > 0")
+def is_mostly_english(t):
+    return t.where("id % 3 > 0").select("id", G.is_mostly_english(_ZH).alias("english"))
+
+
+@query("payment_by_lang", "texts", sql="SELECT id, CASE WHEN id % 2 = 0 THEN '付款 ' || s ELSE '付款' END AS zh, CASE WHEN id % 2 = 0 THEN 'Terms of payment: T/T ' || name ELSE '付款' END AS en FROM texts")
+def payment_by_lang(t):
+    text = F.when(C("id") % 2 == 0, F.concat(F.lit("付款 "), C("s").cast("string"), F.lit("  payment terms : T/T "), "name")).otherwise("付款")
+    return t.select("id", G.payment_by_lang(text, "chinese").alias("zh"), G.payment_by_lang(text, "english").alias("en"))
+
+
+@query("split_bilingual", "texts", sql="SELECT id, CASE WHEN id % 2 = 0 THEN '名' ELSE name END AS zh, name AS en FROM texts")
+def split_bilingual(t):
+    text = F.when(C("id") % 2 == 0, F.concat(F.lit("名 / "), "name")).otherwise(C("name"))
+    return t.select("id", G.split_bilingual(text).alias("zh"), G.split_bilingual(text, "en").alias("en"))
+
+
+@query("clean_column_name", "texts", sql="SELECT id, 'Price ' || kind AS name FROM texts")
+def clean_column_name(t):
+    return t.select("id", G.clean_column_name(F.concat(F.lit("  Price (USD)  "), "kind", F.lit(" (kg)"))).alias("name"))
+
+
+@query("fix_fullwidth", "texts", sql="SELECT id, 'a:(' || s || ')-' AS text FROM texts")
+def fix_fullwidth(t):
+    return t.select("id", G.fix_fullwidth(F.concat(F.lit("a：（"), C("s").cast("string"), F.lit("）－"))).alias("text"))
+
+
+@query("translate_text", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
+def translate_text(t):
+    return G.translate_column(t.withColumn("zh", _ZH), "zh", "en").select("id", "en")
+
+
+@query("translate_protected", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
+def translate_protected(t):
+    return G.translate_column(t.withColumn("zh", _ZH), "zh", "en", protect=True).select("id", "en")
+
+
+@query("translate_frame", "texts", sql="SELECT id, 'Red' AS \"Color\", kind FROM texts")
+def translate_frame(t):
+    return G.translate_frame(t.select("id", F.lit("红色").alias("颜色"), "kind"))
+
+
+@query("bilingual_text", "texts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN name ELSE kind || ' / ' || name END AS text FROM texts")
+def bilingual_text(t):
+    return t.select("id", G.bilingual_text(F.when(C("id") % 3 == 0, C("name")).otherwise(C("kind")), C("name")).alias("text"))
+
+
+@query("amount_in_words", "texts")
+def amount_in_words(t):
+    return t.select("id", G.amount_in_words(rounded(C("price") * C("id"), 2)).alias("words"))

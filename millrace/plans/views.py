@@ -94,16 +94,16 @@ SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END
   CASE WHEN p_partkey % 20 < 10 THEN '' ELSE 'CNY' END AS currency
 FROM {part}""",
     "cells": """
-SELECT 'f' || CAST(floor(p_partkey / 50) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + 4 AS INT) AS row_no, c AS col_no,
+SELECT 'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + 4 AS INT) AS row_no, c AS col_no,
   CASE c WHEN 1 THEN CASE WHEN p_partkey % 50 = 45 THEN 'Remark: keep dry' WHEN p_partkey % 6 = 2 THEN '' WHEN p_partkey % 50 = 30 THEN 'battery 20AH' ELSE 'EV' || CAST(p_partkey AS STRING) END
     WHEN 2 THEN p_name WHEN 3 THEN 'Motor ' || CAST(p_size * 100 AS STRING) || 'W' ELSE CASE WHEN p_partkey % 8 = 5 THEN '' ELSE CAST(p_retailprice AS STRING) END END AS value
 FROM {part}, (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k WHERE NOT (p_partkey % 50 BETWEEN 20 AND 22)
-UNION ALL SELECT 'f' || CAST(floor(p_partkey / 50) AS STRING), 's1', r, c,
+UNION ALL SELECT 'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING), 's1', r, c,
   CASE WHEN r = 1 THEN CASE WHEN c = 1 THEN 'Price list of the best company in the whole wide world' ELSE '' END WHEN r = 2 THEN CASE WHEN c = 1 THEN 'PO-20240101' ELSE '' END
     ELSE CASE c WHEN 1 THEN 'Model' WHEN 2 THEN 'Product name' WHEN 3 THEN 'Specification' ELSE CASE WHEN floor(p_partkey / 50) % 2 = 0 THEN 'FOB Price(USD)' ELSE 'Price' END END END
 FROM {part}, (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) AS h WHERE p_partkey % 50 = 0""",
     "kv_cells": """
-SELECT 'k' || CAST(floor(p_partkey / 30) AS STRING) AS file, p_partkey AS row_no,
+SELECT 'k' || CAST(CAST(floor(p_partkey / 30) AS BIGINT) AS STRING) AS file, p_partkey AS row_no,
   CASE p_partkey % 6 WHEN 0 THEN 'Model' WHEN 1 THEN 'Motor' WHEN 2 THEN 'Battery' WHEN 3 THEN 'Price' WHEN 4 THEN 'Color' ELSE 'Motor' END AS key,
   CASE p_partkey % 6 WHEN 0 THEN 'EV' || CAST(p_partkey AS STRING) WHEN 3 THEN CAST(p_retailprice AS STRING) ELSE p_name END AS value
 FROM {part}""",
@@ -113,11 +113,11 @@ SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, p_partkey AS pos,
 FROM {part}""",
     "images": """
 SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN 'images/ab' || CAST(p_partkey AS STRING) || '.jpg' WHEN 1 THEN 'images/photo-' || CAST(p_partkey AS STRING) || '-front.png' ELSE 'images/misc' || CAST(p_partkey AS STRING) || '.jpg' END AS path,
-  'f' || CAST(floor(p_partkey / 50) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + p_partkey % 4 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_size AS DOUBLE) AS y
+  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + p_partkey % 4 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_size AS DOUBLE) AS y
 FROM {part} WHERE p_partkey % 2 = 0""",
     "pictured": """
 SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'AB-' || CAST(p_partkey AS STRING) WHEN 1 THEN 'ab' || CAST(p_partkey - 1 AS STRING) WHEN 2 THEN CAST(p_partkey + 2 AS STRING) ELSE 'zz' END AS model,
-  'f' || CAST(floor(p_partkey / 50) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page
+  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page
 FROM {part}""",
     "expected": """
 SELECT idx % 20 AS file, idx AS item, CASE WHEN idx % 7 = 0 THEN 'missing' ELSE upper(model) || ' ' END AS model, price_rmb * (CASE WHEN idx % 3 = 0 THEN 2.0 ELSE 1.01 END) AS price_rmb, 5.0 AS tolerance, name_zh AS name_keyword, 'Motor' AS spec_keyword
