@@ -63,7 +63,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
 SELECT o_orderkey AS id, CASE o_custkey % 7 WHEN 0 THEN 'ev_alls' WHEN 1 THEN 'local' ELSE 'u' || CAST(o_custkey % 7 AS STRING) END AS user_id,
   '[' || CAST(o_orderkey % 2000 AS STRING) || ', ' || CAST((o_orderkey * 7) % 2000 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ', 999999999' ELSE '' END || ']' AS product_ids,
   CASE o_orderkey % 4 WHEN 0 THEN 'pi_' WHEN 1 THEN 'packing_' WHEN 2 THEN 'invoice_' ELSE 'quotation_' END || CAST(o_orderkey AS STRING) || '.xlsx' AS file_name,
-  'K' || CAST(o_custkey AS STRING) AS access_key, CAST(1704067200 + o_orderkey * 60 AS DOUBLE) AS created_at,
+  'K' || CAST(o_orderkey AS STRING) AS access_key, CAST(1704067200 + o_orderkey * 60 AS DOUBLE) AS created_at,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(1704067200 + o_orderkey * 60 + (o_orderkey % 9) * 86400 AS DOUBLE) END AS expires_at
 FROM {orders}""",
     "price_texts": """
