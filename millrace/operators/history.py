@@ -9,7 +9,10 @@ from ..functions.models import product_key
 from ..functions.prices import rounded
 
 C = F.col
-N = F.count(F.lit(1))
+
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -49,8 +52,8 @@ def event_stats(events: DataFrame, days: int, as_of: str) -> tuple[DataFrame, Da
     """(totals, per event, per day) of the last days before as_of."""
     at = F.lit(as_of).cast("timestamp")
     e = events.where((C("created_at") >= at - F.make_dt_interval(F.lit(days))) & (C("created_at") <= at))
-    totals = e.agg(N.alias("total"), F.countDistinct(F.nullif(C("session_id"), F.lit(""))).alias("sessions"))
-    return totals, e.groupBy("event").agg(N.alias("n")), e.groupBy(F.to_date("created_at").alias("day")).agg(N.alias("n"))
+    totals = e.agg(rows().alias("total"), F.countDistinct(F.nullif(C("session_id"), F.lit(""))).alias("sessions"))
+    return totals, e.groupBy("event").agg(rows().alias("n")), e.groupBy(F.to_date("created_at").alias("day")).agg(rows().alias("n"))
 
 
 def list_quotes(quotes: DataFrame, state: str, now: float) -> DataFrame:
@@ -66,7 +69,7 @@ def expires(created: Column, days: Column) -> Column:
 def quote_views(views: DataFrame, quotes: DataFrame) -> DataFrame:
     """Per quote the views with its key: number, last one, and the history in order."""
     v = views.join(quotes.select(C("id").alias("qid"), C("access_key").alias("k")), (C("quote_id") == C("qid")) & (C("access_key") == C("k")))
-    return v.groupBy("quote_id").agg(N.alias("view_count"), F.max("ts").alias("last_viewed"), F.array_sort(F.collect_list(F.struct("ts", "email"))).alias("history"))
+    return v.groupBy("quote_id").agg(rows().alias("view_count"), F.max("ts").alias("last_viewed"), F.array_sort(F.collect_list(F.struct("ts", "email"))).alias("history"))
 
 
 def tier_of(kind: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.prices import rounded
@@ -9,7 +10,9 @@ from ..operators import library as L
 from ..operators.grouping import group_key
 from .registry import query
 
-N = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def ids_of(p, mod):
@@ -91,12 +94,12 @@ _ONE = "one AS (SELECT user_id, sku, min(id) AS id, arg_min(price_rmb, id) AS pr
 
 @query("order_match", "order_lines", "products", sql=f"{_ONE} SELECT order_id, line_no, trim(o.sku) AS sku, coalesce(TRY_CAST(qty AS INT), 1) AS qty, one.id, count(*) AS n FROM order_lines o LEFT JOIN one ON one.user_id = o.user_id AND one.sku = trim(o.sku) GROUP BY ALL")
 def order_match(o, p):
-    return L.order_match(o, p).groupBy("order_id", "line_no", "sku", "qty", "id").agg(N.alias("n"))
+    return L.order_match(o, p).groupBy("order_id", "line_no", "sku", "qty", "id").agg(rows().alias("n"))
 
 
 @query("order_not_found", "order_lines", "products", sql="SELECT trim(o.sku) AS sku, o.user_id, count(*) AS n FROM order_lines o WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.user_id = o.user_id AND p.sku = trim(o.sku)) GROUP BY 1, 2")
 def order_not_found(o, p):
-    return L.order_not_found(o, p).groupBy("sku", "user_id").agg(N.alias("n"))
+    return L.order_not_found(o, p).groupBy("sku", "user_id").agg(rows().alias("n"))
 
 
 _UP = ["name_zh", "category", "price_rmb", "price_usd", "moq", "updated_at"]
@@ -147,8 +150,8 @@ SELECT user_id, CAST(count(*) FILTER (k <= 703) AS BIGINT) AS imported, CAST(cou
 def import_products(p):
     none = p.limit(0).select("user_id", F.col("model").alias("sku"))
     done = L.unique_skus(p, none, "idx").withColumn("price_usd", rounded(F.coalesce("price_rmb", F.lit(0.0)) / 7.2, 2))
-    imported = done.groupBy("user_id").agg(N.alias("imported"), rounded(F.sum("price_usd"), 2).alias("total_usd"))
-    seen = p.groupBy("user_id").agg(N.alias("seen"), F.count(F.when(F.col("price_rmb").isNull(), 1)).alias("without_price"))
+    imported = done.groupBy("user_id").agg(rows().alias("imported"), rounded(F.sum("price_usd"), 2).alias("total_usd"))
+    seen = p.groupBy("user_id").agg(rows().alias("seen"), F.count(F.when(F.col("price_rmb").isNull(), 1)).alias("without_price"))
     return seen.join(imported, "user_id").select("user_id", "imported", (F.col("seen") - F.col("imported")).alias("skipped"), "without_price", "total_usd")
 
 
@@ -167,12 +170,12 @@ def distinct_categories(p):
 
 @query("product_count", "products", sql="SELECT user_id, count(*) AS n FROM products GROUP BY 1")
 def product_count(p):
-    return p.groupBy("user_id").agg(N.alias("n"))
+    return p.groupBy("user_id").agg(rows().alias("n"))
 
 
 @query("usage_quota", "products", "users", sql="SELECT u.id, u.tier, coalesce(n, 0) AS product_count, u.upload_count, u.tier = 'free' AND (coalesce(n, 0) + 10 > 200 OR u.upload_count + 1 > 20) AS over FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM products GROUP BY 1) p ON p.user_id = u.id")
 def usage_quota(p, u):
-    n = p.groupBy("user_id").agg(N.alias("n"))
+    n = p.groupBy("user_id").agg(rows().alias("n"))
     count = F.coalesce("n", F.lit(0))
     return u.join(n, F.col("id") == F.col("user_id"), "left").select("id", "tier", count.alias("product_count"), "upload_count", ((F.col("tier") == "free") & ((count + 10 > 200) | (F.col("upload_count") + 1 > 20))).alias("over"))
 

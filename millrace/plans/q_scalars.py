@@ -132,17 +132,19 @@ def sanitize_products(t):
     return t.select("id", G.escape_html(C("html")).alias("html"), G.sanitized_number(C("number_text")).alias("number"))
 
 
-_ZH = F.when(C("id") % 3 == 0, F.concat(F.lit("红色 锂电池 ABC\nred "), "name", F.lit("\n  \n"))).when(C("id") % 3 == 1, F.lit("型号 EV12价格")).otherwise(C("name"))
+def _zh():
+    return F.when(C("id") % 3 == 0, F.concat(F.lit("红色 锂电池 ABC\nred "), "name", F.lit("\n  \n"))).when(C("id") % 3 == 1, F.lit("型号 EV12价格")).otherwise(C("name"))
+
 
 
 @query("filter_by_lang", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN '红色 锂电池 ABC' WHEN 1 THEN '型号 EV12价格' ELSE '' END AS chinese, CASE id % 3 WHEN 0 THEN 'red ' || name WHEN 1 THEN '' ELSE name END AS english FROM texts")
 def filter_by_lang(t):
-    return t.select("id", G.lines_of(_ZH, True).alias("chinese"), G.lines_of(_ZH, False).alias("english"))
+    return t.select("id", G.lines_of(_zh(), True).alias("chinese"), G.lines_of(_zh(), False).alias("english"))
 
 
 @query("is_mostly_english", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 5 / (13 + length(replace(name, ' ', '')) + 2)::DOUBLE < 0.2 WHEN 1 THEN false ELSE true END AS english FROM texts WHERE id % 3 > 0")
 def is_mostly_english(t):
-    return t.where("id % 3 > 0").select("id", G.is_mostly_english(_ZH).alias("english"))
+    return t.where("id % 3 > 0").select("id", G.is_mostly_english(_zh()).alias("english"))
 
 
 @query("payment_by_lang", "texts", sql="SELECT id, CASE WHEN id % 2 = 0 THEN '付款 ' || s ELSE '付款' END AS zh, CASE WHEN id % 2 = 0 THEN 'Terms of payment: T/T ' || name ELSE '付款' END AS en FROM texts")
@@ -169,12 +171,12 @@ def fix_fullwidth(t):
 
 @query("translate_text", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
 def translate_text(t):
-    return G.translate_column(t.withColumn("zh", _ZH), "zh", "en").select("id", "en")
+    return G.translate_column(t.withColumn("zh", _zh()), "zh", "en").select("id", "en")
 
 
 @query("translate_protected", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
 def translate_protected(t):
-    return G.translate_column(t.withColumn("zh", _ZH), "zh", "en", protect=True).select("id", "en")
+    return G.translate_column(t.withColumn("zh", _zh()), "zh", "en", protect=True).select("id", "en")
 
 
 @query("translate_frame", "texts", sql="SELECT id, 'Red' AS \"Color\", kind FROM texts")
