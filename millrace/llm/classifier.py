@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import bounded_batches, crc_mod
 from .quality_rules import CLASS, DIGIT, LETTER_LEAD, OTHER, PUNCT, SPACE, SYMBOL, TAIL, UPPER, duplicate_lines, repeated_words
 from .words import blocks, split_words
 
@@ -23,7 +23,7 @@ WORDS = 1 << 15
 FACTORS = 8
 SAMPLE = 8000
 EPOCHS = 6
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 STATISTICS = 14
 
 
@@ -118,12 +118,13 @@ class Machine:
 
 
 def fit_machine(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, length: str | None, label: str, label_id: str, folds: int, held_fold: int, sample: int, epochs: int) -> Machine | None:
+    bounded_batches(docs)
     known = labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col(label_id), folds) != held_fold))
     known = known.groupBy(F.col(label_id).alias("lid")).agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("h", F.xxhash64("lid")).orderBy("h", "lid").limit(sample)
-    some = docs.join(F.broadcast(known), F.col(doc_id) == F.col("lid"))  # at most `sample` rows
     size = F.col(length).cast("double") if length in docs.columns else F.lit(0.0)
-    some = some.select("label", "h", F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
+    own = docs.select(F.col(doc_id).alias("did"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
+    some = own.join(F.broadcast(known), F.col("did") == F.col("lid")).select("label", "h", "t", "length")  # at most `sample` ids
     rows = some.mapInPandas(features, "label int, h long, i binary, x binary, d binary").toPandas()
     if not len(rows):
         return None
@@ -153,5 +154,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, text="text", doc_id="doc_id"
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     size = F.col(length).cast("double") if length in docs.columns else F.lit(0.0)
-    d = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
+    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
     return d.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -94,7 +94,7 @@ def scores(urls: list[str | None], ratio: np.ndarray) -> np.ndarray:
 
 
 def threshold(hist: dict[tuple[bool, int], int]) -> float:
-    """The bin edge with most of the accepted above plus most of the rejected below, the one nearest to 0 among equals."""
+    """The bin edge with most of the accepted above plus most of the rejected below, the middle one of equals."""
     good, bad = (np.array([hist.get((side, b), 0) for b in range(BINS)], dtype=float) for side in (True, False))
     if not good.sum() or not bad.sum():
         return 0.0
@@ -103,7 +103,7 @@ def threshold(hist: dict[tuple[bool, int], int]) -> float:
     below = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     total = np.round(above + below, 9)
     best = np.flatnonzero(total == total.max())
-    return float(edges[best[np.argmin(np.abs(edges[best]))]])
+    return float(edges[best[len(best) // 2]])
 
 
 def url_filter(pages: DataFrame, *, url="url", page_id="page_id", rules=RULES) -> DataFrame:
