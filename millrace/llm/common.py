@@ -32,13 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later reads start from files that survive a lost executor."""
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later reads start from files that survive a lost executor.
+
+    release: have the driver collect its garbage now, upon which Spark deletes the shuffle files that only the writing
+    needed; otherwise they stay until the driver happens to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows go to Python functions in batches of so many bytes, whatever the texts' lengths; the session's default is 256 MB.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands rows to Python in batches that fit a task's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

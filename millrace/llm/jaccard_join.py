@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded_batches, stage
 from .components import components
 from .words import blocks, split_words
 
@@ -41,7 +41,7 @@ ESTIMATE = 0.5
 LEAF_BLOCK = 1000
 SET_BLOCK = 500
 SET_BYTES = 64_000_000
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 2**63, SIGNS, dtype=np.uint64) | np.uint64(1)
@@ -259,7 +259,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     documents of their own. An empty table gives an empty table. Other columns of docs are left out.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
     d = d.withColumn("th", F.xxhash64("t"))
     rows = stage(d.mapInPandas(sketch(words), f"doc_id {kind}, th long, cls long, sig array<int>"), "jaccard-sketch")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))).alias("one"), F.first("sig").alias("sig"))

@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded_batches, stage
 from .words import blocks, split_words
 
 COMMON = 64
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.50
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Languages with a smaller share of all words are judged by the pooled reference, so at most 1000 have their own.
 OWN_SHARE = 0.001
 SYMBOLS = b"#*$%&|<>"
@@ -96,14 +96,16 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes, _, distinct = split_words(texts)
             n = np.bincount(codes, minlength=len(distinct))
             classes = sum((class_counts(t) for t in texts), np.zeros(9, dtype=np.int64))
-            words = [plain(w).decode() for w in distinct]
+            words = np.array([plain(w).decode() for w in distinct], dtype=object)
+            some = words != ""
             name = None if pd.isna(lang) else lang
-            yield pd.DataFrame({"lang": name, "word": words, "class": -1, "n": n}).query("word != ''")
-            yield pd.DataFrame({"lang": name, "word": "", "class": COMPARED, "n": classes[COMPARED]})
+            yield pd.DataFrame({"lang": pd.Series([name] * int(some.sum()), dtype=object), "word": pd.Series(words[some], dtype=object), "class": -1, "n": n[some]})
+            yield pd.DataFrame({"lang": pd.Series([name] * len(COMPARED), dtype=object), "word": pd.Series([""] * len(COMPARED), dtype=object), "class": COMPARED, "n": classes[COMPARED]})
 
 
 def references(docs: DataFrame, text: str, lang: str, common: int) -> dict:
     """lang -> (words with their counts and that of all others, class counts); None: all languages together."""
+    bounded_batches(docs)
     d = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
     n = d.mapInPandas(count_words, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     n = stage(n, "quality-counts")

@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import blocks, split_words, sums
 
 SPACE_MARK = "▁"
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 NODES = 1_500_000
 
 
@@ -103,5 +104,5 @@ def token_counts(docs: DataFrame, *, vocabulary: str, text="text", doc_id="doc_i
     Null and empty texts have none. Repeated rows are counted each. An empty table gives an empty table. Other columns
     of docs are left out.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
     return d.mapInPandas(counter(vocabulary, block), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_tokens long")
