@@ -14,6 +14,25 @@ _G = "CAST(floor(p_partkey / 4) AS BIGINT)"
 _USER = "CASE p_partkey % 7 WHEN 0 THEN 'ev_alls' WHEN 1 THEN 'local' ELSE 'u' || CAST(p_partkey % 7 AS STRING) END"
 _DAY = "'2024-01-' || lpad(CAST(1 + {0} % 28 AS STRING), 2, '0')"
 
+def _cells() -> str:
+    """Four columns of each part as cells, fifty parts a sheet, under a title, an order number and a header."""
+    file = "'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING)"
+    values = {
+        1: "CASE WHEN p_partkey % 50 = 45 THEN 'Remark: keep dry' WHEN p_partkey % 6 = 2 THEN '' WHEN p_partkey % 50 = 30 THEN 'battery 20AH' ELSE 'EV' || CAST(p_partkey AS STRING) END",
+        2: "p_name",
+        3: "'Motor ' || CAST(p_size * 100 AS STRING) || 'W'",
+        4: "CASE WHEN p_partkey % 8 = 5 THEN '' ELSE CAST(p_retailprice AS STRING) END",
+    }
+    heads = {
+        1: ["'Price list of the best company in the whole wide world'", "''", "''", "''"],
+        2: ["'PO-20240101'", "''", "''", "''"],
+        3: ["'Model'", "'Product name'", "'Specification'", "CASE WHEN CAST(floor(p_partkey / 50) AS BIGINT) % 2 = 0 THEN 'FOB Price(USD)' ELSE 'Price' END"],
+    }
+    body = [f"SELECT {file} AS file, 's1' AS sheet, CAST(p_partkey % 50 + 4 AS INT) AS row_no, {c} AS col_no, {v} AS value FROM {{part}} WHERE NOT (p_partkey % 50 BETWEEN 20 AND 22)" for c, v in values.items()]
+    body += [f"SELECT {file}, 's1', {r}, {c}, {v} FROM {{part}} WHERE p_partkey % 50 = 0" for r, vs in heads.items() for c, v in enumerate(vs, 1)]
+    return " UNION ALL ".join(body)
+
+
 VIEWS: dict[str, str] = {
     "products_raw": f"""
 SELECT p_partkey AS idx, {_USER} AS user_id,
@@ -93,15 +112,7 @@ SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END
   CASE WHEN p_partkey % 3 = 0 THEN 'Motor 500W power rating' WHEN p_partkey % 3 = 1 THEN 'red' ELSE '' END AS spec_zh,
   CASE WHEN p_partkey % 20 < 10 THEN '' ELSE 'CNY' END AS currency
 FROM {part}""",
-    "cells": """
-SELECT 'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + 4 AS INT) AS row_no, c AS col_no,
-  CASE c WHEN 1 THEN CASE WHEN p_partkey % 50 = 45 THEN 'Remark: keep dry' WHEN p_partkey % 6 = 2 THEN '' WHEN p_partkey % 50 = 30 THEN 'battery 20AH' ELSE 'EV' || CAST(p_partkey AS STRING) END
-    WHEN 2 THEN p_name WHEN 3 THEN 'Motor ' || CAST(p_size * 100 AS STRING) || 'W' ELSE CASE WHEN p_partkey % 8 = 5 THEN '' ELSE CAST(p_retailprice AS STRING) END END AS value
-FROM {part}, (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k WHERE NOT (p_partkey % 50 BETWEEN 20 AND 22)
-UNION ALL SELECT 'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING), 's1', r, c,
-  CASE WHEN r = 1 THEN CASE WHEN c = 1 THEN 'Price list of the best company in the whole wide world' ELSE '' END WHEN r = 2 THEN CASE WHEN c = 1 THEN 'PO-20240101' ELSE '' END
-    ELSE CASE c WHEN 1 THEN 'Model' WHEN 2 THEN 'Product name' WHEN 3 THEN 'Specification' ELSE CASE WHEN floor(p_partkey / 50) % 2 = 0 THEN 'FOB Price(USD)' ELSE 'Price' END END END
-FROM {part}, (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) AS h WHERE p_partkey % 50 = 0""",
+    "cells": _cells(),
     "kv_cells": """
 SELECT 'k' || CAST(CAST(floor(p_partkey / 30) AS BIGINT) AS STRING) AS file, p_partkey AS row_no,
   CASE p_partkey % 6 WHEN 0 THEN 'Model' WHEN 1 THEN 'Motor' WHEN 2 THEN 'Battery' WHEN 3 THEN 'Price' WHEN 4 THEN 'Color' ELSE 'Motor' END AS key,
