@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later reads start from files that survive a lost executor.
 
-    release: have the driver collect its garbage now, upon which Spark deletes the shuffle files that only the writing
-    needed; otherwise they stay until the driver happens to."""
+    release: have the driver collect its garbage, Python's and the JVM's, upon which Spark deletes the shuffle files that
+    only the writing needed; otherwise they stay until the driver happens to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round finds unused may hold the next
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 
