@@ -12,7 +12,9 @@ table, a constant of about 10,000 pieces at most; they are packed in one task, l
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded_batches, stage
 from .words import blocks, split_words
 
 CAPACITY = 2048
@@ -46,29 +48,67 @@ def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[in
 
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and never joins across it, so that each distinct word is
-    encoded once and the ids of a text are those of its words in turn."""
+    encoded once and the ids of a text are those of its words in turn. It also lower-cases, and it parts marks from
+    letters and digits, so words that differ in that only share their ids."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids_of(self, words: np.ndarray) -> list[np.ndarray]:
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case (A-Z) and the marks at its end, if those follow a letter or digit. Words that may hold a
+        special token stay as they are."""
+        if b"<|" in word:
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(b".,;:!?")
+        return (stem, word[len(stem) :]) if stem and stem[-1:].isalnum() else (word, b"")
+
+    def ids_of(self, words: np.ndarray) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
-        new = [w for w in words if w not in self.known]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        parted = [self.parts(w) for w in fresh]
+        new = list({p: None for both in parted for p in both if p and p not in known})
+        texts = [w.decode() for w in new]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        if not self.encode_joined(new, texts, letters):
+            letters = []
+        rest = [i for i in range(len(new)) if new[i] not in known] if letters else range(len(new))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            known[new[i]] = array("I", e.ids).tobytes()
+        for w, (a, b) in zip(fresh, parted, strict=True):
+            known[w] = known[a] + known[b] if b else known[a]
+        return [known[w] for w in words]
+
+    def encode_joined(self, words: list[bytes], texts: list[str], letters: list[int], together: int = 200) -> bool:
+        """Encodes words of letters many at a time: each is one piece whose last id, and no other, stands for a word's
+        end. False, and nothing done, if the ends don't number the words."""
+        lines = [" ".join(texts[i] for i in letters[at : at + together]) for at in range(0, len(letters), together)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.array([i for x in found for i in x], dtype=np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(letters) or (len(ids) and ends[-1] != len(ids)):
+            return False
+        raw, begin = ids.tobytes(), 0
+        for i, stop in zip(letters, ends.tolist(), strict=True):
+            self.known[words[i]] = raw[4 * begin : 4 * stop]
+            begin = stop
+        return True
 
     def texts(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, then end."""
         codes, starts, distinct = split_words([t.encode() for t in texts])
-        ids = self.ids_of(distinct) + [np.array([end], dtype=np.uint32)]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, at = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)[:-1]])
+        ids = [*self.ids_of(distinct), array("I", [end]).tobytes()]
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        flat, at = np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(size)[:-1]])
         # the end token as a last word of each text
         codes = np.insert(codes, starts[1:], len(ids) - 1)
         starts = starts + np.arange(len(starts))
@@ -90,7 +130,7 @@ def fill_local(path: str, end: int, capacity: int, slack: float, block: int):
         encoder, task = Encoder(path), TaskContext.get().partitionId()
         waiting: dict[int, list[tuple]] = defaultdict(list)
         made = task << 36
-        for pdf in blocks(batches, "t", block):
+        for pdf in blocks(batches, "t", block, join=True):
             rows = []
             for doc, ids in zip(pdf["doc_id"], encoder.texts(list(pdf["t"]), end), strict=True):
                 start = 0
@@ -142,7 +182,7 @@ def pack(docs: DataFrame, *, tokenizer: str, text="text", doc_id="doc_id", end:
     table. Other columns of docs are left out. Sequence numbers are distinct, not consecutive.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
     piece = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     pieces = stage(d.mapInPandas(fill_local(tokenizer, end, capacity, slack, block), f"{piece}, class int, task int, slot int"), "packing-pieces")
     local = pieces.where("sequence_id is not null").select(*PIECE)
