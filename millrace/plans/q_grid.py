@@ -94,7 +94,7 @@ def normalize_frame(t):
     return G.normalize_frame(t, {"model": ["model", "total"], "name": ["product name"]})
 
 
-@query("segment_by_marker", "kv_cells", sql="""x AS (SELECT *, sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS segment FROM kv_cells)
+@query("segment_by_marker", "kv_cells", sql="""x AS (SELECT *, CAST(sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS BIGINT) AS segment FROM kv_cells)
 SELECT file, segment, max(CASE WHEN key = 'Model' THEN value END) AS model, TRY_CAST(arg_max(value, row_no) FILTER (key = 'Price') AS DOUBLE) AS price, coalesce(string_agg(key || ': ' || value, '; ' ORDER BY row_no) FILTER (key NOT IN ('Model', 'Price')), '') AS spec FROM x WHERE segment > 0 GROUP BY 1, 2""")
 def segment_by_marker(k):
     return G.segment_by_marker(k, ["file"], "row_no", "key", "value")
@@ -113,7 +113,7 @@ def aggregate_specs(p):
     return G.aggregate_specs(p, ["model"], "idx", "name_zh")
 
 
-@query("param_list_products", "kv_cells", sql="""x AS (SELECT *, sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS segment FROM kv_cells),
+@query("param_list_products", "kv_cells", sql="""x AS (SELECT *, CAST(sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS BIGINT) AS segment FROM kv_cells),
 y AS (SELECT file, segment, key || ': ' || value AS spec, row_no FROM x WHERE segment > 0 AND key <> 'Model' QUALIFY row_number() OVER (PARTITION BY file, segment, key ORDER BY row_no) = 1)
 SELECT file, segment, count(*) AS n, string_agg(spec, '; ' ORDER BY row_no) AS spec FROM y GROUP BY 1, 2""")
 def param_list_products(k):
@@ -125,7 +125,7 @@ def param_list_products(k):
     return G.aggregate_specs(first.select("file", "segment", "row_no", F.concat("x.key", F.lit(": "), "x.value").alias("text")), ["file", "segment"], "row_no", "text")
 
 
-@query("text_blocks_to_products", "text_lines", sql="""x AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM text_lines)
+@query("text_blocks_to_products", "text_lines", sql="""x AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM text_lines)
 SELECT doc_id, block, min(pos) AS first, arg_max(substr(line, 8), pos) FILTER (line LIKE 'Model:%') AS model, TRY_CAST(arg_max(substr(line, 8), pos) FILTER (line LIKE 'Price:%') AS DOUBLE) AS price, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Name:%') AS name, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Spec:%') AS spec, arg_max(substr(line, 6), pos) FILTER (line LIKE 'Qty:%') AS qty
 FROM x WHERE trim(line) <> '' GROUP BY 1, 2""")
 def text_blocks_to_products(t):
@@ -133,7 +133,7 @@ def text_blocks_to_products(t):
 
 
 @query("document_blocks", "documents", sql="""l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
-x AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l)
+x AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS block FROM l)
 SELECT doc_id, block, min(i) - 1 AS first FROM x WHERE trim(line) <> '' GROUP BY 1, 2""")
 def document_blocks(d):
     """Blocks of lines of real texts, for volume."""
