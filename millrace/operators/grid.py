@@ -115,20 +115,18 @@ def header_row(cells: DataFrame, first_rows: int = 29) -> DataFrame:
 
 def header_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Per sheet the column of each role: columns from the left, each taking the first open role whose words it has."""
-    h = cells.join(headers, SHEET).where(C("row_no") == C("header"))
-    heads = h.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col_no", F.lower(blank(C("value"))).alias("text")))).alias("heads"))  # one header row, 60 columns at most
-    start = F.struct(*[F.lit(None).cast("int").alias(r) for r in ROLES])
-
-    def step(s: Column, x: Column) -> Column:
-        taken = any_of(x["text"], SKIPPED) | (x["text"] == "")
-        fields = []
-        for role, words in ROLES.items():
-            takes = ~taken & s[role].isNull() & any_of(x["text"], words)
-            fields.append(F.when(takes, x["col_no"]).otherwise(s[role]).cast("int").alias(role))
-            taken = taken | takes
-        return F.struct(*fields)
-
-    return heads.withColumn("m", F.aggregate("heads", start, step)).select(*SHEET, "m.*")
+    text = F.lower(blank(C("value")))
+    hits = F.array(*[any_of(text, words) for words in ROLES.values()])
+    h = cells.join(headers, SHEET).where((C("row_no") == C("header")) & (text != "") & ~any_of(text, SKIPPED))
+    heads = h.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col_no", hits.alias("hits")))).alias("heads"))  # one header row, 60 columns at most
+    start = F.array(*[F.lit(None).cast("int") for _ in ROLES])
+
+    def step(taken: Column, x: Column) -> Column:
+        role = F.array_position(F.transform(taken, lambda c, i: c.isNull() & F.get(x["hits"], i)), True) - 1
+        return F.transform(taken, lambda c, i: F.when(i == role, x["col_no"]).otherwise(c))
+
+    heads = heads.withColumn("m", F.aggregate("heads", start, step))
+    return heads.select(*SHEET, *[F.get("m", i).alias(role) for i, role in enumerate(ROLES)])
 
 
 def sheet_currency(cells: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
