@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from millrace.llm.common import word_count
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import quality_rules
@@ -26,9 +27,7 @@ def test_stages(spark, tmp_path):
     texts = [(r.doc_id, r.text) for r in lines.collect()]
     assert ids(near) == sorted({c for _, c, _, _ in brute_join(texts)})
     want = {r.source: r.target for r in mix_sources(near).select("source", "target").distinct().collect()}
-    from millrace.llm.common import word_count
-
-    got = {r[0]: r[1] for r in mixed.groupBy("source").agg({"n": "sum"}).collect()} if "n" in mixed.columns else {r.source: r.n for r in mixed.select("source", word_count(mixed.text).alias("w")).groupBy("source").sum("w").toDF("source", "n").collect()}
+    got = {r.source: r.n for r in mixed.select("source", word_count(mixed.text).alias("w")).groupBy("source").sum("w").toDF("source", "n").collect()}
     most = max(len((t or "").split()) for _, t in texts)
     assert all(abs(got.get(s, 0) - t) <= most for s, t in want.items())
     p = packed.toPandas()
