@@ -85,3 +85,27 @@ def test_queries_need_no_session():
 
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
     assert run.returncode == 0, run.stderr
+
+
+def test_write_groups_and_csv(spark, tmp_path):
+    from millrace.operators.grouping import write_groups
+    from millrace.sources import catalog
+
+    df = spark.createDataFrame([("b", "x", 1), ("a", "x", 2), ("c", "", 3), ("d", None, 4)], "model string, category string, n int")
+    write_groups(df, f"{tmp_path}/groups", "category")
+    back = spark.read.parquet(f"{tmp_path}/groups")
+    assert sorted((r.group, r.n) for r in back.collect()) == [("Uncategorized", 3), ("Uncategorized", 4), ("x", 1), ("x", 2)]
+    catalog.write_csv(df.withColumn("specs", F.create_map(F.lit("k"), F.col("model"))), f"{tmp_path}/csv")
+    assert sorted(r.specs for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect())[0].startswith("{")
+
+
+def test_header_rules(spark):
+    from millrace.operators import grid
+
+    cells = [("f", "s", 1, 1, "Price list of a company with a long name and address"), ("f", "s", 2, 1, "No. photo"), ("f", "s", 2, 2, "Item No."), ("f", "s", 2, 3, "Price"), ("f", "s", 2, 4, "Qty"), ("f", "s", 3, 2, "EV1"), ("f", "s", 3, 3, "$5")]
+    df = spark.createDataFrame(cells, "file string, sheet string, row_no int, col_no int, value string")
+    heads = grid.header_row(df)
+    assert heads.first().header == 2
+    m = grid.header_mapping(df, heads).first()
+    assert (m.model, m.price, m.qty, m.name) == (2, 3, 4, None)
+    assert grid.sheet_currency(df, heads, grid.header_mapping(df, heads)).first().currency == "USD"
