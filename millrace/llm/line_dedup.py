@@ -4,11 +4,15 @@ A rolling hash over the hashes of the last two lines decides after which lines a
 alike wherever it stands. A line of LONG words or more is a chunk of its own. Chunks of several lines, and long lines,
 that occur more than once in the corpus are removed everywhere but at their first place (smallest doc_id, then
 position). What repeats is decided on the chunks' bytes.
+
+Chunks end inside a passage and share lines with its surroundings, so most of a passage of short lines would stay. So
+runs are compared as well: from each line on, and up to each line, the fewest lines that make up LONG words. They hang
+on nothing outside them and together cover every line of a passage of LONG words or more, which so goes whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stage, word_count
@@ -53,40 +57,79 @@ def is_candidate(c: Column, long: int = LONG) -> Column:
     return ((c["lines"] > 1) & c["chunk"].rlike(WORD)) | (word_count(c["chunk"]) >= long)
 
 
-def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int = DIVISOR, long: int = LONG, hashed=F.xxhash64) -> DataFrame:
+def line_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> DataFrame:
+    """(id, th, start, end, run): runs of two or more lines, from line start to line end, and 128 bits of SHA-256 of their lines.
+
+    Lines without a word don't count: a run is the same with or without them.
+    """
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    lines = lines.select("id", "th", "at", word_count(F.col("line")).alias("w"), F.substring(F.sha2(F.col("line").cast("binary"), 256), 1, 32).alias("h")).where("w > 0")
+    lines = lines.repartition("id", "th").dropDuplicates(["id", "th", "at"])  # rows that repeat id and text are one document
+    doc = Window.partitionBy("id", "th")
+    lines = lines.withColumn("after", F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("w"))
+    onward, back = doc.orderBy("before").rangeBetween(0, long - 1), doc.orderBy("after").rangeBetween(1 - long, 0)
+
+    def run(frame, start: Column, end: Column, known: Column) -> Column:
+        hs, words = F.collect_list("h").over(frame), F.sum("w").over(frame)
+        whole = (F.size(hs) > 1) & (words >= long) & ~known
+        return F.when(whole, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(F.unhex(F.sha2(F.array_join(hs, "").cast("binary"), 256)), 1, 16).alias("run")))
+
+    # a run up to a line that is also the one from its first line on is named once
+    forward = run(onward, F.col("at"), F.max("at").over(onward), F.lit(False))
+    backward = run(back, F.min("at").over(back), F.col("at"), F.sum("w").over(back) - F.col("w") < long)
+    both = lines.select("id", "th", forward.alias("f"), backward.alias("b")).select("id", "th", F.explode(F.array("f", "b")).alias("r"))
+    return both.where("r is not null").select("id", "th", "r.*")
+
+
+def repeated_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> DataFrame:
+    """(id, th, start, lines) of the runs that stand elsewhere first. Where a run overlaps its own first place, that place stays."""
+    runs = stage(line_runs(docs, text, doc_id, long), "lines-runs")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"), F.col("end").alias("end"))
+    firsts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    firsts = stage(firsts.select(F.col("run").alias("rr"), "first"), "lines-runs-repeated")
+    again = runs.withColumn("place", place).join(firsts, F.col("run") == F.col("rr")).where(F.col("place") != F.col("first"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    start = F.when(same, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start"))
+    return again.select("id", "th", start.alias("start"), (F.col("end") - start + 1).alias("lines")).where("lines > 0")
+
+
+def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int = DIVISOR, long: int = LONG, runs: bool = True, hashed=F.xxhash64) -> DataFrame:
     """docs with text replaced by what stays, and __lines, __removed_lines (both long): rows and other columns as they were.
 
-    Null text stays null and has 0 lines; empty text has one line. A text that loses every chunk becomes empty. Rows that
+    Null text stays null and has 0 lines; empty text has one line. A text that loses every line becomes empty. Rows that
     repeat both id and text are one document and are treated alike. A null id comes after all others in the choice of the
-    first place. An empty table gives an empty table.
+    first place. An empty table gives an empty table. runs=False compares chunks only.
     """
     key, th = F.col(doc_id), F.xxhash64(text)
     kept = F.filter(chunk_structs(F.col(text), divisor, long), lambda c: is_candidate(c, long))
     occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), F.explode(kept).alias("c"))
-    occ = occ.select("id", "th", F.col("c.start").alias("start"), F.col("c.chunk").alias("chunk"), hashed(F.col("c.chunk")).alias("h"))
+    occ = occ.select("id", "th", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.chunk").alias("chunk"), hashed(F.col("c.chunk")).alias("h"))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
     classes = occ.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     slim = classes.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where("n > 1")
     slim = stage(slim.select(F.col("h").alias("rh"), "texts", "first"), "lines-repeated")
     once, several = slim.where("texts = 1"), slim.where("texts > 1")
-    again = occ.select("id", "th", "start", "h", place.alias("place")).join(once, F.col("h") == F.col("rh"))
-    again = again.where(F.col("place") != F.col("first")).select("id", "th", "start")
+    again = occ.select("id", "th", "start", "lines", "h", place.alias("place")).join(once, F.col("h") == F.col("rh"))
+    again = again.where(F.col("place") != F.col("first")).select("id", "th", "start", "lines")
     if not several.isEmpty():  # one hash for different bytes: these few are compared as texts
         those = occ.join(several, F.col("h") == F.col("rh"), "left_semi")
         firsts = those.groupBy("chunk").agg(F.min(place).alias("first")).withColumnRenamed("chunk", "rc")
         more = those.withColumn("place", place).join(firsts, F.col("chunk") == F.col("rc")).where(F.col("place") != F.col("first"))
-        again = again.unionByName(more.select("id", "th", "start"))
-    gone = again.groupBy("id", "th").agg(F.collect_set("start").alias("__gone")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
+        again = again.unionByName(more.select("id", "th", "start", "lines"))
+    if runs:
+        again = again.unionByName(repeated_runs(docs, text, doc_id, long))
+    gone = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "lines")).alias("__gone")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
 
     out = docs.withColumn("__key", th).join(gone, key.eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-    left = F.filter(chunk_structs(F.col(text), divisor, long), lambda c: ~F.array_contains(F.col("__gone"), c["start"]))
-    out = out.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    some = F.col("__gone").isNotNull()
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
-    stay = F.aggregate(F.col("__left"), F.lit(0).cast("long"), lambda n, c: n + c["lines"])
-    out = out.withColumns({"__lines": lines, "__removed_lines": F.when(some, lines - stay).otherwise(F.lit(0).cast("long"))})
-    out = out.withColumn(text, F.when(some, F.array_join(F.transform("__left", lambda c: c["chunk"]), "\n")).otherwise(F.col(text)))
+    some, split = F.col("__gone").isNotNull(), F.split(text, "\n", -1)
+    places = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
+    out = out.withColumn("__left", F.when(some, F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)))
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
+    out = out.withColumns({"__lines": lines, "__removed_lines": F.when(some, lines - F.size("__left")).otherwise(F.lit(0)).cast("long")})
+    # a transform over one element names the lines, so that a text is split once
+    stay = F.element_at(F.transform(F.array(split), lambda s: F.array_join(F.transform("__left", lambda i: F.get(s, i)), "\n")), 1)
+    out = out.withColumn(text, F.when(some, stay).otherwise(F.col(text)))
     return out.select(*docs.columns, "__lines", "__removed_lines")
 
 

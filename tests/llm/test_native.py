@@ -87,3 +87,23 @@ def test_line_dedup_compares_bytes(spark):
     docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, a, "en", "s", 1)], SCHEMA)
     out = {r.doc_id: r.text for r in line_dedup(docs, hashed=lambda c: F.lit(1).cast("long")).collect()}
     assert out == {1: a, 2: b, 3: ""}
+
+
+def test_line_dedup_takes_whole_passages(spark):
+    """Passages of 2 to 20 short lines, each in two texts with other surroundings, go whole from the second."""
+    data, planted = [], {}
+    for n in range(2, 21):
+        words = 49 if n < 4 else 17
+        planted[n] = [" ".join(f"p{n}.{i}.{k}" for k in range(words)) for i in range(n)]
+        for copy in range(2):
+            around = [[f"before {n} {copy} {i}" for i in range(3)], [f"after {n} {copy} {i}" for i in range(3)]]
+            data.append((100 * copy + n, "\n".join([*around[0], *planted[n], *around[1]]), "en", "s", 1))
+    again = "\n".join(["ten words that are said over and over again here"] * 20)
+    data += [(300, again, "en", "s", 1), (301, "x\n\ny", "en", "s", 1), (302, "x\n\ny", "en", "s", 1)]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(data, SCHEMA)).collect()}
+    for i, text, *_ in data[:-3]:
+        n, lines = i % 100, text.split("\n")
+        assert out[i].text == (text if i < 100 else "\n".join(lines[:3] + lines[-3:])), i
+        assert out[i]["__removed_lines"] == (0 if i < 100 else n)
+    assert out[300]["__removed_lines"] == 15  # the first five lines are the first place
+    assert out[301].text == "x\n\ny"
