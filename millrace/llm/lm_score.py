@@ -1,14 +1,15 @@
 """LM scoring with a weighted backoff automaton.
 
 The model is a word bigram with a Dirichlet prior: P(w|h) = (c(hw) + MU * P(w)) / (c(h) + MU) over the add-one unigram
-P(w) = (c(w)+1)/(N+V+1). As an automaton: the root holds every word; a history h has a state if it makes up at least
-1/STATES of the training tokens (so there are at most STATES states, and one for the start of a text), with an arc for
-each word seen after it; any other word takes the failure arc, weight MU/(c(h)+MU), to the root. One traversal per text
-carries the state from word to word and adds up log10 weights.
+P(w) = (c(w)+1)/(N+V+1). As an automaton: the root holds every word; the start of a text and a history h seen in training
+have a state (where `states` is given, only one that makes up 1/states of the training tokens), with an arc for each word
+seen after it; any other word takes the failure arc, weight MU/(c(h)+MU), to the root. One traversal per text carries the
+state from word to word and adds up log10 weights.
 
 The tables of words and arcs grow with the corpus and are never gathered anywhere. Texts are read once, in blocks of
 BLOCK characters; a block keeps its texts as word numbers. Each block's distinct words are totalled over all blocks, and
-a total comes back to a block only where it differs from the block's own count; the same is then done with its arcs.
+a total comes back to a block only where it differs from the block's own count; so a block knows the counts of all of its
+histories. The same is then done with its arcs.
 Per block, the traversal is a lookup in arrays.
 """
 
@@ -39,6 +40,9 @@ def hashed(words: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
+END_KEY = int(hashed(np.array([END], dtype=object))[0])
+
+
 def mixed(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64 bits for an arc from its state's and its word's 64 bits."""
     with np.errstate(over="ignore"):
@@ -120,8 +124,9 @@ def filled(own: bytes, back: pd.DataFrame) -> np.ndarray:
     return c
 
 
-def unigram_step(n: int, v: int, states: np.ndarray):
-    """Per text: counts, base score and the arcs it goes through, as slots of its block; per block: its arcs."""
+def unigram_step(n: int, v: int, states: np.ndarray | None, state_counts: np.ndarray):
+    """states: the keys that have one, the start of a text first; None: every word seen in training has one, and state_counts
+    is that of the start alone. Per text: counts, base score and the arcs it goes through, as slots of its block; per block: its arcs."""
 
     def run(left: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         own, texts = left[left["kind"] == 1], left[left["kind"] == 0]
@@ -133,9 +138,14 @@ def unigram_step(n: int, v: int, states: np.ndarray):
         parts = [from_planes(x) for x in texts["a"]]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         ids = np.concatenate(parts).astype(np.int64)
-        place = np.searchsorted(states[1:], words)
-        place[place == len(states) - 1] = 0
-        state_of = np.where(states[1:][place] == words, place + 1, -1) if len(states) > 1 else np.full(len(words), -1)
+        if states is None:
+            keys, key_counts = np.concatenate([[1], words]).astype(np.int64), np.concatenate([state_counts, c])
+            state_of = np.where((c > 0) & (words != END_KEY), np.arange(len(words)) + 1, -1)
+        else:
+            keys, key_counts = states, state_counts
+            place = np.searchsorted(states[1:], words)
+            place[place == len(states) - 1] = 0
+            state_of = np.where(states[1:][place] == words, place + 1, -1) if len(states) > 1 else np.full(len(words), -1)
         state = np.empty(len(ids), dtype=np.int64)
         state[1:] = state_of[ids[:-1]]
         state[starts[:-1]] = 0
@@ -151,14 +161,14 @@ def unigram_step(n: int, v: int, states: np.ndarray):
         return pd.DataFrame({
             "kind": [0] * m + [1], "block": own["block"].iloc[0], "doc_id": [*texts["doc_id"], None], "held_out": [*texts["held_out"], None],
             "n_tokens": [*np.diff(starts), 0], "n_known": [*sums((c > 0)[ids].astype(np.int64), starts), 0], "base_score": [*sums(p[ids], starts), 0.0],
-            "a": [planes(slot[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)] + [mixed(states[s], words[w]).tobytes()], "b": [None] * m + [planes(counts)],
-            "c": [None] * m + [planes(s)], "d": [None] * m + [c[w].tobytes()],
+            "a": [planes(slot[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)] + [mixed(keys[s], words[w]).tobytes()], "b": [None] * m + [planes(counts)],
+            "c": [None] * m + [planes(s)], "d": [None] * m + [c[w].tobytes()], "e": [None] * m + [key_counts.astype(np.int64).tobytes()],
         }).astype({"doc_id": texts["doc_id"].dtype if texts["doc_id"].dtype == object else "Int64"})
 
     return run
 
 
-def arc_step(n: int, v: int, state_counts: np.ndarray, mu: float):
+def arc_step(n: int, v: int, mu: float):
     """Adds to each text's base score what its arcs change."""
 
     def run(left: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -166,21 +176,21 @@ def arc_step(n: int, v: int, state_counts: np.ndarray, mu: float):
         if not len(own):
             return pd.DataFrame(columns=["doc_id"])
         c = filled(own["b"].iloc[0], back)
-        s = from_planes(own["c"].iloc[0])
+        h = np.frombuffer(own["e"].iloc[0], np.int64)[from_planes(own["c"].iloc[0])]
         p = (np.frombuffer(own["d"].iloc[0], np.int64) + 1.0) / (n + v + 1.0)
-        gain = np.log10((c / p + mu) / (state_counts[s] + mu))
+        gain = np.log10((c / p + mu) / (h + mu))
         more = [gain[from_planes(x)].sum() for x in texts["a"]]
         return texts[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].assign(train_tokens=n, score=texts["base_score"].to_numpy() + np.array(more))
 
     return run
 
 
-def lm_score(docs: DataFrame, *, text="text", doc_id="doc_id", folds: int = 7, held_fold: int = 2, mu: float = MU, states: int = STATES, block: int = BLOCK) -> DataFrame:
+def lm_score(docs: DataFrame, *, text="text", doc_id="doc_id", folds: int = 7, held_fold: int = 2, mu: float = MU, states: int | None = STATES, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose crc32(doc_id as text) mod folds isn't held_fold, and scores all. Null text is empty: its one
     token is the end. A null id counts as the empty text and is scored as any row; repeated rows count as often as they
-    occur. Without training rows N and V are 0, and every score is 0. Other columns of docs are left out.
+    occur. Without training rows N and V are 0, and every score is 0. states=None: every history has a state. Other columns of docs are left out.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), F.coalesce(text, F.lit("")).alias("t"))
@@ -191,20 +201,20 @@ def lm_score(docs: DataFrame, *, text="text", doc_id="doc_id", folds: int = 7, h
     words = with_totals(keys).withColumn("known", first & (F.col("total") > 0)).where("known or total != n")
     # what goes back to a block, and of one row a word whether it counts in V and, if it has a state, its key
     own = F.col("total") != F.col("n")
-    state = F.col("known") & (F.col("total") * states >= n) & (F.col("key") != int(hashed(np.array([END], dtype=object))[0]))
+    state = F.col("known") & (F.col("total") * states >= n) & (F.col("key") != END_KEY) if states is not None else F.lit(False)
     words = stage(words.select(F.when(own, F.col("place")).alias("place"), F.when(own | state, F.col("total")).alias("total"), "known", F.when(state, F.col("key")).alias("key")), "lm-words", release=True)
     v = words.where("known").count()
     starts = read.where("kind = 0 and not held_out").count()
-    frequent = words.where("key is not null").select("key", "total").orderBy("key").collect()  # at most `states` rows
-    hashes = np.array([1, *(r["key"] for r in frequent)], dtype=np.int64)
-    counts = np.array([starts, *(r["total"] for r in frequent)], dtype=np.float64)
+    frequent = words.where("key is not null").select("key", "total").orderBy("key").collect() if states is not None else []  # at most `states` rows
+    hashes = np.array([1, *(r["key"] for r in frequent)], dtype=np.int64) if states is not None else None
+    counts = np.array([starts, *(r["total"] for r in frequent)], dtype=np.int64)
 
-    schema = f"kind int, block long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, a binary, b binary, c binary, d binary"
+    schema = f"kind int, block long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, a binary, b binary, c binary, d binary, e binary"
     back = back_to_blocks(words.where("place is not null"))
-    scored = read.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(unigram_step(n, v, hashes), schema)
+    scored = read.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(unigram_step(n, v, hashes, counts), schema)
     scored = stage(scored, "lm-arcs", release=True)
     arcs = scored.where("kind = 1").select("block", "a", "b").mapInPandas(unpacked, UNPACKED)
     back = back_to_blocks(with_totals(arcs).where("total != n"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double"
-    out = scored.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(arc_step(n, v, counts, mu), schema)
+    out = scored.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(arc_step(n, v, mu), schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -34,7 +34,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents"))
+    return lm_score(table(spark, sf_dir, "documents"), states=None)
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,3 +282,20 @@ def test_classifier_edges(spark):
     assert classify(docs.limit(0), none).count() == 0
     some = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert classify(docs, some).where("score is null").count() == 0
+
+
+def test_lm_score_gives_every_history_a_state(spark):
+    data = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), b" "] for r in data}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, arcs = Counter(w for t in train for w in t), Counter((p, w) for t in train for p, w in zip([None, *t[:-1]], t))
+    n, v = sum(c.values()), len(c)
+    want = {}
+    for i, t in tokens.items():
+        q = [(c[w] + 1) / (n + v + 1) for w in t]
+        want[i] = sum(math.log10((arcs[p, w] + 2000 * b) / ((len(train) if p is None else c[p]) + 2000)) for p, w, b in zip([None, *t[:-1]], t, q))
+    got = {r.doc_id: r.score for r in registry.QUERIES["op3_lm_score"](spark, SF).collect()}
+    small = {r.doc_id: r.score for r in lm_score(spark.read.parquet(f"{SF}/documents.parquet"), states=None, block=30_000).collect()}
+    ids = sorted(want)
+    assert sorted(got) == sorted(small) == ids
+    assert np.allclose([got[i] for i in ids], [want[i] for i in ids], atol=1e-3) and np.allclose([small[i] for i in ids], [want[i] for i in ids], atol=1e-3)
