@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from .dedup import strip
 
-SUFFIXES = 702
-
 
 def for_user(df: DataFrame, user: str) -> DataFrame:
     return df.where(F.col("user_id") == user)
@@ -149,24 +147,31 @@ def migrate_missing(target: DataFrame, source: DataFrame, defaults: dict) -> Dat
 
 
 def suffix(n: Column) -> Column:
-    """-A to -Z for 0 to 25, then -AA to -ZZ."""
-    letter = lambda k: F.chr(k + 65)
-    return F.concat(F.lit("-"), F.when(n >= 26, letter(F.floor((n - 26) / 26))).otherwise(""), letter(n % 26))
+    """-A to -Z for 0 to 25, then -AA to -ZZ; then the first letter goes on through the characters after Z, as in the reference.
+
+    Halves of surrogate pairs are no characters and are passed over; beyond the last character (29 million) it fails."""
+    code = F.floor((n - 26) / 26) + 65
+    code = code + F.when(code >= 0xD800, 0x800).otherwise(0)
+    first = F.when(code < 0x80, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.concat(F.lit("-"), F.when(n >= 26, first).otherwise(""), F.chr(n % 26 + 65))
 
 
 def unique_skus(batch: DataFrame, library: DataFrame, order: str) -> DataFrame:
     """batch with new_sku: a model that the user's library or an earlier row of the batch has gets the next free suffix.
 
     Free suffixes are numbered per model and the k-th row that needs one takes the k-th. Rows without a model are left
-    out, and so are rows beyond the 702 suffixes. A suffixed name that is itself a model of the batch counts as used.
+    out. A suffixed name that is itself a model of the batch counts as used.
     """
     key = ["user_id", "model"]
     b = batch.where(F.col("model") != "")
     taken = library.select("user_id", F.col("sku").alias("model")).distinct().withColumn("taken", F.lit(True))
     b = b.join(taken, key, "left").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - F.when(F.col("taken"), 0).otherwise(1))
     needing = b.where("k > 0").groupBy(*key).agg(F.max("k").alias("most"))
-    names = needing.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(SUFFIXES - 1)))).withColumn("name", F.concat("model", suffix(F.col("n"))))
     used = library.select("user_id", F.col("sku").alias("name")).unionByName(b.select("user_id", F.col("model").alias("name"))).distinct()
+    # names that may be suffixed ones of a model: so many candidates more than rows are enough
+    lost = used.withColumn("model", F.regexp_extract("name", "(?s)^(.*)-[^-]{1,2}$", 1)).where("model <> ''").groupBy(*key).agg(F.count(F.lit(1)).alias("lost"))
+    names = needing.join(lost, key, "left").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1 + F.coalesce("lost", F.lit(0)))))
+    names = names.drop("lost").withColumn("name", F.concat("model", suffix(F.col("n"))))
     free = names.join(used, ["user_id", "name"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("n"))).where("k <= most")
     out = b.join(free.select(*key, "k", "name"), [*key, "k"], "left").withColumn("new_sku", F.when(F.col("k") == 0, F.col("model")).otherwise(F.col("name")))
     return out.where("new_sku is not null").drop("taken", "k", "name")

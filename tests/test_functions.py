@@ -109,3 +109,14 @@ def test_header_rules(spark):
     m = grid.header_mapping(df, heads).first()
     assert (m.model, m.price, m.qty, m.name) == (2, 3, 4, None)
     assert grid.sheet_currency(df, heads, grid.header_mapping(df, heads)).first().currency == "USD"
+
+
+def test_suffixes_go_on(spark):
+    """Every row gets a name of its own beyond -ZZ, in the reference's order, and names in use are passed over."""
+    rows = [("u", "m", i) for i in range(6000)] + [("u", "m-B", 6000), ("v", "", 6001), ("v", "q", 6002)]
+    library = spark.createDataFrame([("u", "m-AA"), ("u", "m-[A")], "user_id string, sku string")
+    got = {r.idx: r.new_sku for r in L.unique_skus(spark.createDataFrame(rows, "user_id string, model string, idx long"), library, "idx").collect()}
+    every = (f"m-{chr(64 + s)}" if s <= 26 else f"m-{chr(64 + (s - 1) // 26)}{chr(65 + (s - 1) % 26)}" for s in range(1, 7000))
+    free = [x for x in every if x not in {"m-B", "m-AA", "m-[A"}]
+    assert [got[i] for i in range(6000)] == ["m", *free[:5999]]
+    assert got[6000] == "m-B" and 6001 not in got and got[6002] == "q"
