@@ -134,11 +134,11 @@ def leaves(sigs: DataFrame, *, leaf: int, levels: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, group: str, parts: Column) -> DataFrame:
-    """rows with the task they go to (group, i, j) and whether they are of block i there: a row of block b goes to every pair that b is in."""
+    """rows with the task they go to (group, i, j), whether i is j there, and whether they are of block i: a row of block b goes to every pair that b is in."""
     rows = rows.withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
     rows = rows.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-    return rows.withColumns({"first": F.col("b") == F.col("i"), "task": F.xxhash64(group, "i", "j")}).drop("parts", "b", "o")
+    return rows.withColumns({"first": F.col("b") == F.col("i"), "within": F.col("i") == F.col("j"), "task": F.xxhash64(group, "i", "j")}).drop("parts", "b", "o")
 
 
 def per_group(key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable:
@@ -201,7 +201,7 @@ def tie_leaf(pdf: pd.DataFrame) -> pd.DataFrame | None:
     for k in range(SIGNS):
         agree += sig[:, k, None] == sig[None, :, k]
     linked = agree >= need
-    if not first.all():
+    if not pdf["within"].iloc[0]:
         linked &= first[:, None] != first[None, :]
     label = tied(linked)
     far = label != np.arange(len(label))
@@ -236,7 +236,7 @@ def compare_sets(similarity: float) -> Callable:
         both = both.astype(np.float64)
         linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
         np.fill_diagonal(linked, False)
-        if not first.all():
+        if not pdf["within"].iloc[0]:  # also where all rows are of one block: the other may be empty
             linked &= first[:, None] != first[None, :]
         if not linked.any():
             return None
@@ -268,7 +268,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     sigs = classes.select("cls", "sig")
     found = leaves(sigs, leaf=leaf, levels=levels)
     tasks = in_blocks(found, "path", F.ceil(F.col("n") / leaf_block)).withColumnRenamed("cls", "c").join(sigs, F.col("c") == F.col("cls"))
-    tasks = tasks.select("task", "first", "cls", "sig").repartition("task").sortWithinPartitions("task", "cls")
+    tasks = tasks.select("task", "first", "within", "cls", "sig").repartition("task").sortWithinPartitions("task", "cls")
     ties = tasks.mapInPandas(per_group(["task"], tie_leaf), "u long, v long")
     parts = stage(components(ties), "jaccard-parts")
 
@@ -281,7 +281,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     alone = Window.partitionBy("task", "cls", "first").orderBy("bytes")
     tasks = in_blocks(texts.join(sizes, F.col("part") == F.col("p")), "part", F.greatest(F.ceil(F.col("n") / set_block), F.ceil(F.col("all") / SET_BYTES)))
     tasks = tasks.withColumn("again", F.row_number().over(alone)).where("again = 1")  # a row that repeats id and text brings its set again
-    tasks = tasks.select("task", "first", "cls", "docs", "set").repartition("task").sortWithinPartitions("task", "cls")
+    tasks = tasks.select("task", "first", "within", "cls", "docs", "set").repartition("task").sortWithinPartitions("task", "cls")
     links = tasks.mapInPandas(per_group(["task"], compare_sets(similarity)), "cls long, links long, linked_docs long, label long")
     links = stage(links, "jaccard-links")
     final = components(links.select(F.col("cls").alias("u"), F.col("label").alias("v")))

@@ -299,3 +299,11 @@ def test_lm_score_gives_every_history_a_state(spark):
     ids = sorted(want)
     assert sorted(got) == sorted(small) == ids
     assert np.allclose([got[i] for i in ids], [want[i] for i in ids], atol=1e-3) and np.allclose([small[i] for i in ids], [want[i] for i in ids], atol=1e-3)
+
+
+def test_jaccard_counts_a_link_once_where_blocks_are_empty(spark, monkeypatch):
+    monkeypatch.setattr(J, "SET_BYTES", 400)  # two sets of 8 x 196 bytes: eight blocks, six or seven of them empty
+    words = [[f"w{k}.{i}" for i in range(200)] for k in range(12)]
+    docs = [(2 * k + e, " ".join([*w[:-1], f"end{e}"]), "en", "s", 1) for k, w in enumerate(words) for e in range(2)]
+    got = J.jaccard_join(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {(r.doc_id, r.class_id, r.class_size, r.n_links) for r in got} == {(d[0], d[0] // 2 * 2, 2, 1) for d in docs}
