@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,20 +32,43 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+#: Spark's own setting by which a write deletes the shuffle files that only it needed; otherwise they stay until the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later reads start from files that survive a lost executor.
 
-    release: have the driver collect its garbage, Python's and the JVM's, upon which Spark deletes the shuffle files that
-    only the writing needed; otherwise they stay until the driver happens to."""
+    The shuffle files of the writing go when it ends; the session's setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        for _ in range(2):  # what the first round finds unused may hold the next
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them has been staged itself."""
+    for df in staged:
+        if df is not None:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def text_id(doc_id) -> Column:
+    """An id on its way through Python, as text: pandas would turn a column of whole numbers with a null among them into
+    doubles, which hold no more than 53 bits. It is cast back to its own type behind the Python function."""
+    return F.col(doc_id).cast("string").alias("doc_id")
 
 
 #: Rows go to Python functions in batches of so many bytes, whatever the texts' lengths; the session's default is 256 MB.

@@ -30,30 +30,46 @@ def docs_of(spark, extra=()):
     return d.unionByName(spark.createDataFrame([*EDGE, *extra], SCHEMA).withColumn("doc_id", F.col("doc_id") + 1_000_000))
 
 
-def test_lm_score(spark):
-    d = docs_of(spark).withColumn("held_out", F.lit("clash"))
-    data = d.select("doc_id", "text").collect()
-    tokens = [(r.doc_id, [w for w in (r.text or "").encode().lower().split()] + [b" "]) for r in data]
+def brute_scores(data, order=3, mu=(2000.0, 50.0)):
+    """(id, held out, tokens, known, training tokens, base, score) by dictionaries of all n-grams."""
+    tokens = [(i, [*(t or "").encode().lower().split(), b" "]) for i, t in data]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in tokens]
     train = [t for (_, t), h in zip(tokens, held) if not h]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    states = {w for w, k in c.items() if k * 2000 >= n and w != b" "}
-    arcs = Counter((p, w) for t in train for p, w in zip([None, *t[:-1]], t) if p is None or p in states)
-    want = []
+    grams = Counter()
+    for t in train:
+        s = [None, *t]
+        grams[None,] += 1
+        grams.update(tuple(s[i - k : i + 1]) for i in range(1, len(s)) for k in range(order) if i - k >= 0)
+
+    def p(history, w):
+        if not history:
+            return (c[w] + 1) / (n + v + 1)
+        low, m = p(history[1:], w), mu[min(len(history), len(mu)) - 1]
+        return (grams[(*history, w)] + m * low) / (grams[history] + m) if grams[history] else low
+
+    out = []
     for (i, t), h in zip(tokens, held):
-        base = [math.log10((c[w] + 1) / (n + v + 1)) for w in t]
-        score = 0.0
-        for p, w, b in zip([None, *t[:-1]], t, base):
-            q = 10**b
-            if p is None or p in states:
-                q = (arcs[p, w] + 2000 * q) / ((len(train) if p is None else c[p]) + 2000)
-            score += math.log10(q)
-        want.append((-1 if i is None else i, h, len(t), sum(w in c for w in t), n, round(sum(base), 5), round(score, 5)))
-    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm_score(d, block=30_000).collect()]
-    assert [x[:5] for x in sorted(got)] == [x[:5] for x in sorted(want)]
-    assert np.allclose([x[5:] for x in sorted(got)], [x[5:] for x in sorted(want)], atol=1e-3)
-    assert lm_score(d.limit(0)).count() == 0
+        s = [None, *t]
+        score = sum(math.log10(p(tuple(s[max(k - order + 1, 0) : k]), s[k])) for k in range(1, len(s)))
+        out.append((-1 if i is None else i, h, len(t), sum(w in c for w in t), n, sum(math.log10(p((), w)) for w in t), score))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 30_000, "group": 700}, {"block": 2_000, "order": 2, "mu": (300.0,)}, {"block": 50_000, "order": 4, "mu": (100.0, 20.0)}])
+def test_lm_score(spark, options):
+    d = docs_of(spark).withColumn("held_out", F.lit("clash"))
+    if options.get("block") == 2_000:
+        d = d.where("doc_id % 9 = 0 or doc_id is null or doc_id >= 1000000")
+    want = brute_scores([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], options.get("order", 3), options.get("mu", (2000.0, 50.0)))
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_score(d.repartition(3), **options).collect()), key=str)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9, atol=1e-6)
+
+
+def test_lm_score_of_nothing(spark):
+    assert lm_score(docs_of(spark).limit(0)).count() == 0
 
 
 def test_lm_score_with_nothing_to_learn_from(spark):
@@ -284,21 +300,11 @@ def test_classifier_edges(spark):
     assert classify(docs, some).where("score is null").count() == 0
 
 
-def test_lm_score_gives_every_history_a_state(spark):
+def test_lm_score_of_the_whole_table(spark):
     data = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), b" "] for r in data}
-    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    c, arcs = Counter(w for t in train for w in t), Counter((p, w) for t in train for p, w in zip([None, *t[:-1]], t))
-    n, v = sum(c.values()), len(c)
-    want = {}
-    for i, t in tokens.items():
-        q = [(c[w] + 1) / (n + v + 1) for w in t]
-        want[i] = sum(math.log10((arcs[p, w] + 2000 * b) / ((len(train) if p is None else c[p]) + 2000)) for p, w, b in zip([None, *t[:-1]], t, q))
+    want = {x[0]: x[6] for x in brute_scores([(r.doc_id, r.text) for r in data])}
     got = {r.doc_id: r.score for r in registry.QUERIES["op3_lm_score"](spark, SF).collect()}
-    small = {r.doc_id: r.score for r in lm_score(spark.read.parquet(f"{SF}/documents.parquet"), states=None, block=30_000).collect()}
-    ids = sorted(want)
-    assert sorted(got) == sorted(small) == ids
-    assert np.allclose([got[i] for i in ids], [want[i] for i in ids], atol=1e-3) and np.allclose([small[i] for i in ids], [want[i] for i in ids], atol=1e-3)
+    assert sorted(got) == sorted(want) and np.allclose([got[i] for i in sorted(want)], [want[i] for i in sorted(want)], atol=1e-6)
 
 
 def test_jaccard_counts_a_link_once_where_blocks_are_empty(spark, monkeypatch):
