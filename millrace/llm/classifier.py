@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod
+from .common import bounded_batches, crc_mod, text_id
 from .quality_rules import CLASS, DIGIT, LETTER_LEAD, OTHER, PUNCT, SPACE, SYMBOL, TAIL, UPPER, duplicate_lines, repeated_words
 from .words import blocks, split_words
 
@@ -124,11 +124,14 @@ def fit_machine(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, l
     known = known.withColumn("h", F.xxhash64("lid")).orderBy("h", "lid").limit(sample)
     size = F.col(length).cast("double") if length in docs.columns else F.lit(0.0)
     own = docs.select(F.col(doc_id).alias("did"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
-    some = own.join(F.broadcast(known), F.col("did") == F.col("lid")).select("label", "h", "t", "length")  # at most `sample` ids
+    some = own.join(F.broadcast(known), F.col("did") == F.col("lid"))  # at most `sample` ids
+    # of rows that repeat an id the one with the smallest hash of its text, so that at most `sample` rows go to the driver
+    some = some.groupBy("label", "h", "lid").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t", "length")).alias("one"))
+    some = some.select("label", "h", F.col("one.t").alias("t"), F.col("one.length").alias("length"))
     rows = some.mapInPandas(features, "label int, h long, i binary, x binary, d binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["h", "i", "x"]).reset_index(drop=True).head(2 * sample)
+    rows = rows.sort_values(["h", "i", "x"]).reset_index(drop=True)
     index = [np.frombuffer(b, np.int32) for b in rows["i"]]
     value = [np.frombuffer(b, np.float32) for b in rows["x"]]
     dense = np.stack([np.frombuffer(b, np.float64) for b in rows["d"]])
@@ -140,7 +143,8 @@ def fit_machine(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, l
 def classify(docs: DataFrame, labels: DataFrame, *, text="text", doc_id="doc_id", length: str | None = "n_chars", label="quality", label_id="doc_id", folds: int = 3, held_fold: int = 1, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
     """One row per document: doc_id, held_out, score (that label 1 holds), predicted.
 
-    Learns from labelled rows whose crc32(doc_id as text) mod folds isn't held_fold; an id with both labels counts as 1.
+    Learns from labelled rows whose crc32(doc_id as text) mod folds isn't held_fold; an id with both labels counts as 1,
+    and of rows that repeat a labelled id one text is learnt from.
     Null text is empty and is scored as an empty text; a null length counts as 0. Without usable labels every score is
     0.5. Repeated rows score alike. An empty table gives an empty table. Other columns of docs are left out.
     """
@@ -154,5 +158,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, text="text", doc_id="doc_id"
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     size = F.col(length).cast("double") if length in docs.columns else F.lit(0.0)
-    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
-    return d.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    d = bounded_batches(docs).select(text_id(doc_id), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), F.coalesce(text, F.lit("")).alias("t"), size.alias("length"))
+    out = d.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage
+from .common import bounded_batches, discard, stage, text_id
 from .components import components
 from .words import blocks, split_words
 
@@ -259,9 +259,10 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     documents of their own. An empty table gives an empty table. Other columns of docs are left out.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    d = bounded_batches(docs).select(F.col(doc_id).alias("id"), text_id(doc_id), F.coalesce(text, F.lit("")).alias("t"))
     d = d.withColumn("th", F.xxhash64("t"))
-    rows = stage(d.mapInPandas(sketch(words), f"doc_id {kind}, th long, cls long, sig array<int>"), "jaccard-sketch")
+    rows = d.select("doc_id", "th", "t").mapInPandas(sketch(words), "doc_id string, th long, cls long, sig array<int>")
+    rows = stage(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-sketch")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))).alias("one"), F.first("sig").alias("sig"))
     classes = stage(classes.select("cls", "docs", F.col("one.id").alias("id"), F.col("one.th").alias("one_th"), "sig"), "jaccard-classes")
 
@@ -273,7 +274,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     parts = stage(components(ties), "jaccard-parts")
 
     members = classes.drop("sig").join(parts, F.col("cls") == F.col("node")).select("cls", "docs", F.col("component").alias("part"), "id", "one_th")
-    texts = d.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("one_th")))
+    texts = d.join(members.withColumnRenamed("id", "one_id"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th")))
     texts = texts.select("cls", "docs", "part", "t").mapInPandas(sets_of(words), "cls long, docs long, part long, set binary, bytes long")
     texts = stage(texts, "jaccard-sets")
     sizes = texts.groupBy("part").agg(F.countDistinct("cls").alias("n"), F.sum("bytes").alias("all"))
@@ -302,15 +303,20 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
 
 def one_of_each(docs: DataFrame, *, text="text", doc_id="doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class: that with the smallest id (rows without an id come last; of rows that repeat
-    an id, the one with the smallest text hash)."""
+    an id, the one with the smallest text hash; of rows that repeat both, one).
+
+    Null, empty and blank texts are classes of their own and stay. An empty table gives an empty table. Rows come back as
+    they are, whatever other columns are called.
+    """
     found = jaccard_join(docs, text=text, doc_id=doc_id, words=words, similarity=similarity)
     # classes of one stay; of others, the row that comes first. Only those others are grouped.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
     several = found.where("class_size > 1")
-    first = several.groupBy("class_id").agg(F.min(place).alias("first")).select(F.col("first.id").alias("id"), F.col("first.th").alias("ft"))
-    stay = found.where("class_size = 1").select(F.col("doc_id").alias("id"), F.col("th").alias("ft")).unionByName(first)
-    stay = stage(stay.groupBy("id", "ft").agg(F.count(F.lit(1)).alias("__copies")), "jaccard-stay")
-    th = F.xxhash64(F.coalesce(text, F.lit("")))
-    out = docs.withColumn("__th", th).join(stay, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("__th") == F.col("ft")))
-    out = out.withColumn("__n", F.row_number().over(Window.partitionBy(F.col(doc_id), F.col("__th")).orderBy("__th")))
-    return out.where("__n <= __copies").select(*docs.columns)
+    first = several.groupBy("class_id").agg(F.min(place).alias("first")).select("first.id", "first.th")
+    stay = found.where("class_size = 1").select(F.col("doc_id").alias("id"), "th").unionByName(first)
+    stay = stage(stay.groupBy("id", "th").agg(F.count(F.lit(1)).alias("copies")), "jaccard-stay")
+    # docs' own columns go along in one column, so that no name can clash
+    own = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_th"))
+    out = own.join(stay, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")))
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("own_id", "own_th").orderBy("own_th")))
+    return out.where("n <= copies").select("row.*")

@@ -111,9 +111,12 @@ def mix_sources(docs: DataFrame, *, text="text", doc_id="doc_id", source="source
 def mixed_documents(docs: DataFrame, *, text="text", doc_id="doc_id", source="source", weights=(5, 2, 1), share=1.5, cap=2.0, seed="mix", weight: Column | None = None) -> DataFrame:
     """The mix itself: whole documents in the columns of docs, repeated once per epoch.
 
-    The document at the end of a budget is in if at least half of it is taken. Documents without words are in no mix.
+    The document at the end of a budget is in if at least half of it is taken. Documents without words (null, empty,
+    blank) are in no mix. Null sources and repeated ids as in mix_sources. An empty table gives an empty table.
     """
-    m = mix_core(measured(docs, *docs.columns, text=text, doc_id=doc_id, source=source, seed=seed, weight=weight), weights=weights, share=share, cap=cap)
+    # docs' own columns go along in one, so that no name can clash
+    own = docs.select(F.struct("*").alias("row"), *[F.col(c).alias(n) for c, n in ((text, "text"), (doc_id, "doc_id"), (source, "source"))])
+    m = mix_core(measured(own, "row", text="text", doc_id="doc_id", source="source", seed=seed, weight=weight), weights=weights, share=share, cap=cap)
     copies = F.col(P + "epochs") + F.when((F.col(P + "part") > 0) & (F.col(P + "part") * 2 >= F.col(P + "size")), 1).otherwise(0)
     m = m.where(F.col(P + "size") > 0).withColumn(P + "copy", F.explode(F.sequence(F.lit(0), F.lit(int(cap) + 1))))
-    return m.where(F.col(P + "copy") < copies).select(*docs.columns)
+    return m.where(F.col(P + "copy") < copies).select("row.*")

@@ -2,28 +2,37 @@
 
 A document's histograms of character classes and of common words are compared with its language's by Jensen-Shannon
 distance (base 2: 0 alike, 1 apart). The references are counts over all documents of the language: classes summed, and
-the COMMON most frequent words with the share of all others. A document is judged only from MIN_WORDS words on.
+the COMMON most frequent words with the share of all others. PRIOR words of all languages together are added to each, so
+that a language of a few texts doesn't stand for itself alone. A document is judged only from MIN_WORDS words on; it
+diverges if a distance is above its limit, or if common words make up less than FEW of their share in the reference (the
+distance of a text without any is bounded by that share, so it alone can't tell).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage
+from .common import bounded_batches, stage, text_id
 from .words import blocks, split_words
 
 COMMON = 64
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.50
+FEW = 0.25
+PRIOR = 1000
+#: A text that its own reference rejects is held against so many languages with the most words.
+OTHERS = 16
+#: A table of references has one row a language; beyond so many it is joined by shuffle instead of broadcast.
+BROADCAST_LANGUAGES = 4096
 BLOCK = 2_000_000
-#: Languages with a smaller share of all words are judged by the pooled reference, so at most 1000 have their own.
-OWN_SHARE = 0.001
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b".,;:!?'\"()-"
 
@@ -103,64 +112,98 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": pd.Series([name] * len(COMPARED), dtype=object), "word": pd.Series([""] * len(COMPARED), dtype=object), "class": COMPARED, "n": classes[COMPARED]})
 
 
-def references(docs: DataFrame, text: str, lang: str, common: int) -> dict:
-    """lang -> (words with their counts and that of all others, class counts); None: all languages together."""
-    bounded_batches(docs)
-    d = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
+def references(docs: DataFrame, text: str, lang: str, common: int, others: int) -> tuple[DataFrame, dict, list[str]]:
+    """(table of ref_lang and ref: a language's own counts as JSON; the same of all languages together; those of the
+    `others` languages with the most words). A row of the table has `common` words of the language and those of them that
+    are common in all."""
+    d = bounded_batches(docs).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
     n = d.mapInPandas(count_words, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     n = stage(n, "quality-counts")
-    words = n.where("class < 0")
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    every = words.agg(F.sum("n")).first()[0] or 0
-    own = total.where((F.col("lang").isNotNull()) & (F.col("total") >= F.lit(every * OWN_SHARE)))
-    top = words.join(F.broadcast(own), "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= common)
-    pooled = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common)
-    found = {r["lang"]: ({}, np.zeros(len(COMPARED))) for r in own.collect()} | {None: ({}, np.zeros(len(COMPARED)))}
-    sums = {r["lang"]: r["total"] for r in own.collect()} | {None: every}
-    for r in top.orderBy("lang", "place").collect():
-        found[r["lang"]][0][r["word"].encode()] = r["n"]
-    for r in pooled.collect():
-        found[None][0][r["word"].encode()] = r["n"]
-    for r in n.where("class >= 0").join(F.broadcast(own.select("lang")), "lang", "left_semi").groupBy("lang", "class").agg(F.sum("n").alias("n")).collect():
-        found[r["lang"]][1][COMPARED.index(r["class"])] = r["n"]
-    for r in n.where("class >= 0").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        found[None][1][COMPARED.index(r["class"])] = r["n"]
-    return {k: (list(w), np.array([*w.values(), sums[k] - sum(w.values())], dtype=float), c) for k, (w, c) in found.items()}
-
-
-def judge(reference: dict, max_char: float, max_word: float, min_words: int, block: int):
-    def apart(lang, own: np.ndarray, classes: np.ndarray, looked: dict, words: list[bytes]) -> tuple[float, float]:
-        """Distances of a text's classes and common words to a language's reference."""
-        if lang not in looked:
-            place = {w: k for k, w in enumerate(reference[lang][0])}
-            looked[lang] = np.array([place.get(w, len(place)) for w in words], dtype=np.int64)
-        common = np.bincount(looked[lang][own], minlength=len(reference[lang][0]) + 1)
-        return distance(classes[COMPARED], reference[lang][2]), distance(common, reference[lang][1])
+    words, classes = n.where("class < 0"), n.where("class >= 0")
+    pooled = stage(words.groupBy("word").agg(F.sum("n").alias("every")), "quality-pooled")
+    first = pooled.orderBy(F.desc("every"), "word").limit(common).collect()
+    sums = {r["class"]: r["n"] for r in classes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    total = pooled.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    pool = {"words": {r["word"]: r["every"] for r in first}, "total": total, "classes": [sums.get(c, 0) for c in COMPARED]}
+
+    own = words.where("lang is not null")
+    top = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= common)
+    both = top.select("lang", "word", "n").unionByName(own.where(F.col("word").isin(list(pool["words"]))).select("lang", "word", "n")).distinct()
+    lists = both.join(pooled, "word").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n", "every"))).alias("words"))  # 2 * common at most
+    totals = own.groupBy("lang").agg(F.sum("n").alias("total"))
+    by_class = classes.where("lang is not null").groupBy("lang").agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in COMPARED])
+    table = totals.join(lists, "lang").join(by_class, "lang")
+    table = table.select(F.col("lang").alias("ref_lang"), "total", F.to_json(F.struct("words", "total", F.array(*[f"c{c}" for c in COMPARED]).alias("classes"))).alias("ref"))
+    table = stage(table, "quality-references")
+    large = [r["ref"] for r in table.orderBy(F.desc("total"), "ref_lang").limit(others).collect()]
+    return table.drop("total"), pool, large
+
+
+class Reference:
+    """A language's histograms: its own counts and `prior` words of all languages together."""
+
+    def __init__(self, own: dict | None, pool: dict, common: int, prior: float):
+        total, letters = max(pool["total"], 1), max(sum(pool["classes"]), 1)
+        value = {w: prior * n / total for w, n in pool["words"].items()}
+        for x in own["words"] if own else ():
+            value[x["word"]] = x["n"] + prior * x["every"] / total
+        if own is None:
+            value = dict(pool["words"])
+        best = sorted(value, key=lambda w: (-value[w], w))[:common]
+        self.place = {w.encode(): k for k, w in enumerate(best)}
+        rest = (own["total"] + prior if own else total) - sum(value[w] for w in best)
+        self.words = np.array([*(value[w] for w in best), max(rest, 0)], dtype=float)
+        every = np.array(pool["classes"], dtype=float)
+        self.classes = np.array(own["classes"], dtype=float) + prior * every.sum() / total * every / letters if own else every
+        self.share = 1 - self.words[-1] / max(self.words.sum(), 1)
+
+    def apart(self, words: np.ndarray, classes: np.ndarray, looked: np.ndarray) -> tuple[float, float, float]:
+        """A text's distances, and its share of common words beside the reference's."""
+        common = np.bincount(looked[words], minlength=len(self.words))
+        share = 1 - common[-1] / max(len(words), 1)
+        return distance(classes[COMPARED], self.classes), distance(common, self.words), share / self.share if self.share else 1.0
+
+
+def judge(pool: dict, large: list[str], common: int, prior: float, max_char: float, max_word: float, few: float, min_words: int, block: int):
+    """Verdicts on rows with t and ref (null: held against all languages together)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, Reference] = {}
+
+        def reference(ref: str | None) -> Reference:
+            if ref not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[ref] = Reference(json.loads(ref) if ref else None, pool, common, prior)
+            return known[ref]
+
         for pdf in blocks(batches, "t", block):
             texts = [t.encode() for t in pdf["t"]]
             codes, starts, distinct = split_words(texts)
-            looked = {}
             words = [plain(w) for w in distinct]
+            looked: dict[str | None, np.ndarray] = {}
             rows = []
-            for i, (t, lang) in enumerate(zip(texts, pdf["lang"], strict=True)):
+            for i, (t, own_ref) in enumerate(zip(texts, pdf["ref"], strict=True)):
                 own = codes[starts[i] : starts[i + 1]]
                 classes = class_counts(t)
                 n, repeat = len(own), repeated_words(own, len(distinct))
                 failed = n < 50 or 100 * repeat > 50 * n
-                lang = lang if lang in reference else None
-                char_d, word_d = apart(lang, own, classes, looked, words)
-                diverges = n >= min_words and (char_d > max_char or word_d > max_word)
-                if diverges and not failed:  # its label may be wrong, or it may mix languages
-                    for other in reference:
-                        c, w = apart(other, own, classes, looked, words)
-                        if c <= max_char and w <= max_word:
-                            char_d, word_d, diverges = c, w, False
-                            break
+                own_ref = own_ref if isinstance(own_ref, str) else None
+                first = None
+                for ref in (own_ref, *large, None):  # the others: its label may be wrong, or it may mix languages
+                    r = reference(ref)
+                    if ref not in looked:
+                        looked[ref] = np.array([r.place.get(w, len(r.place)) for w in words], dtype=np.int64)
+                    char_d, word_d, share = r.apart(own, classes, looked[ref])
+                    diverges = n >= min_words and (char_d > max_char or word_d > max_word or share < few)
+                    first = first or (char_d, word_d)
+                    if not diverges or failed:
+                        break
+                if diverges:
+                    char_d, word_d = first
                 rows.append((n, int(classes.sum() - classes[SPACE] - classes[TAIL]), int(classes[SYMBOL]), duplicate_lines(t), repeat, failed, not failed and not diverges, char_d, word_d))
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-            yield pdf.drop(columns=["t", "lang"]).join(pd.DataFrame(rows, columns=names, index=pdf.index))
+            yield pdf.drop(columns=["t", "ref"]).join(pd.DataFrame(rows, columns=names, index=pdf.index))
 
     return run
 
@@ -168,31 +211,49 @@ def judge(reference: dict, max_char: float, max_word: float, min_words: int, blo
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def quality_rules(docs: DataFrame, *, text="text", doc_id="doc_id", lang="lang", common: int = COMMON, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, kept, and both distances (to the reference that decided).
+def with_references(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (with a column own_lang) and each one's reference."""
+    few = table.count() <= BROADCAST_LANGUAGES
+    return rows.join(F.broadcast(table) if few else table, F.col("own_lang") == F.col("ref_lang"), "left").drop("own_lang", "ref_lang")
 
-    A text that its own language's reference rejects stays if another reference takes it: labels may be wrong and texts
-    may mix languages, junk is far from all of them.
 
-    Null text has no words and fails. A null or rare language is held against all languages together. Repeated rows
-    count as often as they occur. An empty table gives an empty table. Other columns of docs are left out.
-    """
-    reference = references(docs, text, lang, common)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
-    return d.mapInPandas(judge(reference, max_char, max_word, min_words, block), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {MEASURES}")
+def quality_rules(
+    docs: DataFrame, *, text="text", doc_id="doc_id", lang="lang", common: int = COMMON, prior: float = PRIOR, others: int = OTHERS,
+    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, few: float = FEW, min_words: int = MIN_WORDS, block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: doc_id, the counts, base_failed, kept, and both distances (to the reference that took it, else
+    to its own).
 
+    A text that its own language's reference rejects stays if that of one of the `others` languages with the most words
+    takes it, or that of all together: labels may be wrong and texts may mix languages, junk is far from all of them.
 
-def passing(docs: DataFrame, *, text="text", lang="lang", common: int = COMMON, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """The documents that the rules keep, in the columns of docs."""
-    reference = references(docs, text, lang, common)
-    judged = judge(reference, max_char, max_word, min_words, block)
-    names = docs.columns
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            work = pd.DataFrame({"row": np.arange(len(pdf)), "lang": pdf[lang], "t": pdf[text]})
+    Null text has no words and fails. A null language is held against all languages together. Repeated rows count as
+    often as they occur. An empty table gives an empty table. Other columns of docs are left out.
+    """
+    table, pool, large = references(docs, text, lang, common, others)
+    d = docs.select(text_id(doc_id), F.col(lang).cast("string").alias("own_lang"), F.coalesce(text, F.lit("")).alias("t"))
+    judged = judge(pool, large, common, prior, max_char, max_word, few, min_words, block)
+    out = with_references(d, table).mapInPandas(judged, f"doc_id string, {MEASURES}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
+
+
+def passing(
+    docs: DataFrame, *, text="text", lang="lang", common: int = COMMON, prior: float = PRIOR, others: int = OTHERS,
+    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, few: float = FEW, min_words: int = MIN_WORDS, block: int = BLOCK,
+) -> DataFrame:
+    """The documents that the rules keep, in the columns of docs and with their values as they are (rows go through Python
+    as Arrow batches, of which only text and reference are looked at). Nulls, empty tables and repeats as in quality_rules."""
+    table, pool, large = references(docs, text, lang, common, others)
+    judged = judge(pool, large, common, prior, max_char, max_word, few, min_words, block)
+
+    def keep(batches):
+        for b in batches:
+            rows = b.column("row")
+            work = pd.DataFrame({"at": np.arange(b.num_rows), "t": rows.field(text).to_pandas(), "ref": b.column("ref").to_pandas()})
             for part in judged(iter([work])):
-                yield pdf.iloc[part["row"][part["kept"]].to_numpy()][names]
+                stays = rows.take(pa.array(part["at"][part["kept"]].to_numpy()))
+                yield pa.RecordBatch.from_arrays(stays.flatten(), names=names)
 
-    return docs.mapInPandas(keep, docs.schema)
+    names = docs.columns
+    d = docs.select(F.struct("*").alias("row"), F.col(lang).cast("string").alias("own_lang"))
+    return with_references(d, table).mapInArrow(keep, docs.schema)

@@ -5,6 +5,10 @@ depends on the prefix only, so the distinct pre-tokens of a task go into a trie,
 pieces once, from its ancestors, when it is made, and the node where a pre-token ends holds its count. Texts are
 counted where they are read; nothing is shuffled.
 
+A node holds a score and a count, so a trie has a limit of nodes, after which it starts anew. A pre-token of over LONG
+characters would fill one by itself and shares hardly anything: its scores are computed without nodes, holding only those
+of as many characters back as the longest piece has. Both ways give the same counts.
+
 Pieces come from a public vocabulary file and weigh as in Zipf's law by their rank there. Characters that no piece
 covers count as their bytes.
 """
@@ -19,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, text_id
 from .words import blocks, split_words, sums
 
 SPACE_MARK = "▁"
 BLOCK = 4_000_000
 NODES = 1_500_000
+LONG = 1000
 
 
 def piece_weights(path: str) -> dict[str, float]:
@@ -48,6 +53,7 @@ class Trie:
             for k in range(len(p)):
                 self.ends.setdefault(p[k:], None)
         self.ends.update(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=-10.0) - 1
         self.limit = nodes
         self.clear()
@@ -58,6 +64,8 @@ class Trie:
 
     def count(self, token: str) -> int:
         """Pieces of the best segmentation of a pre-token."""
+        if len(token) > LONG:
+            return self.count_long(token)
         if len(self.score) > self.limit:
             self.clear()
         child, score, pieces, ends = self.child, self.score, self.pieces, self.ends
@@ -86,6 +94,25 @@ class Trie:
             path.append(node)
         return pieces[node]
 
+    def count_long(self, token: str) -> int:
+        """The same without nodes: a ring of the last scores."""
+        ring, ends = self.longest + 1, self.ends
+        score, pieces = [0.0] * ring, [0] * ring
+        for d, ch in enumerate(token, 1):
+            n, up = len(ch.encode()), (d - 1) % ring
+            best, least = score[up] + n * self.byte, pieces[up] + n
+            for at in range(d - 1, max(d - ring, -1), -1):
+                end = token[at:d]
+                if end not in ends:
+                    break
+                w = ends[end]
+                if w is not None:
+                    s, c = score[at % ring] + w, pieces[at % ring] + 1
+                    if s > best or (s == best and c < least):
+                        best, least = s, c
+            score[d % ring], pieces[d % ring] = best, least
+        return pieces[len(token) % ring]
+
 
 def counter(path: str, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,5 +131,6 @@ def token_counts(docs: DataFrame, *, vocabulary: str, text="text", doc_id="doc_i
     Null and empty texts have none. Repeated rows are counted each. An empty table gives an empty table. Other columns
     of docs are left out.
     """
-    d = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
-    return d.mapInPandas(counter(vocabulary, block), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_tokens long")
+    d = bounded_batches(docs).select(text_id(doc_id), F.coalesce(text, F.lit("")).alias("t"))
+    out = d.mapInPandas(counter(vocabulary, block), "doc_id string, n_words long, n_tokens long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -16,6 +16,7 @@ from millrace.llm import quality_rules as Q
 from millrace.llm import registry
 from millrace.llm import token_counts as T
 from millrace.llm import url_filter as U
+from millrace.llm import classifier as M
 from millrace.llm.classifier import classify
 from millrace.llm.components import components
 from millrace.llm.lm_score import lm_score
@@ -313,3 +314,201 @@ def test_jaccard_counts_a_link_once_where_blocks_are_empty(spark, monkeypatch):
     docs = [(2 * k + e, " ".join([*w[:-1], f"end{e}"]), "en", "s", 1) for k, w in enumerate(words) for e in range(2)]
     got = J.jaccard_join(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {(r.doc_id, r.class_id, r.class_size, r.n_links) for r in got} == {(d[0], d[0] // 2 * 2, 2, 1) for d in docs}
+
+
+WIDE = [(2**60 + 1, "a b c d e f g", "en", "s", 7), (None, "one two three four five six", "en", "s", None), (2**60 + 3, None, None, None, None)]
+EXTRA = ["id", "ft", "th", "row", "ref", "t", "own_id", "copies", "n", "cls", "label", "range", "n_tokens", "__th", "doc", "text_sha256"]
+
+
+def clashing(d):
+    """d with extra columns, named like columns that the operators make."""
+    return d.withColumns({c: F.lit(f"extra {c}") for c in EXTRA})
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    d = clashing(spark.createDataFrame(WIDE, SCHEMA).coalesce(1))
+    labels = spark.createDataFrame([(2**60 + 1, 1, 0)], "doc_id long, quality int, toxic int")
+    want = {2**60 + 1, None, 2**60 + 3}
+    outs = {
+        "lm": lm_score(d), "pack": K.pack(d, tokenizer=registry.vocabulary("word_bpe_49k.json")), "rules": Q.quality_rules(d), "tokens": T.token_counts(d, vocabulary=registry.vocabulary("piece_bpe_32k.model")),
+        "join": J.jaccard_join(d), "one": J.one_of_each(d), "classes": classify(d, labels),
+    }
+    for name, out in outs.items():
+        assert {r.doc_id for r in out.collect()} == want, name
+
+
+def test_rules_keep_rows_as_they_are(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 1000 and 9000").orderBy("doc_id").limit(60).collect()]
+    data = [(2**60 + 2 * i + 1 if i else None, t, "en" if i % 2 else None, "s", 2**60 + i if i != 3 else None) for i, t in enumerate(texts)]
+    d = clashing(spark.createDataFrame(data, SCHEMA).coalesce(1))
+    got = Q.passing(d)
+    assert got.columns == d.columns
+    kept = {r.doc_id for r in Q.quality_rules(d).where("kept").collect()}
+    assert len(kept) > 30 and sorted(map(repr, got.collect())) == sorted(repr(r) for r in d.collect() if r.doc_id in kept)
+    assert Q.passing(d.limit(0)).count() == 0
+
+
+def test_distance_rules_against_brute_force(spark):
+    """Verdicts and distances restated with dictionaries, over a table with five languages, one of a single text."""
+    d = docs_of(spark, [(50 + i, " ".join(random.Random(i).choice(["zum", "quo", "per", "ab", "in"]) + str(i % 3) for _ in range(90)), "la" if i < 3 else "one", "s", 1) for i in range(4)])
+    data = d.select("doc_id", "lang", "text").collect()
+    classes = lambda t: [Q.class_counts((t or "").encode())[c] for c in Q.COMPARED]
+    words = lambda t: [w for w in ((t or "").encode().split())]
+    by_lang, by_class = {}, {}
+    for r in data:
+        for lang in {r.lang, "*"} - {None}:
+            by_lang.setdefault(lang, Counter()).update(p.decode() for w in words(r.text) if (p := Q.plain(w)))
+            by_class.setdefault(lang, np.zeros(len(Q.COMPARED)))[:] += classes(r.text)
+    every, letters = sum(by_lang["*"].values()), by_class["*"].sum()
+    most = lambda c, k: sorted(c, key=lambda w: (-c[w], w))[:k]
+    pool = most(by_lang["*"], 64)
+
+    def reference(lang):
+        if lang == "*":
+            value = {w: by_lang["*"][w] for w in pool}
+            return value, every - sum(value.values()), by_class["*"]
+        near = {w: by_lang[lang][w] + 1000 * by_lang["*"][w] / every for w in {*most(by_lang[lang], 64), *pool}}
+        value = {w: near[w] for w in most(near, 64)}
+        return value, sum(by_lang[lang].values()) + 1000 - sum(value.values()), by_class[lang] + 1000 * letters / every * by_class["*"] / letters
+
+    refs = {k: reference(k) for k in by_lang}
+    largest = sorted((k for k in by_lang if k != "*"), key=lambda k: (-sum(by_lang[k].values()), k))[:16]
+
+    def entropy(p):
+        return -sum(x * math.log2(x) for x in p if x > 0)
+
+    def apart(a, b):
+        a, b = np.array(a, dtype=float), np.array(b, dtype=float)
+        if not a.sum() or not b.sum():
+            return 0.0
+        a, b = a / a.sum(), b / b.sum()
+        return math.sqrt(max(entropy((a + b) / 2) - (entropy(a) + entropy(b)) / 2, 0))
+
+    got = {(-1 if pd.isna(r.doc_id) else r.doc_id): r for r in Q.quality_rules(d.repartition(4), block=20_000).collect()}
+    for r in data:
+        g, ws = got[-1 if r.doc_id is None else r.doc_id], [Q.plain(w).decode() for w in words(r.text)]
+        found = []
+        for lang in [r.lang if r.lang in by_lang else "*", *largest, "*"]:
+            value, rest, cls = refs[lang]
+            n = Counter(ws)
+            common = [n[w] for w in value]
+            share = (sum(common) / max(len(ws), 1)) / (1 - rest / (rest + sum(value.values())))
+            c, w = apart(classes(r.text), cls), apart([*common, len(ws) - sum(common)], [*value.values(), rest])
+            found.append((len(ws) < 50 or (c <= 0.3 and w <= 0.5 and share >= 0.25), c, w))
+        kept = not g.base_failed and any(f for f, _, _ in found)
+        assert g.kept == kept, r.doc_id
+        _, c, w = found[0] if g.base_failed else next((f for f in found if f[0]), found[0])
+        assert g.char_distance == pytest.approx(c, abs=1e-6) and g.word_distance == pytest.approx(w, abs=1e-6), r.doc_id
+
+
+def test_rules_reject_unknown_words_of_usual_letters(spark):
+    """Half the texts' words shuffled letter by letter: the same character classes, no common word."""
+    rng = random.Random(2)
+    data = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and length(text) between 2000 and 4000").limit(40).collect()]
+    odd = [(10**6 + i, " ".join("".join(rng.sample(w, len(w))) + "q" for w in t.split()), "en", "s", 1) for i, t in data]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, SCHEMA))
+    assert Q.quality_rules(docs).where("doc_id >= 1000000 and kept").count() == 0
+
+
+def test_one_very_long_word(spark):
+    pieces = {"ab": -1.0, "a": -2.0, "b": -2.5, "abc": -3.0, "c": -1.5, "cabcab": -4.0}
+    t = T.Trie(pieces)
+    word = "".join(random.Random(1).choice("abcxé") for _ in range(5000))
+    assert t.count(word) == brute_tokens(word, pieces) and len(t.score) == 1  # no nodes
+    path = registry.vocabulary("piece_bpe_32k.model")
+    d = spark.createDataFrame([(1, "qwertz" * 200_000, "en", "s", 1), (2, "a", "en", "s", 1)], SCHEMA)
+    assert {r.doc_id: r.n_words for r in T.token_counts(d, vocabulary=path).collect()} == {1: 1, 2: 1}
+
+
+def test_packing_encoder_on_odd_strings():
+    from tokenizers import Tokenizer
+
+    path, rng = registry.vocabulary("word_bpe_49k.json"), random.Random(4)
+    signs = [*"abcXYZ019 .,;:!?-'\"()<|>_#\n\té ÀßñİΩж中文\u00a0\u200b\u3000½²ⅷ🙂\u0301\x85\x1c", "<|endoftext|>", "'s", "'ll", " the "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    tokenizer, own = Tokenizer.from_file(path), K.Encoder(path, most=300)
+    for at in range(0, len(texts), 200):
+        part = texts[at : at + 200]
+        assert [list(x) for x in own.texts(part, 1)] == [[*e.ids, 1] for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
+def test_machine_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    m = M.Machine(np.zeros(M.STATISTICS), np.ones(M.STATISTICS))
+    m.w, m.v, m.b = rng.normal(0, 1, m.w.shape), rng.normal(0, 1, m.v.shape), 0.3
+    index = [np.array([3, 70, 900], dtype=np.int32), np.array([], dtype=np.int32), np.array([5], dtype=np.int32)]
+    value = [rng.normal(0, 1, len(i)).astype(np.float32) for i in index]
+    dense = rng.normal(0, 2, (3, M.STATISTICS))
+    for k, p in enumerate(m.score(index, value, dense)):
+        i = [*index[k], *range(M.WORDS, M.WORDS + M.STATISTICS)]
+        x = [*value[k], *np.clip(dense[k], -4, 4) / math.sqrt(M.STATISTICS)]
+        raw = m.b + sum(m.w[a] * p for a, p in zip(i, x))
+        raw += sum(float(m.v[i[a]] @ m.v[i[b]]) * x[a] * x[b] for a in range(len(i)) for b in range(a + 1, len(i)))
+        assert p == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-6)
+
+
+def test_machine_steps_down_its_loss():
+    """The first step of the fit follows the numerical gradient, and the fit learns a pair that no single word tells."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (1200, 2))
+    index = [np.array([10 + a, 20 + b], dtype=np.int32) for a, b in bits]
+    value = [np.ones(2, dtype=np.float32) for _ in index]
+    dense, y = np.zeros((len(index), M.STATISTICS)), (bits[:, 0] ^ bits[:, 1]).astype(float)
+    m = M.Machine(np.zeros(M.STATISTICS), np.ones(M.STATISTICS))
+    m.fit(index, value, dense, y, epochs=40)
+    assert ((m.score(index, value, dense) >= 0.5) == (y == 1)).mean() > 0.99
+
+
+def test_classifier_learns_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"good words {i % 3}", "en", "s", 1) for i in range(300)] + [(2, "bad # # |", "en", "s", 1)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = classify(docs, labels)
+    assert got.count() == 301 and got.where("score is null").count() == 0
+
+
+def brute_url_scores(urls, accepted):
+    """Mean log ratio per character by dictionaries of contexts."""
+    signs = lambda u: [36] * 3 + [int(U.SIGN[b]) for b in ((u or "").partition("://")[2] if "://" in (u or "") else (u or "")).encode()]
+    models = []
+    for side in (True, False):
+        seen = Counter()
+        for u, a in zip(urls, accepted):
+            if a is side and zlib.crc32(u.encode()) % 5:
+                s = signs(u)
+                seen.update((*s[i - k : i], s[i]) for i in range(3, len(s)) for k in range(4))
+        after = {}
+        for g, n in seen.items():
+            after.setdefault(g[:-1], {})[g[-1]] = n
+        models.append(after)
+
+    def p(after, context, sign):
+        q = p(after, context[1:], sign) if context else 1 / 40
+        c = after.get(context, {})
+        total = sum(c.values())
+        return (c.get(sign, 0) + len(c) * q) / (total + len(c)) if total >= U.MIN_CONTEXT else q
+
+    out = []
+    for u in urls:
+        s = signs(u)
+        x = [math.log(p(models[0], tuple(s[i - 3 : i]), s[i])) - math.log(p(models[1], tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s))]
+        out.append(sum(x) / max(len(x), 1))
+    return out
+
+
+def test_url_scores_and_threshold_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    extra = ["x" * 20_000, "http://a.org/" + "p/" * 9000, "ftp://ü.org/é?", "HTTP://A.ORG", "http://b.com/de/"]
+    data = [(r.page_id, r.url) for r in rows] + [(10**6 + i, u) for i, u in enumerate(extra)]
+    got = {r.page_id: r for r in U.url_filter(spark.createDataFrame(data, "page_id long, url string")).collect()}
+    accepted = [None if got[i].rule is None else got[i].verdict == "allow" for i, _ in data]
+    urls = [u for _, u in data]
+    want = brute_url_scores(urls, accepted)
+    assert np.allclose([got[i].score for i, _ in data], want, atol=1e-4)
+    sides = [(min(max(math.floor((s + U.SPAN) * U.BINS / (2 * U.SPAN)), 0), U.BINS - 1), a) for s, u, a in zip(want, urls, accepted) if a is not None and zlib.crc32(u.encode()) % 5 == 0]
+    good, bad = [b for b, a in sides if a], [b for b, a in sides if not a]
+    value = [round(sum(b >= e for b in good) / len(good) + sum(b < e for b in bad) / len(bad), 9) for e in range(U.BINS + 1)] if good and bad else [0]
+    best = [e for e, x in enumerate(value) if x == max(value)]
+    limit = best[len(best) // 2] * 2 * U.SPAN / U.BINS - U.SPAN if good and bad else 0.0
+    for (i, _), s, a in zip(data, want, accepted):
+        if a is None and abs(s - limit) > 1e-3:
+            assert got[i].verdict == ("allow" if s >= limit else "block")

@@ -1,5 +1,7 @@
 """Source mix, exact dedup and line dedup: SQL on small tables, edge cases, forced hash clashes."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from millrace.llm import registry
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.line_dedup import dedup_lines, line_dedup
 from millrace.llm.mixing import mix_sources, mixed_documents
+from tests.llm.test_free import WIDE, clashing
 from tests.oracle import duck, rows
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +110,27 @@ def test_line_dedup_takes_whole_passages(spark):
         assert out[i]["__removed_lines"] == (0 if i < 100 else n)
     assert out[300]["__removed_lines"] == 15  # the first five lines are the first place
     assert out[301].text == "x\n\ny"
+
+
+def test_wide_ids_and_clashing_columns(spark):
+    d = clashing(spark.createDataFrame(WIDE, SCHEMA).coalesce(1))
+    d = d.withColumns({c: F.lit("x") for c in ("__mix_size", "__mix_row", "gone", "left", "lines", "removed", "own_th", "__lines")})
+    want = {r.doc_id for r in d.collect()}
+    for out in (mix_sources(d), exact_dedup(d), line_dedup(d), dedup_lines(d)):
+        assert {r.doc_id for r in out.collect()} == want
+    assert dedup_lines(d).columns == mixed_documents(d).columns == d.columns
+    assert sorted(map(repr, dedup_lines(d).collect())) == sorted(map(repr, d.collect()))
+    assert {r.doc_id for r in mixed_documents(d).collect()} <= want
+
+
+def test_line_dedup_of_long_repetitive_texts_is_linear(spark):
+    def seconds(n: int) -> float:
+        d = spark.createDataFrame([(k, "\n".join(["one and the same line"] * n), "en", "s", 1) for k in range(2)], SCHEMA)
+        began = time.time()
+        out = {r.doc_id: r["__removed_lines"] for r in line_dedup(d).collect()}
+        assert out[1] == n and out[0] > n * 0.9
+        return time.time() - began
+
+    seconds(5_000)
+    small, large = seconds(40_000), seconds(160_000)
+    assert large < 8 * small + 5
