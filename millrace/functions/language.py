@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .models import CJK, count_cjk
 from .prices import blank
 
-#: A few product words; the full dictionary is the caller's.
+#: A few product words; a full dictionary is a table of the caller's (word_table).
 WORDS = {"型号": "Model", "名称": "Name", "规格": "Specification", "价格": "Price", "单价": "Unit Price", "品牌": "Brand", "材质": "Material", "塑料": "Plastic", "电池": "Battery", "锂电池": "Lithium Battery", "充电器": "Charger", "颜色": "Color", "红色": "Red"}
-CODE = re.compile(r"\b[A-Z]{2,5}\d*\b")
+#: Fixed value: a product code within a text.
+CODE = r"(?U)\b[A-Z]{2,5}\d*\b"
 
 
 def has_chinese(text: Column) -> Column:
@@ -68,49 +65,42 @@ def fix_fullwidth(text: Column) -> Column:
     return F.when(F.length(t) < 2, t).otherwise(F.translate(t, "：（）－＂＇", ":()-\"'"))
 
 
-def translator(words: dict[str, str], protect: bool):
-    """An Arrow function that replaces words longest first; protect: capital codes stay as they are, set off from Chinese by a space."""
-    ordered = sorted(words.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+def word_table(words: DataFrame, most: int = 20_000) -> dict[str, str]:
+    """A dictionary from a table (zh, en) of at most `most` rows; the smallest translation of a word counts."""
+    rows = words.where("zh is not null and zh != '' and en is not null").groupBy("zh").agg(F.min("en").alias("en")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dictionary has at most {most} words")
+    return {r["zh"]: r["en"] for r in rows}
 
-    def plain(text: str) -> str:
-        for old, new in ordered:
-            if old in text:
-                text = text.replace(old, new)
-        return text
 
-    def one(text: str | None) -> str | None:
-        if not text or not protect:
-            return plain(text) if text else text
-        kept: list[str] = []
+def longest_first(words: dict[str, str]) -> list[tuple[str, str]]:
+    return sorted(words.items(), key=lambda kv: (-len(kv[0]), kv[0]))
 
-        def hide(m: re.Match) -> str:
-            kept.append(m[0])
-            return f"\x00{len(kept) - 1}\x00"
 
-        text = CODE.sub(hide, text)
-        text = re.sub(r"(\x00\d+\x00)([一-鿿])", r"\1 \2", text)
-        text = re.sub(r"([一-鿿])(\x00\d+\x00)", r"\1 \2", text)
-        return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], plain(text))
+def translated(text: Column, words: dict[str, str] = WORDS, protect: bool = False) -> Column:
+    """The text with words replaced, longest first. protect: codes (2 to 5 capitals, then digits, standing as a word of
+    their own) stay as they are."""
 
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+    def plain(t: Column) -> Column:
+        for old, new in longest_first(words):
+            t = F.replace(t, F.lit(old), F.lit(new))
+        return t
 
-    return run
+    if not protect:
+        return plain(text)
+    codes = F.concat(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.transform(F.split(text, CODE, -1), plain), codes, lambda between, code: F.concat(between, code)), "")
 
 
 def translate_column(df: DataFrame, column: str, out: str, words: dict[str, str] = WORDS, protect: bool = False) -> DataFrame:
-    """df with the column translated. Each distinct text is worked on once and joined back."""
-    texts = df.select(F.col(column).alias("__t")).where("__t is not null").distinct()
-    done = texts.withColumn("__done", translator(words, protect)("__t"))
-    return df.join(done, F.col(column) == F.col("__t"), "left").withColumn(out, F.col("__done")).drop("__t", "__done")
+    """df with the column translated."""
+    return df.withColumn(out, translated(F.col(column), words, protect))
 
 
 def translate_frame(df: DataFrame, words: dict[str, str] = WORDS) -> DataFrame:
     """Column names and string columns translated."""
-    run = translator(words, True)
-    name = lambda c: next((c.replace(k, v) for k, v in sorted(words.items(), key=lambda kv: -len(kv[0])) if k in c), c)
-    return df.select(*[(run(c) if t == "string" else F.col(c)).alias(name(c)) for c, t in df.dtypes])
+    name = lambda c: next((c.replace(k, v) for k, v in longest_first(words) if k in c), c)
+    return df.select(*[(translated(F.col(c), words, True) if t == "string" else F.col(c)).alias(name(c)) for c, t in df.dtypes])
 
 
 ONES = ["", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE", "THIRTEEN", "FOURTEEN", "FIFTEEN", "SIXTEEN", "SEVENTEEN", "EIGHTEEN", "NINETEEN"]

@@ -63,6 +63,7 @@ def number_price(value: Column) -> Column:
     return F.when(value > 0, value.cast("double"))
 
 
+#: How prices are written in dollars, in yuan, and without a currency.
 _USD = (r"(?i)(?:USD|US\s*Dollar)\s*([\d,]+(?:\.\d+)?)", r"(?i)([\d,]+(?:\.\d+)?)\s*(?:USD|US\s*Dollar)")
 _CNY = (r"(?i)(?:¥|CNY|RMB|人民币)\s*([\d,]+(?:\.\d+)?)", r"(?i)([\d,]+(?:\.\d+)?)\s*(?:元|RMB|CNY)")
 _PLAIN = r"(?<!\d)([\d,]+(?:\.\d+)?)(?!\d*\s*[WVKA%a-z]|\s*(?:Kg|KM|Nm|mm|Hz|rpm))"

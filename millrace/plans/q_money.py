@@ -111,10 +111,10 @@ def unit_price_by_term(q):
     return _terms(q).select("quote_id", "line_no", "term", F.greatest("qty", "moq").alias("qty"), rounded(F.col("total") / F.col("qty") / 7.2, 4).alias("unit_usd"))
 
 
-@query("quote_items_join", "quote_items", "products", sql="SELECT quote_id, line_no, p.id, round(coalesce(nullif(p.price_usd, 0), p.price_rmb / 7.2::DOUBLE, 0) + 1e-9, 4) AS price FROM quote_items q JOIN products p ON p.id = q.part_id WHERE q.line_no % 2 = 0")
+@query("quote_items_join", "quote_items", "products", sql="SELECT quote_id, line_no, p.id, round(coalesce(nullif(p.price_usd, 0), p.price_rmb / 7.2::DOUBLE, 0) + 1e-9, 4) AS price FROM quote_items q JOIN products p ON p.id = q.part_id")
 def quote_items_join(q, p):
     price = F.coalesce(F.nullif(F.col("price_usd"), F.lit(0.0)), F.col("price_rmb") / 7.2, F.lit(0.0))
-    return q.where("line_no % 2 = 0").join(p.select("id", "price_usd", "price_rmb"), F.col("part_id") == F.col("id")).select("quote_id", "line_no", "id", rounded(price, 4).alias("price"))
+    return q.join(p.select("id", "price_usd", "price_rmb"), F.col("part_id") == F.col("id")).select("quote_id", "line_no", "id", rounded(price, 4).alias("price"))
 
 
 @query("quote_expand", "quotes", "products", sql="""e AS (SELECT id, user_id, file_name, CAST(json_extract(product_ids, '$') AS BIGINT[]) AS ids FROM quotes)
@@ -221,10 +221,14 @@ def classify_price(t):
     return t.select("id", P.classify_price(item, P.EV_PRIMARY, P.EV_SECONDARY)["type"].alias("type"))
 
 
-@query("detect_industry", "quotes", sql="SELECT id, CASE WHEN id % 3 = 0 THEN 'medical' ELSE 'ev' END AS industry FROM quotes")
+_LIST_NAME = "CASE id % 4 WHEN 0 THEN 'Medical list ' WHEN 1 THEN 'new EV ' WHEN 2 THEN '电动车' ELSE 'evening ' END || file_name"
+
+
+@query("detect_industry", "quotes", sql=f"""x AS (SELECT id, lower({_LIST_NAME}) AS low FROM quotes)
+SELECT id, CASE WHEN regexp_matches(low, '\\bev\\b|电动|electric') THEN 'ev' WHEN regexp_matches(low, 'medical|医疗|医药') THEN 'medical' ELSE 'ev' END AS industry, CASE WHEN regexp_matches(low, '\\bev\\b|电动|electric') THEN 'ev' WHEN regexp_matches(low, 'medical|医疗|医药') THEN 'medical' ELSE 'other' END AS or_other FROM x""")
 def detect_industry(q):
-    name = F.concat(F.when(F.col("id") % 3 == 0, "Medical list ").when(F.col("id") % 3 == 1, "new EV ").otherwise(""), "file_name")
-    return q.select("id", P.detect_industry(name).alias("industry"))
+    name = F.expr(_LIST_NAME)
+    return q.select("id", P.detect_industry(name).alias("industry"), P.detect_industry(name, "other").alias("or_other"))
 
 
 @query("resolve_price", "lineitem", sql="""g AS (SELECT l_orderkey AS id, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ps, max(l_quantity) AS largest, min(l_quantity) AS smallest, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)[1] AS first, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)[-1] AS last FROM lineitem GROUP BY 1),
@@ -237,11 +241,12 @@ def resolve_price(li):
     return g.select("id", *[P.resolve_price(F.col("ps"), s).alias(s) for s in ("first", "last", "largest", "smallest", "most_common")])
 
 
-@query("composite_price", "texts", sql="""SELECT id, CASE WHEN id % 3 = 0 THEN 4980.0::DOUBLE + s ELSE greatest(2530, 1000 + s)::DOUBLE END AS primary_price, CASE WHEN id % 3 = 0 THEN 2 ELSE 2 END AS others, CASE WHEN id % 3 = 0 THEN 2530.0 ELSE 2530.0 END::DOUBLE AS battery, CASE WHEN id % 3 = 0 THEN 230 ELSE 1000 + s END::DOUBLE AS charger FROM texts""")
+@query("composite_price", "texts", sql="""x AS (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS pos FROM (SELECT id, list_filter(list_transform(string_split(replace(parts, chr(10), '/'), '/'), lambda p: trim(p)), lambda p: p <> '') AS ps FROM texts)),
+y AS (SELECT id, pos, regexp_extract(ps[pos], '^([A-Za-z一-鿿]+)\\s*[:\\s]*([A-Z]{3})?\\s*([\\d,]+(?:\\.\\d+)?)', 1) AS name, TRY_CAST(replace(regexp_extract(ps[pos], '^([A-Za-z一-鿿]+)\\s*[:\\s]*([A-Z]{3})?\\s*([\\d,]+(?:\\.\\d+)?)', 3), ',', '') AS DOUBLE) AS price FROM x),
+z AS (SELECT *, regexp_matches(lower(name), 'ev|ckd|unit price|complete vehicle|exw price') AS main FROM y WHERE price > 0)
+SELECT id, coalesce(arg_min(price, pos) FILTER (main), max(price)) AS primary_price, count(*) FILTER (NOT main) AS others, sum(price) FILTER (NOT main AND contains(lower(name), 'battery')) AS battery, sum(price) FILTER (NOT main AND contains(lower(name), 'charger')) AS charger FROM z GROUP BY id""")
 def composite_price(t):
-    s = F.col("s").cast("string")
-    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("EV: CNY "), (F.lit(4980) + F.col("s")).cast("string"), F.lit(" / Battery: CNY 2,530 / Charger: CNY 230"))).otherwise(F.concat(F.lit("Battery: 2530\nCharger "), (F.lit(1000) + F.col("s")).cast("string")))
-    return Q.composite_price(t.withColumn("text", text), "id", "text")
+    return Q.composite_price(t, "id", "parts")
 
 
 @query("secondary_prices", "texts", sql="SELECT id, round(price + s * 7.2::DOUBLE + 100 + 50 + 1e-9, 4) AS total FROM texts")

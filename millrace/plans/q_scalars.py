@@ -14,7 +14,17 @@ C = F.col
 _STRIP = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
 
 
-@query("clean_spec", "texts", sql="""SELECT id, CASE id % 6 WHEN 0 THEN 'Motor: ' || s || 'W' || chr(10) || 'Range: 80km' WHEN 1 THEN 'Motor:500W' WHEN 2 THEN 'Standard configuration. Contact us for details.' WHEN 3 THEN 'Size: 1360* (尺寸单位缺失)' WHEN 4 THEN 'Length: 5 -' ELSE 'Color: red' || chr(10) || 'Grade: ' || kind END AS spec FROM texts""")
+def _cleaned(source: str, text: str) -> str:
+    """CTEs that end in cleaned (id, spec): clean_spec in SQL over a text column of source."""
+    return rf"""c1 AS (SELECT id, {_STRIP.format(text)} AS t FROM {source}),
+c2 AS (SELECT id, t, regexp_replace(regexp_replace(replace(replace(replace(translate(t, '：；', ':;'), '::', ':'), ': :', ': '), 'Motorcycle Brand Name', 'Brand Name'), ';\s*([A-Z一-鿿])', chr(10) || '\1', 'g'), ';+$', '') AS s FROM c1),
+c3 AS (SELECT id, t, s, list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') AS ws FROM c2),
+c4 AS (SELECT id, t, CASE WHEN contains(s, chr(10)) OR s = '' THEN s ELSE array_to_string(list_transform(ws, lambda w, i: CASE WHEN i = 1 THEN w WHEN instr(w, ':') > 1 AND regexp_matches(w, '^\pL') AND len(list_filter(ws[1:i - 1], lambda x: instr(x, ':') > 1)) > 0 THEN chr(10) || w ELSE ' ' || w END), '') END AS s FROM c3),
+c5 AS (SELECT id, t, CASE WHEN length(s) < 3 THEN s WHEN regexp_matches(s, '\d+\*\s*$') THEN CASE WHEN ends_with(s, '(尺寸单位缺失)') THEN s ELSE s || ' (尺寸单位缺失)' END WHEN regexp_matches(s, '\*\s*$|-\s+$|[:：]\s*$|,\s*$') THEN CASE WHEN ends_with(s, '(may be incomplete)') THEN s ELSE s || ' (may be incomplete)' END ELSE s END AS s FROM c4),
+cleaned AS (SELECT id, CASE WHEN lower(t) IN ('', 'nan', 'none') THEN 'Standard configuration. Contact us for details.' ELSE array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) END AS spec FROM c5)"""
+
+
+@query("clean_spec", "texts", sql=_cleaned("texts", "spec") + " SELECT id, spec FROM cleaned")
 def clean_spec(t):
     return t.select("id", S.clean_spec(C("spec")).alias("spec"))
 
@@ -24,9 +34,18 @@ def fix_truncated_spec(t):
     return t.select("id", S.fix_truncated_spec(C("spec")).alias("spec"))
 
 
-@query("format_spec", "texts")
+_UNITS = "[" + ", ".join(f"'{u.upper()}'" for u in S.UNITS) + "]"
+
+
+@query("format_spec", "texts", sql=rf"""f1 AS (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, list_filter(list_transform(string_split(spec || chr(10) || packaging || chr(10) || model, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ls FROM texts)),
+f2 AS (SELECT id, i, ls[i] AS line, string_split(regexp_replace(ls[i], '\s+([\w一-鿿]+:)', chr(1) || '\1', 'g'), chr(1)) AS parts, trim(regexp_extract(ls[i], '^([^:：]+)[:：]\s*(.+)$', 1)) AS name, trim(regexp_extract(ls[i], '^([^:：]+)[:：]\s*(.+)$', 2)) AS value, regexp_extract(ls[i], '^(\S+)', 1) AS word, regexp_extract(ls[i], '^\S+\s+(.*)$', 1) AS rest FROM f1),
+f3 AS (SELECT id, i, CASE WHEN name <> '' AND value <> '' AND NOT regexp_matches(value, '[\w一-鿿]+:') THEN [name || ': ' || value]
+  WHEN (name <> '' AND value <> '') OR len(parts) > 1 THEN list_filter(list_transform(parts, lambda p: CASE WHEN trim(regexp_extract(p, '^([^:：]+)[:：]\s*(.+)$', 1)) <> '' AND trim(regexp_extract(p, '^([^:：]+)[:：]\s*(.+)$', 2)) <> '' THEN trim(regexp_extract(p, '^([^:：]+)[:：]\s*(.+)$', 1)) || ': ' || trim(regexp_extract(p, '^([^:：]+)[:：]\s*(.+)$', 2)) END), lambda x: x IS NOT NULL)
+  WHEN regexp_matches(line, '\d') AND len(list_filter({_UNITS}, lambda u: contains(upper(line), u))) > 0 AND NOT regexp_matches(word, '^\d') AND rest <> '' AND (length(rest) > 2 OR regexp_matches(rest, '\d')) THEN [word || ': ' || rest] ELSE [line] END AS made FROM f2),
+f4 AS (SELECT t.id, coalesce(array_to_string(flatten(list(made ORDER BY i)), chr(10)), '') AS raw FROM texts t LEFT JOIN f3 ON f3.id = t.id GROUP BY t.id),
+{_cleaned('f4', 'raw')} SELECT id, spec FROM cleaned""")
 def format_spec(t):
-    return t.select("id", S.format_spec(C("spec")).alias("spec"))
+    return t.select("id", S.format_spec(F.concat_ws("\n", "spec", "packaging", "model")).alias("spec"))
 
 
 @query("clean_spec_text", "texts", sql="SELECT id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(packaging, '\\n+', chr(10), 'g'), ' +', ' ', 'g'), '; +', ';', 'g'), ';', ';' || chr(10)), '^\\s+|\\s+$', '', 'g') AS spec FROM texts")
@@ -34,10 +53,14 @@ def clean_spec_text(t):
     return t.select("id", S.clean_spec_text(C("packaging")).alias("spec"))
 
 
-@query("spec_to_map", "texts", sql="""SELECT id, s || '.5kg' AS gross, CAST(s AS VARCHAR) AS nw, CASE WHEN id % 3 = 0 THEN '0.12m' END AS cbm, CASE WHEN id % 2 = 0 THEN 6 ELSE 4 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS n FROM texts""")
+@query("spec_to_map", "texts", sql=rf"""m1 AS (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT id, flatten(list_transform(string_split_regex(packaging || ';' || spec, '[;\n]'), lambda p: string_split(regexp_replace({_STRIP.format('p')}, '\s+([\w一-鿿]+:)', chr(1) || '\1', 'g'), chr(1)))) AS ps FROM texts)),
+m2 AS (SELECT id, i, trim(regexp_extract(ps[i], '^([^:：]+)[:：]\s*(.+)$', 1)) AS k, trim(regexp_extract(ps[i], '^([^:：]+)[:：]\s*(.+)$', 2)) AS v FROM m1),
+m3 AS (SELECT id, k, arg_max(v, i) AS v FROM m2 WHERE k <> '' AND v <> '' GROUP BY 1, 2)
+SELECT id, string_agg(k || '=' || v, '|' ORDER BY k) AS pairs, count(*) AS n FROM m3 GROUP BY id""")
 def spec_to_map(t):
-    m = S.spec_to_map(C("packaging"))
-    return t.withColumn("m", m).select("id", F.try_element_at("m", F.lit("weight")).alias("gross"), F.try_element_at("m", F.lit("NW")).alias("nw"), F.try_element_at("m", F.lit("CBM")).alias("cbm"), F.size("m").alias("n"))
+    m = S.spec_to_map(F.concat_ws(";", "packaging", "spec"))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return t.withColumn("m", m).where(F.size("m") > 0).select("id", pairs.alias("pairs"), F.size("m").alias("n"))
 
 
 @query("map_to_spec", "texts", sql="SELECT id, 'size: ' || s || '; kind: ' || kind AS spec FROM texts")
@@ -45,10 +68,14 @@ def map_to_spec(t):
     return t.select("id", S.map_to_spec(F.create_map(F.lit("size"), C("s").cast("string"), F.lit("kind"), C("kind"))).alias("spec"))
 
 
-@query("parse_spec_dict", "texts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS n, CAST(s AS VARCHAR) AS weight, CASE WHEN id % 3 = 0 THEN kind END AS grade FROM texts")
+@query("parse_spec_dict", "texts", sql=rf"""p1 AS (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, list_transform(string_split(regexp_replace(translate(fields, '：（）－＂＇', ':()-"' || chr(39)), '\r\n?', chr(10), 'g'), chr(10)), lambda x: {_STRIP.format('x')}) AS ls FROM texts)),
+p2 AS (SELECT id, i, ls[i] AS line, CASE WHEN instr(ls[i], ':') > 0 THEN instr(ls[i], ':') ELSE instr(ls[i], '-') END AS cut FROM p1 WHERE regexp_matches(ls[i], '[:-]')),
+p3 AS (SELECT id, i, trim(substr(line, 1, cut - 1)) AS k, trim(substr(line, cut + 1)) AS v FROM p2),
+p4 AS (SELECT id, k, arg_max(v, i) AS v FROM p3 WHERE k <> '' AND lower(k) NOT IN ('型号', 'model', '价格', 'price', 'name', '名称') GROUP BY 1, 2)
+SELECT id, string_agg(k || '=' || v, '|' ORDER BY k) AS pairs, count(*) AS n FROM p4 GROUP BY id""")
 def parse_spec_dict(t):
-    text = F.concat(F.lit("Model: x\r\nWeight："), C("s").cast("string"), F.when(C("id") % 3 == 0, F.concat(F.lit("\n\nGrade-"), "kind")).otherwise("\nplain"))
-    return t.withColumn("m", S.parse_spec_dict(text)).select("id", F.size("m").alias("n"), F.try_element_at("m", F.lit("Weight")).alias("weight"), F.try_element_at("m", F.lit("Grade")).alias("grade"))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return t.withColumn("m", S.parse_spec_dict(C("fields"))).where(F.size("m") > 0).select("id", pairs.alias("pairs"), F.size("m").alias("n"))
 
 
 @query("serialize_specs", "texts", sql="SELECT id, concat_ws(chr(10), '尺寸: ' || s, 'HTML: ' || nullif(html, ''), CASE WHEN number_text <> '' THEN 'No: ' || number_text END) AS spec FROM texts")
@@ -56,13 +83,38 @@ def serialize_specs(t):
     return t.select("id", S.serialize_specs({"s": "尺寸", "html": "HTML", "number_text": "No"}).alias("spec"))
 
 
-@query("extract_dimensions", "texts", sql="""SELECT id, CASE id % 8 WHEN 0 THEN s * 10.0 WHEN 2 THEN s * 1.0 WHEN 3 THEN round(s * 25.4 + 1e-9, 1) WHEN 4 THEN s * 1.0 WHEN 6 THEN s * 1.0 END::DOUBLE AS length, CASE id % 8 WHEN 0 THEN (s + 5) * 10.0 WHEN 2 THEN 5.0 WHEN 3 THEN round(s * 25.4 + 1e-9, 1) WHEN 4 THEN 20.0 WHEN 6 THEN 7.0 END::DOUBLE AS width,
-  CASE id % 8 WHEN 0 THEN 30.0 WHEN 1 THEN 200.0 WHEN 2 THEN 3.0 WHEN 4 THEN 30.0 END::DOUBLE AS height, CASE id % 8 WHEN 1 THEN s * 10.0 END::DOUBLE AS diameter, CASE id % 8 WHEN 0 THEN 'cm' WHEN 1 THEN 'cm' WHEN 2 THEN 'mm' WHEN 3 THEN 'inch' WHEN 4 THEN 'mm' WHEN 6 THEN 'mm' END AS unit FROM texts""")
+def _sized() -> str:
+    """The first pattern that fits and its groups, in SQL: sizes in mm by unit."""
+    quoted = {n: getattr(S, n).replace("'", "''") for n in ("LWH", "DIA", "LABEL", "FLAT")}
+    group = lambda n, i: f"nullif(regexp_extract(t, '{quoted[n]}', {i}), '')"
+    unit = {n: "lower(coalesce(" + ", ".join(group(n, i) for i in gs) + "))" for n, gs in (("LWH", (2, 6)), ("DIA", (2, 4)), ("LABEL", (2, 4, 6)), ("FLAT", (2, 4)))}
+    places = {"length": {"LWH": 1, "LABEL": 1, "FLAT": 1}, "width": {"LWH": 3, "LABEL": 3, "FLAT": 3}, "height": {"LWH": 5, "DIA": 3, "LABEL": 5}, "diameter": {"DIA": 1}}
+    fits = "CASE " + " ".join(f"WHEN regexp_matches(t, '{quoted[n]}') THEN '{n}'" for n in quoted) + " END"
+    units = "CASE fit " + " ".join(f"WHEN '{n}' THEN {u}" for n, u in unit.items()) + " END"
+    values = ", ".join("CASE fit " + " ".join(f"WHEN '{n}' THEN TRY_CAST({group(n, i)} AS DOUBLE)" for n, i in by.items()) + f" END AS {name}" for name, by in places.items())
+    mm = ", ".join(f"round({name} * CASE unit WHEN 'cm' THEN 10.0::DOUBLE WHEN 'inch' THEN 25.4::DOUBLE ELSE 1.0::DOUBLE END + 1e-9, 1) AS {name}" for name in places)
+    known = "CASE WHEN fit IS NULL THEN NULL WHEN u IN ('cm', 'c') THEN 'cm' WHEN u IN ('inch', 'in', '\"', chr(39) || chr(39)) THEN 'inch' WHEN u IN ('m', 'mm') THEN 'mm' ELSE coalesce(u, 'mm') END"
+    return f"""d1 AS (SELECT id, {_STRIP.format('dims')} AS t FROM texts), d2 AS (SELECT *, {fits} AS fit FROM d1), d3 AS (SELECT *, {units} AS u, {values} FROM d2), d4 AS (SELECT *, {known} AS unit FROM d3)
+SELECT id, {mm}, unit FROM d4"""
+
+
+@query("extract_dimensions", "texts", sql=_sized())
 def extract_dimensions(t):
     return t.withColumn("d", S.extract_dimensions(C("dims"))).select("id", "d.length", "d.width", "d.height", "d.diameter", "d.unit")
 
 
-@query("packaging_fields", "texts", sql="""SELECT id, s || 'x20x30' AS carton_size, CASE WHEN id % 2 = 0 THEN 7.0 ELSE s + 0.5 END::DOUBLE AS gross_weight, s::DOUBLE AS net_weight, CASE WHEN id % 3 = 0 THEN 0.12 ELSE 0 END::DOUBLE AS cbm, s AS units_per_carton, CASE WHEN id % 2 = 0 THEN 'box' ELSE '' END AS packing_type FROM texts""")
+def _packed(name: str, value: str = "v", usable: str = "true") -> str:
+    """The last value of a packaging field, in SQL over pairs (k, v)."""
+    return f"list_filter(pairs, lambda p: len(list_filter({list(S.PACKAGING[name])}, lambda w: contains(p.k, w))) > 0 AND ({usable}))[-1].v"
+
+
+_NUMBER = "TRY_CAST(nullif(regexp_replace({0}, '[^\\d.]', '', 'g'), '') AS DOUBLE)"
+_WHOLE = "TRY_CAST(nullif(regexp_replace({0}, '[^\\d]', '', 'g'), '') AS INT)"
+
+
+@query("packaging_fields", "texts", sql=f"""k1 AS (SELECT id, list_transform(list_filter(list_transform(string_split_regex(packaging, '[;\\n]'), lambda p: {_STRIP.format('p')}), lambda p: contains(p, ':')), lambda p: {{'k': lower(trim(substr(p, 1, instr(p, ':') - 1))), 'v': trim(substr(p, instr(p, ':') + 1))}}) AS pairs FROM texts)
+SELECT id, coalesce({_packed('carton_size')}, '') AS carton_size, coalesce({_NUMBER.format(_packed('gross_weight', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) AS gross_weight, coalesce({_NUMBER.format(_packed('net_weight', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) AS net_weight,
+  coalesce({_NUMBER.format(_packed('cbm', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) AS cbm, coalesce({_WHOLE.format(_packed('units_per_carton', usable=_WHOLE.format('p.v') + ' IS NOT NULL'))}, 0) AS units_per_carton, coalesce({_packed('packing_type')}, '') AS packing_type FROM k1""")
 def packaging_fields(t):
     return t.withColumn("p", S.packaging_fields(C("packaging"))).select("id", "p.*")
 
@@ -132,56 +184,71 @@ def sanitize_products(t):
     return t.select("id", G.escape_html(C("html")).alias("html"), G.sanitized_number(C("number_text")).alias("number"))
 
 
-def _zh():
-    return F.when(C("id") % 3 == 0, F.concat(F.lit("红色 锂电池 ABC\nred "), "name", F.lit("\n  \n"))).when(C("id") % 3 == 1, F.lit("型号 EV12价格")).otherwise(C("name"))
-
+_LINES = "list_filter(list_transform(string_split(zh, chr(10)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '' AND {0} regexp_matches(x, '[一-鿿]'))"
 
 
-@query("filter_by_lang", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN '红色 锂电池 ABC' WHEN 1 THEN '型号 EV12价格' ELSE '' END AS chinese, CASE id % 3 WHEN 0 THEN 'red ' || name WHEN 1 THEN '' ELSE name END AS english FROM texts")
+@query("filter_by_lang", "texts", sql=f"SELECT id, array_to_string({_LINES.format('')}, chr(10)) AS chinese, array_to_string({_LINES.format('NOT')}, chr(10)) AS english FROM texts")
 def filter_by_lang(t):
-    return t.select("id", G.lines_of(_zh(), True).alias("chinese"), G.lines_of(_zh(), False).alias("english"))
+    return t.select("id", G.lines_of(C("zh"), True).alias("chinese"), G.lines_of(C("zh"), False).alias("english"))
 
 
-@query("is_mostly_english", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 5 / (13 + length(replace(name, ' ', '')) + 2)::DOUBLE < 0.2 WHEN 1 THEN false ELSE true END AS english FROM texts WHERE id % 3 > 0")
+@query("is_mostly_english", "texts", sql="x AS (SELECT id, t, length(replace(t, ' ', '')) AS n, length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS cjk FROM (SELECT id, unnest([zh, zh || name, html]) AS t, unnest([0, 1, 2]) AS part FROM texts)) SELECT id, sum(CASE WHEN coalesce(t, '') = '' THEN 0 WHEN n = 0 THEN 1 WHEN cjk / n::DOUBLE < 0.2 THEN 1 ELSE 0 END)::BIGINT AS english FROM x GROUP BY id")
 def is_mostly_english(t):
-    return t.where("id % 3 > 0").select("id", G.is_mostly_english(_zh()).alias("english"))
+    """How many of three texts of a row are."""
+    one = lambda c: G.is_mostly_english(c).cast("long")
+    return t.select("id", (one(C("zh")) + one(F.concat("zh", "name")) + one(C("html"))).alias("english"))
 
 
-@query("payment_by_lang", "texts", sql="SELECT id, CASE WHEN id % 2 = 0 THEN '付款 ' || s ELSE '付款' END AS zh, CASE WHEN id % 2 = 0 THEN 'Terms of payment: T/T ' || name ELSE '付款' END AS en FROM texts")
+_TERMS = "(?is)^(.*?)(?:Terms?\\s*of\\s*payment|Payment\\s*Terms?)\\s*:(.*)$"
+
+
+@query("payment_by_lang", "texts", sql=f"SELECT id, CASE WHEN regexp_matches(pay, '{_TERMS}') THEN trim(regexp_extract(pay, '{_TERMS}', 1)) ELSE pay END AS zh, CASE WHEN regexp_matches(pay, '{_TERMS}') THEN 'Terms of payment: ' || trim(regexp_extract(pay, '{_TERMS}', 2)) ELSE pay END AS en FROM texts")
 def payment_by_lang(t):
-    text = F.when(C("id") % 2 == 0, F.concat(F.lit("付款 "), C("s").cast("string"), F.lit("  payment terms : T/T "), "name")).otherwise("付款")
-    return t.select("id", G.payment_by_lang(text, "chinese").alias("zh"), G.payment_by_lang(text, "english").alias("en"))
+    return t.select("id", G.payment_by_lang(C("pay"), "chinese").alias("zh"), G.payment_by_lang(C("pay"), "english").alias("en"))
+
 
+_SEPARATOR = "CASE WHEN contains({0}, '<br>') THEN '<br>' WHEN contains({0}, '/') THEN '/' WHEN contains({0}, '；') THEN '；' WHEN contains({0}, ';') THEN ';' ELSE chr(1) END"
 
-@query("split_bilingual", "texts", sql="SELECT id, CASE WHEN id % 2 = 0 THEN '名' ELSE name END AS zh, name AS en FROM texts")
+
+@query("split_bilingual", "texts", sql=f"x AS (SELECT id, trim(pair) AS t FROM texts) SELECT id, trim(string_split(t, {_SEPARATOR.format('t')})[1]) AS zh, trim(string_split(t, {_SEPARATOR.format('t')})[-1]) AS en FROM x")
 def split_bilingual(t):
-    text = F.when(C("id") % 2 == 0, F.concat(F.lit("名 / "), "name")).otherwise(C("name"))
-    return t.select("id", G.split_bilingual(text).alias("zh"), G.split_bilingual(text, "en").alias("en"))
+    return t.select("id", G.split_bilingual(C("pair")).alias("zh"), G.split_bilingual(C("pair"), "en").alias("en"))
 
 
-@query("clean_column_name", "texts", sql="SELECT id, 'Price ' || kind AS name FROM texts")
+@query("clean_column_name", "texts", sql=f"x AS (SELECT id, trim(head) AS t FROM texts) SELECT id, trim(regexp_replace(regexp_replace(trim(string_split(t, {_SEPARATOR.format('t')})[1]), '(?i)\\((CNY|RMB|USD|\\$|未含电池|含电池|不含电池|kW|W|V|A|kg|L|mm)\\)', '', 'g'), '\\s+', ' ', 'g')) AS name, trim(regexp_replace(regexp_replace(trim(string_split(t, {_SEPARATOR.format('t')})[-1]), '(?i)\\((CNY|RMB|USD|\\$|未含电池|含电池|不含电池|kW|W|V|A|kg|L|mm)\\)', '', 'g'), '\\s+', ' ', 'g')) AS en FROM x")
 def clean_column_name(t):
-    return t.select("id", G.clean_column_name(F.concat(F.lit("  Price (USD)  "), "kind", F.lit(" (kg)"))).alias("name"))
+    return t.select("id", G.clean_column_name(C("head")).alias("name"), G.clean_column_name(C("head"), "en").alias("en"))
 
 
-@query("fix_fullwidth", "texts", sql="SELECT id, 'a:(' || s || ')-' AS text FROM texts")
+@query("fix_fullwidth", "texts", sql="SELECT id, CASE WHEN length(wide) < 2 THEN wide ELSE replace(replace(replace(replace(replace(replace(wide, '：', ':'), '（', '('), '）', ')'), '－', '-'), '＂', '\"'), '＇', chr(39)) END AS text FROM texts")
 def fix_fullwidth(t):
-    return t.select("id", G.fix_fullwidth(F.concat(F.lit("a：（"), C("s").cast("string"), F.lit("）－"))).alias("text"))
+    return t.select("id", G.fix_fullwidth(C("wide")).alias("text"))
+
 
+#: A code among the words shows what protection does.
+_DICTIONARY = G.WORDS | {"ABC": "alphabet"}
 
-@query("translate_text", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
+
+def _replaced(expression: str) -> str:
+    for old, new in G.longest_first(_DICTIONARY):
+        expression = f"replace({expression}, '{old}', '{new}')"
+    return expression
+
+
+@query("translate_text", "texts", sql=f"SELECT id, {_replaced('zh')} AS en FROM texts")
 def translate_text(t):
-    return G.translate_column(t.withColumn("zh", _zh()), "zh", "en").select("id", "en")
+    return G.translate_column(t, "zh", "en", _DICTIONARY).select("id", "en")
 
 
-@query("translate_protected", "texts", sql="SELECT id, CASE id % 3 WHEN 0 THEN 'Red Lithium Battery ABC' || chr(10) || 'red ' || name || chr(10) || '  ' || chr(10) WHEN 1 THEN 'Model EV12Price' ELSE name END AS en FROM texts")
+@query("translate_protected", "texts", sql=f"""x AS (SELECT id, list_transform(string_split_regex(zh, '\\b[A-Z]{{2,5}}\\d*\\b'), lambda p: {_replaced('p')}) AS between, regexp_extract_all(zh, '\\b[A-Z]{{2,5}}\\d*\\b') AS codes FROM texts)
+SELECT id, array_to_string(list_transform(between, lambda p, i: p || coalesce(codes[i], '')), '') AS en FROM x""")
 def translate_protected(t):
-    return G.translate_column(t.withColumn("zh", _zh()), "zh", "en", protect=True).select("id", "en")
+    return G.translate_column(t, "zh", "en", _DICTIONARY, protect=True).select("id", "en")
 
 
-@query("translate_frame", "texts", sql="SELECT id, 'Red' AS \"Color\", kind FROM texts")
+@query("translate_frame", "texts", sql=f"SELECT id, {_replaced('zh').replace(chr(39) + 'ABC' + chr(39), chr(39) + chr(1) + chr(39))} AS \"Color\", kind, s FROM texts")
 def translate_frame(t):
-    return G.translate_frame(t.select("id", F.lit("红色").alias("颜色"), "kind"))
+    return G.translate_frame(t.select("id", C("zh").alias("颜色"), "kind", "s"), _DICTIONARY)
 
 
 @query("bilingual_text", "texts", sql="SELECT id, CASE WHEN id % 3 = 0 THEN name ELSE kind || ' / ' || name END AS text FROM texts")
@@ -189,6 +256,15 @@ def bilingual_text(t):
     return t.select("id", G.bilingual_text(F.when(C("id") % 3 == 0, C("name")).otherwise(C("kind")), C("name")).alias("text"))
 
 
-@query("amount_in_words", "texts")
+def _words(n: str) -> str:
+    """A number below 1000 in words, in SQL."""
+    ones, tens = str(G.ONES), str(G.TENS)
+    small = f"CASE WHEN {n} % 100 >= 20 THEN concat_ws(' ', {tens}[{n} % 100 // 10 + 1], nullif({ones}[{n} % 10 + 1], '')) ELSE {ones}[{n} % 100 + 1] END"
+    return f"concat_ws(' ', CASE WHEN {n} >= 100 THEN {ones}[{n} // 100 + 1] || ' HUNDRED' END, nullif({small}, ''))"
+
+
+@query("amount_in_words", "texts", sql=f"""a AS (SELECT id, round(price * id + 1e-9, 2) AS x FROM texts), b AS (SELECT id, x, CAST(floor(x) AS BIGINT) AS w, CAST(round((x - floor(x)) * 100) AS INT) AS c FROM a),
+d AS (SELECT *, w // 1000000 AS m, w % 1000000 // 1000 AS t, w % 1000 AS r FROM b)
+SELECT id, CASE WHEN x = 0 THEN 'ZERO USD' ELSE concat_ws(' ', CASE WHEN m > 0 THEN {_words('m')} || ' MILLION' END, CASE WHEN t > 0 THEN {_words('t')} || ' THOUSAND' END, CASE WHEN r > 0 THEN {_words('r')} END) || CASE WHEN c > 0 THEN ' AND CENTS ' || lpad(CAST(c AS VARCHAR), 2, '0') || '/100' ELSE '' END || ' USD ONLY.' END AS words FROM d""")
 def amount_in_words(t):
     return t.select("id", G.amount_in_words(rounded(C("price") * C("id"), 2)).alias("words"))
