@@ -10,55 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.models import count_cjk, is_valid_model
 from ..functions.prices import blank, clean_price_text
+from .header_words import DOCUMENT_LINES, HEADER_PARTS, HEADER_WORDS, NON_PRODUCT, ORDER_NUMBER, PRICE_WORDS, ROLES, SKIP_WORDS, SKIPPED, STRONG_MODEL, STRONG_SPEC
 
 SHEET = ["file", "sheet"]
 C = F.col
-#: Fixed header words by role, asked in this order; the longer lists are the caller's.
-ROLES = {
-    "model": ["型号", "货号", "编码", "model", "part no", "sku", "item no", "item code"],
-    "spec": ["规格", "spec", "参数", "尺寸", "description", "size", "material"],
-    "name": ["产品名称", "品名", "名称", "product", "name"],
-    "price": ["价格", "单价", "报价", "price", "cost", "fob", "exw", "cif", "rmb"],
-    "qty": ["数量", "qty", "quantity", "moq", "pcs"],
-    "packing": ["包装", "packing", "package", "carton", "cbm", "weight"],
-    "category": ["类别", "分类", "category", "type", "grade"],
-    "remark": ["备注", "remark", "note"],
-}
-SKIPPED = ["图片", "photo", "image", "picture", "序号", "serial"]
-PRICE_HEADS = ["price", "单价", "价格", "fob", "exw", "报价"]
-#: Fixed patterns of lines that are no products.
-NON_PRODUCT = (
-    r"^(contract|seller|buyer|payment|shipping|delivery|transshipment|remarks?|note|terms|conditions?|address|tel[.:\s]|fax[.:\s]|email|phone|website|bank|account|beneficiary|swift|contact|signature|date|invoice|validity|description)",
-    r"^(total\s+amount|total\s+payment|grand\s+total|sub\s*total|total\s*[:：]|总计金额|合计金额)",
-    r"^\d+[.、\s]\s*(transshipment|payment|delivery|packing|insurance|bank|inspection|arbitration|force\s*majeure|shipping|terms?|conditions?|warranty|validity|quality|port|brand|motorcycle|e[\-\s]?bike|destination|notice|handling)",
-    r"^(合同|卖方|买方|付款|交货|运输|包装|条款|备注|说明|地址|电话|邮箱|日期|受益|银行|账户|签名|签字|合计|总计|金额|小计|编号|序号)",
-    r"^(¥|\$|eur|usd|cny)\s*[\d,]+",
-    r"^(company|supplier|customer|buyer|seller)(\s|$)",
-    r"^(proforma\s+invoice|sales\s+contract|to\s*:|the\s+(seller|buyer)|sign(ed|ature)|date\s+of\s+)",
-    r"^(sign(ed|ature)?|approv(ed|al)?|authoriz(ed|ation)?|seal|stamp|公章|签字|签名|盖章|审批)",
-    r"^(contract\s*no|order\s*no|po\s*no|invoice\s*no|ref\s*no|payment\s*no|shipment\s*no|delivery\s*no|doc\s*no|quotation\s*no|quote\s*no)\s*[:\-.]?\s*[\w\-]+",
-    r"^(PO|SO|CO|DO|WO|IV|INV|CT|CN|QT|RFQ|PI|DN|GRN)[\d\-]{8,20}$",
-    r"^(packing\s*(list|detail|info)|装箱(单|明细|清单))",
-    r"^(notify\s+party|consignee|carrier|forwarder|agent)",
-    r"^(test\s+report|inspection\s+report|certificate\s+of)",
-    r"^(country\s+of\s+origin|made\s+in|原产地|manufacturer)",
-    r"^(仲裁|保险|商检|产地证|原产地|信用证|l/?c|t/?t|不可抗力)",
-    r"^(产品_r\d+|商品_×\d+)$",
-)
-DOCUMENT_LINES = (
-    r"^(contract|order|po|p\.?o\.?|invoice|quote|ref|reference|date|payment|delivery|shipment|document|doc)(\s*(no|#|number|\.?))?\s*[:\-\.]?\s*[\w\-\d]+",
-    r"^(payment|delivery|shipment|shipping|port\s+of|discharge|loading)\s",
-    r"^(seller|buyer|supplier|customer|consignee|notify\s+party)\s*[:\-]",
-    r"^(marks?\s*(&|\s*no|\s*#)|shipping\s*mark|container\s*(no|#))",
-    r"^(proforma|commercial)\s+(invoice|inv)",
-    r"^(total\s+amount|total\s+payment|grand\s+total|总计金额|合计金额|total\s*[:：])",
-    r"^(sign(ed|ature)?|approv(ed|al)?|authoriz(ed|ation)?|seal|stamp|公章|签字|签名|盖章|审批)",
-    r"^(packing\s*(list|detail|info)|装箱(单|明细|清单)|mark\s*(nos?|#))",
-)
-SKIP_WORDS = ["条款", "备注", "说明", "合计", "total", "subtotal", "小计", "汇总", "总计", "报关", "合同", "header", "warranty", "oem", "validity", "payment", "包邮", "执行"]
-
-
-def any_of(text: Column, words: list[str]) -> Column:
+#: Words by which a layout is told.
+PRICE_HEADS = ("price", "单价", "价格", "fob", "exw", "报价")
+
+
+def any_of(text: Column, words) -> Column:
     return reduce(or_, (text.contains(w) for w in words), F.lit(False))
 
 
@@ -89,7 +49,7 @@ def is_product_row(first: Column, qty: Column, price: Column) -> Column:
     skip = any_of(low, SKIP_WORDS) | (f.rlike(r"^\d+") & any_of(low, ["以下", "以上", "包邮", "执行"]))
     shape = (f.rlike(r"[（(][^）)]*[)）]") & (F.length(f) < 60)) | f.rlike(r"[A-Za-z]+[\d\-/]+") | f.rlike(r"[A-Z][a-z]+\s[A-Z][a-z]+")
     return (
-        F.when((f == "") | (F.length(f) > 200) | matches(blank(low), DOCUMENT_LINES), False).when(code, ~f.rlike(r"(?i)^(PO|SO|CO|DO|WO|IV|INV|CT|CN|QT|RFQ|PI|DN|GRN)[\d\-]{6,15}$"))
+        F.when((f == "") | (F.length(f) > 200) | matches(blank(low), DOCUMENT_LINES), False).when(code, ~f.rlike("(?i)" + ORDER_NUMBER))
         .when(clean_price_text(price) > 0, True).when((number > 0) & (F.length(f) < 100), True).when(skip, False).otherwise(shape)
     )
 
@@ -100,33 +60,66 @@ def wide(cells: DataFrame, columns: dict[int, str]) -> DataFrame:
 
 
 def header_row(cells: DataFrame, first_rows: int = 29) -> DataFrame:
-    """Per sheet the row that looks most like a header."""
-    low, full = F.lower(blank(C("value"))), blank(C("value")) != ""
-    words = [w for ws in ROLES.values() for w in ws]
-    point = F.when(low.isin(words), 2).when(any_of(low, ["model", "name", "price", "spec", "qty", "规格", "型号"]), 1).otherwise(0) + F.when(any_of(low, PRICE_HEADS), F.when(C("row_no") <= 15, 10).otherwise(3)).otherwise(0)
-    long = F.length(blank(C("value"))) > 30
-    r = cells.where(C("row_no").between(1, first_rows) & full).groupBy(*SHEET, "row_no").agg(F.sum(point).alias("points"), F.count(F.lit(1)).alias("cells"), F.sum(F.when(long, 3).otherwise(0)).alias("off"))
-    score = (C("points") - C("off")) * F.when((C("cells") <= 2) & (C("off") > 0), 0.3).otherwise(1.0)
-    r = r.withColumn("score", score)
+    """Per sheet the row that looks most like a header: the first one below the top with 10 points and 3 cells, else the
+    first of the best with 2 points, else the top one. Sheets without cells in those rows have none."""
+    value = blank(C("value"))
+    low = F.lower(value)
+    word = F.when(low.isin(*HEADER_WORDS), 2).when(any_of(low, HEADER_PARTS), 1).otherwise(0)
+    price = F.when(any_of(low, PRICE_WORDS), F.when(C("row_no") <= 15, 10).otherwise(3)).otherwise(0)
+    r = cells.where(C("row_no").between(1, first_rows) & (value != "")).groupBy(*SHEET, "row_no")
+    r = r.agg(F.sum(word + price).alias("points"), F.count(F.lit(1)).alias("cells"), F.sum(F.when(F.length(value) > 30, 3).otherwise(0)).alias("off"))
+    r = r.withColumn("score", (C("points") - C("off")) * F.when((C("cells") <= 2) & (C("off") > 0), 0.3).otherwise(1.0))
     sure = F.min(F.when((C("row_no") > 1) & (C("score") >= 10) & (C("cells") >= 3), C("row_no")))
     best = F.max_by("row_no", F.struct("score", -C("row_no")))
     return r.groupBy(*SHEET).agg(F.coalesce(sure, F.when(F.max("score") >= 2, best), F.lit(1)).alias("header"))
 
 
-def header_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Per sheet the column of each role: columns from the left, each taking the first open role whose words it has."""
-    text = F.lower(blank(C("value")))
-    hits = F.array(*[any_of(text, words) for words in ROLES.values()])
-    h = cells.join(headers, SHEET).where((C("row_no") == C("header")) & (text != "") & ~any_of(text, SKIPPED))
-    heads = h.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col_no", hits.alias("hits")))).alias("heads"))  # one header row, 60 columns at most
-    start = F.array(*[F.lit(None).cast("int") for _ in ROLES])
+def column_facts(cells: DataFrame, headers: DataFrame, most: int = 60) -> DataFrame:
+    """Per column up to the 60th: its header in lower case, whether it is a serial number or formulas, how many of the
+    next cells look like models, whether a number follows."""
+    v = blank(C("value"))
+    below = C("row_no") - C("header")
+    count = lambda x: F.count(F.when(x, 1))
+    full, top = v != "", C("row_no").between(1, 20) & (v != "")
+    model = v.rlike(r"^[A-Za-z0-9][A-Za-z0-9\-_\./]+$") & ~v.rlike(r"^\d+$")
+    c = cells.where(C("col_no") <= most).join(headers, SHEET).groupBy(*SHEET, "col_no").agg(
+        F.max(F.when(below == 0, F.lower(v))).alias("head"), count(top).alias("top"), count(top & v.rlike(r"^\d{1,4}$") & (v.try_cast("int") >= 1)).alias("serials"),
+        count(full & below.between(1, 15)).alias("next"), count(below.between(1, 15) & v.startswith("=")).alias("formulas"),
+        count(full & below.between(1, 9)).alias("contents"), count(below.between(1, 9) & model).alias("models"), F.coalesce(F.max(below.between(1, 4) & v.try_cast("double").isNotNull()), F.lit(False)).alias("number"),
+    )
+    serial = (C("top") >= 3) & (C("serials") >= 0.8 * C("top"))
+    formula = (C("next") >= 3) & (C("formulas") >= 0.5 * C("next"))
+    return c.select(*SHEET, "col_no", F.coalesce("head", F.lit("")).alias("head"), serial.alias("serial"), formula.alias("formula"), "contents", "models", "number")
+
+
+def header_mapping(cells: DataFrame, headers: DataFrame, roles: dict = ROLES) -> DataFrame:
+    """Per sheet the column of each role: columns from the left, each taking the first open role whose words it has.
+
+    Image and serial columns, and those of formulas, have none; a column of serial numbers is neither model nor name; a
+    header with a strong word for specifications is no model. Without a name column the model column is it. Without a
+    model column it is the one of most cells like models, if those are half; without a price column the first one left
+    with a number."""
+    c, head = column_facts(cells, headers), C("head")
+    hit = {role: any_of(head, words) for role, words in roles.items()}
+    hit["model"] = hit["model"] & ~C("serial") & ~(hit["spec"] & any_of(head, STRONG_SPEC) & ~any_of(head, STRONG_MODEL))
+    hit["name"] = hit["name"] & ~C("serial")
+    usable = (head != "") & ~any_of(head, SKIPPED) & ~C("formula")
+    c = c.withColumn("hits", F.array(*[usable & hit[r] for r in roles]))
+    heads = c.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col_no", "hits", "contents", "models", "number"))).alias("heads"))  # 60 columns at most
+    start = F.array(*[F.lit(None).cast("int") for _ in roles])
 
     def step(taken: Column, x: Column) -> Column:
         role = F.array_position(F.transform(taken, lambda c, i: c.isNull() & F.get(x["hits"], i)), True) - 1
         return F.transform(taken, lambda c, i: F.when(i == role, x["col_no"]).otherwise(c))
 
     heads = heads.withColumn("m", F.aggregate("heads", start, step))
-    return heads.select(*SHEET, *[F.get("m", i).alias(role) for i, role in enumerate(ROLES)])
+    heads = heads.select(*SHEET, "heads", *[F.get("m", i).alias(role) for i, role in enumerate(roles)])
+    alike = F.filter("heads", lambda x: (x["col_no"] <= 30) & (x["contents"] >= 2) & (x["models"] > 0) & (x["models"] >= 0.5 * x["contents"]))
+    best = F.array_max(F.transform(alike, lambda x: F.struct(x["models"].alias("n"), (-x["col_no"]).alias("place"))))
+    heads = heads.withColumns({"name": F.coalesce("name", "model"), "model": F.coalesce(C("model"), -best["place"])})
+    taken = F.array(*[C(r) for r in ("model", "spec", "name", "price", "qty", "packing", "category", "remark") if r in roles])
+    numbers = F.filter("heads", lambda x: x["number"] & ~F.coalesce(F.array_contains(F.array_compact(taken), x["col_no"]), F.lit(False)))
+    return heads.withColumn("price", F.coalesce(C("price"), F.get(numbers, 0)["col_no"])).select(*SHEET, *roles)
 
 
 def sheet_currency(cells: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
+from ..operators import header_words as W
 from .registry import query
 
 C = F.col
@@ -16,38 +17,74 @@ def body(c):
     return G.wide(c, COLS).where("row_no > 3")
 
 
-@query("header_row", "cells", sql="SELECT DISTINCT file, sheet, 3 AS header FROM cells")
+def _any(words, text: str) -> str:
+    """Whether text holds one of the words, in SQL."""
+    return f"(len(list_filter({list(words)}, lambda w: contains({text}, w))) > 0)"
+
+
+_HEADERS = f"""h1 AS (SELECT file, sheet, row_no, trim(value) AS v, lower(trim(value)) AS low FROM sheets WHERE row_no BETWEEN 1 AND 29 AND trim(value) <> ''),
+h2 AS (SELECT file, sheet, row_no, count(*) AS n, sum(CASE WHEN length(v) > 30 THEN 3 ELSE 0 END) AS off, sum(CASE WHEN list_contains({list(W.HEADER_WORDS)}, low) THEN 2 WHEN {_any(W.HEADER_PARTS, 'low')} THEN 1 ELSE 0 END + CASE WHEN {_any(W.PRICE_WORDS, 'low')} THEN CASE WHEN row_no <= 15 THEN 10 ELSE 3 END ELSE 0 END) AS points FROM h1 GROUP BY ALL),
+h3 AS (SELECT *, (points - off) * CASE WHEN n <= 2 AND off > 0 THEN 0.3::DOUBLE ELSE 1 END AS score FROM h2),
+heads AS (SELECT file, sheet, coalesce(min(row_no) FILTER (row_no > 1 AND score >= 10 AND n >= 3), CASE WHEN max(score) >= 2 THEN arg_max(row_no, score * 1000 - row_no) END, 1) AS header FROM h3 GROUP BY ALL)"""
+_HITS = {r: _any(ws, "head") for r, ws in W.ROLES.items()}
+_HITS["model"] += f" AND NOT serial AND NOT ({_HITS['spec']} AND {_any(W.STRONG_SPEC, 'head')} AND NOT {_any(W.STRONG_MODEL, 'head')})"
+_HITS["name"] += " AND NOT serial"
+_N = len(W.ROLES)
+#: Columns taken one by one, from the left, by a recursion over their places.
+_MAPPED = f"""{_HEADERS},
+f1 AS (SELECT s.file, s.sheet, col_no, row_no, row_no - header AS below, trim(value) AS v FROM sheets s JOIN heads USING (file, sheet)),
+f2 AS (SELECT file, sheet, col_no, coalesce(max(lower(v)) FILTER (below = 0), '') AS head, count(*) FILTER (row_no BETWEEN 1 AND 20 AND v <> '') AS top, count(*) FILTER (row_no BETWEEN 1 AND 20 AND regexp_matches(v, '^\\d{{1,4}}$') AND TRY_CAST(v AS INT) >= 1) AS serials,
+  count(*) FILTER (v <> '' AND below BETWEEN 1 AND 15) AS next, count(*) FILTER (v LIKE '=%' AND below BETWEEN 1 AND 15) AS formulas, count(*) FILTER (v <> '' AND below BETWEEN 1 AND 9) AS contents,
+  count(*) FILTER (below BETWEEN 1 AND 9 AND regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\\-_\\./]+$') AND NOT regexp_matches(v, '^\\d+$')) AS models, count(*) FILTER (below BETWEEN 1 AND 4 AND TRY_CAST(v AS DOUBLE) IS NOT NULL) > 0 AS number FROM f1 GROUP BY ALL),
+f3 AS (SELECT *, top >= 3 AND serials >= 0.8 * top AS serial, next >= 3 AND formulas >= 0.5 * next AS formula FROM f2),
+f4 AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY col_no) AS pos, head <> '' AND NOT {_any(W.SKIPPED, 'head')} AND NOT formula AS usable, [{', '.join(_HITS.values())}] AS hits FROM f3),
+m AS (SELECT file, sheet, 0 AS pos, list_transform(range({_N}), lambda x: CAST(NULL AS INT)) AS taken FROM heads
+  UNION ALL SELECT m.file, m.sheet, f4.pos, list_transform(range(1, {_N + 1}), lambda i: CASE WHEN usable AND i = list_position(list_transform(range(1, {_N + 1}), lambda j: taken[j] IS NULL AND hits[j]), true) THEN col_no ELSE taken[i] END) FROM m JOIN f4 ON f4.file = m.file AND f4.sheet = m.sheet AND f4.pos = m.pos + 1),
+z AS (SELECT file, sheet, arg_max(taken, pos) AS t FROM m GROUP BY ALL),
+y AS (SELECT z.*, coalesce(t[1], (SELECT arg_max(col_no, models * 100 - col_no) FROM f4 WHERE f4.file = z.file AND f4.sheet = z.sheet AND col_no <= 30 AND contents >= 2 AND models > 0 AND models >= 0.5 * contents)) AS model, coalesce(t[3], t[1]) AS name FROM z),
+mapped AS (SELECT file, sheet, model, t[2] AS spec, name, coalesce(t[4], (SELECT min(col_no) FROM f4 WHERE f4.file = y.file AND f4.sheet = y.sheet AND number AND NOT coalesce(list_contains([model, name] || t[2:2] || t[4:8], col_no), false))) AS price, {', '.join(f't[{i}] AS {r}' for i, r in enumerate(W.ROLES, 1) if i > 4)} FROM y)"""
+
+
+@query("header_row", "sheets", sql=f"{_HEADERS} SELECT * FROM heads")
 def header_row(c):
     return G.header_row(c)
 
 
-@query("header_mapping", "cells", sql="SELECT DISTINCT file, sheet, 1 AS model, 3 AS spec, 2 AS name, 4 AS price, CAST(NULL AS INT) AS qty, CAST(NULL AS INT) AS packing, CAST(NULL AS INT) AS category, CAST(NULL AS INT) AS remark FROM cells")
+@query("header_mapping", "sheets", sql=f"{_MAPPED} SELECT * FROM mapped")
 def header_mapping(c):
     return G.header_mapping(c, G.header_row(c))
 
 
-@query("sheet_currency", "cells", sql="SELECT file, sheet, CASE WHEN max(contains(lower(value), 'fob')) THEN 'USD' ELSE 'CNY' END AS currency FROM cells WHERE row_no = 3 GROUP BY ALL")
+@query("sheet_currency", "sheets", sql=f"""{_MAPPED} SELECT s.file, s.sheet, CASE WHEN max(CASE WHEN s.row_no = h.header THEN {_any(('usd', '$', 'fob', 'cif', 'cfr', 'dap', 'ddp'), 'lower(value)')} ELSE {_any(('$', 'usd'), 'lower(value)')} END) THEN 'USD' ELSE 'CNY' END AS currency
+FROM sheets s JOIN heads h USING (file, sheet) JOIN mapped p ON p.file = s.file AND p.sheet = s.sheet AND p.price = s.col_no WHERE s.row_no BETWEEN h.header AND h.header + 4 GROUP BY ALL""")
 def sheet_currency(c):
     h = G.header_row(c)
     return G.sheet_currency(c, h, G.header_mapping(c, h))
 
 
-@query("column_roles", "cells", sql="""v AS (SELECT file, sheet, col_no, trim(value) AS v FROM cells WHERE row_no > 3 AND trim(value) <> ''),
+@query("column_roles", "sheets", sql=f"""{_HEADERS},
+v AS (SELECT file, sheet, col_no, trim(value) AS v FROM sheets JOIN heads USING (file, sheet) WHERE row_no > header AND trim(value) <> ''),
 g AS (SELECT file, sheet, col_no, count(*) AS total, 2 * count(*) FILTER (regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\\-_\\./\\+]+$') AND NOT regexp_matches(v, '^[\\d,]+(?:\\.\\d+)?$') AND length(v) < 30) AS model,
-  count(*) FILTER (TRY_CAST(replace(regexp_extract(v, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) BETWEEN 0.011 AND 999999) AS price, count(*) FILTER (regexp_matches(lower(v), 'motor|battery')) AS spec, count(*) FILTER (regexp_matches(v, '^\\d{1,4}$')) AS qty FROM v GROUP BY ALL)
+  count(*) FILTER (TRY_CAST(replace(regexp_extract(v, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) BETWEEN 0.011 AND 999999) AS price, count(*) FILTER (regexp_matches(lower(v), 'motor|battery|规格|尺寸|参数|材质')) AS spec, count(*) FILTER (regexp_matches(v, '^\\d{{1,4}}$')) AS qty FROM v GROUP BY ALL)
 SELECT file, sheet, col_no, total, CASE WHEN greatest(model, price, spec, qty) < 2 THEN NULL WHEN model >= greatest(price, spec, qty) THEN 'model' WHEN price >= greatest(spec, qty) THEN 'price' WHEN spec >= qty THEN 'spec' ELSE 'qty' END AS role FROM g""")
 def column_roles(c):
     return G.column_roles(c, G.header_row(c))
 
 
-@query("sheet_layout", "cells", sql="SELECT DISTINCT file, sheet, 'price' AS layout FROM cells")
+@query("sheet_layout", "sheets", sql=f"""l AS (SELECT *, lower(trim(value)) AS low FROM sheets),
+g AS (SELECT file, sheet, count(*) FILTER (col_no = 1 AND regexp_matches(low, '[:：]$')) AS colons, count(*) FILTER (regexp_matches(low, '^model[:：]')) AS params, count(*) FILTER (contains(low, 'commercial invoice') OR contains(low, 'proforma invoice')) AS invoices,
+  count(*) FILTER (row_no <= 10 AND {_any(G.PRICE_HEADS, 'low')}) AS prices, count(DISTINCT CASE WHEN row_no <= 3 AND regexp_matches(low, '^[a-z]+-?\\d+$') THEN col_no END) AS across FROM l GROUP BY ALL)
+SELECT file, sheet, CASE WHEN colons >= 4 THEN 'kv' WHEN params > 0 THEN 'param_list' WHEN invoices > 0 THEN 'invoice' WHEN prices > 0 THEN 'price' WHEN across >= 2 THEN 'horizontal' ELSE 'vertical' END AS layout FROM g""")
 def sheet_layout(c):
     return G.sheet_layout(c)
 
 
-@query("blank_run_cutoff", "cells", sql=f"{_WIDE} SELECT file, sheet, row_no FROM wd WHERE row_no BETWEEN 4 AND 23 AND concat(model, name, spec, price_text) <> ''")
+@query("blank_run_cutoff", "sheets", sql="""w AS (SELECT file, sheet, row_no FROM sheets WHERE row_no > 1 AND trim(value) <> '' GROUP BY ALL),
+b AS (SELECT a.file, a.sheet, min(a.row_no) AS stop FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.file = a.file AND b.sheet = a.sheet AND b.row_no BETWEEN a.row_no + 1 AND a.row_no + 20) GROUP BY ALL)
+SELECT w.file, w.sheet, w.row_no FROM w JOIN b USING (file, sheet) WHERE w.row_no <= b.stop""")
 def blank_run_cutoff(c):
-    return G.blank_run_cutoff(body(c), list(COLS.values()), run=3).select("file", "sheet", "row_no")
+    rows = G.wide(c, COLS | {5: "more"}).where("row_no > 1")
+    return G.blank_run_cutoff(rows, [*COLS.values(), "more"]).select("file", "sheet", "row_no")
 
 
 @query("forward_fill_model", "cells", sql=f"{_WIDE} SELECT file, row_no, coalesce(last_value(nullif(model, '') IGNORE NULLS) OVER (PARTITION BY file, sheet ORDER BY row_no), '') AS filled FROM wd WHERE row_no > 3")
@@ -68,30 +105,51 @@ def attach_remarks(c):
     return G.attach_remarks(body(c), "model", ["name", "spec"]).select("file", "row_no", "model", "remark")
 
 
-_PRODUCT = """(model <> '' AND NOT regexp_matches(lower(model), '^(contract|order|po|p\\.?o\\.?|invoice|quote|ref|reference|date|payment|delivery|shipment|document|doc)(\\s*(no|#|number|\\.?))?\\s*[:\\-\\.]?\\s*[\\w\\-\\d]+|^(packing\\s*(list|detail|info))')
-  AND (regexp_matches(model, '[A-Za-z]+\\d+') OR price_text <> '' OR regexp_matches(model, '[A-Za-z]+[\\d\\-/]+') OR regexp_matches(model, '[A-Z][a-z]+\\s[A-Z][a-z]+')))"""
+def _sql_pattern(patterns) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
 
 
-@query("is_product_row", "cells", sql=f"{_WIDE} SELECT file, row_no, {_PRODUCT} AS product FROM wd WHERE row_no > 3 OR row_no = 2")
+#: First cells that the rules take apart, beside those of the sheets: document lines, order numbers, skip words, shapes.
+_FIRST = "CASE row_no % 11 WHEN 0 THEN 'Payment: T/T' WHEN 1 THEN 'PO-2024010' || (row_no % 3) WHEN 2 THEN 'Certificate of origin' WHEN 3 THEN '收货人 ' || name WHEN 4 THEN '3. Delivery terms' WHEN 5 THEN name || ' (' || spec || ')' WHEN 6 THEN '50件以下 含税价' WHEN 7 THEN 'Golden Lamp' WHEN 8 THEN 'price term' WHEN 9 THEN 'XY/' || row_no ELSE model END"
+_PRODUCT = f"""x AS (SELECT file, row_no, {_FIRST} AS f, CASE WHEN row_no % 5 = 0 THEN 'about ' || (row_no % 3) || ' pcs' ELSE '' END AS qty, CASE WHEN row_no % 4 = 0 THEN price_text ELSE '' END AS price FROM wd)
+SELECT file, row_no, CASE WHEN f = '' OR length(f) > 200 OR regexp_matches(trim(lower(f)), '{_sql_pattern(W.DOCUMENT_LINES)}') THEN false WHEN regexp_matches(f, '[A-Za-z]+\\d+') AND length(f) < 40 THEN NOT regexp_matches(f, '(?i){W.ORDER_NUMBER}')
+  WHEN coalesce(TRY_CAST(regexp_extract(replace(price, ',', ''), '\\d+(?:\\.\\d+)?') AS DOUBLE) > 0, false) THEN true WHEN coalesce(TRY_CAST(regexp_extract(qty, '\\d+') AS BIGINT) > 0, false) AND length(f) < 100 THEN true
+  WHEN {_any(W.SKIP_WORDS, 'lower(f)')} OR (regexp_matches(f, '^\\d+') AND regexp_matches(f, '以下|以上|包邮|执行')) THEN false
+  ELSE (regexp_matches(f, '[（(][^）)]*[)）]') AND length(f) < 60) OR regexp_matches(f, '[A-Za-z]+[\\d\\-/]+') OR regexp_matches(f, '[A-Z][a-z]+\\s[A-Z][a-z]+') END AS product FROM x"""
+
+
+@query("is_product_row", "cells", sql=f"{_WIDE}, {_PRODUCT}")
 def is_product_row(c):
-    return G.wide(c, COLS).where("row_no > 3 or row_no = 2").select("file", "row_no", G.is_product_row(C("model"), F.lit(""), C("price_text")).alias("product"))
+    x = G.wide(c, COLS)
+    qty = F.when(C("row_no") % 5 == 0, F.concat(F.lit("about "), (C("row_no") % 3).cast("string"), F.lit(" pcs"))).otherwise("")
+    return x.select("file", "row_no", G.is_product_row(F.expr(_FIRST), qty, F.when(C("row_no") % 4 == 0, C("price_text")).otherwise("")).alias("product"))
+
+
+_LINE = "CASE row_no % 17 WHEN 0 THEN 'payment' WHEN 1 THEN '3. 支付方式' WHEN 2 THEN '(Signed by)' WHEN 3 THEN 'UOM: pcs' WHEN 4 THEN '2. Port of loading' WHEN 5 THEN 'Made in ' || name_zh WHEN 6 THEN '产品_R7' WHEN 7 THEN 'PO20240101' WHEN 8 THEN '不可抗力' WHEN 9 THEN 'USD 1,200' WHEN 10 THEN 'Total : 5' ELSE model END"
+_NOTE = "CASE WHEN row_no % 19 = 0 THEN '本产品不含电池以及充电器需要客户自行购买并且安装好之后才能使用' ELSE spec_zh END"
 
 
-@query("non_product_rows", "candidates", sql="SELECT row_no FROM candidates WHERE NOT regexp_matches(lower(model), '^payment')")
+@query("non_product_rows", "candidates", sql=f"""x AS (SELECT row_no, trim({_LINE}) AS m, concat_ws(' ', nullif(trim({_LINE}), ''), nullif(trim(name_zh), ''), nullif(trim({_NOTE}), '')) AS line FROM candidates)
+SELECT row_no FROM x WHERE line <> '' AND NOT regexp_matches(m, '{_sql_pattern(W.NON_PRODUCT)}') AND NOT regexp_matches(lower(line), '{_sql_pattern(W.NON_PRODUCT)}') AND NOT (NOT (regexp_matches(m, '[A-Za-z0-9]') AND length(m) >= 2) AND length(regexp_replace(line, '[^一-鿿]', '', 'g')) > 20 AND length(line) > 12)""")
 def non_product_rows(c):
-    return c.where(~G.is_non_product(C("model"), C("name_zh"), C("spec_zh"))).select("row_no")
+    return c.where(~G.is_non_product(F.expr(_LINE), C("name_zh"), F.expr(_NOTE))).select("row_no")
 
 
-@query("single_row_filename_filter", "parsed", sql="x AS (SELECT CASE WHEN row_no % 9 = 0 THEN 'solo' || row_no ELSE 'f' || file END AS file, CASE WHEN row_no % 18 = 0 THEN 'list.xlsx' ELSE model END AS model, row_no FROM parsed) SELECT row_no FROM x WHERE NOT (row_no % 18 = 0)")
+_SOLO = "SELECT CASE WHEN row_no % 9 = 0 THEN 'solo' || row_no ELSE 'f' || file END AS file, CASE row_no % 36 WHEN 0 THEN 'list.xlsx' WHEN 18 THEN 'Item_' || row_no WHEN 1 THEN 'a.pdf' ELSE model END AS model, row_no FROM {0}"
+
+
+@query("single_row_filename_filter", "parsed", sql=f"x AS ({_SOLO.format('parsed')}) SELECT row_no FROM x QUALIFY NOT (count(*) OVER (PARTITION BY file) = 1 AND regexp_matches(lower(model), '\\.(xlsx?|pdf|docx?|csv)$|^(产品_r\\d+|item_\\d+)$'))")
 def single_row_filename_filter(p):
-    p = p.select(F.when(C("row_no") % 9 == 0, F.concat(F.lit("solo"), C("row_no").cast("string"))).otherwise(F.concat(F.lit("f"), C("file").cast("string"))).alias("file"), F.when(C("row_no") % 18 == 0, "list.xlsx").otherwise(C("model")).alias("model"), "row_no")
-    return G.single_row_filter(p, "file").select("row_no")
+    return G.single_row_filter(p.sparkSession.sql(_SOLO.format("{p}"), p=p), "file").select("row_no")
+
 
+_NAMED = "SELECT CASE id % 7 WHEN 0 THEN '' WHEN 3 THEN 'Product NAME' ELSE model END AS m, CASE WHEN id % 14 = 0 OR id % 5 = 0 THEN '  ' ELSE name END AS n FROM {0}"
 
-@query("normalize_frame", "texts", sql="SELECT CASE WHEN id % 7 = 0 THEN '' ELSE model END AS model, CASE WHEN id % 14 = 0 THEN '' ELSE name END AS name FROM texts WHERE id % 14 <> 0 AND lower(CASE WHEN id % 7 = 0 THEN '' ELSE model END) <> 'total'")
+
+@query("normalize_frame", "texts", sql=f"x AS ({_NAMED.format('texts')}) SELECT m AS model, n AS name FROM x WHERE NOT (trim(m) = '' AND trim(n) = '') AND lower(regexp_replace(m, '^\\s+|\\s+$', '', 'g')) NOT IN ('model', 'total', 'product name')")
 def normalize_frame(t):
-    t = t.select(F.when(C("id") % 7 == 0, "").otherwise(C("model")).alias("Item No. model"), F.when(C("id") % 14 == 0, "").otherwise(C("name")).alias("Product name"))
-    return G.normalize_frame(t, {"model": ["model", "total"], "name": ["product name"]})
+    t = t.sparkSession.sql(_NAMED.format("{t}"), t=t)
+    return G.normalize_frame(t.select(C("m").alias("Item No. model"), C("n").alias("Product name")), {"model": ["model", "total"], "name": ["product name"]})
 
 
 @query("segment_by_marker", "kv_cells", sql="""x AS (SELECT *, CAST(sum(CASE WHEN key = 'Model' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS BIGINT) AS segment FROM kv_cells)
@@ -125,11 +183,24 @@ def param_list_products(k):
     return G.aggregate_specs(first.select("file", "segment", "row_no", F.concat("x.key", F.lit(": "), "x.value").alias("text")), ["file", "segment"], "row_no", "text")
 
 
-@query("text_blocks_to_products", "text_lines", sql="""x AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM text_lines)
-SELECT doc_id, block, min(pos) AS first, arg_max(substr(line, 8), pos) FILTER (line LIKE 'Model:%') AS model, TRY_CAST(arg_max(substr(line, 8), pos) FILTER (line LIKE 'Price:%') AS DOUBLE) AS price, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Name:%') AS name, arg_max(substr(line, 7), pos) FILTER (line LIKE 'Spec:%') AS spec, arg_max(substr(line, 6), pos) FILTER (line LIKE 'Qty:%') AS qty
-FROM x WHERE trim(line) <> '' GROUP BY 1, 2""")
-def text_blocks_to_products(t):
-    return G.text_blocks(t, "doc_id", "pos", "line")
+#: The labelled lines, and the lines of all documents.
+_ALL_LINES = """al AS (SELECT doc_id, pos, line FROM text_lines UNION ALL SELECT doc_id + 1000000000, i - 1, ls[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i))"""
+
+
+def all_lines(t, d):
+    d = d.where("text is not null").select((C("doc_id") + 1_000_000_000).alias("doc_id"), F.split("text", "\n", -1).alias("lines"))
+    return t.select("doc_id", "pos", "line").unionByName(d.select("doc_id", F.posexplode("lines").alias("pos", "line")))
+
+
+_LABEL = "nullif(regexp_extract(line, '(?i)^\\s*(?:{0})\\s*[:：]\\s*(.+)$', 1), '')"
+_LABELLED = ", ".join(f"{_LABEL.format(words)} AS {name}" for name, words in (("model", "model|型号"), ("price", "price|价格"), ("name", "name|名称"), ("spec", "spec|规格"), ("qty", "qty|数量")))
+
+
+@query("text_blocks_to_products", "text_lines", "documents", sql=f"""{_ALL_LINES}, x AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM al),
+y AS (SELECT doc_id, block, pos, {_LABELLED} FROM x WHERE trim(line) <> '')
+SELECT doc_id, block, min(pos) AS first, arg_max(model, pos) AS model, TRY_CAST(arg_max(price, pos) AS DOUBLE) AS price, arg_max(name, pos) AS name, arg_max(spec, pos) AS spec, arg_max(qty, pos) AS qty FROM y GROUP BY 1, 2""")
+def text_blocks_to_products(t, d):
+    return G.text_blocks(all_lines(t, d), "doc_id", "pos", "line")
 
 
 @query("document_blocks", "documents", sql="""l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
@@ -141,11 +212,11 @@ def document_blocks(d):
     return G.text_blocks(lines, "doc_id", "pos", "line").select("doc_id", "block", "first")
 
 
-@query("suffix_repeated_models", "text_lines", sql="""x AS (SELECT doc_id, pos, CASE WHEN line LIKE 'Model:%' THEN 'EV' || pos % 3 END AS model FROM text_lines WHERE line LIKE 'Model:%' OR line LIKE 'Name:%')
-SELECT doc_id, pos, CASE WHEN model IS NULL THEN 'OCR-' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) WHEN row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) > 1 THEN model || '-' || row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) ELSE model END AS unique_model FROM x""")
-def suffix_repeated_models(t):
-    is_model = C("line").startswith("Model:")
-    x = t.where(is_model | C("line").startswith("Name:")).select("doc_id", "pos", F.when(is_model, F.concat(F.lit("EV"), (C("pos") % 3).cast("string"))).alias("model"))
+@query("suffix_repeated_models", "text_lines", "documents", sql=f"""{_ALL_LINES}, x AS (SELECT doc_id, pos, CASE WHEN line LIKE 'Model:%' THEN 'EV' || pos % 3 WHEN line LIKE 'Name:%' THEN NULL ELSE substr(line, 1, 4) END AS model FROM al WHERE trim(line) <> '')
+SELECT doc_id, pos, CASE WHEN coalesce(model, '') = '' THEN 'OCR-' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) WHEN row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) > 1 THEN model || '-' || row_number() OVER (PARTITION BY doc_id, model ORDER BY pos) ELSE model END AS unique_model FROM x""")
+def suffix_repeated_models(t, d):
+    model = F.when(C("line").startswith("Model:"), F.concat(F.lit("EV"), (C("pos") % 3).cast("string"))).when(C("line").startswith("Name:"), None).otherwise(F.substring("line", 1, 4))
+    x = all_lines(t, d).where(F.trim("line") != "").select("doc_id", "pos", model.alias("model"))
     return G.suffix_repeated(x, "doc_id", "pos", "model").select("doc_id", "pos", "unique_model")
 
 

@@ -33,6 +33,42 @@ def _cells() -> str:
     return " UNION ALL ".join(body)
 
 
+def _sheets() -> str:
+    """Sheets of eight kinds, fifty parts each: three price lists with other columns and orders, name and value, parameter
+    list, invoice, models across, plain. Titles, header rows from 2 to 4, and up to 29 blank rows before part 25."""
+    f = "CAST(floor(p_partkey / 50) AS BIGINT)"
+    head, part = f"(2 + {f} % 3)", "CAST(p_partkey AS STRING)"
+    size, price, name = "CAST(p_size AS STRING)", "CAST(p_retailprice AS STRING)", "p_name"
+    label = "CASE p_partkey % 5 WHEN 0 THEN 'Motor' WHEN 1 THEN 'Battery' WHEN 2 THEN 'Range' WHEN 3 THEN 'Colour' ELSE 'Brake' END"
+    body = (
+        (f"'EV' || {part}", name, f"'Motor ' || {size} || 'W'", price, "''"),
+        (f"CAST(p_partkey % 50 + 1 AS STRING)", price, f"'AB-' || {part}", size, f"{size} || 'x20'"),
+        (name, f"'ZX' || {part}", price, f"'=DISPIMG(' || {part} || ')'", "'1 year'"),
+        (f"{label} || ':'", name, "''", "''", "''"),
+        (f"CASE WHEN p_partkey % 5 = 0 THEN 'Model: EV' || {part} ELSE {label} END", name, "''", "''", "''"),
+        (f"'IT-' || {part}", size, price, "''", "''"),
+        (label, name, size, name, "''"),
+        (f"'lot ' || {part}", name, "''", "''", "''"),
+    )
+    heads = (
+        ("'Model'", "'Product name'", "'Specification'", f"CASE WHEN {f} % 16 < 8 THEN 'FOB Price(USD)' ELSE 'Unit price RMB' END", "''"),
+        ("'No.'", "'Price'", "'Item No.'", "'MOQ'", "'Size'"),
+        ("'Product'", "'Code'", "'EXW'", "'View'", "'Warranty'"),
+        ("''", "''", "''", "''", "''"),
+        ("''", "''", "''", "''", "''"),
+        ("'Item No.'", "'Qty'", "'Unit price'", "''", "''"),
+        ("'Parameter'", f"'EV-' || CAST({f} AS STRING)", f"'EV' || CAST({f} + 7 AS STRING)", "'other'", "''"),
+        ("'a'", "'b'", "''", "''", "''"),
+    )
+    case = lambda rows, c: f"CASE {f} % 8 " + " ".join(f"WHEN {k} THEN {r[c]}" for k, r in enumerate(rows)) + " END"
+    row = f"CAST({head} + 1 + p_partkey % 50 + CASE WHEN p_partkey % 50 >= 25 THEN {f} % 30 ELSE 0 END AS INT)"
+    key = f"'f' || CAST({f} AS STRING) AS file, 's1' AS sheet"
+    out = [f"SELECT {key}, {row} AS row_no, {c + 1} AS col_no, {case(body, c)} AS value FROM {{part}}" for c in range(5)]
+    out += [f"SELECT {key}, CAST({head} AS INT), {c + 1}, {case(heads, c)} FROM {{part}} WHERE p_partkey % 50 = 0" for c in range(5)]
+    out.append(f"SELECT {key}, 1, 1, CASE WHEN {f} % 8 = 5 THEN 'COMMERCIAL INVOICE' ELSE 'Offer of the best company in the whole wide world' END FROM {{part}} WHERE p_partkey % 50 = 0")
+    return " UNION ALL ".join(out)
+
+
 VIEWS: dict[str, str] = {
     "products_raw": f"""
 SELECT p_partkey AS idx, {_USER} AS user_id,
@@ -89,8 +125,8 @@ FROM {orders}""",
 SELECT row_id, price, CASE row_id % 12 WHEN 0 THEN price WHEN 1 THEN '1,' || lpad(CAST(q AS STRING), 3, '0') || '.50' WHEN 2 THEN chr(165) || price WHEN 3 THEN '$' || CAST(q AS STRING)
     WHEN 4 THEN CAST(q AS STRING) || ' USD' WHEN 5 THEN CAST(q AS STRING) || '-' || CAST(q + 500 AS STRING) WHEN 6 THEN CAST(q AS STRING) || '~' || CAST(q + 100 AS STRING)
     WHEN 7 THEN CAST(q AS STRING) || 'K' WHEN 8 THEN CAST(q AS STRING) || 'W' WHEN 9 THEN CAST(q AS STRING) || '% off' WHEN 10 THEN 'EUR ' || CAST(q AS STRING) ELSE 'price: n/a' END AS text
-FROM (SELECT row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) * 7 + l_partkey AS row_id,
-    l_partkey AS pk, l_orderkey AS ok, l_linenumber AS ln, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS price, CAST(l_quantity AS INT) AS q FROM {lineitem} WHERE l_linenumber = 1) AS x""",
+FROM (SELECT l_partkey * 1000000 + row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS row_id,
+    CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS price, CAST(l_quantity AS INT) AS q FROM {lineitem}) AS x""",
     "texts": """
 SELECT p_partkey AS id, p_size AS s, p_name AS name, CASE p_partkey % 8
     WHEN 0 THEN CAST(p_size AS STRING) || '*' || CAST(p_size + 5 AS STRING) || '*3cm' WHEN 1 THEN 'Dia:' || CAST(p_size AS STRING) || 'cm H:20cm'
@@ -103,8 +139,16 @@ SELECT p_partkey AS id, p_size AS s, p_name AS name, CASE p_partkey % 8
     WHEN 5 THEN 'AB12' || chr(10) || 'Motor: 1' WHEN 6 THEN 'payment terms' WHEN 7 THEN '12mm' ELSE p_name END AS model,
   CASE p_partkey % 5 WHEN 0 THEN '<b>' || p_name || '</b>' WHEN 1 THEN 'a & "b"' WHEN 2 THEN NULL ELSE p_name END AS html,
   CASE p_partkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN 'abc' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE '7' END AS number_text,
-  p_retailprice AS price, p_type AS kind
+  p_retailprice AS price, p_type AS kind,
+  CASE p_partkey % 3 WHEN 0 THEN '红色 锂电池 ABC' || chr(10) || 'red ' || p_name || chr(10) || '  ' || chr(10) WHEN 1 THEN '型号 EV12价格' ELSE p_name END AS zh,
+  CASE WHEN p_partkey % 2 = 0 THEN '付款 ' || CAST(p_size AS STRING) || '  payment terms : T/T ' || p_name WHEN p_partkey % 3 = 0 THEN 'Terms of payment: ' || p_type ELSE '付款' END AS pay,
+  CASE p_partkey % 5 WHEN 0 THEN '名 / ' || p_name WHEN 1 THEN p_name || '；' || p_type || ';x' WHEN 2 THEN ' 中<br>' || p_type || '<br>' || p_name || ' ' ELSE p_name END AS pair,
+  CASE p_partkey % 4 WHEN 0 THEN '  Price (USD)  ' || p_type || ' (kg)' WHEN 1 THEN '价格(RMB)/Price(rmb) ' || p_type WHEN 2 THEN 'Weight(kg)(含电池)' ELSE p_name END AS head,
+  CASE p_partkey % 3 WHEN 0 THEN 'a：（' || CAST(p_size AS STRING) || '）－＂x＇' WHEN 1 THEN '：' ELSE p_name || '（' END AS wide,
+  CASE p_partkey % 3 WHEN 0 THEN 'Model: x' || chr(13) || chr(10) || 'Weight：' || CAST(p_size AS STRING) || chr(10) || chr(10) || 'Grade-' || p_type WHEN 1 THEN 'Weight: 1' || chr(10) || 'plain' || chr(10) || 'Weight: ' || p_name ELSE 'Colour（outer）: ' || p_type || chr(13) || 'x:' || chr(10) || '价格: 3' END AS fields,
+  CASE p_partkey % 4 WHEN 0 THEN 'EV: CNY ' || CAST(4980 + p_size AS STRING) || ' / Battery: CNY 2,530 / Charger: CNY 230' WHEN 1 THEN 'Battery: 2530' || chr(10) || 'Charger ' || CAST(1000 + p_size AS STRING) WHEN 2 THEN 'Motor: USD ' || CAST(p_size AS STRING) || '.5/CKD: 900/EV 1000/none' ELSE p_name END AS parts
 FROM {part}""",
+    "sheets": _sheets(),
     "candidates": """
 SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS parser, p_partkey AS row_no,
   CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN 'payment' WHEN p_partkey % 13 = 0 THEN CAST(p_size AS STRING) || '-Long name ' || p_name WHEN p_partkey % 7 = 3 THEN p_name ELSE 'EV' || CAST(p_partkey % 300 AS STRING) END AS model,
@@ -173,4 +217,4 @@ def with_views(names: list[str], sql: str) -> str:
     sql = sql.strip()
     if sql.upper().startswith("SELECT"):
         return (f"WITH {', '.join(parts)} " if parts else "") + sql
-    return f"WITH {', '.join([*parts, sql])}"
+    return f"WITH RECURSIVE {', '.join([*parts, sql])}"
