@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Fixed words of the scoring rule.
 PRODUCT_WORDS = ("charger", "battery", "motor", "power", "kw", "voltage", "ev")
 NOISE_WORDS = ("warning", "note", "remark", "spec", "parameter")
@@ -68,12 +70,12 @@ def with_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({"fuzzy_key": fuzzy_key(F.col("model")), "normalized_key": normalized_key(F.col("model")), "spec_hash": spec_hash(F.col("spec_zh"))})
 
 
-def groups(df: DataFrame) -> DataFrame:
-    """One row per fuzzy key with what its rows' fate depends on. df: with_keys."""
+def groups(df: DataFrame, *more: Column) -> DataFrame:
+    """One row per fuzzy key with what its rows' fate depends on. df: with_keys. more: further aggregates."""
     p = _usable(F.col("price_rmb"))
     return df.groupBy("fuzzy_key").agg(
         F.count(F.lit(1)).alias("n"), (F.min("spec_hash") != F.max("spec_hash")).alias("specs_differ"), F.count(p).alias("n_prices"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean_price"),
-        F.min("idx").alias("first_idx"),
+        F.min("idx").alias("first_idx"), *more,
     ).withColumn("conflict", _conflict())
 
 
@@ -89,15 +91,14 @@ def conflicts(df: DataFrame) -> DataFrame:
 
 def merge(df: DataFrame) -> DataFrame:
     """Rows after step 5. df: with_keys. A key's extra columns and image come from its first rows for all its rows."""
-    g = groups(df)
     split = (F.col("n_prices") >= 2) & (F.col("low") > 0) & (F.col("high") / F.col("low") > MERGE_RATIO)
     status = F.when(F.col("n") == 1, "single").when(F.col("conflict"), "multi_spec").when(split, "price_split").otherwise("merged")
     longest = lambda c: F.max_by(F.col(c), F.when(F.length(c) > 0, F.struct(F.length(c), -F.col("idx"))))
-    firsts = df.groupBy("fuzzy_key").agg(
-        longest("model").alias("best_model"), longest("spec_zh").alias("best_spec"), F.min_by(F.struct("normalized_key", "name_zh", "user_id"), "idx").alias("first"),
+    g = groups(
+        df, longest("model").alias("best_model"), longest("spec_zh").alias("best_spec"), F.min_by(F.struct("normalized_key", "name_zh", "user_id"), "idx").alias("first"),
         F.min_by("image_path", F.when(F.col("image_path") != "", F.col("idx"))).alias("first_image"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("source_file") != "", F.col("source_file")))), ",").alias("sources"),
     )
-    rows = df.join(g.join(firsts, "fuzzy_key"), "fuzzy_key").withColumn("dedup_status", status)
+    rows = df.join(g, "fuzzy_key").withColumn("dedup_status", status)
     one = F.col("dedup_status") == "merged"
     rows = rows.where(~one | (F.col("idx") == F.col("first_idx")))
     pick = lambda merged, own: F.when(one, merged).otherwise(own)
@@ -119,5 +120,7 @@ def price_split(merged: DataFrame, threshold: float = 0.20) -> DataFrame:
 
 
 def dedup_products(df: DataFrame, price_threshold: float = 0.20, score_threshold: int = 0) -> DataFrame:
-    """The whole chain. df: idx (unique), model, name_zh, spec_zh, price_rmb, source_file, image_path, user_id."""
-    return price_split(merge(with_keys(score_filter(df, score_threshold))), price_threshold)
+    """The whole chain. df: idx (unique), model, name_zh, spec_zh, price_rmb, source_file, image_path, user_id.
+
+    The rows after merging are written once, as they are read twice."""
+    return price_split(staged(merge(with_keys(score_filter(df, score_threshold))), "merged"), price_threshold)

@@ -86,23 +86,43 @@ def valid_file(path: Column, endings=(".xlsx", ".xls", ".docx")) -> Column:
     return F.lower(path).rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$")
 
 
+def handled(times, seconds: float, last=None) -> list[int]:
+    """Places of the times (sorted, numpy datetimes) that are handled: the first, then always the next one at least so
+    long after the last handled. last: the time handled before, if any."""
+    import numpy as np
+
+    gap, out = np.timedelta64(int(seconds * 1e9), "ns"), []
+    at = 0 if last is None else int(np.searchsorted(times, last + gap))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return out
+
+
 def debounce(events: DataFrame, path: str, ts: str, order: str, seconds: float) -> DataFrame:
-    """Events of a path that come at least so long after the last one that was handled, in order of time.
+    """Events of a path that come at least so long after the last one that was handled, in order of time; events without a
+    time are left out.
 
-    The clock restarts only on handled events, so each path is walked in order by an Arrow function; a path's events are
-    as many as changes of one file."""
+    The clock restarts only on handled events, so the sorted rows of each path are walked by an Arrow function, batch by
+    batch; it holds no more than the last path and its last handled time."""
     import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        keep, last = [], None
-        for t in pdf[ts]:
-            handled = last is None or (t - last).total_seconds() >= seconds
-            keep.append(handled)
-            last = t if handled else last
-        return pdf[keep]
-
-    return events.groupBy(path).applyInPandas(walk, events.schema)
+    def walk(batches):
+        last_path = last = None
+        for pdf in batches:
+            keep = []
+            for name, times in pdf.groupby(path, sort=False, dropna=False)[ts]:
+                name = None if pd.isna(name) else name
+                values = times.to_numpy(dtype="datetime64[ns]")
+                places = handled(values, seconds, last if (name,) == last_path else None)
+                keep.extend(times.index[places])
+                if (name,) != last_path:
+                    last = None
+                last_path, last = (name,), values[places[-1]] if places else last
+            yield pdf.loc[keep]
+
+    rows = events.where(C(ts).isNotNull()).repartition(path).sortWithinPartitions(path, ts, order)
+    return rows.mapInPandas(walk, events.schema)
 
 
 def first_of_path(events: DataFrame, path: str, ts: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.prices import rounded
 from ..operators import library as L
 from ..operators.grouping import group_key
+from .ordering import numbered_within
 from .registry import query
 
 
@@ -137,7 +138,8 @@ def migrate_missing(p):
 
 @query("unique_sku_suffix", "products_raw", sql="""lib AS (SELECT DISTINCT user_id, model AS sku FROM products_raw WHERE idx % 7 < 2),
 b AS (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, model ORDER BY idx) - CASE WHEN lib.sku IS NULL THEN 1 ELSE 0 END AS k FROM products_raw r LEFT JOIN lib ON lib.user_id = r.user_id AND lib.sku = r.model WHERE model <> ''),
-f AS (SELECT m.user_id, m.model, n, m.model || '-' || CASE WHEN n >= 26 THEN chr(CAST((n - 26) // 26 + 65 AS INT)) ELSE '' END || chr(CAST(n % 26 + 65 AS INT)) AS name FROM (SELECT DISTINCT user_id, model FROM b WHERE k > 0) m, range(702) t(n)),
+m AS (SELECT b.user_id, b.model, unnest(range(max(k) + max(coalesce(l.n, 0)))) AS n FROM b LEFT JOIN (SELECT user_id, count(*) AS n FROM lib GROUP BY 1) l ON l.user_id = b.user_id WHERE k > 0 GROUP BY 1, 2),
+f AS (SELECT user_id, model, n, model || '-' || CASE WHEN n >= 26 THEN chr(CAST((n - 26) // 26 + 65 AS INT)) ELSE '' END || chr(CAST(n % 26 + 65 AS INT)) AS name FROM m),
 g AS (SELECT *, row_number() OVER (PARTITION BY user_id, model ORDER BY n) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM lib WHERE lib.user_id = f.user_id AND lib.sku = f.name) AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = f.user_id AND b.model = f.name))
 SELECT b.idx, CASE WHEN b.k = 0 THEN b.model ELSE g.name END AS new_sku FROM b LEFT JOIN g ON g.user_id = b.user_id AND g.model = b.model AND g.k = b.k WHERE b.k = 0 OR g.name IS NOT NULL""")
 def unique_sku_suffix(p):
@@ -145,8 +147,8 @@ def unique_sku_suffix(p):
     return L.unique_skus(p, library, "idx").select("idx", "new_sku")
 
 
-@query("import_products", "products_raw", sql="""x AS (SELECT *, count(*) OVER (PARTITION BY user_id, model) AS same, row_number() OVER (PARTITION BY user_id, model ORDER BY idx) AS k FROM products_raw)
-SELECT user_id, CAST(count(*) FILTER (k <= 703) AS BIGINT) AS imported, CAST(count(*) FILTER (k > 703) AS BIGINT) AS skipped, CAST(count(*) FILTER (price_rmb IS NULL) AS BIGINT) AS without_price, round(sum(CASE WHEN k <= 703 THEN round(coalesce(price_rmb, 0) / 7.2 + 1e-9, 2) ELSE 0 END) + 1e-9, 2) AS total_usd FROM x GROUP BY user_id""")
+@query("import_products", "products_raw", sql="""SELECT user_id, count(*) FILTER (model <> '') AS imported, count(*) FILTER (coalesce(model, '') = '') AS skipped, count(*) FILTER (price_rmb IS NULL) AS without_price,
+  round(sum(CASE WHEN model <> '' THEN round(coalesce(price_rmb, 0) / 7.2 + 1e-9, 2) END) + 1e-9, 2) AS total_usd FROM products_raw GROUP BY user_id""")
 def import_products(p):
     none = p.limit(0).select("user_id", F.col("model").alias("sku"))
     done = L.unique_skus(p, none, "idx").withColumn("price_usd", rounded(F.coalesce("price_rmb", F.lit(0.0)) / 7.2, 2))
@@ -183,9 +185,7 @@ def usage_quota(p, u):
 @query("order_by_source", "products", sql="SELECT id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY created_at, id) AS place FROM products")
 def order_by_source(p):
     """Rows by source file and time; the place within the file shows the order."""
-    from pyspark.sql import Window
-
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("source_file").orderBy("created_at", "id"))).select("id", "source_file", "place").orderBy("source_file", "place")
+    return numbered_within(p.select("id", "source_file", "created_at"), "source_file", "created_at", "id").select("id", "source_file", "place")
 
 
 @query("newest_first", "products", sql="SELECT id, created_at FROM products WHERE user_id = 'u6' ORDER BY created_at DESC, id LIMIT 25")
@@ -207,7 +207,5 @@ def select_export_columns(p):
 
 @query("grouped_output", "products", sql="SELECT CASE WHEN category = '' THEN 'Uncategorized' ELSE category END AS sheet, id, row_number() OVER (PARTITION BY category ORDER BY sku, id) AS line FROM products")
 def grouped_output(p):
-    from pyspark.sql import Window
-
-    p = p.withColumn("sheet", group_key(F.col("category")))
-    return p.withColumn("line", F.row_number().over(Window.partitionBy("sheet").orderBy("sku", "id"))).select("sheet", "id", "line")
+    p = p.select("id", "sku", group_key(F.col("category")).alias("sheet"))
+    return numbered_within(p, "sheet", "sku", "id").select("sheet", "id", F.col("place").alias("line"))

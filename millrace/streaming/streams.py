@@ -1,4 +1,5 @@
-"""Streams of usage, file, quotation and payment events. Watermarks bound the state."""
+"""Streams of usage, file, quotation and payment events. Watermarks bound the state of windows, sessions and debouncing; a
+path handled once, a quote and a user keep one entry each."""
 
 from __future__ import annotations
 
@@ -8,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import tier_of, valid_file
+from ..operators.history import handled, tier_of, valid_file
 
 LATE = "2 days"
 
 
-def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", glob).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int | None = None, glob: str = "*.parquet") -> DataFrame:
+    read = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (read.option("maxFilesPerTrigger", per_trigger) if per_trigger else read).parquet(folder)
 
 
 def event_daily(events: DataFrame) -> DataFrame:
@@ -30,25 +32,34 @@ def once_sessions(events: DataFrame) -> DataFrame:
 
 
 def once_only(files: DataFrame) -> DataFrame:
-    """Each valid path at its first event."""
-    return files.where(valid_file(F.col("path"))).withWatermark("ts", LATE).dropDuplicates(["path"])
+    """Each valid path at its first event. The state is the paths seen so far, which are kept for good: a path that comes
+    back after years is still not handled again."""
+    return files.where(valid_file(F.col("path"))).dropDuplicates(["path"])
 
 
 def debounced(files: DataFrame, seconds: float) -> DataFrame:
-    """Events of a path that come so long after the last handled one; the state is that time."""
+    """Events of a path that come so long after the last handled one; the state is that time. It goes once the watermark
+    is so long past it, as any later event is handled then anyhow."""
 
     def walk(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        for pdf in [pd.concat(list(batches)).sort_values(["ts", "id"])]:
-            keep = []
-            for t in pdf["ts"]:
-                handled = last is None or (t - last).total_seconds() >= seconds
-                keep.append(handled)
-                last = t if handled else last
-            state.update((last.isoformat(),))
-            yield pdf[keep][["id", "path", "ts"]]
-
-    return files.groupBy("path").applyInPandasWithState(walk, "id long, path string, ts timestamp", "last string", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0]).to_datetime64() if state.exists else None
+        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])  # one path's events of one trigger
+        times = pdf["ts"].to_numpy(dtype="datetime64[ns]")
+        places = handled(times, seconds, last)
+        last = times[places[-1]] if places else last
+        state.update((pd.Timestamp(last).isoformat(),))
+        free = int(pd.Timestamp(last).value / 1e6 + seconds * 1000)
+        if free > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(free)
+        else:
+            state.remove()
+        yield pdf.iloc[places][["id", "path", "ts"]]
+
+    known = files.where("ts is not null").withWatermark("ts", LATE)
+    return known.groupBy("path").applyInPandasWithState(walk, "id long, path string, ts timestamp", "last string", "append", "EventTimeTimeout")
 
 
 def quote_views(views: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -65,21 +76,21 @@ def subscription_state(payments: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now and returns its result. Each trigger's rows go to Parquet in the shared
-    folder under the trigger's number, so that a repeated trigger overwrites its own rows; a stream in complete mode has
-    its result in the last trigger's."""
+    """Runs a stream over what there is now and returns its result so far; a later call with the same folder goes on where
+    this one ended. Each trigger's rows go to Parquet in the shared folder under the trigger's number, so that a repeated
+    trigger overwrites its own rows; a stream in complete mode has its result in the last trigger's."""
     spark = stream.sparkSession
-    last: list[int] = []
 
     def put(rows: DataFrame, n: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={n}")
-        last.append(n)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    if not last:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    triggers = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(path)] if files.exists(path) else []
+    if not triggers:
         return spark.createDataFrame([], stream.schema)
-    out = spark.read.schema(stream.schema).parquet(f"{folder}/out/trigger={last[-1]}" if mode == "complete" else f"{folder}/out/trigger=*")
-    return out
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/trigger={max(triggers)}" if mode == "complete" else f"{folder}/out/trigger=*")
 
 
 def ingest(files: DataFrame, parse, folder: str):
