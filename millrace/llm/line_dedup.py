@@ -62,7 +62,9 @@ def line_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> Data
 
     Lines without a word don't count: a run is the same with or without them.
     """
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    # the hash is taken before texts are taken apart, else Spark takes it again for every line
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
+    lines = lines.select("id", "th", F.posexplode("lines").alias("at", "line"))
     lines = lines.select("id", "th", "at", word_count(F.col("line")).alias("w"), F.substring(F.sha2(F.col("line").cast("binary"), 256), 1, 32).alias("h")).where("w > 0")
     lines = lines.repartition("id", "th").dropDuplicates(["id", "th", "at"])  # rows that repeat id and text are one document
     doc = Window.partitionBy("id", "th")
@@ -93,16 +95,13 @@ def repeated_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) ->
     return again.select("id", "th", start.alias("start"), (F.col("end") - start + 1).alias("lines")).where("lines > 0")
 
 
-def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int = DIVISOR, long: int = LONG, runs: bool = True, hashed=F.xxhash64) -> DataFrame:
-    """docs with text replaced by what stays, and __lines, __removed_lines (both long): rows and other columns as they were.
-
-    Null text stays null and has 0 lines; empty text has one line. A text that loses every line becomes empty. Rows that
-    repeat both id and text are one document and are treated alike. A null id comes after all others in the choice of the
-    first place. An empty table gives an empty table. runs=False compares chunks only.
-    """
+def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, runs: bool, hashed) -> DataFrame:
+    """(row: docs' own columns, text: what stays, lines, removed: both long). docs' columns travel in one, so that none
+    can clash with those made here."""
     key, th = F.col(doc_id), F.xxhash64(text)
     kept = F.filter(chunk_structs(F.col(text), divisor, long), lambda c: is_candidate(c, long))
-    occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), F.explode(kept).alias("c"))
+    # the hash is taken before texts are taken apart, else Spark takes it again for every chunk
+    occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), kept.alias("chunks")).select("id", "th", F.explode("chunks").alias("c"))
     occ = occ.select("id", "th", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.chunk").alias("chunk"), hashed(F.col("c.chunk")).alias("h"))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
@@ -119,26 +118,45 @@ def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int =
         again = again.unionByName(more.select("id", "th", "start", "lines"))
     if runs:
         again = again.unionByName(repeated_runs(docs, text, doc_id, long))
-    gone = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "lines")).alias("__gone")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
-
-    out = docs.withColumn("__key", th).join(gone, key.eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-    some, split = F.col("__gone").isNotNull(), F.split(text, "\n", -1)
-    places = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
-    out = out.withColumn("__left", F.when(some, F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)))
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
-    out = out.withColumns({"__lines": lines, "__removed_lines": F.when(some, lines - F.size("__left")).otherwise(F.lit(0)).cast("long")})
+    gone = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "lines")).alias("gone"))
+
+    own = docs.select(F.struct("*").alias("row"), key.alias("own_id"), th.alias("own_th"))
+    out = own.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    t = F.col("row")[text]
+    some, split = F.col("gone").isNotNull(), F.split(t, "\n", -1)
+    places = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
+    out = out.withColumn("left", F.when(some, F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)))
+    lines = F.when(t.isNull(), 0).otherwise(F.size(split)).cast("long")
     # a transform over one element names the lines, so that a text is split once
-    stay = F.element_at(F.transform(F.array(split), lambda s: F.array_join(F.transform("__left", lambda i: F.get(s, i)), "\n")), 1)
-    out = out.withColumn(text, F.when(some, stay).otherwise(F.col(text)))
-    return out.select(*docs.columns, "__lines", "__removed_lines")
+    stay = F.element_at(F.transform(F.array(split), lambda s: F.array_join(F.transform("left", lambda i: F.get(s, i)), "\n")), 1)
+    return out.select("row", F.when(some, stay).otherwise(t).alias("text"), lines.alias("lines"), F.when(some, lines - F.size("left")).otherwise(F.lit(0)).cast("long").alias("removed"))
+
+
+def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int = DIVISOR, long: int = LONG, runs: bool = True, hashed=F.xxhash64) -> DataFrame:
+    """docs with text replaced by what stays, and __lines, __removed_lines (both long; columns of docs that are called so
+    give way): rows and other columns as they were.
+
+    Null text stays null and has 0 lines; empty text has one line. A text that loses every line becomes empty. Rows that
+    repeat both id and text are one document and are treated alike. A null id comes after all others in the choice of the
+    first place. An empty table gives an empty table. runs=False compares chunks only.
+    """
+    out = deduped(docs, text, doc_id, divisor, long, runs, hashed)
+    counts = {"__lines": F.col("lines"), "__removed_lines": F.col("removed")}
+    return out.select(*[F.col("text" if c == text else f"row.`{c}`").alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
 
 
 def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", chars: str | None = "n_chars", divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
     """docs in their own columns after line dedup: changed texts have their length put in `chars`, if docs has such a
-    column, and a document of which no word is left goes. Others stay as they are."""
-    out = line_dedup(docs, text=text, doc_id=doc_id, divisor=divisor, long=long)
-    changed = F.col("__removed_lines") > 0
-    out = out.where(~changed | F.col(text).rlike(WORD))
-    if chars in docs.columns:
-        out = out.withColumn(chars, F.when(changed, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    return out.select(*docs.columns)
+    column, and a document of which no word is left goes. Others stay as they are, null and empty texts too; repeats and
+    null ids as in line_dedup. An empty table gives an empty table."""
+    out = deduped(docs, text, doc_id, divisor, long, True, F.xxhash64)
+    changed = F.col("removed") > 0
+    out = out.where(~changed | F.col("text").rlike(WORD))
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("text")
+        own = F.col(f"row.`{c}`")
+        return F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == chars else own
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
