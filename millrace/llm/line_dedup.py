@@ -64,7 +64,7 @@ def line_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> Data
     """
     # the hash is taken before texts are taken apart, else Spark takes it again for every line
     lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
-    lines = lines.select("id", "th", F.posexplode("lines").alias("at", "line"))
+    lines = lines.select("id", "th", F.posexplode_outer("lines").alias("at", "line"))  # outer: see deduped
     lines = lines.select("id", "th", "at", word_count(F.col("line")).alias("w"), F.substring(F.sha2(F.col("line").cast("binary"), 256), 1, 32).alias("h")).where("w > 0")
     lines = lines.repartition("id", "th").dropDuplicates(["id", "th", "at"])  # rows that repeat id and text are one document
     doc = Window.partitionBy("id", "th")
@@ -100,8 +100,10 @@ def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, ru
     can clash with those made here."""
     key, th = F.col(doc_id), F.xxhash64(text)
     kept = F.filter(chunk_structs(F.col(text), divisor, long), lambda c: is_candidate(c, long))
-    # the hash is taken before texts are taken apart, else Spark takes it again for every chunk
-    occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), kept.alias("chunks")).select("id", "th", F.explode("chunks").alias("c"))
+    # the hash is taken before texts are taken apart, else Spark takes it again for every chunk; outer, as for the plain
+    # form Spark puts a filter on the array's size before it and so cuts each text twice
+    occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), kept.alias("chunks"))
+    occ = occ.select("id", "th", F.explode_outer("chunks").alias("c")).where("c is not null")
     occ = occ.select("id", "th", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.chunk").alias("chunk"), hashed(F.col("c.chunk")).alias("h"))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
