@@ -148,7 +148,19 @@ def clean_price(t):
     return t.select("row_id", "price", "text", rounded(P.clean_price(F.col("text")), 4).alias("yuan"))
 
 
-@query("price_from_value", "price_texts")
+def _number(*patterns: str) -> str:
+    """The first pattern's number that is there, in SQL."""
+    return "TRY_CAST(replace(coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in patterns) + "), ',', '') AS DOUBLE)"
+
+
+#: The bare number without lookarounds: what follows must be the end or a sign that is none of the units. It agrees with
+#: the pattern on the texts of price_texts; a test holds the pattern itself against Python.
+_BARE = r"(?:^|[^\d,.])([\d,]+(?:\.\d+)?)\s*(?:$|[^\s\d,.WVKA%a-z])"
+
+
+@query("price_from_value", "price_texts", sql=f"""n AS (SELECT *, {_number(*P._USD)} AS usd, {_number(*P._CNY)} AS cny, {_number(_BARE)} AS bare FROM price_texts)
+SELECT row_id, price AS raw, text, CASE WHEN usd > 0 THEN usd WHEN cny > 0 THEN cny WHEN bare > 0.01 AND bare < 1000000 THEN bare END AS price, CASE WHEN usd > 0 THEN round(usd * 7.2::DOUBLE + 1e-9, 2) WHEN cny > 0 THEN cny WHEN bare > 0.01 AND bare < 1000000 THEN bare END AS price_cny,
+  CASE WHEN usd > 0 THEN 'USD' WHEN cny > 0 OR (bare > 0.01 AND bare < 1000000) THEN 'CNY' END AS currency FROM n""")
 def price_from_value(t):
     return t.select("row_id", "price", "text", P.price_from_value(F.col("text")).alias("v")).select("row_id", "price", "text", "v.price", "v.price_cny", "v.currency").toDF("row_id", "raw", "text", "price", "price_cny", "currency")
 
