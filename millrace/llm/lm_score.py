@@ -8,8 +8,7 @@ the root every word goes on. One traversal per text, from left to right, carries
 
 No table of the model is gathered anywhere. Texts are read once, in blocks of BLOCK characters, and kept as word numbers.
 What a block has to know are the training counts of its own words and arcs over all blocks. A block sends each of its
-distinct words (arcs) once, as a sorted run of hashes with its own counts; hashes fall into ranges, each of which one task
-adds up, whatever the frequencies: a word that stands everywhere is one hash a block. What comes back is the total of each
+distinct words (arcs) once, as hashes with its own counts; hashes fall into ranges, each of which one task adds up, whatever the frequencies: a word that stands everywhere is one hash a block. What comes back is the total of each
 hash that several blocks have. A word (arc) that one block alone has is known there already, and so is any arc made of
 one: only arcs whose parts several blocks share are sent at all. Orders follow one another in this way; the traversal is
 then a lookup in arrays.
@@ -32,8 +31,8 @@ from .common import bounded_batches, crc_mod, stage, text_id
 from .words import blocks, split_words, sums
 
 ORDER = 3
-MU = (2000.0, 50.0)
-BLOCK = 12_000_000
+MU = (2000.0, 5.0)
+BLOCK = 10_000_000
 #: Entries that a range of hashes holds on average.
 GROUP = 1_000_000
 BLOCK_BITS = 24
@@ -122,11 +121,10 @@ class Block:
         self.several = np.zeros(len(self.key), dtype=bool)
 
     def runs(self, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries to send, by range and hash, and the range of each."""
-        keys = self.key[self.sent]
-        part = (mixed(keys, 77).view(np.uint64) % np.uint64(n_ranges)).astype(np.int64)
-        order = np.lexsort((keys, part))
-        return self.sent[order], part[order]
+        """The entries to send, by range, and the range of each."""
+        part = (mixed(self.key[self.sent], 77).view(np.uint64) % np.uint64(n_ranges)).astype(np.uint16 if n_ranges < 65536 else np.int64)
+        order = np.argsort(part, kind="stable")
+        return self.sent[order], part[order].astype(np.int64)
 
     def outgoing(self, n_ranges: int) -> pd.DataFrame:
         entries, part = self.runs(n_ranges)
@@ -138,7 +136,7 @@ class Block:
         """Totals of the entries sent: one more than the count where several blocks have the entry, else 0."""
         entries, _ = self.runs(n_ranges)
         if len(entries):
-            totals = np.concatenate([from_planes(b) for b in back.sort_values("range")["totals"]])
+            totals = np.concatenate([from_planes(b) for b in back.sort_values("range")["totals"]])  # as they were sent
             several = totals > 0
             self.several[entries[several]] = True
             self.count[entries[several]] = totals[several] - 1
@@ -152,8 +150,10 @@ class Block:
         count, key, several = np.append(self.count, starts), np.append(self.key, START_KEY), np.append(self.several, True)
         history[(history >= 0) & (count[history] == 0)] = -1
         on = np.flatnonzero(history >= 0)
-        arcs, one, inverse = np.unique(history[on] * len(self.words) + self.codes[on], return_index=True, return_inverse=True)
-        parent, lower = arcs // len(self.words), self.slot[on[one]]  # the arc's word after a history of one word less
+        inverse, arcs = pd.factorize(history[on] * len(self.words) + self.codes[on])
+        one = np.empty(len(arcs), dtype=np.int64)
+        one[inverse] = on
+        parent, lower = arcs // len(self.words), self.slot[one]  # lower: the arc's word after a history of one word less
         self.history, self.history_count = history, count
         shared = several[parent] & (lower >= 0) & self.several[lower] & (self.count[lower] > 0)
         self.key = mixed(key[parent], self.words[arcs % len(self.words)])
