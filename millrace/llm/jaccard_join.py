@@ -3,14 +3,14 @@
 A text is the set of its five-word shingles; texts with the same set are one class and are worked on once. A class gets
 a signature of SIGNS min-hash tokens, on which two sets agree at a position with the chance of their similarity.
 
-Paths: every class starts on RUNS paths, one for each of RUNS sampled tokens, and meets on a path the classes that have
-the same token. Buckets of one are dropped and small ones are leaves. A larger bucket splits again on BRANCHES tokens
-sampled for its path, and so on; a bucket that hardly shrinks is of alike sets and becomes a leaf as it is, and so does
-one at the last level. Two sets of similarity s miss each other with a chance below (1-s)^RUNS where buckets are small,
-4e-9 at 0.8, and about (1 - 0.94 s)^RUNS where they must be split, 6e-8.
-
-In a leaf all signatures are compared and links of estimated similarity ESTIMATE or more tie classes together; of each
-tied part only a tree of links leaves the task. The parts that this gives over all leaves (components) hold every pair
+Paths: in every run a class starts on the path of one sampled token and meets on it the classes that have the same token.
+Buckets of one are dropped and small ones are leaves. A larger bucket splits again on BRANCHES tokens sampled for its
+path, and so on; a bucket that hardly shrinks is of alike sets and becomes a leaf as it is, and so does one at the last
+level. Runs are repeated until two sets at the threshold miss each other with a chance of 1 - RECALL at most, even where
+they must be split at every level: 12 at 0.8.
+
+In a leaf all signatures are compared and classes that agree at so many places as sets at the threshold do but for a
+chance of 1 - RECALL are tied together; of each tied part only a tree of links leaves the task. The parts that this gives over all leaves (components) hold every pair
 in question. Then the true sets of a part are compared, each pair once, by products of 0/1 matrices. What leaves a task
 is, for each class, its number of links and the smallest class it is tied to. No pairs are written at any time. Leaves
 and parts of more than a block are split into pairs of blocks, which are tasks of their own.
@@ -19,6 +19,7 @@ and parts of more than a block are split into pairs of blocks, which are tasks o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,11 @@ from .words import blocks, split_words
 WORDS = 5
 SIMILARITY = 0.8
 SIGNS = 64
-RUNS = 12
+RECALL = 1 - 1e-7
 BRANCHES = 2
 LEVELS = 8
 LEAF = 200
 DENSE = 0.5
-ESTIMATE = 0.5
 LEAF_BLOCK = 1000
 SET_BLOCK = 500
 SET_BYTES = 64_000_000
@@ -49,6 +49,27 @@ ADD = _rng.integers(0, 2**63, SIGNS, dtype=np.uint64)
 PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def runs_for(similarity: float, recall: float, levels: int) -> int:
+    """Runs after which two sets of that similarity have met with the chance `recall`, split at every level."""
+    stay = 1.0  # the chance to be together in a leaf, once on a path together
+    for _ in range(levels - 1):
+        stay = 1 - (1 - similarity * stay) ** BRANCHES
+    runs = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity * stay)))
+    if runs > SIGNS:
+        raise ValueError(f"a recall of {recall} at similarity {similarity} takes more than {SIGNS} runs")
+    return max(runs, 1)
+
+
+def agreeing(similarity: float, recall: float) -> int:
+    """Places at which the signatures of two sets of that similarity agree at least, with the chance `recall`."""
+    below = 0.0
+    for k in range(SIGNS + 1):
+        below += comb(SIGNS, k) * similarity**k * (1 - similarity) ** (SIGNS - k)
+        if below > 1 - recall:
+            return k
+    return SIGNS
+
+
 def spread(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that leaves no pattern."""
     x = x ^ (x >> np.uint64(33))
@@ -109,19 +130,21 @@ def sets_of(words: int) -> Callable:
     return run
 
 
-def leaves(sigs: DataFrame, *, leaf: int, levels: int) -> DataFrame:
-    """(path, n, cls): the leaves that hold two classes or more, and their sizes."""
-    start = F.array(*[F.xxhash64(F.lit(r), F.element_at("sig", int(p) + 1)) for r, p in enumerate(np.random.default_rng(5).permutation(SIGNS)[:RUNS])])
+def leaves(sigs: DataFrame, *, leaf: int, levels: int, runs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, n, cls): the leaves that hold two classes or more, and their sizes; and the tables that they are read from."""
+    start = F.array(*[F.xxhash64(F.lit(r), F.element_at("sig", int(p) + 1)) for r, p in enumerate(np.random.default_rng(5).permutation(SIGNS)[:runs])])
     now = sigs.select(F.explode(start).alias("path"), "cls", F.lit(None).cast("long").alias("parent"))
-    done = None
+    done, tables = None, []
     for level in range(levels):
-        now = stage(now, "paths")
-        sizes = now.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        paths = stage(now, "paths")
+        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = stage(sizes.withColumnRenamed("path", "p"), "paths-sizes")
-        now = now.join(sizes, F.col("path") == F.col("p")).drop("p")
+        now = paths.join(sizes, F.col("path") == F.col("p")).drop("p")
         ends = (F.col("n") <= leaf) | (F.col("n") > F.col("parent") * DENSE) if level < levels - 1 else F.lit(True)
         ends = F.coalesce(ends, F.lit(False))
         now = stage(now.withColumn("ends", ends), "paths-kept")
+        tables.append(now)
+        discard(paths, sizes)
         found = now.where("ends").select("path", "n", "cls")
         done = found if done is None else done.unionByName(found)
         more = now.where("not ends")
@@ -130,7 +153,7 @@ def leaves(sigs: DataFrame, *, leaf: int, levels: int) -> DataFrame:
         place = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(SIGNS)).cast("int") for b in range(BRANCHES)]
         step = F.array(*[F.xxhash64("path", F.lit(b), F.element_at("sig", place[b] + 1)) for b in range(BRANCHES)])
         now = more.withColumnRenamed("cls", "c").join(sigs, F.col("c") == F.col("cls")).select(F.explode(step).alias("path"), "cls", F.col("n").alias("parent"))
-    return done
+    return done, tables
 
 
 def in_blocks(rows: DataFrame, group: str, parts: Column) -> DataFrame:
@@ -188,24 +211,27 @@ def tied(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def tie_leaf(pdf: pd.DataFrame) -> pd.DataFrame | None:
-    """A tree of links for each part of a leaf whose signatures agree at ESTIMATE of the places."""
-    if len(pdf) < 2:
-        return None
-    cls, first = pdf["cls"].to_numpy(), pdf["first"].to_numpy()
-    sig = np.stack(pdf["sig"].to_numpy())
-    need = int(np.ceil(ESTIMATE * SIGNS))
-    if len(pdf) == 2:
-        return pd.DataFrame({"u": cls[1:], "v": cls[:1]}) if (sig[0] == sig[1]).sum() >= need else None
-    agree = np.zeros((len(pdf), len(pdf)), dtype=np.uint8)
-    for k in range(SIGNS):
-        agree += sig[:, k, None] == sig[None, :, k]
-    linked = agree >= need
-    if not pdf["within"].iloc[0]:
-        linked &= first[:, None] != first[None, :]
-    label = tied(linked)
-    far = label != np.arange(len(label))
-    return pd.DataFrame({"u": cls[far], "v": cls[label[far]]})
+def tie_leaf(need: int) -> Callable:
+    """A tree of links for each part of a leaf whose signatures agree at `need` places or more."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        if len(pdf) < 2:
+            return None
+        cls, first = pdf["cls"].to_numpy(), pdf["first"].to_numpy()
+        sig = np.stack(pdf["sig"].to_numpy())
+        if len(pdf) == 2:
+            return pd.DataFrame({"u": cls[1:], "v": cls[:1]}) if (sig[0] == sig[1]).sum() >= need else None
+        agree = np.zeros((len(pdf), len(pdf)), dtype=np.uint8)
+        for k in range(SIGNS):
+            agree += sig[:, k, None] == sig[None, :, k]
+        linked = agree >= need
+        if not pdf["within"].iloc[0]:
+            linked &= first[:, None] != first[None, :]
+        label = tied(linked)
+        far = label != np.arange(len(label))
+        return pd.DataFrame({"u": cls[far], "v": cls[label[far]]})
+
+    return work
 
 
 def compare_sets(similarity: float) -> Callable:
@@ -249,11 +275,11 @@ def compare_sets(similarity: float) -> Callable:
     return work
 
 
-def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int = WORDS, similarity: float = SIMILARITY, leaf: int = LEAF, levels: int = LEVELS, leaf_block: int = LEAF_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, levels: int = LEVELS, leaf_block: int = LEAF_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """One row per document: doc_id, th (its text's hash), class_id, class_size, n_links, copies.
 
     n_links: other documents with similarity at least `similarity`, those with the same set included; copies: documents
-    with the same set, itself included. A class is what links tie together; its id is its smallest doc_id. Words are
+    with the same set, itself included. A link is missed with a chance of 1 - recall at most. A class is what links tie together; its id is its smallest doc_id. Words are
     what ASCII white space parts. A text of one to four words is one shingle; null, empty and blank texts have none, no
     links, and a class of their own. A null id is never a class's id while another row has one. Repeated rows are
     documents of their own. An empty table gives an empty table. Other columns of docs are left out.
@@ -267,11 +293,12 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     classes = stage(classes.select("cls", "docs", F.col("one.id").alias("id"), F.col("one.th").alias("one_th"), "sig"), "jaccard-classes")
 
     sigs = classes.select("cls", "sig")
-    found = leaves(sigs, leaf=leaf, levels=levels)
+    found, tables = leaves(sigs, leaf=leaf, levels=levels, runs=runs_for(similarity, recall, levels))
     tasks = in_blocks(found, "path", F.ceil(F.col("n") / leaf_block)).withColumnRenamed("cls", "c").join(sigs, F.col("c") == F.col("cls"))
     tasks = tasks.select("task", "first", "within", "cls", "sig").repartition("task").sortWithinPartitions("task", "cls")
-    ties = tasks.mapInPandas(per_group(["task"], tie_leaf), "u long, v long")
-    parts = stage(components(ties), "jaccard-parts")
+    ties = tasks.mapInPandas(per_group(["task"], tie_leaf(agreeing(similarity, recall))), "u long, v long")
+    parts = components(ties)
+    discard(*tables)
 
     members = classes.drop("sig").join(parts, F.col("cls") == F.col("node")).select("cls", "docs", F.col("component").alias("part"), "id", "one_th")
     texts = d.join(members.withColumnRenamed("id", "one_id"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th")))
@@ -285,6 +312,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     tasks = tasks.select("task", "first", "within", "cls", "docs", "set").repartition("task").sortWithinPartitions("task", "cls")
     links = tasks.mapInPandas(per_group(["task"], compare_sets(similarity)), "cls long, links long, linked_docs long, label long")
     links = stage(links, "jaccard-links")
+    discard(parts, texts, sizes)
     final = components(links.select(F.col("cls").alias("u"), F.col("label").alias("v")))
     counts = links.groupBy("cls").agg(F.sum("linked_docs").alias("linked_docs"))
 
@@ -293,6 +321,7 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     ids = info.groupBy("part").agg(F.min("id").alias("class_id"), F.sum("docs").alias("class_size")).withColumnRenamed("part", "p")
     info = info.join(ids, F.col("part") == F.col("p")).join(counts.withColumnRenamed("cls", "lc"), F.col("cls") == F.col("lc"), "left")
     info = stage(info.select(F.col("cls").alias("ic"), "class_id", "class_size", "docs", (F.coalesce("linked_docs", F.lit(0)) + F.col("docs") - 1).alias("n_links")), "jaccard-classes-done")
+    discard(classes, links, final)
     out = rows.drop("sig").join(info, F.col("cls") == F.col("ic"), "left")
     one = F.lit(1).cast("long")
     return out.select(
