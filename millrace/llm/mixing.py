@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count
+from .common import discard, stage, word_count
 
 BUCKETS = 4096
 #: A table of targets has one row per source; beyond so many it is joined by shuffle instead of broadcast.
@@ -82,6 +82,7 @@ def mix_core(base: DataFrame, *, weights, share, cap) -> DataFrame:
     edge = edge.select(F.col(P + "s").alias(P + "e"), F.col(P + "range").alias(P + "edge"), (F.col(P + "upto") - F.col(P + "sum")).alias(P + "before"))
     plan = goal.join(edge, F.col(P + "s").eqNullSafe(F.col(P + "e")), "left").drop(P + "e")
     plan = stage(plan.withColumns({P + "edge": F.coalesce(P + "edge", F.lit(-1)), P + "before": F.coalesce(P + "before", F.lit(0).cast("long"))}), "mix-plan")
+    discard(ranges)
     few = plan.count() <= BROADCAST_SOURCES
     rows = base.join(F.broadcast(plan) if few else plan, F.col(P + "source").eqNullSafe(F.col(P + "s")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, text_id
+from .common import bounded_batches, discard, stage, text_id
 from .words import blocks, split_words
 
 COMMON = 64
@@ -135,6 +135,7 @@ def references(docs: DataFrame, text: str, lang: str, common: int, others: int)
     table = totals.join(lists, "lang").join(by_class, "lang")
     table = table.select(F.col("lang").alias("ref_lang"), "total", F.to_json(F.struct("words", "total", F.array(*[f"c{c}" for c in COMPARED]).alias("classes"))).alias("ref"))
     table = stage(table, "quality-references")
+    discard(n, pooled)
     large = [r["ref"] for r in table.orderBy(F.desc("total"), "ref_lang").limit(others).collect()]
     return table.drop("total"), pool, large
 

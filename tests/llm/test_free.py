@@ -31,7 +31,7 @@ def docs_of(spark, extra=()):
     return d.unionByName(spark.createDataFrame([*EDGE, *extra], SCHEMA).withColumn("doc_id", F.col("doc_id") + 1_000_000))
 
 
-def brute_scores(data, order=3, mu=(2000.0, 50.0)):
+def brute_scores(data, order=3, mu=(2000.0, 5.0)):
     """(id, held out, tokens, known, training tokens, base, score) by dictionaries of all n-grams."""
     tokens = [(i, [*(t or "").encode().lower().split(), b" "]) for i, t in data]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in tokens]
@@ -63,7 +63,7 @@ def test_lm_score(spark, options):
     d = docs_of(spark).withColumn("held_out", F.lit("clash"))
     if options.get("block") == 2_000:
         d = d.where("doc_id % 9 = 0 or doc_id is null or doc_id >= 1000000")
-    want = brute_scores([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], options.get("order", 3), options.get("mu", (2000.0, 50.0)))
+    want = brute_scores([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], options.get("order", 3), options.get("mu", (2000.0, 5.0)))
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_score(d.repartition(3), **options).collect()), key=str)
     assert [x[:5] for x in got] == [x[:5] for x in want]
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9, atol=1e-6)
@@ -512,3 +512,25 @@ def test_url_scores_and_threshold_against_brute_force(spark):
     for (i, _), s, a in zip(data, want, accepted):
         if a is None and abs(s - limit) > 1e-3:
             assert got[i].verdict == ("allow" if s >= limit else "block")
+
+
+def test_runs_follow_the_target_recall(spark):
+    assert J.runs_for(0.8, 0.99, 8) < J.runs_for(0.8, 1 - 1e-7, 8) == 12 and J.agreeing(0.8, 1 - 1e-7) == 33
+    with pytest.raises(ValueError):
+        J.runs_for(0.2, 0.999999, 8)
+    # what both say, by drawing: sets of similarity 0.8 agree at a place with that chance
+    rng = np.random.default_rng(1)
+    assert ((rng.random((20_000, 64)) < 0.8).sum(axis=1) >= J.agreeing(0.8, 0.999)).mean() == pytest.approx(0.999, abs=0.0015)
+
+
+def test_jaccard_join_of_long_texts(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    texts = [" ".join(base)]
+    for share in (0.005, 0.02, 0.2):
+        t = list(base)
+        for _ in range(int(share * len(t))):
+            t[rng.randrange(len(t))] = f"x{rng.random()}"
+        texts.append(" ".join(t))
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in J.jaccard_join(d).collect()) == brute_join(list(enumerate(texts)))

@@ -7,7 +7,7 @@ from millrace.llm.common import word_count
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import quality_rules
-from tests.llm.test_free import brute_join, check_packing
+from tests.llm.test_free import EDGE, SCHEMA, WIDE, brute_join, check_packing, clashing
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,19 @@ def test_run_is_the_same_again(spark):
     a, b = (corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").toPandas() for _ in range(2))
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls, repeats, wide ids and clashing columns beside good documents; and an empty table."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("length(text) between 800 and 4000").limit(60).collect()
+    rows = [(2**60 + 2 * i + 1, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(good)]
+    odd = [*rows, *rows[:3], *EDGE[:-1], *WIDE, (None, good[5].text, None, None, None)]
+    docs = clashing(spark.createDataFrame(odd, SCHEMA).coalesce(1))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").toPandas()
+    check_packing(out, 2048)
+    ids = set(out.doc_id.dropna().astype("int64"))
+    assert len(ids) > 20 and ids <= {r[0] for r in rows}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert all(f(spark, docs, SF).columns == docs.columns for _, f in corpus_pipeline.STAGES[:-1])
