@@ -9,6 +9,7 @@ from .classifier import classify
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .lexical_search import search
 from .line_dedup import line_dedup
 from .lm_score import lm_score
 from .mixing import mix_sources
@@ -66,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), "text")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL_OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -120,6 +125,21 @@ SELECT k.doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT)
 FROM k LEFT JOIN (SELECT a, count(*) AS links, count(*) FILTER (same) AS same FROM l GROUP BY a) x ON x.a = k.doc_id
 """
 
+SQL_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+h AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM h),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+f AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM h) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), g),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * n * nd) // nl AS m FROM h, g),
+s AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_dedup": op2_exact_dedup,
@@ -131,6 +151,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 #: None for the others: learned models, token ids and hashes that SQL lacks; tests hold them against brute force.
-ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op8_jaccard_join": SQL_OP8, "op10_line_dedup": SQL_OP10}
+ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op8_jaccard_join": SQL_OP8, "op10_line_dedup": SQL_OP10, "op12_lexical_search": SQL_OP12}
