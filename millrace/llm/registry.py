@@ -9,6 +9,7 @@ from .classifier import classify
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .language_crf import identify
 from .lexical_search import search
 from .line_dedup import line_dedup
 from .lm_score import lm_score
@@ -76,6 +77,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 SQL_OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -184,6 +189,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_code": op11_vector_code,
     "op12_lexical_search": op12_lexical_search,
+    "op13_language_crf": op13_language_crf,
 }
 #: None for the others: learned models, token ids and hashes that SQL lacks; tests hold them against brute force.
 ORACLE_SQL = {"op1_source_mix": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op8_jaccard_join": SQL_OP8, "op10_line_dedup": SQL_OP10, "op11_vector_code": SQL_OP11, "op12_lexical_search": SQL_OP12}
