@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dictionary import WORDS
 from .models import CJK, count_cjk
 from .prices import blank
 
-#: A few product words; a full dictionary is a table of the caller's (word_table).
-WORDS = {"型号": "Model", "名称": "Name", "规格": "Specification", "价格": "Price", "单价": "Unit Price", "品牌": "Brand", "材质": "Material", "塑料": "Plastic", "电池": "Battery", "锂电池": "Lithium Battery", "充电器": "Charger", "颜色": "Color", "红色": "Red"}
 #: Fixed value: a product code within a text.
-CODE = r"(?U)\b[A-Z]{2,5}\d*\b"
+CODE = r"\b[A-Z]{2,5}\d*\b"
 
 
 def has_chinese(text: Column) -> Column:
@@ -66,30 +69,70 @@ def fix_fullwidth(text: Column) -> Column:
 
 
 def word_table(words: DataFrame, most: int = 20_000) -> dict[str, str]:
-    """A dictionary from a table (zh, en) of at most `most` rows; the smallest translation of a word counts."""
+    """A dictionary from a table (zh, en) of at most `most` rows, in the order of the words; the smallest translation of a
+    word counts."""
     rows = words.where("zh is not null and zh != '' and en is not null").groupBy("zh").agg(F.min("en").alias("en")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a dictionary has at most {most} words")
-    return {r["zh"]: r["en"] for r in rows}
+    return {r["zh"]: r["en"] for r in sorted(rows)}
+
+
+def turned(words: dict[str, str] = WORDS) -> dict[str, str]:
+    """The dictionary the other way round; of words with one translation the last counts."""
+    return {new: old for old, new in words.items()}
 
 
 def longest_first(words: dict[str, str]) -> list[tuple[str, str]]:
-    return sorted(words.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+    """Words in the order of their replacement: longer ones first, equally long ones in the dictionary's order."""
+    return sorted(words.items(), key=lambda kv: -len(kv[0]))
+
+
+class Translator:
+    """Replaces words as a loop over all of them would, longest first, each in what the ones before have left.
+
+    An automaton over all words finds those that a text holds in one walk, so a text costs a walk for each word that it
+    really holds, however many the dictionary has. Each replacement is followed by a walk over the new text, as what was
+    put in may make up words with what stands beside it.
+    """
+
+    def __init__(self, words: dict[str, str]):
+        import ahocorasick
+
+        self.order = [(old, new) for old, new in longest_first(words) if old and old != new]
+        self.automaton = ahocorasick.Automaton()
+        for rank, (old, _) in enumerate(self.order):
+            self.automaton.add_word(old, rank)
+        self.automaton.make_automaton()
+
+    def plain(self, text: str) -> str:
+        done = -1
+        while self.order:
+            rank = min((r for _, r in self.automaton.iter(text) if r > done), default=None)
+            if rank is None:
+                break
+            text, done = text.replace(*self.order[rank]), rank
+        return text
+
+    def protected(self, text: str) -> str:
+        """As plain(), but codes (2 to 5 capitals, then digits, standing as a word of their own) stay as they are."""
+        parts = re.split(f"({CODE})", text)
+        return "".join(part if i % 2 else self.plain(part) for i, part in enumerate(parts))
 
 
 def translated(text: Column, words: dict[str, str] = WORDS, protect: bool = False) -> Column:
-    """The text with words replaced, longest first. protect: codes (2 to 5 capitals, then digits, standing as a word of
-    their own) stay as they are."""
+    """The text with words replaced, null for null. The automaton is built once a task; a batch's equal texts are translated
+    once."""
 
-    def plain(t: Column) -> Column:
-        for old, new in longest_first(words):
-            t = F.replace(t, F.lit(old), F.lit(new))
-        return t
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        translator = Translator(words)
+        one = translator.protected if protect else translator.plain
+        for texts in batches:
+            codes, distinct = pd.factorize(texts)
+            done = [one(t) for t in distinct]
+            yield pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
-    if not protect:
-        return plain(text)
-    codes = F.concat(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.transform(F.split(text, CODE, -1), plain), codes, lambda between, code: F.concat(between, code)), "")
+    return run(text)
 
 
 def translate_column(df: DataFrame, column: str, out: str, words: dict[str, str] = WORDS, protect: bool = False) -> DataFrame:
@@ -99,8 +142,9 @@ def translate_column(df: DataFrame, column: str, out: str, words: dict[str, str]
 
 def translate_frame(df: DataFrame, words: dict[str, str] = WORDS) -> DataFrame:
     """Column names and string columns translated."""
-    name = lambda c: next((c.replace(k, v) for k, v in longest_first(words) if k in c), c)
-    return df.select(*[(translated(F.col(c), words, True) if t == "string" else F.col(c)).alias(name(c)) for c, t in df.dtypes])
+    name = Translator(words).plain
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[(translated(column(c), words) if t == "string" else column(c)).alias(name(c)) for c, t in df.dtypes])
 
 
 ONES = ["", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE", "THIRTEEN", "FOURTEEN", "FIFTEEN", "SIXTEEN", "SEVENTEEN", "EIGHTEEN", "NINETEEN"]

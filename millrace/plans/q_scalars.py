@@ -235,18 +235,24 @@ def _replaced(expression: str) -> str:
     return expression
 
 
-@query("translate_text", "texts", sql=f"SELECT id, {_replaced('zh')} AS en FROM texts")
+@query("translate_text", "zh_texts", sql=f"SELECT id, {_replaced('zh')} AS en FROM zh_texts")
 def translate_text(t):
     return G.translate_column(t, "zh", "en", _DICTIONARY).select("id", "en")
 
 
-@query("translate_protected", "texts", sql=f"""x AS (SELECT id, list_transform(string_split_regex(zh, '\\b[A-Z]{{2,5}}\\d*\\b'), lambda p: {_replaced('p')}) AS between, regexp_extract_all(zh, '\\b[A-Z]{{2,5}}\\d*\\b') AS codes FROM texts)
-SELECT id, array_to_string(list_transform(between, lambda p, i: p || coalesce(codes[i], '')), '') AS en FROM x""")
+# A code next to a Chinese sign is none; an underscore on either side of the signs makes RE2's word boundaries say so.
+_BARE = "regexp_replace(p, '_([一-鿿])_', '\\1', 'g')"
+
+
+@query("translate_protected", "zh_texts", sql=f"""m AS (SELECT id, regexp_replace(zh, '([一-鿿])', '_\\1_', 'g') AS zh FROM zh_texts),
+b AS (SELECT id, string_split_regex(zh, '\\b[A-Z]{{2,5}}\\d*\\b') AS parts, regexp_extract_all(zh, '\\b[A-Z]{{2,5}}\\d*\\b') AS codes FROM m),
+p AS (SELECT id, i, {_BARE} AS p, coalesce(codes[i], '') AS code FROM (SELECT id, codes, i, parts[i] AS p FROM b, unnest(range(1, len(parts) + 1)) AS u(i)))
+SELECT id, string_agg({_replaced('p')} || code, '' ORDER BY i) AS en FROM p GROUP BY id""")
 def translate_protected(t):
     return G.translate_column(t, "zh", "en", _DICTIONARY, protect=True).select("id", "en")
 
 
-@query("translate_frame", "texts", sql=f"SELECT id, {_replaced('zh').replace(chr(39) + 'ABC' + chr(39), chr(39) + chr(1) + chr(39))} AS \"Color\", kind, s FROM texts")
+@query("translate_frame", "zh_texts", sql=f"SELECT id, {_replaced('zh')} AS \"Color\", kind, s FROM zh_texts")
 def translate_frame(t):
     return G.translate_frame(t.select("id", C("zh").alias("颜色"), "kind", "s"), _DICTIONARY)
 

@@ -69,6 +69,15 @@ def _sheets() -> str:
     return " UNION ALL ".join(out)
 
 
+def _phrase(number: str) -> str:
+    """One of many phrases with words that overlap, hold each other, or stand beside codes."""
+    phrases = (
+        "红色 锂电池 ABC", "铝合金框锂电池", "CE认证 ABC12", "FOB价格/EXW价格", "千米/小时 最大功率", "磷酸铁锂电池容量大小", "不含电池 有无高中低", "样品费 付款方式交货期", "毫安时千瓦时 mAh", "外形尺寸 长宽高厚",
+        "LED2 灯 ISO 9001 证书", "额定电压电流", "产品名称规格参数", "公司名称 联系人", "年月日期 小时", "生产周期有效期", "充电时间度", "ABC价格 ABC", "无刷电机功率", "名称", "最大最小平均", "FOB 价格CE", "塑料 玻璃米克",
+    )
+    return f"CASE ({number}) % {len(phrases)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(phrases)) + " END"
+
+
 VIEWS: dict[str, str] = {
     "products_raw": f"""
 SELECT p_partkey AS idx, {_USER} AS user_id,
@@ -148,6 +157,9 @@ SELECT p_partkey AS id, p_size AS s, p_name AS name, CASE p_partkey % 8
   CASE p_partkey % 3 WHEN 0 THEN 'Model: x' || chr(13) || chr(10) || 'Weight：' || CAST(p_size AS STRING) || chr(10) || chr(10) || 'Grade-' || p_type WHEN 1 THEN 'Weight: 1' || chr(10) || 'plain' || chr(10) || 'Weight: ' || p_name ELSE 'Colour（outer）: ' || p_type || chr(13) || 'x:' || chr(10) || '价格: 3' END AS fields,
   CASE p_partkey % 4 WHEN 0 THEN 'EV: CNY ' || CAST(4980 + p_size AS STRING) || ' / Battery: CNY 2,530 / Charger: CNY 230' WHEN 1 THEN 'Battery: 2530' || chr(10) || 'Charger ' || CAST(1000 + p_size AS STRING) WHEN 2 THEN 'Motor: USD ' || CAST(p_size AS STRING) || '.5/CKD: 900/EV 1000/none' ELSE p_name END AS parts
 FROM {part}""",
+    "zh_texts": f"""
+SELECT p_partkey AS id, p_type AS kind, p_size AS s, {_phrase("p_partkey")} || CASE p_partkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ' ' ELSE '' END || CAST(p_size AS STRING) || {_phrase("p_size")} || {_phrase("p_partkey + p_size")}
+    || CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS zh FROM {{part}}""",
     "sheets": _sheets(),
     "candidates": """
 SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS parser, p_partkey AS row_no,

@@ -1,5 +1,7 @@
 """Hand cases of single functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +283,44 @@ def test_id_ranges_part_all_rows(spark, low, high, parts):
     assert sum(found) == ids.count()
 
 
+def plain_loop(text, words):
+    for old, new in sorted(words.items(), key=lambda kv: -len(kv[0])):
+        text = text.replace(old, new)
+    return text
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_translation_equals_a_loop_over_the_words(spark, seed):
+    """Words that overlap, hold each other or arise from what was put in."""
+    r = random.Random(seed)
+    piece = lambda n: "".join(r.choice("abc型号") for _ in range(r.randint(1, n)))
+    words = {piece(4): piece(3) for _ in range(30)}
+    texts = [piece(25) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [x.en for x in G.translate_column(df, "t", "en", words).orderBy("i").collect()]
+    assert got == [t and plain_loop(t, words) for t in texts[:-2]] + ["", None]
+
+
+def test_dictionary_of_the_stated_size(spark):
+    """20,000 words from a table, both ways."""
+    signs = [chr(0x4E00 + i) for i in range(200)]
+    table = spark.createDataFrame([(a + b, f"<{i} {k}>") for i, a in enumerate(signs) for k, b in enumerate(signs[:100])], "zh string, en string")
+    words = G.word_table(table)
+    assert len(words) == 20_000
+    texts = ["".join(signs[(7 * i + 3 * k * k) % 200] for k in range(40)) for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [x.en for x in G.translate_column(df, "t", "en", words).orderBy("i").collect()]
+    assert got == [plain_loop(t, words) for t in texts]
+    back = [x.zh for x in G.translate_column(spark.createDataFrame([(0, "<0 1> <5 7>")], "i int, t string"), "t", "zh", G.turned(words)).collect()]
+    assert back == [f"{signs[0]}{signs[1]} {signs[5]}{signs[7]}"]
+
+
+def test_translated_frame(spark):
+    df = spark.createDataFrame([(1, "型号", None), (2, "红色 LED1", "x")], "`a.b` int, `型号 名称` string, `颜``色` string")
+    out = G.translate_frame(df, G.WORDS)
+    assert out.columns == ["a.b", "Model Name", "颜`色"] and [tuple(r) for r in out.orderBy(out.columns[1]).collect()] == [(1, "Model", None), (2, "Red LED1", "x")]
+
+
 def test_dictionary_from_a_table(spark):
     words = G.word_table(spark.createDataFrame([("灯", "lamp"), ("灯具", "lighting"), (None, "x"), ("", "y"), ("灯", "light")], "zh string, en string"))
     assert words == {"灯": "lamp", "灯具": "lighting"}
