@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, crc_mod
 
+C = F.col
 SHARE = 1e-4
 SAMPLE = 4000
 RUN = 128
@@ -274,17 +275,16 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(texts, langs)
 
 
-def lexicon(train: DataFrame, share: float) -> tuple[list[str], dict[bytes, np.ndarray]]:
-    """The languages, and for each word that is common in one of them 1 + log10(its share / `share`), 0 where it isn't."""
+def lexicon(train: DataFrame, languages: list[str], share: float) -> dict[bytes, np.ndarray]:
+    """For each word that is common in a language 1 + log10(its share / `share`), 0 where it isn't."""
     counts = train.select("t", "lang").mapInArrow(word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("all"))  # a row a language
-    rows = common.select("lang", "word", (F.col("n") / F.col("all")).alias("share")).collect()  # at most 1 / share a language
-    languages = sorted(r.lang for r in train.select("lang").distinct().collect())
+    common = counts.join(F.broadcast(totals), "lang").where(C("n") >= share * C("all"))  # a row a language
+    rows = common.select("lang", "word", (C("n") / C("all")).alias("share")).collect()  # at most 1 / share a language
     place, out = {lang: i for i, lang in enumerate(languages)}, {}
     for r in rows:
         out.setdefault(bytes(r.word), np.zeros(len(languages)))[place[r.lang]] = 1 + np.log10(r.share / share)
-    return languages, out
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
@@ -322,17 +322,19 @@ def fit_field(docs: DataFrame, *, text="text", doc_id="doc_id", lang="lang", fol
     key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
     train = bounded_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (crc_mod(F.col(doc_id), folds) != held_fold))
     train = train.select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("lang"), F.shiftrightunsigned(key, 1).alias("h"))
-    languages, common = lexicon(train, share)
+    # rows that repeat id and text have one hash; languages without a text keep their place
+    hashes = {r.lang: r.n for r in train.groupBy("lang").agg(F.approx_count_distinct(F.when(F.length("t") > 0, C("h"))).alias("n")).collect()}
+    languages = sorted(hashes)
     if not languages:
         return None
+    common = lexicon(train, languages, share)
     most = max(sample // len(languages), 1)
-    # rows that repeat id and text are one, so that at most `most` rows a language go on
-    hashes = train.where(F.length("t") > 0).groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    # of each language about twice as many hashes as are needed, then the smallest of these
+    bound = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(int(2 * most / max(hashes[lang], 1) * 2**63), 2**63 - 1))])
+    some = train.where((F.length("t") > 0) & (C("h") <= bound[C("lang")])).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    some = some.mapInArrow(lambda b: runs(b, run), "lang string, h long, words binary")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = hashes.withColumn("place", place).where(F.col("place") <= most).groupBy("lang").agg(F.max("h").alias("last"))
-    some = train.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))  # a row a language
-    some = some.groupBy("lang", "h").agg(F.min("t").alias("t"))
-    rows = some.mapInArrow(lambda b: runs(b, run), "lang string, h long, words binary").collect()  # at most `sample` runs of words
+    rows = some.withColumn("place", place).where(C("place") <= most).collect()  # at most `sample` runs of words
     field = Field(languages, common)
     if rows:
         label = {x: i for i, x in enumerate(languages)}

@@ -167,8 +167,8 @@ def test_lexicon_against_counts(spark):
             if C.has_letter(w):
                 own = counts.setdefault(r.lang, {})
                 own[w] = own.get(w, 0) + 1
-    languages, got = C.lexicon(d, 1e-3)
-    assert languages == sorted(counts)
+    languages = sorted(counts)
+    got = C.lexicon(d, languages, 1e-3)
     want = {}
     for k, lang in enumerate(languages):
         n = sum(counts[lang].values())
