@@ -63,6 +63,12 @@ def number_price(value: Column) -> Column:
     return F.when(value > 0, value.cast("double"))
 
 
+def cell_price(text: Column) -> Column:
+    """A cell that is a number counts if above 0; other texts as clean_price has them."""
+    number = blank(text).try_cast("double")
+    return F.when(number.isNotNull(), number_price(number)).otherwise(clean_price(text))
+
+
 #: How prices are written in dollars, in yuan, and without a currency.
 _USD = (r"(?i)(?:USD|US\s*Dollar)\s*([\d,]+(?:\.\d+)?)", r"(?i)([\d,]+(?:\.\d+)?)\s*(?:USD|US\s*Dollar)")
 _CNY = (r"(?i)(?:¥|CNY|RMB|人民币)\s*([\d,]+(?:\.\d+)?)", r"(?i)([\d,]+(?:\.\d+)?)\s*(?:元|RMB|CNY)")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import VIEWS, load, with_views
 
-_MODULES = ("dedup", "library", "money", "scalars", "quality", "grid", "images", "history", "streams")
+_MODULES = ("dedup", "library", "money", "scalars", "quality", "grid", "sheets", "images", "history", "streams")
 _QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame], str | None]] = {}
 
 

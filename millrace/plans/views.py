@@ -78,6 +78,34 @@ def _phrase(number: str) -> str:
     return f"CASE ({number}) % {len(phrases)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(phrases)) + " END"
 
 
+def _invoice_cells() -> str:
+    """Each order an invoice sheet of three kinds: columns as usual, others named by the header, and five columns only.
+    Headers in rows 3 to 6, or none; rows left free after the first or the third line; clauses, totals and bank lines."""
+    kind, head = "(quote_id % 3)", "(3 + quote_id % 4)"
+    row = f"CAST({head} + line_no + CASE WHEN quote_id % 5 = 0 AND line_no > 3 THEN 1 ELSE 0 END + CASE WHEN quote_id % 7 = 1 AND line_no > 1 THEN 2 ELSE 0 END AS INT)"
+    text = "CASE (quote_id + line_no) % 11 WHEN 0 THEN '1. Payment within 30 days' WHEN 1 THEN 'Total of goods' WHEN 2 THEN 'Beneficiary Bank' WHEN 3 THEN sku || '  lamp with a name ' || sku || ' that goes on and on, and on' WHEN 4 THEN '12V lamp ' || sku WHEN 5 THEN sku || 'abcdefghijklmnopqrstuvwxyz' WHEN 6 THEN 'x' WHEN 7 THEN ' ' ELSE ' ' || sku END"
+    number = "CASE WHEN line_no % 4 = 1 THEN '1,' || lpad(CAST(qty AS STRING), 3, '0') WHEN line_no % 7 = 2 THEN 'about 5' ELSE CAST(qty AS STRING) || '.9' END"
+    price = "CASE WHEN line_no % 2 = 0 THEN '' WHEN line_no % 5 = 3 THEN '$' || CAST(qty AS STRING) ELSE CAST(unit_price AS STRING) END"
+    total = "CASE WHEN line_no % 6 = 5 THEN '' ELSE CAST(qty * 25 AS STRING) END"
+    columns = {1: text, 3: "CASE WHEN line_no % 3 = 0 THEN '' ELSE ' spec of ' || sku || ' ' END", 4: f"CASE {kind} WHEN 1 THEN {price} ELSE {number} END", 5: f"CASE {kind} WHEN 1 THEN {number} ELSE {price} END", 6: f"CASE {kind} WHEN 2 THEN '' ELSE {total} END"}
+    key = "'q' || CAST(quote_id AS STRING) AS file, 's1' AS sheet"
+    out = [f"SELECT {key}, {row} AS row_no, {c} AS col_no, {v} AS value FROM {{quote_items}} WHERE NOT ({c} = 6 AND {kind} = 2)" for c, v in columns.items()]
+    heads = {1: "CASE WHEN quote_id % 8 = 3 THEN 'Goods' ELSE 'Description of goods' END", 3: "'Spec'", 4: f"CASE {kind} WHEN 1 THEN 'Unit Price' ELSE 'Qty' END", 5: f"CASE {kind} WHEN 1 THEN 'Quantity (USD)' WHEN 2 THEN 'FOB price' ELSE 'Price' END", 6: f"CASE {kind} WHEN 1 THEN 'Total Amount' ELSE 'Sum' END"}
+    orders = "(SELECT DISTINCT o_orderkey AS quote_id FROM {orders}) AS o"
+    out += [f"SELECT {key}, CAST({head} AS INT), {c}, {v} FROM {orders} WHERE NOT ({c} = 6 AND {kind} = 2)" for c, v in heads.items()]
+    out.append(f"SELECT {key}, 1, 1, CASE WHEN quote_id % 6 = 5 THEN 'Offer' ELSE 'PROFORMA INVOICE' END FROM {orders}")
+    return " UNION ALL ".join(out)
+
+
+def _merges() -> str:
+    """Merged ranges of the sheets in `cells`: down over empty models, up to a price, wide and overlapping, one cell, tall."""
+    file, row = "'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet", "CAST(p_partkey % 50 + 4 AS INT)"
+    kinds = (("p_partkey % 6 = 1", 0, 1, 2, 1), ("p_partkey % 8 = 4", 0, 4, 1, 4), ("p_partkey % 25 = 10", 0, 2, 3, 7), ("p_partkey % 10 = 3", -1, 4, 4, 6), ("p_partkey % 13 = 0", 0, 1, 0, 1), ("p_partkey % 50 = 2", 0, 1, 700, 9))
+    return " UNION ALL ".join(
+        f"SELECT {file}, CAST(p_partkey * {len(kinds)} + {i} AS BIGINT) AS range_no, {row} + {r0} AS row_from, {c0} AS col_from, {row} + {r1} AS row_to, {c1} AS col_to FROM {{part}} WHERE {where}" for i, (where, r0, c0, r1, c1) in enumerate(kinds)
+    )
+
+
 VIEWS: dict[str, str] = {
     "products_raw": f"""
 SELECT p_partkey AS idx, {_USER} AS user_id,
@@ -161,6 +189,8 @@ FROM {part}""",
 SELECT p_partkey AS id, p_type AS kind, p_size AS s, {_phrase("p_partkey")} || CASE p_partkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ' ' ELSE '' END || CAST(p_size AS STRING) || {_phrase("p_size")} || {_phrase("p_partkey + p_size")}
     || CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS zh FROM {{part}}""",
     "sheets": _sheets(),
+    "merges": _merges(),
+    "invoice_cells": _invoice_cells(),
     "candidates": """
 SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS parser, p_partkey AS row_no,
   CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN 'payment' WHEN p_partkey % 13 = 0 THEN CAST(p_size AS STRING) || '-Long name ' || p_name WHEN p_partkey % 7 = 3 THEN p_name ELSE 'EV' || CAST(p_partkey % 300 AS STRING) END AS model,
