@@ -75,8 +75,8 @@ def subscription_state(payments: DataFrame) -> DataFrame:
     return p.groupBy("user_id").agg(F.max_by("tier", F.struct("ts", "id")).alias("tier"))
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now and returns its result so far; a later call with the same folder goes on where
+def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", settings: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream, under the given settings of the session, over what there is now and returns its result so far; a later call with the same folder goes on where
     this one ended. Each trigger's rows go to Parquet in the shared folder under the trigger's number, so that a repeated
     trigger overwrites its own rows; a stream in complete mode has its result in the last trigger's."""
     spark = stream.sparkSession
@@ -84,7 +84,14 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> Data
     def put(rows: DataFrame, n: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={n}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     triggers = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(path)] if files.exists(path) else []
