@@ -120,18 +120,37 @@ def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, ru
         again = again.unionByName(more.select("id", "th", "start", "lines"))
     if runs:
         again = again.unionByName(repeated_runs(docs, text, doc_id, long))
-    gone = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "lines")).alias("gone"))
+    gone = islands(again).groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
     own = docs.select(F.struct("*").alias("row"), key.alias("own_id"), th.alias("own_th"))
     out = own.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
-    t = F.col("row")[text]
+    t = F.col("row").getField(text)
     some, split = F.col("gone").isNotNull(), F.split(t, "\n", -1)
-    places = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
-    out = out.withColumn("left", F.when(some, F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)))
     lines = F.when(t.isNull(), 0).otherwise(F.size(split)).cast("long")
+    removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["end"] - g["start"])
     # a transform over one element names the lines, so that a text is split once
-    stay = F.element_at(F.transform(F.array(split), lambda s: F.array_join(F.transform("left", lambda i: F.get(s, i)), "\n")), 1)
-    return out.select("row", F.when(some, stay).otherwise(t).alias("text"), lines.alias("lines"), F.when(some, lines - F.size("left")).otherwise(F.lit(0)).cast("long").alias("removed"))
+    stay = F.element_at(F.transform(F.array(split), between_gaps), 1)
+    return out.select("row", F.when(some, stay).otherwise(t).alias("text"), lines.alias("lines"), F.when(some, removed).otherwise(F.lit(0)).cast("long").alias("removed"))
+
+
+def islands(intervals: DataFrame) -> DataFrame:
+    """(id, th, start, end): a text's lines from start on and before end, intervals that overlap or touch made one."""
+    w = Window.partitionBy("id", "th").orderBy("start", "lines")
+    i = intervals.withColumn("end", F.col("start") + F.col("lines"))
+    i = i.withColumn("upto", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    i = i.withColumn("island", F.sum(F.when(F.col("start") <= F.col("upto"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return i.groupBy("id", "th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def between_gaps(lines: Column) -> Column:
+    """The lines outside the islands in column gone, joined."""
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), "gone", F.array(F.struct(F.size(lines).alias("start"), F.size(lines).alias("end"))))
+
+    def piece(edge: Column, i: Column) -> Column:
+        start = F.element_at(edges, i)["end"]
+        return F.slice(lines, start + 1, edge["start"] - start)
+
+    return F.array_join(F.flatten(F.transform(F.slice(edges, 2, F.size(edges) - 1), lambda e, i: piece(e, i + 1))), "\n")
 
 
 def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int = DIVISOR, long: int = LONG, runs: bool = True, hashed=F.xxhash64) -> DataFrame:
@@ -144,7 +163,7 @@ def line_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", divisor: int =
     """
     out = deduped(docs, text, doc_id, divisor, long, runs, hashed)
     counts = {"__lines": F.col("lines"), "__removed_lines": F.col("removed")}
-    return out.select(*[F.col("text" if c == text else f"row.`{c}`").alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+    return out.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
 
 
 def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", chars: str | None = "n_chars", divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
@@ -158,7 +177,7 @@ def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", chars: str | N
     def column(c: str) -> Column:
         if c == text:
             return F.col("text")
-        own = F.col(f"row.`{c}`")
+        own = F.col("row").getField(c)
         return F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == chars else own
 
     return out.select(*[column(c).alias(c) for c in docs.columns])

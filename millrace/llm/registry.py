@@ -65,7 +65,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"), runs=False)  # SQL_OP10 states the rule for chunks alone
+    out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), "text")
 
 
@@ -115,11 +115,19 @@ h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp
 e AS (SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 AS stop FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 k AS (SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
 c AS (SELECT doc_id, no, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY doc_id, no),
-r AS (SELECT *, row_number() OVER (PARTITION BY chunk, lines > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') OR len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 50 ORDER BY doc_id, start) > 1
-    AND (lines > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') OR len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 50) AS gone FROM c)
-SELECT d.doc_id, CAST(coalesce(sum(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines,
-  CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(chunk, chr(10) ORDER BY start) FILTER (NOT gone), '') END AS text
-FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) > 1 AS gone FROM c WHERE lines > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') OR len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 50),
+-- runs: from each line with a word on, and up to it, the fewest lines that make 50 words
+w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS BIGINT) AS begun FROM (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l) WHERE n > 0),
+f AS (SELECT doc_id, i AS s, max(i) OVER v AS e, string_agg(line, chr(10)) OVER v AS run, count(*) OVER v AS k, sum(n) OVER v AS ws FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY begun RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+g AS (SELECT doc_id, min(i) OVER v AS s, i AS e, string_agg(line, chr(10)) OVER v AS run, count(*) OVER v AS k, sum(n) OVER v AS ws FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+u AS (SELECT DISTINCT doc_id, s, e, run FROM (SELECT * FROM f UNION ALL SELECT * FROM g) WHERE k > 1 AND ws >= 50),
+p AS (SELECT doc_id, s, e, first_value(doc_id) OVER v AS fd, first_value(s) OVER v AS fs, first_value(e) OVER v AS fe FROM u WINDOW v AS (PARTITION BY run ORDER BY doc_id, s, e)),
+x AS (SELECT doc_id, CASE WHEN fd = doc_id THEN greatest(s, fe + 1) ELSE s END AS s, e FROM p WHERE (doc_id, s, e) <> (fd, fs, fe)
+  UNION ALL SELECT doc_id, start, start + lines - 1 FROM r WHERE gone),
+y AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN x ON x.doc_id = l.doc_id AND l.i BETWEEN x.s AND x.e)
+SELECT d.doc_id, CAST(count(l.i) AS BIGINT) AS n_lines, CAST(count(y.i) AS BIGINT) AS removed_lines,
+  CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (y.i IS NULL), '') END AS text
+FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = l.doc_id AND y.i = l.i GROUP BY d.doc_id
 """
 
 SQL_OP8 = r"""

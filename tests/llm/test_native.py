@@ -114,7 +114,7 @@ def test_line_dedup_takes_whole_passages(spark):
 
 def test_wide_ids_and_clashing_columns(spark):
     d = clashing(spark.createDataFrame(WIDE, SCHEMA).coalesce(1))
-    d = d.withColumns({c: F.lit("x") for c in ("__mix_size", "__mix_row", "gone", "left", "lines", "removed", "own_th", "__lines")})
+    d = d.withColumns({c: F.lit("x") for c in ("__mix_size", "__mix_row", "gone", "left", "lines", "removed", "own_th", "__lines", "start", "back`tick", "a.b")})
     want = {r.doc_id for r in d.collect()}
     for out in (mix_sources(d), exact_dedup(d), line_dedup(d), dedup_lines(d)):
         assert {r.doc_id for r in out.collect()} == want
