@@ -28,10 +28,9 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.50
 FEW = 0.25
 PRIOR = 1000
-#: A text that its own reference rejects is held against so many languages with the most words.
-OTHERS = 16
-#: A table of references has one row a language; beyond so many it is joined by shuffle instead of broadcast.
-BROADCAST_LANGUAGES = 4096
+#: References of all languages go to every task, a few KB each. ISO 639-3 names fewer languages than this; more distinct
+#: values mean that the column holds something else, which is an error.
+LANGUAGES = 8192
 BLOCK = 2_000_000
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b".,;:!?'\"()-"
@@ -112,9 +111,9 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": pd.Series([name] * len(COMPARED), dtype=object), "word": pd.Series([""] * len(COMPARED), dtype=object), "class": COMPARED, "n": classes[COMPARED]})
 
 
-def references(docs: DataFrame, text: str, lang: str, common: int, others: int) -> tuple[DataFrame, dict, list[str]]:
-    """(table of ref_lang and ref: a language's own counts as JSON; the same of all languages together; those of the
-    `others` languages with the most words). A row of the table has `common` words of the language and those of them that
+def references(docs: DataFrame, text: str, lang: str, common: int) -> tuple[DataFrame, dict, list[str]]:
+    """(table of ref_lang and ref: a language's own counts as JSON; the same of all languages together; the table's refs,
+    those with the most words first). A row of the table has `common` words of the language and those of them that
     are common in all."""
     d = bounded_batches(docs).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
     n = d.mapInPandas(count_words, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
@@ -136,8 +135,10 @@ def references(docs: DataFrame, text: str, lang: str, common: int, others: int)
     table = table.select(F.col("lang").alias("ref_lang"), "total", F.to_json(F.struct("words", "total", F.array(*[f"c{c}" for c in COMPARED]).alias("classes"))).alias("ref"))
     table = stage(table, "quality-references")
     discard(n, pooled)
-    large = [r["ref"] for r in table.orderBy(F.desc("total"), "ref_lang").limit(others).collect()]
-    return table.drop("total"), pool, large
+    every = [r["ref"] for r in table.orderBy(F.desc("total"), "ref_lang").limit(LANGUAGES + 1).collect()]
+    if len(every) > LANGUAGES:
+        raise ValueError(f"{lang} holds more than {LANGUAGES} values")
+    return table.drop("total"), pool, every
 
 
 class Reference:
@@ -165,16 +166,54 @@ class Reference:
         return distance(classes[COMPARED], self.classes), distance(common, self.words), share / self.share if self.share else 1.0
 
 
-def judge(pool: dict, large: list[str], common: int, prior: float, max_char: float, max_word: float, few: float, min_words: int, block: int):
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """distance() of one histogram and each row of b."""
+    sa, sb = a.sum(axis=-1, keepdims=True), b.sum(axis=1, keepdims=True)
+    p, q = a / np.maximum(sa, 1), b / np.where(sb > 0, sb, 1)
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+    return np.where((sa > 0).ravel() & (sb > 0).ravel(), np.sqrt(np.maximum(d / 2, 0)), 0.0)
+
+
+class AllReferences:
+    """All languages' histograms as matrices, so that a text is held against all of them at once; the last row is that of
+    all languages together."""
+
+    def __init__(self, refs: list[Reference]):
+        words = sorted({w for r in refs for w in r.place})
+        self.place = {w: k for k, w in enumerate(words)}
+        #: By reference and place among its common words the word's number; len(words) where it has fewer.
+        self.which = np.full((len(refs), max(len(r.words) for r in refs) - 1), len(words))
+        self.words = np.zeros((len(refs), self.which.shape[1] + 1))
+        for k, r in enumerate(refs):
+            self.which[k, : len(r.place)] = [self.place[w] for w in r.place]
+            self.words[k, : len(r.place)], self.words[k, -1] = r.words[:-1], r.words[-1]
+        self.classes, self.share = np.stack([r.classes for r in refs]), np.array([r.share for r in refs])
+        self.counts = np.zeros(len(words) + 1)
+
+    def apart(self, looked: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Reference.apart, for each reference. looked: the text's words by number, len(self.place) for all others."""
+        kinds, n = np.unique(looked, return_counts=True)
+        self.counts[kinds] = n
+        self.counts[-1] = 0
+        common = self.counts[self.which]
+        self.counts[kinds] = 0
+        known = common.sum(axis=1, keepdims=True)
+        common = np.concatenate([common, len(looked) - known], axis=1)
+        share = known.ravel() / max(len(looked), 1)
+        return distances(classes[COMPARED].astype(float)[None], self.classes), distances(common, self.words), np.where(self.share > 0, share / np.where(self.share > 0, self.share, 1), 1.0)
+
+
+def judge(pool: dict, every: list[str], common: int, prior: float, max_char: float, max_word: float, few: float, min_words: int, block: int):
     """Verdicts on rows with t and ref (null: held against all languages together)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str | None, Reference] = {}
+        others: AllReferences | None = None
 
         def reference(ref: str | None) -> Reference:
             if ref not in known:
-                if len(known) > 1000:
-                    known.clear()
                 known[ref] = Reference(json.loads(ref) if ref else None, pool, common, prior)
             return known[ref]
 
@@ -183,6 +222,7 @@ def judge(pool: dict, large: list[str], common: int, prior: float, max_char: flo
             codes, starts, distinct = split_words(texts)
             words = [plain(w) for w in distinct]
             looked: dict[str | None, np.ndarray] = {}
+            among_all = None
             rows = []
             for i, (t, own_ref) in enumerate(zip(texts, pdf["ref"], strict=True)):
                 own = codes[starts[i] : starts[i + 1]]
@@ -190,18 +230,20 @@ def judge(pool: dict, large: list[str], common: int, prior: float, max_char: flo
                 n, repeat = len(own), repeated_words(own, len(distinct))
                 failed = n < 50 or 100 * repeat > 50 * n
                 own_ref = own_ref if isinstance(own_ref, str) else None
-                first = None
-                for ref in (own_ref, *large, None):  # the others: its label may be wrong, or it may mix languages
-                    r = reference(ref)
-                    if ref not in looked:
-                        looked[ref] = np.array([r.place.get(w, len(r.place)) for w in words], dtype=np.int64)
-                    char_d, word_d, share = r.apart(own, classes, looked[ref])
-                    diverges = n >= min_words and (char_d > max_char or word_d > max_word or share < few)
-                    first = first or (char_d, word_d)
-                    if not diverges or failed:
-                        break
-                if diverges:
-                    char_d, word_d = first
+                r = reference(own_ref)
+                if own_ref not in looked:
+                    looked[own_ref] = np.array([r.place.get(w, len(r.place)) for w in words], dtype=np.int64)
+                char_d, word_d, share = r.apart(own, classes, looked[own_ref])
+                diverges = n >= min_words and (char_d > max_char or word_d > max_word or share < few)
+                if diverges and not failed:  # the others: its label may be wrong, or it may mix languages
+                    if others is None:
+                        others = AllReferences([reference(x) for x in (*every, None)])
+                    if among_all is None:
+                        among_all = np.array([others.place.get(w, len(others.place)) for w in words], dtype=np.int64)
+                    char_all, word_all, share_all = others.apart(among_all[own], classes)
+                    takes = np.flatnonzero((char_all <= max_char) & (word_all <= max_word) & (share_all >= few))
+                    if len(takes):
+                        diverges, char_d, word_d = False, float(char_all[takes[0]]), float(word_all[takes[0]])
                 rows.append((n, int(classes.sum() - classes[SPACE] - classes[TAIL]), int(classes[SYMBOL]), duplicate_lines(t), repeat, failed, not failed and not diverges, char_d, word_d))
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
             yield pdf.drop(columns=["t", "ref"]).join(pd.DataFrame(rows, columns=names, index=pdf.index))
@@ -213,39 +255,38 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def with_references(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows (with a column own_lang) and each one's reference."""
-    few = table.count() <= BROADCAST_LANGUAGES
-    return rows.join(F.broadcast(table) if few else table, F.col("own_lang") == F.col("ref_lang"), "left").drop("own_lang", "ref_lang")
+    """rows (with a column own_lang) and each one's reference; the table has a row a language, LANGUAGES at most."""
+    return rows.join(F.broadcast(table), F.col("own_lang") == F.col("ref_lang"), "left").drop("own_lang", "ref_lang")
 
 
 def quality_rules(
-    docs: DataFrame, *, text="text", doc_id="doc_id", lang="lang", common: int = COMMON, prior: float = PRIOR, others: int = OTHERS,
+    docs: DataFrame, *, text="text", doc_id="doc_id", lang="lang", common: int = COMMON, prior: float = PRIOR,
     max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, few: float = FEW, min_words: int = MIN_WORDS, block: int = BLOCK,
 ) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, and both distances (to the reference that took it, else
     to its own).
 
-    A text that its own language's reference rejects stays if that of one of the `others` languages with the most words
-    takes it, or that of all together: labels may be wrong and texts may mix languages, junk is far from all of them.
+    A text that its own language's reference rejects stays if that of any other language takes it, or that of all together:
+    labels may be wrong and texts may mix languages, junk is far from all of them. More than LANGUAGES languages are an error.
 
     Null text has no words and fails. A null language is held against all languages together. Repeated rows count as
     often as they occur. An empty table gives an empty table. Other columns of docs are left out.
     """
-    table, pool, large = references(docs, text, lang, common, others)
+    table, pool, every = references(docs, text, lang, common)
     d = docs.select(text_id(doc_id), F.col(lang).cast("string").alias("own_lang"), F.coalesce(text, F.lit("")).alias("t"))
-    judged = judge(pool, large, common, prior, max_char, max_word, few, min_words, block)
+    judged = judge(pool, every, common, prior, max_char, max_word, few, min_words, block)
     out = with_references(d, table).mapInPandas(judged, f"doc_id string, {MEASURES}")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def passing(
-    docs: DataFrame, *, text="text", lang="lang", common: int = COMMON, prior: float = PRIOR, others: int = OTHERS,
+    docs: DataFrame, *, text="text", lang="lang", common: int = COMMON, prior: float = PRIOR,
     max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, few: float = FEW, min_words: int = MIN_WORDS, block: int = BLOCK,
 ) -> DataFrame:
     """The documents that the rules keep, in the columns of docs and with their values as they are (rows go through Python
     as Arrow batches, of which only text and reference are looked at). Nulls, empty tables and repeats as in quality_rules."""
-    table, pool, large = references(docs, text, lang, common, others)
-    judged = judge(pool, large, common, prior, max_char, max_word, few, min_words, block)
+    table, pool, every = references(docs, text, lang, common)
+    judged = judge(pool, every, common, prior, max_char, max_word, few, min_words, block)
 
     def keep(batches):
         for b in batches:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 ALPHABET = 40
 ORDER = 3
 MIN_CONTEXT = 4
@@ -114,7 +116,7 @@ def url_filter(pages: DataFrame, *, url="url", page_id="page_id", rules=RULES) -
     count as often as they occur. An empty table gives an empty table. Other columns of pages are left out.
     """
     spark = pages.sparkSession
-    d = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
+    d = bounded_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
     d = d.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     d = d.withColumns({"rule": rule, "said": verdict})

@@ -534,3 +534,26 @@ def test_jaccard_join_of_long_texts(spark):
         texts.append(" ".join(t))
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in J.jaccard_join(d).collect()) == brute_join(list(enumerate(texts)))
+
+
+def test_all_references_at_once_equal_each_alone():
+    rng = np.random.default_rng(0)
+    pool = {"words": {f"w{i}": int(rng.integers(1, 99)) for i in range(20)}, "total": 3000, "classes": rng.integers(1, 99, 7).tolist()}
+    own = lambda k: {"words": [{"word": f"{k}x{i}", "n": int(rng.integers(1, 50)), "every": 60} for i in range(k)] + [{"word": "w3", "n": 7, "every": 70}], "total": 500 + k, "classes": rng.integers(0, 50, 7).tolist()}
+    refs = [Q.Reference(own(k) if k is not None else None, pool, 12, 100.0) for k in (0, 3, 30, None)]
+    every = Q.AllReferences(refs)
+    for n in (1, 60, 2000):
+        words = [b"w%d" % rng.integers(0, 30) if rng.random() < 0.5 else b"%dx%d" % (rng.choice([3, 30]), rng.integers(0, 40)) for _ in range(n)]
+        classes = rng.integers(0, 9, 9)
+        got = every.apart(np.array([every.place.get(w, len(every.place)) for w in words], dtype=np.int64), classes)
+        for k, r in enumerate(refs):
+            want = r.apart(np.arange(n), classes, np.array([r.place.get(w, len(r.place)) for w in words], dtype=np.int64))
+            assert np.allclose([g[k] for g in got], want)
+
+
+def test_more_values_than_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LANGUAGES", 3)
+    d = spark.createDataFrame([(i, "a b c " * 30, f"l{i}", "s", 1) for i in range(5)], SCHEMA)
+    with pytest.raises(ValueError, match="lang holds more than 3"):
+        Q.quality_rules(d)
+    assert Q.quality_rules(d.where("doc_id < 3")).count() == 3
