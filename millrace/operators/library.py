@@ -156,25 +156,40 @@ def suffix(n: Column) -> Column:
     return F.concat(F.lit("-"), F.when(n >= 26, first).otherwise(""), F.chr(n % 26 + 65))
 
 
+def suffix_number(text: Column) -> Column:
+    """The n of suffix(n), without its hyphen; null for other texts."""
+    first, last = F.ascii(F.substring(text, 1, 1)), F.ascii(F.substring(text, -1, 1))
+    letter = lambda c: c.between(65, 90)
+    first = first - F.when(first >= 0xE000, 0x800).otherwise(0)
+    two = (F.length(text) == 2) & (first >= 65) & letter(last)
+    return F.when((F.length(text) == 1) & letter(last), last - 65).when(two, 26 + (first - 65) * 26 + last - 65).cast("long")
+
+
 def unique_skus(batch: DataFrame, library: DataFrame, order: str) -> DataFrame:
     """batch with new_sku: a model that the user's library or an earlier row of the batch has gets the next free suffix.
 
-    Free suffixes are numbered per model and the k-th row that needs one takes the k-th. Rows without a model are left
-    out. A suffixed name that is itself a model of the batch counts as used.
+    The k-th row of a model that needs a suffix takes the k-th free one. With the used numbers sorted, u(j) - j free ones
+    lie below the j-th used; so if used numbers by that and rows by k - 1 are put in one order, used ones first, a row's
+    place in it is its number. Rows without a model are left out. A suffixed name that is itself a model of the batch
+    counts as used.
     """
     key = ["user_id", "model"]
     b = batch.where(F.col("model") != "")
     taken = library.select("user_id", F.col("sku").alias("model")).distinct().withColumn("taken", F.lit(True))
-    b = b.join(taken, key, "left").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - F.when(F.col("taken"), 0).otherwise(1))
-    needing = b.where("k > 0").groupBy(*key).agg(F.max("k").alias("most"))
+    b = b.join(taken, key, "left").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - F.when(F.col("taken"), 0).otherwise(1)).drop("taken")
     used = library.select("user_id", F.col("sku").alias("name")).unionByName(b.select("user_id", F.col("model").alias("name"))).distinct()
-    # names that may be suffixed ones of a model: so many candidates more than rows are enough
-    lost = used.withColumn("model", F.regexp_extract("name", "(?s)^(.*)-[^-]{1,2}$", 1)).where("model <> ''").groupBy(*key).agg(F.count(F.lit(1)).alias("lost"))
-    names = needing.join(lost, key, "left").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1 + F.coalesce("lost", F.lit(0)))))
-    names = names.drop("lost").withColumn("name", F.concat("model", suffix(F.col("n"))))
-    free = names.join(used, ["user_id", "name"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("n"))).where("k <= most")
-    out = b.join(free.select(*key, "k", "name"), [*key, "k"], "left").withColumn("new_sku", F.when(F.col("k") == 0, F.col("model")).otherwise(F.col("name")))
-    return out.where("new_sku is not null").drop("taken", "k", "name")
+    cut = lambda part: F.regexp_extract("name", "(?s)^(.*)-([^-]{1,2})$", part)
+    used = used.select("user_id", cut(1).alias("model"), suffix_number(cut(2)).alias("n")).where("model != '' and n is not null")
+    below = F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")) + 1
+    used = used.join(b.where("k > 0").select(*key).distinct(), key, "left_semi").select(*key, below.alias("at"), F.lit(0).alias("kind"))
+    rows = b.where("k > 0").withColumns({"at": F.col("k").cast("long") - 1, "kind": F.lit(1)})
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("at", "kind")).cast("long") - 1
+    # the empty text makes model a new column: Spark 4.1 takes a union of two sides that are dealt alike to be so itself
+    # (spark.sql.unionOutputPartitioning), but has their rows of one key in different tasks, and leaves out the exchange
+    rows = rows.withColumn("model", F.concat("model", F.lit("")))
+    named = rows.unionByName(used, allowMissingColumns=True).withColumn("n", place).where("kind = 1")
+    named = named.withColumn("new_sku", F.concat("model", suffix(F.col("n")))).drop("at", "kind", "n", "k")
+    return b.where("k = 0").drop("k").withColumn("new_sku", F.col("model")).unionByName(named)
 
 
 def export_rows(df: DataFrame, user: str, columns: list[str], category: str | None = None, limit: int = 10_000) -> DataFrame:
