@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..sources import files
+from ..sources.staging import shared_folder
 from .registry import query
 
 C = F.col
@@ -35,12 +37,14 @@ def price_history_append(p, s):
     return out.select("key", F.size("history").alias("entries"), F.try_element_at("history", F.lit(-1))["date"].alias("last_date"), F.round("price", 4).alias("price"))
 
 
-@query("json_library_io", "products_raw", sql=f"SELECT {_KEY} AS product_key, model, price_rmb AS price FROM products_raw")
+@query("json_library_io", "products_raw", sql=f"SELECT {_KEY} || '/' || idx AS product_key, model, price_rmb AS price FROM products_raw")
 def json_library_io(p):
-    """Each product through its JSON form and back."""
-    lib = H.keyed(p).select("product_key", "model", C("price_rmb").alias("price"), C("created_at").alias("last_updated"))
-    text = lib.select(F.to_json(F.create_map("product_key", F.struct("model", "price", "last_updated"))).alias("value"))
-    return H.flat_library(text).select("product_key", "model", "price")
+    """The library written as JSON objects of 500 entries to the shared folder and read back in parts."""
+    key = F.concat("product_key", F.lit("/"), C("idx").cast("string"))  # keys of a library differ
+    lib = H.keyed(p).select(key.alias("product_key"), "model", C("price_rmb").alias("price"), C("created_at").alias("last_updated"))
+    folder = shared_folder(p.sparkSession, "library")
+    files.write_json_objects(lib, folder, "product_key", rows=500)
+    return files.read_json_objects(p.sparkSession, folder).select("product_key", "model", "price")
 
 
 _EV = "ev AS (SELECT * FROM events_v WHERE created_at BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00')"

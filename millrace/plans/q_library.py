@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.prices import rounded
 from ..operators import library as L
 from ..operators.grouping import group_key
+from ..sources import files
+from ..sources.staging import shared_folder
 from .ordering import numbered_within
 from .registry import query
 
@@ -200,6 +202,26 @@ def csv_export(p):
     return L.export_rows(p.withColumn("specs", specs), "local", ["id", "sku", "name_zh", "name_en", "category", "price_rmb", "price_usd", "moq", "specs"])
 
 
+@query("csv_export_file", "products", sql="SELECT id::VARCHAR AS id, sku, name_zh, name_en, category, price_rmb, price_usd, moq, 'img/' || id || '.jpg' AS image_path, source_file FROM products WHERE user_id = 'local' ORDER BY id LIMIT 10000")
+def csv_export_file(p):
+    """The export's one file, read back from the shared folder."""
+    folder = shared_folder(p.sparkSession, "export")
+    files.export_csv(p.withColumn("image_path", F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".jpg"))), folder, "local")
+    kinds = "id string, sku string, name_zh string, name_en string, category string, price_rmb double, price_usd double, moq int, image_path string, source_file string"
+    back = p.sparkSession.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    return back.select(*files.EXPORTED).fillna({"category": ""})
+
+
+@query("grouped_output_files", "products", sql="SELECT CASE WHEN category = '' THEN 'Uncategorized' ELSE category END AS sheet, id, CAST((row_number() OVER (PARTITION BY category ORDER BY sku, id) - 1) // 100 AS BIGINT) AS file_no FROM products")
+def grouped_output_files(p):
+    """A group's rows in numbered files of 100, read back from the shared folder."""
+    folder = shared_folder(p.sparkSession, "groups")
+    p = p.select("id", "sku", group_key(F.col("category")).alias("sheet"))
+    files.write_csv_files(p, folder, ["id", "sku"], ["sku", "id"], "sheet", rows=100)
+    back = p.sparkSession.read.schema("id long, sku string, sheet string, file_no long").option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    return back.select("sheet", "id", "file_no")
+
+
 @query("select_export_columns", "products", sql="SELECT id, coalesce(nullif(name_zh, ''), '') AS name_zh, '' AS name_en, coalesce(nullif(category, ''), 'none') AS category FROM products")
 def select_export_columns(p):
     return L.export_columns(p.select("id", "name_zh", "name_en", "category"), ["name_zh", "category"], ["name_zh", "name_en", "category"], {"category": "none"})
