@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, word_count
+from .common import WORD, discard, stage, word_count
 
 DIVISOR = 2
 LONG = 50
@@ -83,8 +83,9 @@ def line_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> Data
     return both.where("r is not null").select("id", "th", "r.*")
 
 
-def repeated_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> DataFrame:
-    """(id, th, start, lines) of the runs that stand elsewhere first. Where a run overlaps its own first place, that place stays."""
+def repeated_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(id, th, start, lines) of the runs that stand elsewhere first, and the staged tables that this reads. Where a run
+    overlaps its own first place, that place stays."""
     runs = stage(line_runs(docs, text, doc_id, long), "lines-runs")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"), F.col("end").alias("end"))
     firsts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -92,7 +93,7 @@ def repeated_runs(docs: DataFrame, text: str, doc_id: str, long: int = LONG) ->
     again = runs.withColumn("place", place).join(firsts, F.col("run") == F.col("rr")).where(F.col("place") != F.col("first"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     start = F.when(same, F.greatest(F.col("start"), F.col("first.end") + 1)).otherwise(F.col("start"))
-    return again.select("id", "th", start.alias("start"), (F.col("end") - start + 1).alias("lines")).where("lines > 0")
+    return again.select("id", "th", start.alias("start"), (F.col("end") - start + 1).alias("lines")).where("lines > 0"), (runs, firsts)
 
 
 def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, runs: bool, hashed) -> DataFrame:
@@ -105,6 +106,7 @@ def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, ru
     occ = docs.where(F.col(text).isNotNull()).select(key.alias("id"), th.alias("th"), kept.alias("chunks"))
     occ = occ.select("id", "th", F.explode_outer("chunks").alias("c")).where("c is not null")
     occ = occ.select("id", "th", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.chunk").alias("chunk"), hashed(F.col("c.chunk")).alias("h"))
+    occ = stage(occ, "lines-chunks")  # written once, with the chunks' bytes, which only the comparison reads
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
     classes = occ.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
@@ -118,12 +120,14 @@ def deduped(docs: DataFrame, text: str, doc_id: str, divisor: int, long: int, ru
         firsts = those.groupBy("chunk").agg(F.min(place).alias("first")).withColumnRenamed("chunk", "rc")
         more = those.withColumn("place", place).join(firsts, F.col("chunk") == F.col("rc")).where(F.col("place") != F.col("first"))
         again = again.unionByName(more.select("id", "th", "start", "lines"))
-    if runs:
-        again = again.unionByName(repeated_runs(docs, text, doc_id, long))
-    gone = islands(again).groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    more, used = repeated_runs(docs, text, doc_id, long) if runs else (None, ())
+    again = again.unionByName(more) if runs else again
+    gone = stage(islands(again).groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")), "lines-gone")
+    discard(occ, slim, *used)
 
     own = docs.select(F.struct("*").alias("row"), key.alias("own_id"), th.alias("own_th"))
-    out = own.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    # by merging at every size: what goes grows with the texts, and a broadcast would end where it matters
+    out = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
     t = F.col("row").getField(text)
     some, split = F.col("gone").isNotNull(), F.split(t, "\n", -1)
     lines = F.when(t.isNull(), 0).otherwise(F.size(split)).cast("long")
