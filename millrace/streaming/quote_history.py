@@ -71,7 +71,8 @@ class ViewHistory(StatefulProcessor):
         yield from self._go_on(key, new, expires, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._go_on(key, [], None, timerValues.getCurrentWatermarkInMs())
+        if self.sent.exists():  # else another timer of this trigger has ended the quotation
+            yield from self._go_on(key, [], None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -75,6 +75,11 @@ def subscription_state(payments: DataFrame) -> DataFrame:
     return p.groupBy("user_id").agg(F.max_by("tier", F.struct("ts", "id")).alias("tier"))
 
 
+def run_batches(stream: DataFrame, folder: str, put, mode: str = "append") -> None:
+    """Runs a stream over what there is now, put(rows, number) taking each trigger; a later call goes on from there."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", settings: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream, under the given settings of the session, over what there is now and returns its result so far; a later call with the same folder goes on where
     this one ended. Each trigger's rows go to Parquet in the shared folder under the trigger's number, so that a repeated
@@ -88,7 +93,7 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", setting
     for k, v in (settings or {}).items():
         spark.conf.set(k, v)
     try:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        run_batches(stream, folder, put, mode)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -98,12 +103,3 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", setting
     if not triggers:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/trigger={max(triggers)}" if mode == "complete" else f"{folder}/out/trigger=*")
-
-
-def ingest(files: DataFrame, parse, folder: str):
-    """Streams new files through parse (DataFrame to DataFrame) to Parquet, exactly once by trigger number."""
-
-    def put(rows: DataFrame, n: int) -> None:
-        parse(rows).write.mode("overwrite").parquet(f"{folder}/out/trigger={n}")
-
-    return files.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
