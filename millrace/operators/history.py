@@ -99,32 +99,6 @@ def handled(times, seconds: float, last=None) -> list[int]:
     return out
 
 
-def debounce(events: DataFrame, path: str, ts: str, order: str, seconds: float) -> DataFrame:
-    """Events of a path that come at least so long after the last one that was handled, in order of time; events without a
-    time are left out.
-
-    The clock restarts only on handled events, so the sorted rows of each path are walked by an Arrow function, batch by
-    batch; it holds no more than the last path and its last handled time."""
-    import pandas as pd
-
-    def walk(batches):
-        last_path = last = None
-        for pdf in batches:
-            keep = []
-            for name, times in pdf.groupby(path, sort=False, dropna=False)[ts]:
-                name = None if pd.isna(name) else name
-                values = times.to_numpy(dtype="datetime64[ns]")
-                places = handled(values, seconds, last if (name,) == last_path else None)
-                keep.extend(times.index[places])
-                if (name,) != last_path:
-                    last = None
-                last_path, last = (name,), values[places[-1]] if places else last
-            yield pdf.loc[keep]
-
-    rows = events.where(C(ts).isNotNull()).repartition(path).sortWithinPartitions(path, ts, order)
-    return rows.mapInPandas(walk, events.schema)
-
-
 def first_of_path(events: DataFrame, path: str, ts: str, order: str) -> DataFrame:
     """Each path once, at its first event."""
     return events.groupBy(path).agg(F.min(F.struct(ts, order)).alias("x")).select(path, f"x.{ts}", f"x.{order}")

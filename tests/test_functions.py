@@ -225,26 +225,44 @@ def test_product_rows(spark):
     assert [r.f for r in got if bool(r["is"]) != r.want] == []
 
 
-def test_debounce_over_many_batches(spark):
+@pytest.mark.parametrize("rows_per_range, gap", [(10_000, 30.0), (40, 30.0), (7, 0.5), (25, 500.0), (1, 30.0)])
+def test_debounce_over_ranges(spark, rows_per_range, gap):
+    """A path with two thirds of all events spreads over ranges, sparse and dense ones, and the walk goes on through them."""
     import datetime
-    import random
 
-    from millrace.operators import history as H
+    from millrace.operators.debounce import debounce
 
     rng, start = random.Random(2), datetime.datetime(2024, 1, 1)
-    rows = [(i, rng.choice(["hot"] * 5 + ["a", "b", None]), start + datetime.timedelta(seconds=rng.randrange(4000)) if rng.random() > 0.02 else None) for i in range(1500)]
+    n = 1500 if rows_per_range > 1 else 60
+    rows = [(i, rng.choice(["hot"] * 5 + ["a", "b", None, ""]), start + datetime.timedelta(milliseconds=250 * rng.randrange(8 * n)) if rng.random() > 0.02 else None, "more") for i in range(n)]
     want, last = [], {}
-    for i, p, t in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
-        if p not in last or (t - last[p]).total_seconds() >= 30:
+    for i, p, t, _ in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        if p not in last or (t - last[p]).total_seconds() >= gap:
             want.append(i)
             last[p] = t
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = [r.id for r in H.debounce(spark.createDataFrame(rows, "id long, path string, ts timestamp"), "path", "ts", "id", 30.0).collect()]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert sorted(got) == sorted(want)
+    df = spark.createDataFrame(rows, "id long, path string, ts timestamp, __range string").withColumnRenamed("__range", "more")
+    got = debounce(df, "path", "ts", "id", gap, rows=rows_per_range)
+    assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+    assert debounce(df.limit(0), "path", "ts", "id", gap).count() == 0
+
+
+def test_debounce_steps():
+    import numpy as np
+
+    from millrace.operators.debounce import steps
+
+    times = np.array([0, 3, 10, 11, 25, 40])
+    assert [x.tolist() for x in steps(times, 10)] == [[10], [40]]
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        times, gap = np.sort(rng.integers(0, 300, 80)), int(rng.integers(1, 60))
+        upto, last = steps(times, gap)
+        for free in range(int(times[0]), int(times[0]) + gap + 1):
+            walk, t = None, free
+            while (i := int(np.searchsorted(times, t))) < len(times):
+                walk, t = times[i], times[i] + gap
+            k = int(np.searchsorted(upto, free))
+            assert (k == len(upto) and walk is None) or last[k] == walk
 
 
 def test_debounce_state_expires(spark, tmp_path):
