@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.prices import rounded
 from ..operators import library as L
+from ..operators import library_table as T
+from ..operators import search_index as X
 from ..operators.grouping import group_key
 from ..sources import files
-from ..sources.staging import shared_folder
+from ..sources.staging import shared_folder, staged
 from .ordering import numbered_within
 from .registry import query
 
@@ -34,6 +38,23 @@ def search_products(p):
     return L.search_products(p, "local", "R_n").select("id", "rank")
 
 
+_LIKE = "ILIKE '%Sing%re_%'"
+
+
+@query("search_indexed", "products", "incoming", sql=f"""n AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY user_id, sku ORDER BY id DESC) = 1),
+l AS (SELECT p.id, p.user_id, p.sku, p.name_en, CASE WHEN n.id IS NULL THEN p.name_zh ELSE n.name_zh || ' Rising-Red' END AS name_zh FROM products p LEFT JOIN n ON n.user_id = p.user_id AND n.sku = p.sku
+  UNION ALL SELECT id, user_id, sku, NULL, name_zh || ' Rising-Red' FROM n WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.user_id = n.user_id AND p.sku = n.sku))
+SELECT id, CASE WHEN sku {_LIKE} THEN 1 WHEN name_zh {_LIKE} THEN 2 ELSE 3 END AS rank FROM l WHERE user_id = 'local' AND (sku {_LIKE} OR name_zh {_LIKE} OR name_en {_LIKE}) ORDER BY rank, id LIMIT 50""")
+def search_indexed(p, new):
+    """A search by the stored index, after an upsert that gives rows another name."""
+    folder = shared_folder(p.sparkSession, "grams")
+    X.add_postings(p, folder)
+    new = new.withColumn("name_zh", F.concat("name_zh", F.lit(" Rising-Red")))
+    library = staged(L.upsert(p, new, ["name_zh"]).select("id", "user_id", "sku", "name_zh", "name_en"), "library")
+    X.add_postings(library.join(new.select("user_id", "sku").distinct(), ["user_id", "sku"], "left_semi"), folder)
+    return X.indexed_search(library, folder, "local", "Sing%re_").select("id", "rank")
+
+
 @query("search_substring", "products_raw", sql="SELECT idx FROM products_raw WHERE contains(lower(model), 'ab-1') OR contains(lower(name_zh), 'ab-1')")
 def search_substring(p):
     return L.search_substring(p, "AB-1", "model", "name_zh").select("idx")
@@ -115,6 +136,17 @@ def upsert_products(p, new):
     return L.upsert(p, new, _UP).select("id", "user_id", "sku", "name_zh", "category", "price_rmb", "moq", "created_at")
 
 
+@query("upsert_in_place", "products", "incoming", sql="""n AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY user_id, sku ORDER BY id DESC) = 1)
+SELECT p.id, p.user_id, p.sku, CASE WHEN n.id IS NULL THEN p.name_zh ELSE n.name_zh END AS name_zh, CASE WHEN n.id IS NULL THEN p.category ELSE n.category END AS category, CASE WHEN n.id IS NULL THEN p.price_rmb ELSE n.price_rmb END AS price_rmb, CASE WHEN n.id IS NULL THEN p.moq ELSE n.moq END AS moq, p.created_at FROM products p LEFT JOIN n ON n.user_id = p.user_id AND n.sku = p.sku
+UNION ALL SELECT id, user_id, sku, name_zh, category, price_rmb, moq, NULL FROM n WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.user_id = n.user_id AND p.sku = n.sku)""")
+def upsert_in_place(p, new):
+    """The upsert in a stored table, which is read again after it."""
+    spark, name = p.sparkSession, f"library_{uuid.uuid4().hex}"
+    T.create_library(p, name, shared_folder(spark, "library"), folders=8, buckets=8)
+    T.upsert_library(spark, name, new, _UP, folders=8)
+    return spark.table(name).select("id", "user_id", "sku", "name_zh", "category", "price_rmb", "moq", "created_at")
+
+
 @query("patch_products", "products", sql="SELECT id, CASE WHEN id % 6 = 0 THEN round(coalesce(price_rmb * 2, price_rmb) + 1e-9, 4) ELSE round(price_rmb + 1e-9, 4) END AS price_rmb, CASE WHEN id % 12 = 0 THEN 'patched' ELSE category END AS category FROM products")
 def patch_products(p):
     changes = p.where("id % 6 = 0").select("id", (F.col("price_rmb") * 2).alias("price_rmb"), F.when(F.col("id") % 12 == 0, "patched").alias("category"))
