@@ -175,21 +175,22 @@ def unique_skus(batch: DataFrame, library: DataFrame, order: str) -> DataFrame:
     """
     key = ["user_id", "model"]
     b = batch.where(F.col("model") != "")
-    taken = library.select("user_id", F.col("sku").alias("model")).distinct().withColumn("taken", F.lit(True))
-    b = b.join(taken, key, "left").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - F.when(F.col("taken"), 0).otherwise(1)).drop("taken")
+    taken = library.select("user_id", F.col("sku").alias("model")).distinct().withColumn("__taken", F.lit(True))
+    b = b.join(taken, key, "left").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - F.when(F.col("__taken"), 0).otherwise(1)).drop("__taken")
     used = library.select("user_id", F.col("sku").alias("name")).unionByName(b.select("user_id", F.col("model").alias("name"))).distinct()
     cut = lambda part: F.regexp_extract("name", "(?s)^(.*)-([^-]{1,2})$", part)
-    used = used.select("user_id", cut(1).alias("model"), suffix_number(cut(2)).alias("n")).where("model != '' and n is not null")
-    below = F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")) + 1
-    used = used.join(b.where("k > 0").select(*key).distinct(), key, "left_semi").select(*key, below.alias("at"), F.lit(0).alias("kind"))
-    rows = b.where("k > 0").withColumns({"at": F.col("k").cast("long") - 1, "kind": F.lit(1)})
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("at", "kind")).cast("long") - 1
+    used = used.select("user_id", cut(1).alias("model"), suffix_number(cut(2)).alias("__n")).where("model != '' and __n is not null")
+    below = F.col("__n") - F.row_number().over(Window.partitionBy(*key).orderBy("__n")) + 1
+    used = used.join(b.where("__k > 0").select(*key).distinct(), key, "left_semi").select(*key, below.alias("__at"), F.lit(0).alias("__kind"))
+    rows = b.where("__k > 0").withColumns({"__at": F.col("__k").cast("long") - 1, "__kind": F.lit(1)})
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("__at", "__kind")).cast("long") - 1
     # the empty text makes model a new column: Spark 4.1 takes a union of two sides that are dealt alike to be so itself
     # (spark.sql.unionOutputPartitioning), but has their rows of one key in different tasks, and leaves out the exchange
-    rows = rows.withColumn("model", F.concat("model", F.lit("")))
-    named = rows.unionByName(used, allowMissingColumns=True).withColumn("n", place).where("kind = 1")
-    named = named.withColumn("new_sku", F.concat("model", suffix(F.col("n")))).drop("at", "kind", "n", "k")
-    return b.where("k = 0").drop("k").withColumn("new_sku", F.col("model")).unionByName(named)
+    afresh = F.concat("model", F.lit(""))
+    rows = rows.withColumn("model", afresh)
+    named = rows.unionByName(used, allowMissingColumns=True).withColumn("__n", place).where("__kind = 1")
+    named = named.withColumn("new_sku", F.concat("model", suffix(F.col("__n")))).drop("__at", "__kind", "__n", "__k")
+    return b.where("__k = 0").drop("__k").withColumns({"new_sku": F.col("model"), "model": afresh}).unionByName(named)
 
 
 def export_rows(df: DataFrame, user: str, columns: list[str], category: str | None = None, limit: int = 10_000) -> DataFrame:

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.dictionary import WORDS
+from ..functions.language import longest_first
 from ..functions.prices import rounded
+from ..operators import imports as I
 from ..operators import library as L
 from ..operators import library_table as T
 from ..operators import search_index as X
@@ -15,6 +18,7 @@ from ..operators.grouping import group_key
 from ..sources import files
 from ..sources.staging import shared_folder, staged
 from .ordering import numbered_within
+from .q_scalars import _NUMBER, _WHOLE, _packed
 from .registry import query
 
 
@@ -191,12 +195,44 @@ def import_products(p):
     return seen.join(imported, "user_id").select("user_id", "imported", (F.col("seen") - F.col("imported")).alias("skipped"), "without_price", "total_usd")
 
 
-@query("save_products_web", "texts", sql="""SELECT id, CASE WHEN regexp_replace(coalesce(model, ''), '^\\s+|\\s+$', '', 'g') <> '' AND id % 4 <> 1 THEN regexp_replace(model, '^\\s+|\\s+$', '', 'g') WHEN id % 8 <> 1 AND name <> '' THEN substr(name, 1, 20) ELSE coalesce(nullif(substr(regexp_replace(coalesce(spec, ''), '^\\s+|\\s+$', '', 'g'), 1, 20), ''), 'Item_' || id) END AS model FROM texts""")
-def save_products_web(t):
-    from ..functions.models import web_model
+_NAMES = "SELECT idx, user_id, CASE WHEN idx % 9 = 4 THEN ' ' || model || ' ' ELSE model END AS model, CASE idx % 5 WHEN 0 THEN '红色 锂电池 ' || idx WHEN 1 THEN NULL ELSE name_zh END AS name_zh, CASE WHEN idx % 4 = 0 THEN 'own name' WHEN idx % 4 = 1 THEN '' ELSE NULL END AS name_en, CASE WHEN idx % 6 = 0 THEN spec_zh || ';Note:x:y; plain ;Grade: last' ELSE spec_zh END AS spec_zh, price_rmb, CASE WHEN idx % 3 = 0 THEN '12' WHEN idx % 3 = 1 THEN 'many' ELSE '0' END AS moq, CAST(CASE WHEN idx % 8 = 0 THEN 2.5 ELSE NULL END AS DOUBLE) AS cbm, image_path, source_file FROM {0}"
+_ENGLISH = "name_zh"
+for _old, _new in longest_first(WORDS):
+    _ENGLISH = f"replace({_ENGLISH}, '{_old}', '{_new}')"
+
+
+@query("import_rows", "products_raw", sql=f"""p AS (SELECT * REPLACE (trim(coalesce(model, '')) AS model) FROM ({_NAMES.format('products_raw')}) WHERE trim(coalesce(model, '')) <> ''),
+lib AS (SELECT DISTINCT user_id, model AS sku FROM products_raw WHERE idx % 7 < 2),
+b AS (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, model ORDER BY idx) - CASE WHEN lib.sku IS NULL THEN 1 ELSE 0 END AS k FROM p r LEFT JOIN lib ON lib.user_id = r.user_id AND lib.sku = r.model),
+m AS (SELECT b.user_id, b.model, unnest(range(max(k) + max(coalesce(l.n, 0)))) AS n FROM b LEFT JOIN (SELECT user_id, count(*) AS n FROM lib GROUP BY 1) l ON l.user_id = b.user_id WHERE k > 0 GROUP BY 1, 2),
+f AS (SELECT user_id, model, n, model || '-' || CASE WHEN n >= 26 THEN chr(CAST((n - 26) // 26 + 65 AS INT)) ELSE '' END || chr(CAST(n % 26 + 65 AS INT)) AS name FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, model ORDER BY n) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM lib WHERE lib.user_id = f.user_id AND lib.sku = f.name) AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = f.user_id AND b.model = f.name)),
+s AS (SELECT b.* EXCLUDE (name_zh), CASE WHEN b.k = 0 THEN b.model ELSE g.name END AS sku, b.name_zh AS given FROM b LEFT JOIN g ON g.user_id = b.user_id AND g.model = b.model AND g.k = b.k),
+n AS (SELECT *, coalesce(given, sku) AS name_zh FROM s),
+t AS (SELECT idx, string_agg(k || '=' || v, '|' ORDER BY k) AS specs FROM (SELECT idx, k, arg_max(v, i) AS v FROM (
+  SELECT idx, i, trim(substr(part, 1, instr(part, ':') - 1)) AS k, trim(substr(part, instr(part, ':') + 1)) AS v FROM (SELECT idx, i, trim(ps[i]) AS part FROM (SELECT idx, string_split(spec_zh, ';') AS ps FROM n), unnest(range(1, len(ps) + 1)) AS u(i)) WHERE contains(part, ':')) GROUP BY idx, k) GROUP BY idx)
+SELECT n.idx, user_id, sku, name_zh, CASE WHEN coalesce(name_en, '') = '' THEN {_ENGLISH} ELSE name_en END AS name_en, 'new' AS category, coalesce(price_rmb, 0) AS price_rmb, CASE moq WHEN '12' THEN 12 ELSE 1 END AS moq, coalesce(specs, '') AS specs, image_path, source_file, coalesce(cbm, 0) AS cbm
+FROM n LEFT JOIN t ON t.idx = n.idx""")
+def import_rows(p):
+    """Rows of an import as library rows; their specification map as text in the order of its keys."""
+    library = p.where("idx % 7 < 2").select("user_id", F.col("model").alias("sku")).distinct()
+    done = I.imported_products(p.sparkSession.sql(_NAMES.format("{p}"), p=p), library, "idx", "new")
+    specs = F.array_join(F.transform(F.array_sort(F.map_entries("specs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return done.withColumn("specs", specs).select("idx", "user_id", "sku", "name_zh", "name_en", "category", "price_rmb", "moq", "specs", "image_path", "source_file", "cbm")
+
+
+_ITEMS = "SELECT id, s AS user_id, CASE WHEN id % 4 <> 1 THEN model END AS model, CASE WHEN id % 8 <> 1 THEN name END AS name_zh, CASE WHEN id % 3 = 0 THEN spec ELSE packaging END AS spec_zh, price AS price_rmb, CASE WHEN id % 5 = 0 THEN 'own size' ELSE '' END AS carton_size, CASE WHEN id % 7 = 0 THEN '9.5' WHEN id % 7 = 1 THEN '0' END AS gross_weight, CAST(id % 2 * 6 AS INT) AS units_per_carton, CASE WHEN id % 2 = 0 THEN 'USD' END AS currency FROM {0}"
 
-    model, name = F.when(F.col("id") % 4 != 1, F.col("model")), F.when(F.col("id") % 8 != 1, F.col("name"))
-    return t.select("id", web_model(model, name, F.col("spec"), F.col("id")).alias("model"))
+
+@query("save_products_web", "texts", sql=f"""x AS ({_ITEMS.format('texts')}),
+k AS (SELECT *, list_transform(list_filter(list_transform(string_split_regex(coalesce(spec_zh, ''), '[;\\n]'), lambda p: trim(p)), lambda p: contains(p, ':')), lambda p: {{'k': lower(trim(substr(p, 1, instr(p, ':') - 1))), 'v': trim(substr(p, instr(p, ':') + 1))}}) AS pairs FROM x)
+SELECT id, user_id, CASE WHEN regexp_replace(coalesce(model, ''), '^\\s+|\\s+$', '', 'g') <> '' THEN regexp_replace(model, '^\\s+|\\s+$', '', 'g') WHEN coalesce(name_zh, '') <> '' THEN substr(name_zh, 1, 20) ELSE coalesce(nullif(substr(regexp_replace(coalesce(spec_zh, ''), '^\\s+|\\s+$', '', 'g'), 1, 20), ''), 'Item_' || id) END AS model,
+  price_rmb, coalesce(currency, 'RMB') AS currency, CASE WHEN carton_size <> '' THEN carton_size ELSE coalesce({_packed('carton_size')}, '') END AS carton_size,
+  CASE WHEN TRY_CAST(gross_weight AS DOUBLE) <> 0 THEN TRY_CAST(gross_weight AS DOUBLE) ELSE coalesce({_NUMBER.format(_packed('gross_weight', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) END AS gross_weight,
+  coalesce({_NUMBER.format(_packed('net_weight', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) AS net_weight, coalesce({_NUMBER.format(_packed('cbm', usable=_NUMBER.format('p.v') + ' IS NOT NULL'))}, 0) AS cbm,
+  CASE WHEN units_per_carton <> 0 THEN units_per_carton ELSE coalesce({_WHOLE.format(_packed('units_per_carton', usable=_WHOLE.format('p.v') + ' IS NOT NULL'))}, 0) END AS units_per_carton, coalesce({_packed('packing_type')}, '') AS packing_type FROM k""")
+def save_products_web(t):
+    return I.web_products(t.sparkSession.sql(_ITEMS.format("{t}"), t=t), "id").select("id", "user_id", "model", "price_rmb", "currency", *I.PACKED)
 
 
 @query("distinct_categories", "products", sql="SELECT DISTINCT category FROM products WHERE user_id = 'u5' AND category <> '' ORDER BY 1")
