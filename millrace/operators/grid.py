@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import count_cjk, is_valid_model
 from ..functions.prices import blank, clean_price_text
-from .header_words import DOCUMENT_LINES, HEADER_PARTS, HEADER_WORDS, NON_PRODUCT, ORDER_NUMBER, PRICE_WORDS, ROLES, SKIP_WORDS, SKIPPED, STRONG_MODEL, STRONG_SPEC
+from .header_words import DOCUMENT_LINES, HEAD_ROLES, HEADER_PARTS, HEADER_WORDS, LABELS, NON_PRODUCT, ORDER_NUMBER, PACKAGING_CONTENT, PACKAGING_WORDS, PRICE_WORDS, ROLES, SKIP_WORDS, SKIPPED, SKIPPED_COLUMNS, STRONG_MODEL, STRONG_SPEC
 
 SHEET = ["file", "sheet"]
 C = F.col
@@ -132,27 +132,56 @@ def sheet_currency(cells: DataFrame, headers: DataFrame, mapping: DataFrame) ->
     return near.groupBy(*SHEET).agg(F.when(F.max(says), "USD").otherwise("CNY").alias("currency"))
 
 
-def column_roles(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Per column what most of its cells below the header look like."""
-    v = blank(C("value"))
-    c = cells.join(headers, SHEET).where((C("row_no") > C("header")) & (v != ""))
-    price = F.replace(F.regexp_extract(v, r"[\d,]+(?:\.\d+)?", 0), F.lit(",")).try_cast("double").between(0.011, 999_999)
-    model = v.rlike(r"^[A-Za-z0-9][A-Za-z0-9\-_\./\+]+$") & ~v.rlike(r"^[\d,]+(?:\.\d+)?$") & (F.length(v) < 30)
-    n = lambda x: F.count(F.when(x, 1))
-    g = c.groupBy(*SHEET, "col_no").agg(F.count(F.lit(1)).alias("total"), (2 * n(model)).alias("model"), n(price).alias("price"), n(any_of(F.lower(v), ["motor", "battery", "规格", "尺寸", "参数", "材质"])).alias("spec"), n(v.rlike(r"^\d{1,4}$")).alias("qty"))
-    best = F.greatest(*[F.struct(C(r).alias("n"), F.lit(-i).alias("place"), F.lit(r).alias("role")) for i, r in enumerate(("model", "price", "spec", "qty"))])
-    return g.withColumn("best", best).select(*SHEET, "col_no", "total", F.when(C("best.n") >= 2, C("best.role")).alias("role"))
+def column_roles(cells: DataFrame, headers: DataFrame, most: int = 59) -> DataFrame:
+    """Per column its role, from the header or from up to 59 rows below it, and what these hold: filled cells, serial
+    numbers, labels, packaging, models, prices, average length.
+
+    The header's word decides first. Else a column is packaging from 15 % such cells on, skipped if at least 3 and 80 % are
+    serial numbers and all are whole, label from 2 and 30 % on, price from 2 and 20 % on if not all are whole, model from 2
+    and 15 % on; of others short ones are models, long ones specifications. Columns without contents are skipped."""
+    v, below = blank(C("value")), C("row_no") - C("header")
+    low = F.lower(v)
+    c = cells.join(headers, SHEET).where(below.between(0, most))
+    inside = (below > 0) & (v != "")
+    n = lambda x: F.count(F.when(inside & x, 1))
+    whole = v.rlike(r"^\d+$")
+    number = F.regexp_replace(v, r"[¥$€£USDusd,\s]", "").try_cast("double")
+    packed = any_of(low, PACKAGING_WORDS).cast("int") + any_of(low, PACKAGING_CONTENT).cast("int")
+    g = c.groupBy(*SHEET, "col_no").agg(
+        F.coalesce(F.max(F.when(below == 0, low)), F.lit("")).alias("head"), n(F.lit(True)).alias("total"), n(whole & v.try_cast("long").between(1, 999)).alias("serials"), n(low.isin(*LABELS)).alias("labels"),
+        F.coalesce(F.sum(F.when(inside, packed)), F.lit(0)).alias("packaging"), n(v.rlike(r"[A-Za-z]+\d+")).alias("models"), n((number > 0.001) & (number < 10_000_000)).alias("prices"), n(~whole).alias("texts"),
+        F.coalesce(F.avg(F.when(inside, F.length(v))), F.lit(0.0)).alias("width"),
+    )
+    tokens = F.split(F.translate("head", "/-()", "    "), r"\s+")
+    said = F.lit(None).cast("string")
+    for role, words in reversed(HEAD_ROLES.items()):
+        short = [w for w in words if len(w.rstrip("$¥() ")) <= 3]
+        hit = any_of(C("head"), [w for w in words if w not in short]) | F.arrays_overlap(tokens, F.array(*map(F.lit, short or ["\0"])))
+        said = F.when(hit, role).otherwise(said)
+    share = lambda x, least, part: C(x) >= F.greatest(F.lit(least), C("total") * part)
+    role = (
+        F.when(said.isin("skip", "packaging"), said).when(any_of(C("head"), SKIPPED_COLUMNS) | (C("total") == 0), "skip").when(said.isNotNull(), said).when(share("packaging", 1, 0.15), "packaging")
+        .when(share("serials", 3, 0.8) & (C("texts") == 0), "skip").when(share("labels", 2, 0.3), "label").when(share("prices", 2, 0.2) & (C("texts") > 0), "price")
+        .when(share("models", 2, 0.15), "model").when(C("width") < 25, "model").otherwise("spec")
+    )
+    return g.select(*SHEET, "col_no", "total", "serials", "labels", "packaging", "models", "prices", role.alias("role"))
 
 
 def sheet_layout(cells: DataFrame) -> DataFrame:
-    """The layout that a sheet's marker cells speak for."""
-    low = F.lower(blank(C("value")))
+    """The layout that a sheet's marker cells speak for. A sheet without any, of more than 10 rows and fewer than 6 columns,
+    whose first column isn't empty in rows 2 to 11, is one product's specification."""
+    v = blank(C("value"))
+    low = F.lower(v)
     has = lambda x: F.max(x)
     g = cells.groupBy(*SHEET).agg(
         F.count(F.when((C("col_no") == 1) & low.rlike("[:：]$"), 1)).alias("colons"), has(low.rlike("^model[:：]")).alias("param"), has(any_of(low, ["commercial invoice", "proforma invoice"])).alias("invoice"),
         has((C("row_no") <= 10) & any_of(low, PRICE_HEADS)).alias("price"), F.countDistinct(F.when((C("row_no") <= 3) & low.rlike(r"^[a-z]+-?\d+$"), C("col_no"))).alias("models_across"),
+        F.max(F.when(v != "", C("row_no"))).alias("rows"), F.max(F.when(v != "", C("col_no"))).alias("width"), has((C("col_no") == 1) & C("row_no").between(2, 11) & (v != "")).alias("first"),
     )
-    return g.select(*SHEET, F.when(C("colons") >= 4, "kv").when(C("param"), "param_list").when(C("invoice"), "invoice").when(C("price"), "price").when(C("models_across") >= 2, "horizontal").otherwise("vertical").alias("layout"))
+    single = (C("rows") > 10) & (C("width") < 6) & C("first")
+    return g.select(
+        *SHEET, F.when(C("colons") >= 4, "kv").when(C("param"), "param_list").when(C("invoice"), "invoice").when(C("price"), "price").when(C("models_across") >= 2, "horizontal").when(single, "single_spec").otherwise("vertical").alias("layout")
+    )
 
 
 def blank_run_cutoff(rows: DataFrame, texts: list[str], run: int = 20, most: int = 2000) -> DataFrame:

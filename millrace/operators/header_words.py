@@ -167,3 +167,20 @@ SKIP_WORDS = (
     "偏远地区",
     "total amount", "grand total", "总计金额", "合计金额",
 )
+#: Headers by which a column has its role, asked in this order; those of three signs or fewer must stand alone.
+HEAD_ROLES = {
+    "price": ("price", "unit price", "单价", "价格", "售价", "报价", "fob", "exw", "cif", "($)", "(¥)", "(rmb)", "(usd)", "(cny)"),
+    "qty": ("qty", "quantity", "数量", "件数", "moq", "min order", "起订量", "最小起订量", "packing quantity"),
+    "model": ("model", "型号", "规格型号", "product name", "产品名称", "product code", "产品型号", "item no", "item #"),
+    "spec": ("spec", "specification", "规格", "description", "描述", "材质", "尺寸", "参数"),
+    "packaging": ("carton", "包装", "装箱", "毛重", "净重", "尺寸", "cbm", "capacity", "box size", "carton size", "shipping", "estimate"),
+    "skip": ("photo", "image", "picture", "图片", "no.", "#", "序号"),
+}
+#: Parts of headers of columns that are skipped; words of packaging columns; what their cells hold; labels.
+SKIPPED_COLUMNS = ("serial", "no.", "no", "序号", "序號", "image", "picture", "photo", "图片", "圖片", "照片", "附图", "附圖")
+PACKAGING_WORDS = (
+    "gw", "nw", "g.w.", "n.w.", "gross weight", "net weight", "gross", "net", "carton size", "carton", "package size", "packing size", "packing", "cbm", "meas", "measurement",
+    "dimension", "dimensions", "qty/ctn", "pcs/ctn", "qty per carton", "毛重", "净重", "外箱尺寸", "包装尺寸", "每箱数量", "装箱", "体积", "包装", "cartons", "ctns", "units per carton", "n.w", "g.w",
+)
+PACKAGING_CONTENT = ("pcs/", "pcs/pack", "pcs/box", "pack", "pieces", "个/箱", "个/包", "只/箱", "装箱")
+LABELS = ("image", "picture", "photo", "description", "name", "规格", "参数", "颜色", "材料", "备注")

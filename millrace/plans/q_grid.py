@@ -62,19 +62,32 @@ def sheet_currency(c):
     return G.sheet_currency(c, h, G.header_mapping(c, h))
 
 
+def _head_role() -> str:
+    """The role that a header's words give, in SQL over head and its words ws."""
+    short = lambda w: len(w.rstrip("$¥() ")) <= 3
+    one = lambda ws: " OR ".join(f"list_contains(ws, '{w}')" if short(w) else f"contains(head, '{w}')" for w in ws)
+    return "CASE " + " ".join(f"WHEN {one(ws)} THEN '{r}'" for r, ws in W.HEAD_ROLES.items()) + " END"
+
+
 @query("column_roles", "sheets", sql=f"""{_HEADERS},
-v AS (SELECT file, sheet, col_no, trim(value) AS v FROM sheets JOIN heads USING (file, sheet) WHERE row_no > header AND trim(value) <> ''),
-g AS (SELECT file, sheet, col_no, count(*) AS total, 2 * count(*) FILTER (regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\\-_\\./\\+]+$') AND NOT regexp_matches(v, '^[\\d,]+(?:\\.\\d+)?$') AND length(v) < 30) AS model,
-  count(*) FILTER (TRY_CAST(replace(regexp_extract(v, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) BETWEEN 0.011 AND 999999) AS price, count(*) FILTER (regexp_matches(lower(v), 'motor|battery|规格|尺寸|参数|材质')) AS spec, count(*) FILTER (regexp_matches(v, '^\\d{{1,4}}$')) AS qty FROM v GROUP BY ALL)
-SELECT file, sheet, col_no, total, CASE WHEN greatest(model, price, spec, qty) < 2 THEN NULL WHEN model >= greatest(price, spec, qty) THEN 'model' WHEN price >= greatest(spec, qty) THEN 'price' WHEN spec >= qty THEN 'spec' ELSE 'qty' END AS role FROM g""")
+c1 AS (SELECT s.file, s.sheet, col_no, row_no - header AS below, trim(value) AS v, lower(trim(value)) AS low FROM sheets s JOIN heads USING (file, sheet) WHERE row_no - header BETWEEN 0 AND 59),
+c2 AS (SELECT *, regexp_matches(v, '^\\d+$') AS whole, TRY_CAST(regexp_replace(v, '[¥$€£USDusd,\\s]', '', 'g') AS DOUBLE) AS number FROM c1),
+c3 AS (SELECT file, sheet, col_no, coalesce(max(low) FILTER (below = 0), '') AS head, count(*) FILTER (below > 0 AND v <> '') AS total, count(*) FILTER (below > 0 AND whole AND TRY_CAST(v AS BIGINT) BETWEEN 1 AND 999) AS serials,
+  count(*) FILTER (below > 0 AND list_contains({list(W.LABELS)}, low)) AS labels, count(*) FILTER (below > 0 AND v <> '' AND {_any(W.PACKAGING_WORDS, 'low')}) + count(*) FILTER (below > 0 AND v <> '' AND {_any(W.PACKAGING_CONTENT, 'low')}) AS packaging,
+  count(*) FILTER (below > 0 AND regexp_matches(v, '[A-Za-z]+\\d+')) AS models, count(*) FILTER (below > 0 AND v <> '' AND number > 0.001 AND number < 10000000) AS prices, count(*) FILTER (below > 0 AND v <> '' AND NOT whole) AS texts, coalesce(avg(length(v)) FILTER (below > 0 AND v <> ''), 0) AS width FROM c2 GROUP BY ALL),
+c4 AS (SELECT *, {_head_role()} AS said FROM (SELECT *, string_split_regex(translate(head, '/-()', '    '), '\\s+') AS ws FROM c3))
+SELECT file, sheet, col_no, total, serials, labels, packaging, models, prices, CASE WHEN said IN ('skip', 'packaging') THEN said WHEN {_any(W.SKIPPED_COLUMNS, 'head')} OR total = 0 THEN 'skip' WHEN said IS NOT NULL THEN said
+  WHEN packaging >= greatest(1, total * 0.15::DOUBLE) THEN 'packaging' WHEN serials >= greatest(3, total * 0.8::DOUBLE) AND texts = 0 THEN 'skip' WHEN labels >= greatest(2, total * 0.3::DOUBLE) THEN 'label'
+  WHEN prices >= greatest(2, total * 0.2::DOUBLE) AND texts > 0 THEN 'price' WHEN models >= greatest(2, total * 0.15::DOUBLE) OR width < 25 THEN 'model' ELSE 'spec' END AS role FROM c4""")
 def column_roles(c):
     return G.column_roles(c, G.header_row(c))
 
 
 @query("sheet_layout", "sheets", sql=f"""l AS (SELECT *, lower(trim(value)) AS low FROM sheets),
 g AS (SELECT file, sheet, count(*) FILTER (col_no = 1 AND regexp_matches(low, '[:：]$')) AS colons, count(*) FILTER (regexp_matches(low, '^model[:：]')) AS params, count(*) FILTER (contains(low, 'commercial invoice') OR contains(low, 'proforma invoice')) AS invoices,
-  count(*) FILTER (row_no <= 10 AND {_any(G.PRICE_HEADS, 'low')}) AS prices, count(DISTINCT CASE WHEN row_no <= 3 AND regexp_matches(low, '^[a-z]+-?\\d+$') THEN col_no END) AS across FROM l GROUP BY ALL)
-SELECT file, sheet, CASE WHEN colons >= 4 THEN 'kv' WHEN params > 0 THEN 'param_list' WHEN invoices > 0 THEN 'invoice' WHEN prices > 0 THEN 'price' WHEN across >= 2 THEN 'horizontal' ELSE 'vertical' END AS layout FROM g""")
+  count(*) FILTER (row_no <= 10 AND {_any(G.PRICE_HEADS, 'low')}) AS prices, count(DISTINCT CASE WHEN row_no <= 3 AND regexp_matches(low, '^[a-z]+-?\\d+$') THEN col_no END) AS across,
+  max(row_no) FILTER (low <> '') AS last, max(col_no) FILTER (low <> '') AS width, count(*) FILTER (low <> '' AND col_no = 1 AND row_no BETWEEN 2 AND 11) AS firsts FROM l GROUP BY ALL)
+SELECT file, sheet, CASE WHEN colons >= 4 THEN 'kv' WHEN params > 0 THEN 'param_list' WHEN invoices > 0 THEN 'invoice' WHEN prices > 0 THEN 'price' WHEN across >= 2 THEN 'horizontal' WHEN last > 10 AND width < 6 AND firsts > 0 THEN 'single_spec' ELSE 'vertical' END AS layout FROM g""")
 def sheet_layout(c):
     return G.sheet_layout(c)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from ..functions.prices import CURRENCIES, YUAN
 from ..operators import invoices as I
 from ..operators import merged as R
+from ..operators import tables as T
+from .q_grid import _HEADERS, _MAPPED, _any
+from .q_quality import _ROW, YEAR
 from .registry import query
 
 
@@ -47,3 +50,23 @@ def invoice_sheet_rows(c):
     from pyspark.sql import functions as F
 
     return I.invoice_sheet_rows(c).drop("sheet").withColumn("unit_price", F.round("unit_price", 4))
+
+
+#: The columns of header_mapping under other headers, over other cells.
+_TABLE_COLUMNS = _MAPPED[len(_HEADERS) :].replace("FROM sheets", "FROM table_sheets")
+
+
+@query("table_rows", "table_sheets", sql=f"""q1 AS (SELECT file, sheet, row_no, col_no, max(value) AS v, lower(max(value)) AS low FROM table_sheets WHERE value <> '' GROUP BY ALL),
+q2 AS (SELECT file, sheet, CASE WHEN count(*) FILTER (row_no = 1 AND col_no < 10 AND {_any(T.TOP_HEADER, 'low')}) > 0 THEN 1 ELSE coalesce(min(row_no) FILTER (row_no BETWEEN 2 AND 34 AND col_no < 10 AND {_any(T.DEEP_HEADER, 'low')}), 1) END AS header, max(row_no) AS last FROM q1 GROUP BY ALL),
+heads AS (SELECT file, sheet, header FROM q2)
+{_TABLE_COLUMNS},
+q3 AS (SELECT file, sheet, header, last, coalesce((SELECT min(row_no) FROM q1 WHERE q1.file = q2.file AND q1.sheet = q2.sheet AND q2.header > 1 AND col_no = 1 AND row_no > q2.header AND row_no < 200 AND contains(low, 'total')), least(last + 1, 2000)) AS stop FROM q2),
+q4 AS (SELECT q1.file, q1.sheet, row_no, max(v) FILTER (col_no = coalesce(p.model, 2)) AS model, max(v) FILTER (col_no = coalesce(p.name, 3)) AS name, max(v) FILTER (col_no = coalesce(p.spec, 4)) AS spec, max(v) FILTER (col_no = p.price) AS price, max(v) FILTER (col_no = p.remark) AS remark,
+  max(v) FILTER (col_no = p.packing) AS packing, max(v) FILTER (col_no = p.qty) AS qty FROM q1 JOIN q3 ON q3.file = q1.file AND q3.sheet = q1.sheet LEFT JOIN mapped p ON p.file = q1.file AND p.sheet = q1.sheet WHERE row_no > header AND row_no < stop GROUP BY ALL),
+q5 AS (SELECT * EXCLUDE (price), {_price('trim(price)')} AS price_rmb, trim(coalesce(model, '')) AS raw, concat_ws(chr(10), spec, '[包规] ' || packing, '[起订量/数量] ' || qty) AS spec_zh FROM q4),
+q6 AS (SELECT * EXCLUDE (model), CASE WHEN length(raw) >= 2 THEN substr(trim(string_split(raw, chr(10))[1]), 1, 30) ELSE raw END AS model FROM q5 WHERE length(raw) >= 2 OR price_rmb > 0),
+{_ROW.replace("FROM candidates", "FROM q6")},
+q7 AS (SELECT q1.file, q1.sheet, string_agg(trim(v), chr(10) ORDER BY row_no) AS footer FROM q1 JOIN q3 ON q3.file = q1.file AND q3.sheet = q1.sheet WHERE stop < last AND row_no >= stop AND row_no < stop + 30 AND col_no = 1 AND trim(v) <> '' GROUP BY ALL)
+SELECT sc.file, row_no, model, coalesce(trim(name), '') AS name, spec_zh AS spec, price_rmb AS price, coalesce(nullif(trim(coalesce(remark, '')), ''), footer, '') AS remark FROM sc LEFT JOIN q7 ON q7.file = sc.file AND q7.sheet = sc.sheet WHERE score >= -1.5""")
+def table_rows(c):
+    return T.table_rows(c, YEAR).drop("sheet")

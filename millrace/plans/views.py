@@ -97,6 +97,22 @@ def _invoice_cells() -> str:
     return " UNION ALL ".join(out)
 
 
+def _table_sheets() -> str:
+    """Standard tables of fifty parts: under a header in row 1, under titles with a total and notes below, without a header."""
+    f, i = "CAST(floor(p_partkey / 50) AS BIGINT)", "p_partkey % 50"
+    head, part = f"CASE {f} % 3 WHEN 1 THEN 4 + {f} % 5 ELSE 1 END", "CAST(p_partkey AS STRING)"
+    key = f"'t' || CAST({f} AS STRING) AS file, 's1' AS sheet"
+    model = f"CASE p_partkey % 7 WHEN 0 THEN 'EV' || {part} || chr(10) || 'second line' WHEN 1 THEN '' WHEN 2 THEN 'x' WHEN 3 THEN 'payment terms' WHEN 4 THEN 'a name with a lot of words and no number at all' WHEN 5 THEN ' KX-' || {part} || ' ' ELSE 'EV' || {part} END"
+    price = f"CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '$' || CAST(p_size AS STRING) ELSE CAST(p_retailprice AS STRING) END"
+    first = f"CASE WHEN {i} = 30 THEN 'Sub Total' WHEN {i} > 30 AND {i} % 3 = 0 THEN ' note ' || {part} || ' ' WHEN {i} > 30 THEN ' ' ELSE {part} END"
+    columns = {1: first, 2: model, 3: "p_name", 4: "CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Motor ' || CAST(p_size AS STRING) || '00W of the best kind' END", 5: price, 6: "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_size AS STRING) || ' pcs' END", 7: "CASE WHEN p_partkey % 3 = 0 THEN ' keep dry ' ELSE '' END", 8: "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(p_size AS STRING) END"}
+    out = [f"SELECT {key}, CAST({head} + 1 + {i} AS INT) AS row_no, {c} AS col_no, {v} AS value FROM {{part}}" for c, v in columns.items()]
+    heads = {1: "No.", 2: "Model", 3: "Product name", 4: "Specification", 5: "Unit Price", 6: "Packing", 7: "Remark", 8: "Qty"}
+    out += [f"SELECT {key}, CAST({head} AS INT), {c}, CASE WHEN {f} % 3 = 2 THEN 'v{c}' ELSE '{v}' END FROM {{part}} WHERE {i} = 0" for c, v in heads.items()]
+    out.append(f"SELECT {key}, 1, 1, 'Offer' FROM {{part}} WHERE {i} = 0 AND {f} % 3 = 1")
+    return " UNION ALL ".join(out)
+
+
 def _merges() -> str:
     """Merged ranges of the sheets in `cells`: down over empty models, up to a price, wide and overlapping, one cell, tall."""
     file, row = "'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet", "CAST(p_partkey % 50 + 4 AS INT)"
@@ -190,6 +206,7 @@ SELECT p_partkey AS id, p_type AS kind, p_size AS s, {_phrase("p_partkey")} || C
     || CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS zh FROM {{part}}""",
     "sheets": _sheets(),
     "merges": _merges(),
+    "table_sheets": _table_sheets(),
     "invoice_cells": _invoice_cells(),
     "candidates": """
 SELECT p_partkey % 20 AS file, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS parser, p_partkey AS row_no,

@@ -89,3 +89,49 @@ def test_invoices_do_not_mix(spark):
     both = sheet(spark, goods("AB-1"), "a").unionByName(sheet(spark, goods("AB-2"), "b"))
     assert sorted((x.file, x.model, x.unit_price) for x in I.invoice_sheet_rows(both).collect()) == [("a", "AB-1", 5.0), ("b", "AB-2", 5.0)]
     assert I.invoice_sheet_rows(both.limit(0)).count() == 0
+
+
+def test_column_roles_from_contents_and_heads(spark):
+    from millrace.operators import grid as G
+
+    heads = ["Carton", "Model No", "(USD)", "Specifications", "", "", "", "", "", "Photo", ""]
+    columns = [
+        ["1"] * 5, ["EV1", "EV2", "EV3", "x", "y"], ["1", "2", "3", "4", "5"], ["a"] * 5, [str(i) for i in range(1, 6)], ["$12.5", "8.75", "n/a", "x", "y"],
+        ["pcs/box 5", "a" * 30, "b" * 30, "c" * 30, "d" * 30], ["Name", "Photo", "备注", "x", "y"], ["AB12", "CD34", "long text number three", "e", "f"], ["z"] * 5, ["w" * 40] * 5,
+    ]
+    cells = [("f", "s", 1, c + 1, h) for c, h in enumerate(heads)] + [("f", "s", r + 2, c + 1, v) for c, vs in enumerate(columns) for r, v in enumerate(vs)]
+    head = spark.createDataFrame([("f", "s", 1)], "file string, sheet string, header int")
+    got = {r.col_no: r.role for r in G.column_roles(spark.createDataFrame(cells, CELLS), head).collect()}
+    # "model no" holds "no", by which a column is skipped
+    assert [got[c] for c in range(1, 12)] == ["packaging", "skip", "price", "spec", "skip", "price", "packaging", "label", "model", "skip", "spec"]
+
+
+def test_single_specification_layout(spark):
+    from millrace.operators import grid as G
+
+    def layout(rows, cols=2, first=True):
+        cells = [("f", "s", r, c, f"v{r}.{c}") for r in range(1, rows + 1) for c in range(1, cols + 1) if c > 1 or first or r == 1]
+        return G.sheet_layout(spark.createDataFrame(cells, CELLS)).first().layout
+
+    assert [layout(11), layout(10), layout(11, 5), layout(11, 6), layout(30, 2, False)] == ["single_spec", "vertical", "single_spec", "vertical", "vertical"]
+
+
+def test_table_under_titles_with_total_and_footer(spark):
+    from millrace.operators import tables as T
+
+    rows = {
+        1: {1: "Shanghai Factory 2026"}, 4: {1: "No.", 2: "Model", 3: "Product name", 4: "Specification", 5: "Unit price", 6: "Packing", 7: "Remark", 8: "Qty"},
+        5: {1: "1", 2: "SP-100\nsecond", 3: " Speaker ", 4: "20W", 5: "89.00", 6: "box", 7: "own", 8: "200"}, 6: {1: "2", 2: "SP-200", 5: "$35"}, 7: {1: "3", 2: "x"}, 8: {1: "4", 5: "12"}, 9: {2: "payment terms"},
+        10: {1: "Grand Total", 5: "99"}, 11: {1: " keep dry "}, 13: {1: "pay soon", 2: "LATE-1"},
+    }
+    got = [tuple(x)[2:] for x in T.table_rows(sheet(spark, rows), 2024).orderBy("row_no").collect()]
+    footer = "Grand Total\nkeep dry\npay soon"
+    assert got == [(5, "SP-100", "Speaker", "20W\n[包规] box\n[起订量/数量] 200", 89.0, "own"), (6, "SP-200", "", "", 252.0, footer), (8, "", "", "", 12.0, footer), (9, "payment terms", "", "", None, footer)]
+
+
+def test_table_without_header_words(spark):
+    from millrace.operators import tables as T
+
+    rows = {1: {1: "a", 2: "b", 3: "c", 4: "d"}, 2: {1: "1", 2: "AB-1", 3: "lamp", 4: "5W of light and more"}, 1999: {2: "AB-2"}, 2000: {2: "AB-3"}}
+    assert [(x.row_no, x.model, x.name, x.spec) for x in T.table_rows(sheet(spark, rows), 2024).orderBy("row_no").collect()] == [(2, "AB-1", "lamp", "5W of light and more"), (1999, "AB-2", "", "")]
+    assert T.table_rows(sheet(spark, rows).limit(0), 2024).count() == 0
