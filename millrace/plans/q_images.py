@@ -33,8 +33,21 @@ def image_match_source(p, i):
     return I.match_in_source(p, i)
 
 
+_SOURCES = "SELECT id, CASE WHEN id % 13 = 0 THEN substr(model, 1, 2) ELSE model END AS model, CASE id % 5 WHEN 0 THEN 'none.xlsx' WHEN 1 THEN upper(file) || '_ x.pdf' ELSE 'F-' || substr(file, 2) || '.xlsx' END AS source_file FROM {0}"
+_FOLDERS = "SELECT path, CASE WHEN idx % 3 = 0 THEN file ELSE 'of ' || file END AS folder FROM {0}"
+
+
+@query("image_match_folder", "pictured", "images", sql=f"""p AS (SELECT id, trim(lower(model)) AS model, translate(lower(regexp_replace(source_file, '\\.[^.]*$', '')), '_- ', '') AS key FROM ({_SOURCES.format('pictured')}) WHERE trim(model) <> ''),
+i AS (SELECT path, folder, translate(lower(folder), '_- ', '') AS fkey, lower(regexp_replace(substr(path, 8), '\\.[^.]*$', '')) AS name FROM ({_FOLDERS.format('images')})),
+f AS (SELECT k.key, arg_min(folder, (k.key <> fkey, folder)) AS at FROM (SELECT DISTINCT key FROM p) k JOIN (SELECT DISTINCT folder, fkey FROM i) x ON contains(fkey, k.key) OR contains(k.key, fkey) GROUP BY k.key)
+SELECT p.id, min(i.path) AS path FROM p LEFT JOIN f USING (key) JOIN i ON (f.at IS NULL OR i.folder = f.at) AND (contains(i.name, p.model) OR contains(p.model, i.name)) GROUP BY p.id""")
+def image_match_folder(p, i):
+    return I.match_in_folder(p.sparkSession.sql(_SOURCES.format("{p}"), p=p), i.sparkSession.sql(_FOLDERS.format("{i}"), i=i))
+
+
 @query("image_match_row", "pictured", "images", sql="""im AS (SELECT file, sheet, row_no, min(path) AS path FROM images GROUP BY ALL),
-b AS (SELECT p.id, arg_min(im.path, CASE im.row_no - p.row_no WHEN 0 THEN 0 WHEN -2 THEN 1 WHEN -1 THEN 2 WHEN 1 THEN 3 ELSE 4 END) AS path FROM pictured p JOIN im ON im.file = p.file AND im.sheet = p.sheet AND im.row_no BETWEEN p.row_no - 2 AND p.row_no + 2 GROUP BY p.id),
+b AS (SELECT p.id, arg_min(im.path, (im.row_no <> p.row_no, im.sheet, CASE im.row_no - p.row_no WHEN 0 THEN 0 WHEN -2 THEN 1 WHEN -1 THEN 2 WHEN 1 THEN 3 ELSE 4 END)) AS path FROM pictured p JOIN im ON im.file = p.file AND im.row_no BETWEEN p.row_no - 2 AND p.row_no + 2
+  AND (contains(trim(lower(im.sheet)), trim(lower(p.sheet))) OR contains(trim(lower(p.sheet)), trim(lower(im.sheet)))) GROUP BY p.id),
 n AS (SELECT id, file, row_number() OVER (PARTITION BY file ORDER BY sheet, row_no, id) AS k FROM pictured), k AS (SELECT file, path, row_number() OVER (PARTITION BY file ORDER BY sheet, row_no, idx) AS k FROM images)
 SELECT * FROM b UNION ALL SELECT n.id, k.path FROM n JOIN k ON k.file = n.file AND k.k = n.k WHERE n.id NOT IN (SELECT id FROM b)""")
 def image_match_row(p, i):

@@ -227,11 +227,11 @@ SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, p_partkey AS pos,
 FROM {part}""",
     "images": """
 SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN 'images/ab' || CAST(p_partkey AS STRING) || '.jpg' WHEN 1 THEN 'images/photo-' || CAST(p_partkey AS STRING) || '-front.png' ELSE 'images/misc' || CAST(p_partkey AS STRING) || '.jpg' END AS path,
-  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 + p_partkey % 4 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_size AS DOUBLE) AS y
+  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, CASE WHEN p_partkey % 3 = 0 THEN 'S1b' ELSE 's1' END AS sheet, CAST(p_partkey % 50 + p_partkey % 4 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_size AS DOUBLE) AS y
 FROM {part} WHERE p_partkey % 2 = 0""",
     "pictured": """
 SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'AB-' || CAST(p_partkey AS STRING) WHEN 1 THEN 'ab' || CAST(p_partkey - 1 AS STRING) WHEN 2 THEN CAST(p_partkey + 2 AS STRING) ELSE 'zz' END AS model,
-  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, 's1' AS sheet, CAST(p_partkey % 50 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page
+  'f' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS file, CASE p_partkey % 4 WHEN 0 THEN 's1' WHEN 1 THEN ' S1' WHEN 2 THEN 'all s1 lamps' ELSE 'b' END AS sheet, CAST(p_partkey % 50 AS INT) AS row_no, CAST(floor(p_partkey / 10) AS INT) AS page
 FROM {part}""",
     "expected": """
 SELECT idx % 20 AS file, idx AS item, CASE WHEN idx % 7 = 0 THEN 'missing' ELSE upper(model) || ' ' END AS model, price_rmb * (CASE WHEN idx % 3 = 0 THEN 2.0 ELSE 1.01 END) AS price_rmb, 5.0 AS tolerance, name_zh AS name_keyword, 'Motor' AS spec_keyword

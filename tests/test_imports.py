@@ -35,3 +35,12 @@ def test_packaging_from_the_row_or_the_specification(spark):
     assert pick(got[1]) == ("m", "1x2x3", 12.0, 10.0, 0.5, 4, "box", "RMB", 0.0)
     assert pick(got[2]) == ("GW: 12kg; NW: 10; Ca", "own", 9.5, 10.0, 0.5, 7, "box", "RMB", 0.0)
     assert pick(got[3]) == ("Item_3", "", 0.0, 0.0, 0.0, 0, "", "RMB", 0.0)
+
+
+def test_images_by_folder(spark):
+    from millrace.operators import images as J
+
+    pictures = spark.createDataFrame([("x/ev1-front.jpg", "e-motor cycles"), ("x/k.jpg", "e-motor cycles"), ("x/a/ev1.jpg", "other"), ("x/b/zz9.png", "price_list"), ("x/c/zz9.png", "old Price list 2")], "path string, folder string")
+    rows = [(1, "EV1", "E_motor-cycles.v2.xlsx"), (2, "AK7", "emotorcycles.pdf"), (3, "EV1", "nowhere.xlsx"), (4, "zz9", "price list.xlsx"), (5, "zz9", "2024 price-list new.xlsx"), (6, "", "price list.xlsx"), (7, None, "other.csv"), (8, "q", "other.csv"), (9, "EV1", None)]
+    got = sorted(tuple(r) for r in J.match_in_folder(spark.createDataFrame(rows, "id int, model string, source_file string"), pictures).collect())
+    assert got == [(1, "x/ev1-front.jpg"), (2, "x/k.jpg"), (3, "x/a/ev1.jpg"), (4, "x/b/zz9.png"), (5, "x/b/zz9.png"), (9, "x/a/ev1.jpg")]
