@@ -348,10 +348,16 @@ def test_rules_keep_rows_as_they_are(spark):
     assert Q.passing(d.limit(0)).count() == 0
 
 
-def test_distance_rules_against_brute_force(spark):
-    """Verdicts and distances restated with dictionaries, over a table with five languages, one of a single text."""
-    d = docs_of(spark, [(50 + i, " ".join(random.Random(i).choice(["zum", "quo", "per", "ab", "in"]) + str(i % 3) for _ in range(90)), "la" if i < 3 else "one", "s", 1) for i in range(4)])
-    data = d.select("doc_id", "lang", "text").collect()
+def base_failed(text):
+    """Fewer than 50 words, or half of them in repeated 3-word windows."""
+    w = (text or "").encode().split()
+    seen = Counter(zip(w, w[1:], w[2:]))
+    hit = {k for i, x in enumerate(zip(w, w[1:], w[2:])) if seen[x] > 1 for k in (i, i + 1, i + 2)}
+    return len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
+
+def brute_quality(data):
+    """(base_failed, kept, character distance, word distance) of each row (doc_id, lang, text), by dictionaries."""
     classes = lambda t: [Q.class_counts((t or "").encode())[c] for c in Q.COMPARED]
     words = lambda t: [w for w in ((t or "").encode().split())]
     by_lang, by_class = {}, {}
@@ -372,7 +378,7 @@ def test_distance_rules_against_brute_force(spark):
         return value, sum(by_lang[lang].values()) + 1000 - sum(value.values()), by_class[lang] + 1000 * letters / every * by_class["*"] / letters
 
     refs = {k: reference(k) for k in by_lang}
-    largest = sorted((k for k in by_lang if k != "*"), key=lambda k: (-sum(by_lang[k].values()), k))[:16]
+    largest = sorted((k for k in by_lang if k != "*"), key=lambda k: (-sum(by_lang[k].values()), k))
 
     def entropy(p):
         return -sum(x * math.log2(x) for x in p if x > 0)
@@ -384,9 +390,9 @@ def test_distance_rules_against_brute_force(spark):
         a, b = a / a.sum(), b / b.sum()
         return math.sqrt(max(entropy((a + b) / 2) - (entropy(a) + entropy(b)) / 2, 0))
 
-    got = {(-1 if pd.isna(r.doc_id) else r.doc_id): r for r in Q.quality_rules(d.repartition(4), block=20_000).collect()}
+    out = []
     for r in data:
-        g, ws = got[-1 if r.doc_id is None else r.doc_id], [Q.plain(w).decode() for w in words(r.text)]
+        ws, failed = [Q.plain(w).decode() for w in words(r.text)], base_failed(r.text)
         found = []
         for lang in [r.lang if r.lang in by_lang else "*", *largest, "*"]:
             value, rest, cls = refs[lang]
@@ -395,9 +401,22 @@ def test_distance_rules_against_brute_force(spark):
             share = (sum(common) / max(len(ws), 1)) / (1 - rest / (rest + sum(value.values())))
             c, w = apart(classes(r.text), cls), apart([*common, len(ws) - sum(common)], [*value.values(), rest])
             found.append((len(ws) < 50 or (c <= 0.3 and w <= 0.5 and share >= 0.25), c, w))
-        kept = not g.base_failed and any(f for f, _, _ in found)
-        assert g.kept == kept, r.doc_id
-        _, c, w = found[0] if g.base_failed else next((f for f in found if f[0]), found[0])
+        _, c, w = found[0] if failed else next((f for f in found if f[0]), found[0])
+        out.append((failed, not failed and any(f for f, _, _ in found), c, w))
+    return out
+
+
+def test_distance_rules_against_brute_force(spark):
+    """Verdicts and distances restated with dictionaries, over a table with six languages, one of a single text, and a text
+    that only one of the smallest languages takes."""
+    extra = [(50 + i, " ".join(random.Random(i).choice(["zum", "quo", "per", "ab", "in"]) + str(i % 3) for _ in range(90)), "la" if i < 3 else "one", "s", 1) for i in range(4)]
+    extra += [(70 + i, " ".join(random.Random(i).choice(["ωδε", "και", "γαρ"]) for _ in range(70)), "el" if i else "en", "s", 1) for i in range(3)]
+    d = docs_of(spark, extra)
+    data = d.select("doc_id", "lang", "text").collect()
+    got = {(-1 if pd.isna(r.doc_id) else r.doc_id): r for r in Q.quality_rules(d.repartition(4), block=20_000).collect()}
+    for r, (failed, kept, c, w) in zip(data, brute_quality(data), strict=True):
+        g = got[-1 if r.doc_id is None else r.doc_id]
+        assert (g.base_failed, g.kept) == (failed, kept), r.doc_id
         assert g.char_distance == pytest.approx(c, abs=1e-6) and g.word_distance == pytest.approx(w, abs=1e-6), r.doc_id
 
 
@@ -557,3 +576,72 @@ def test_more_values_than_languages_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError, match="lang holds more than 3"):
         Q.quality_rules(d)
     assert Q.quality_rules(d.where("doc_id < 3")).count() == 3
+
+
+def plain_machine(rows, epochs, rate=0.15, decay=1e-5, batch=128):
+    """The factorisation machine by dictionaries and loops over pairs. rows: (features {index: value}, label)."""
+    size = M.WORDS + M.STATISTICS
+    v, b = np.random.default_rng(7).normal(0, 0.01, (size, M.FACTORS)), 0.0
+    w, gw, gv, gb = Counter(), Counter(), {}, 1e-3
+    good = sum(y for _, y in rows)
+    weight = {1: len(rows) / (2 * max(good, 1)), 0: len(rows) / (2 * max(len(rows) - good, 1))}
+
+    def raw(x):
+        keys = list(x)
+        pairs = sum(float(v[i] @ v[j]) * x[i] * x[j] for k, i in enumerate(keys) for j in keys[k + 1 :])
+        return b + sum(w[i] * x[i] for i in keys) + pairs
+
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), batch):
+            own = [rows[i] for i in order[at : at + batch]]
+            dw, dv, db = Counter(), {}, 0.0
+            for x, y in own:
+                e = (1 / (1 + math.exp(-raw(x))) - y) * weight[y] / len(own)
+                total = sum(v[i] * x[i] for i in x)
+                for i in x:
+                    dw[i] += e * x[i]
+                    dv[i] = dv.get(i, 0) + e * x[i] * (total - v[i] * x[i])
+                db += e
+            for i in dw:
+                g, h = dw[i] + decay * w[i], dv[i] + decay * v[i]
+                gw[i], gv[i] = gw[i] + g * g, gv.get(i, 0) + h * h
+                w[i] -= rate * g / math.sqrt(gw[i] + 1e-3)
+                v[i] = v[i] - rate * h / np.sqrt(gv[i] + 1e-3)
+            gb += db * db
+            b -= rate * db / math.sqrt(gb)
+    return lambda x: 1 / (1 + math.exp(-raw(x)))
+
+
+def test_query_of_op9_against_a_plain_restatement(spark):
+    """Features, fit and scores of a small table restated with loops."""
+    import xxhash
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["fine", "Lamp", "of", "light"] if i % 2 else ["junk", "#", "||", "of"]) for _ in range(rng.randint(1, 9))) for i in range(36)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if i == 3 else 7 * i) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(38)], "doc_id long, quality int, toxic int")
+
+    def statistics(i):
+        t = (texts[i] or "").encode()
+        words = t.split()
+        kinds = sorted(set(words))
+        return M.statistics(t, np.array([kinds.index(x) for x in words], dtype=np.int64), max(len(kinds), 1), 0 if i == 3 else 7 * i)
+
+    def features(i, mean, scale):
+        c = Counter(xxhash.xxh3_64_intdigest(x.lower()) % M.WORDS for x in (texts[i] or "").encode().split())
+        logs = {k: float(np.float32(math.log1p(n))) for k, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in logs.values())) or 1.0
+        x = {k: logs[k] / norm for k in sorted(logs)}
+        return x | {M.WORDS + k: max(-4.0, min(4.0, (s - m) / d)) / math.sqrt(M.STATISTICS) for k, (s, m, d) in enumerate(zip(statistics(i), mean, scale))}
+
+    train = [r.doc_id for r in docs.withColumn("h", F.xxhash64("doc_id")).orderBy("h").select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    dense = np.array([statistics(i) for i in train])
+    mean, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6)
+    score = plain_machine([(features(i, mean, scale), i % 2) for i in train], 3)
+    got = {r.doc_id: r for r in classify(docs, labels, epochs=3).collect()}
+    assert sorted(got) == list(range(38))
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5)
+        assert r.score == pytest.approx(score(features(i, mean, scale)), abs=1e-4), i

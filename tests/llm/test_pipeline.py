@@ -1,18 +1,24 @@
 """Each stage of the pipeline against what its input calls for, and that all rows of the last stage can be traced."""
 
-import numpy as np
+import duckdb
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm.common import word_count
-from millrace.llm.line_dedup import line_dedup
-from millrace.llm.mixing import mix_sources
-from millrace.llm.quality_rules import quality_rules
-from tests.llm.test_free import EDGE, SCHEMA, WIDE, brute_join, check_packing, clashing
+from millrace.llm import registry
+from tests.llm.test_free import EDGE, SCHEMA, WIDE, brute_join, brute_quality, check_packing, clashing
 
 SF = "/root/testdata/sf0.001"
 
 
+def by_sql(folder, sql):
+    """What SQL says of the documents that a stage wrote."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    return con.execute(sql).df()
+
+
 def test_stages(spark, tmp_path):
+    """Every stage against a version of its own: loops for the rules and the join, SQL for lines and mix, the tokenizer for pieces."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
@@ -21,19 +27,22 @@ def test_stages(spark, tmp_path):
     start, judged, lines, near, mixed, packed = seen
     assert all(d.columns == docs.columns for d in seen[:-1])
     ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
-    assert ids(judged) == ids(quality_rules(start).where("kept"))
-    whole = line_dedup(judged).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    assert ids(lines) == ids(whole)
+    rows = start.select("doc_id", "lang", "text").collect()
+    assert ids(judged) == sorted(r.doc_id for r, (_, kept, _, _) in zip(rows, brute_quality(rows), strict=True) if kept)
+    stays = by_sql(f"{tmp_path}/0", registry.SQL_OP10)
     texts = [(r.doc_id, r.text) for r in lines.collect()]
+    assert sorted(texts) == sorted((i, t) for i, t, gone in zip(stays.doc_id, stays.text, stays.removed_lines) if not gone or t.encode().split())
+    assert all(r.n_chars == len(r.text) for r in lines.collect() if r.doc_id in set(stays[stays.removed_lines > 0].doc_id))
     assert ids(near) == sorted({c for _, c, _, _ in brute_join(texts)})
-    want = {r.source: r.target for r in mix_sources(near).select("source", "target").distinct().collect()}
-    got = {r.source: r.n for r in mixed.select("source", word_count(mixed.text).alias("w")).groupBy("source").sum("w").toDF("source", "n").collect()}
-    most = max(len((t or "").split()) for _, t in texts)
-    assert all(abs(got.get(s, 0) - t) <= most for s, t in want.items())
+    mix = by_sql(f"{tmp_path}/2", registry.SQL_OP1)  # whole documents: at a budget's end one is in if half of it is
+    want = sorted(int(i) for i, size, taken in zip(mix.doc_id, mix["size"], mix.taken, strict=True) if size for _ in range((2 * taken + size) // (2 * size)))
+    assert ids(mixed) == want
     p = packed.toPandas()
     check_packing(p, 2048)
-    assert sorted(p[p.start == 0].doc_id) == ids(mixed)
-    assert np.isclose(p.length.sum(), p[p.start == 0].doc_tokens.sum())
+    tokenizer = Tokenizer.from_file(registry.vocabulary("word_bpe_49k.json"))
+    want = sorted((r.doc_id, len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1) for r in mixed.collect())
+    assert sorted(zip(p[p.start == 0].doc_id, p[p.start == 0].doc_tokens)) == want
+    assert p.length.sum() == sum(n for _, n in want)
 
 
 def test_run_is_the_same_again(spark):
