@@ -105,18 +105,26 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def class_of(s: np.ndarray) -> int | None:
-    """64 bits for a set; None for the empty one."""
+def class_of(s: np.ndarray) -> int:
+    """64 bits for a set."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def sketch(words: int) -> Callable:
+def check_of(s: np.ndarray) -> int:
+    """64 more, by which sets of one class_of are told apart."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - 2**63
+
+
+def sketch(words: int, hashed: Callable) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in blocks(batches, "t", BLOCK):
             sets = shingle_sets(list(pdf["t"]), words)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "cls": pd.array([class_of(s) for s in sets], dtype="Int64"), "sig": [signature(s) if len(s) else None for s in sets]})
+            some = lambda f: pd.array([f(s) if len(s) else None for s in sets], dtype="Int64")  # noqa: E731, B023
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "cls": some(hashed), "check": some(check_of), "sig": [signature(s) if len(s) else None for s in sets]})
 
     return run
 
@@ -164,6 +172,10 @@ def in_blocks(rows: DataFrame, group: str, parts: Column) -> DataFrame:
     return rows.withColumns({"first": F.col("b") == F.col("i"), "within": F.col("i") == F.col("j"), "task": F.xxhash64(group, "i", "j")}).drop("parts", "b", "o")
 
 
+#: Clashing hashes up to this number are broadcast.
+CLASHES = 100_000
+
+
 def per_group(key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable:
     """Applies work to the runs of equal keys in sorted batches; several results go out together."""
 
@@ -275,7 +287,7 @@ def compare_sets(similarity: float) -> Callable:
     return work
 
 
-def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, levels: int = LEVELS, leaf_block: int = LEAF_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, levels: int = LEVELS, leaf_block: int = LEAF_BLOCK, set_block: int = SET_BLOCK, hashed: Callable = class_of) -> DataFrame:
     """One row per document: doc_id, th (its text's hash), class_id, class_size, n_links, copies.
 
     n_links: other documents with similarity at least `similarity`, those with the same set included; copies: documents
@@ -287,8 +299,16 @@ def jaccard_join(docs: DataFrame, *, text="text", doc_id="doc_id", words: int =
     kind = docs.schema[doc_id].dataType.simpleString()
     d = bounded_batches(docs).select(F.col(doc_id).alias("id"), text_id(doc_id), F.coalesce(text, F.lit("")).alias("t"))
     d = d.withColumn("th", F.xxhash64("t"))
-    rows = d.select("doc_id", "th", "t").mapInPandas(sketch(words), "doc_id string, th long, cls long, sig array<int>")
+    rows = d.select("doc_id", "th", "t").mapInPandas(sketch(words, hashed), "doc_id string, th long, cls long, check long, sig array<int>")
     rows = stage(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-sketch")
+    clash = stage(rows.groupBy("cls").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low != high").select(F.col("cls").alias("clashing")), "jaccard-clashes")
+    if not clash.isEmpty():  # one hash for different sets: these get another one
+        first, few = rows, clash.count() <= CLASHES
+        anew = F.when(F.col("clashing").isNotNull(), F.xxhash64("cls", "check")).otherwise(F.col("cls"))
+        rows = stage(first.join(F.broadcast(clash) if few else clash, F.col("cls") == F.col("clashing"), "left").withColumn("cls", anew).drop("clashing"), "jaccard-sketch")
+        discard(first)
+    discard(clash)
+    rows = rows.drop("check")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))).alias("one"), F.first("sig").alias("sig"))
     classes = stage(classes.select("cls", "docs", F.col("one.id").alias("id"), F.col("one.th").alias("one_th"), "sig"), "jaccard-classes")
 

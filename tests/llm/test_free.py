@@ -533,6 +533,19 @@ def test_url_scores_and_threshold_against_brute_force(spark):
             assert got[i].verdict == ("allow" if s >= limit else "block")
 
 
+def test_join_tells_sets_of_one_hash_apart(spark):
+    """With a hash of three values almost all classes clash, and the result is the same."""
+    d = docs_of(spark).repartition(3)
+    weak = lambda s: len(s) % 3
+    for few in (J.CLASHES, -1):
+        J.CLASHES, before = few, J.CLASHES
+        try:
+            a, b = (sorted(map(repr, J.jaccard_join(d, **o).collect())) for o in ({}, {"hashed": weak}))
+        finally:
+            J.CLASHES = before
+        assert a == b
+
+
 def test_runs_follow_the_target_recall(spark):
     assert J.runs_for(0.8, 0.99, 8) < J.runs_for(0.8, 1 - 1e-7, 8) == 12 and J.agreeing(0.8, 1 - 1e-7) == 33
     with pytest.raises(ValueError):
