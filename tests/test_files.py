@@ -78,3 +78,20 @@ def test_json_objects_are_written_for_any_reader(spark, tmp_path):
     every = {k: v for x in found for k, v in x.items()}
     assert every.keys() == lib.keys() and all(v.get("price") == lib[k]["price"] and v.get("model") == lib[k]["model"] for k, v in every.items())
     assert {x.product_key for x in catalog.read_library_json(spark, f"{tmp_path}/out").collect()} == set(lib)
+
+
+def test_places_over_ranges_of_any_size(spark):
+    """Numbers in an order, over many ranges, over one, and within groups of which one has most rows."""
+    from millrace.plans.ordering import numbered, numbered_within
+
+    r = random.Random(3)
+    data = [(i, r.choice(["hot"] * 8 + ["a", None]), r.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, g string, k int").repartition(5)
+    want = {row[0]: n for n, row in enumerate(sorted(data, key=lambda x: (x[2], x[0])), 1)}
+    for rows in (7, 10_000):
+        assert {x.id: x.place for x in numbered(df, "k", "id", rows=rows).collect()} == want
+        got = {(x.g, x.place): x.id for x in numbered_within(df, "g", "k", "id", rows=rows).collect()}
+        for g in ("hot", "a", None):
+            own = sorted((x for x in data if x[1] == g), key=lambda x: (x[2], x[0]))
+            assert [got[g, n] for n in range(1, len(own) + 1)] == [x[0] for x in own]
+    assert numbered(df.limit(0), "k", "id").count() == 0
