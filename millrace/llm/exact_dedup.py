@@ -60,15 +60,15 @@ def exact_dedup(docs: DataFrame, *, text="text", doc_id="doc_id", pattern: str =
         rows = d.select("doc_id", "n", ids.alias("recipe"), sha.alias("text_sha256"))
     else:
         rows = told_apart(d.select("doc_id", "n", "norm", sha.alias("text_sha256")), odd, pattern, hashed)
-    rows = stage(rows, "dedup-recipes")
+    # a number tells rows apart that repeat id and length; once written it stays
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-recipes")
 
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best")
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     groups = rows.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = stage(groups.select(F.xxhash64("recipe").alias("gh"), F.col("recipe").alias("g"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_n"), "group_size"), "dedup-groups")
+    groups = stage(groups.select(F.xxhash64("recipe").alias("gh"), F.col("recipe").alias("g"), F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "dedup-groups")
     joined = rows.join(groups, (F.xxhash64("recipe") == F.col("gh")) & (F.col("recipe") == F.col("g")), "left")
     alone = F.col("g").isNull()
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("recipe")).orderBy(F.desc("n"))) == 1
-    stays = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")) & first)
+    stays = alone | (F.col("row") == F.col("keep_row"))
     return joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
