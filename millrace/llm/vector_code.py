@@ -28,7 +28,7 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 #: Side of a grid cell, in scaled units.
-SIDE = 512
+SIDE = 768
 #: Cells that a task remembers for a part; then it starts afresh.
 CELLS = 200_000
 #: Up to here squares and their sums stay in 64 bits for parts of up to 256 components; larger numbers are Python's.
