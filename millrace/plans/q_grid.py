@@ -263,9 +263,10 @@ def union_sheets(a, b):
 
 
 @query("cross_table_price", "cells", sql=f"""{_WIDE},
-p AS (SELECT file, row_no, row_number() OVER (PARTITION BY file ORDER BY row_no) AS i FROM wd WHERE row_no BETWEEN 4 AND 7),
-n AS (SELECT file, col_no, arg_min(TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE), row_no) AS price FROM cells WHERE row_no > 30 AND TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) > 0 GROUP BY 1, 2)
+p AS (SELECT file, row_no, row_number() OVER (PARTITION BY file ORDER BY row_no) AS i FROM wd WHERE row_no BETWEEN 4 AND 23),
+n AS (SELECT file, col_no, arg_min(TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE), row_no) AS price FROM cells WHERE row_no > 26 AND TRY_CAST(replace(regexp_extract(value, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE) > 0 GROUP BY 1, 2)
 SELECT p.file, p.row_no, n.price FROM p JOIN n ON n.file = p.file AND n.col_no = p.i""")
 def cross_table_price(c):
-    products = G.wide(c, COLS).where("row_no between 4 and 7").select("file", "row_no", F.lit(None).cast("double").alias("price"))
-    return G.cross_table_price(products, c.where("row_no > 30"))
+    """Blank rows part a sheet into two tables: the products of the first, prices across the second."""
+    products = G.wide(c, COLS).where("row_no between 4 and 23").select("file", "row_no", F.lit(None).cast("double").alias("price"))
+    return G.cross_table_price(products, c.where("row_no > 26"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def clear(spark: SparkSession, name: str | None = None, older_than: float = 0.0) -> int:
+    """Deletes tables between steps (of one name, else of all names) that were last written `older_than` seconds ago or
+    earlier, and returns how many. For the folder's owner, once no DataFrame that reads them is in use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base) if base else None
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()) if base else None
+    if not base or not files.exists(path):
+        return 0
+    latest, n = (time.time() - older_than) * 1000, 0
+    for f in files.listStatus(path):
+        found = re.fullmatch(r"(.+)-[0-9a-f]{32}", f.getPath().getName())
+        if found and name in (None, found[1]) and f.getModificationTime() <= latest:
+            files.delete(f.getPath(), True)
+            n += 1
+    return n

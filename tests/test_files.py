@@ -95,3 +95,19 @@ def test_places_over_ranges_of_any_size(spark):
             own = sorted((x for x in data if x[1] == g), key=lambda x: (x[2], x[0]))
             assert [got[g, n] for n in range(1, len(own) + 1)] == [x[0] for x in own]
     assert numbered(df.limit(0), "k", "id").count() == 0
+
+
+def test_staged_tables_are_cleared_by_name_and_age(spark, tmp_path):
+    from millrace.sources.staging import clear, staged
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        assert clear(spark) == 0
+        a, b = staged(spark.range(3), "some"), staged(spark.range(4), "some-other")
+        (tmp_path / "shared" / "own").mkdir()
+        assert clear(spark, older_than=3600) == 0 and a.count() == 3
+        assert clear(spark, "some") == 1 and b.count() == 4
+        assert clear(spark) == 1 and [f.name for f in (tmp_path / "shared").iterdir()] == ["own"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
