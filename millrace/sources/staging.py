@@ -10,16 +10,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset and the driver runs all tasks itself (tests), under a
-    temporary one. On a cluster a folder of the driver's would be another one on each machine."""
+#: Folders of applications that have none in their settings.
+_OWN: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the
+    driver runs all tasks itself (tests); on a cluster a folder of the driver's would be another one on each machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN[own]
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +44,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def clear(spark: SparkSession, name: str | None = None, older_than: float = 0.0) -> int:
     """Deletes tables between steps (of one name, else of all names) that were last written `older_than` seconds ago or
     earlier, and returns how many. For the folder's owner, once no DataFrame that reads them is in use."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    path = spark._jvm.org.apache.hadoop.fs.Path(base) if base else None
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()) if base else None
-    if not base or not files.exists(path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(path):
         return 0
     latest, n = (time.time() - older_than) * 1000, 0
     for f in files.listStatus(path):

@@ -97,17 +97,29 @@ def test_places_over_ranges_of_any_size(spark):
     assert numbered(df.limit(0), "k", "id").count() == 0
 
 
-def test_staged_tables_are_cleared_by_name_and_age(spark, tmp_path):
-    from millrace.sources.staging import clear, staged
+def test_staged_tables_are_cleared_by_name_and_age(spark, tmp_path, monkeypatch):
+    from millrace.sources import staging
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert clear(spark) == 0
-        a, b = staged(spark.range(3), "some"), staged(spark.range(4), "some-other")
-        (tmp_path / "shared" / "own").mkdir()
-        assert clear(spark, older_than=3600) == 0 and a.count() == 3
-        assert clear(spark, "some") == 1 and b.count() == 4
-        assert clear(spark) == 1 and [f.name for f in (tmp_path / "shared").iterdir()] == ["own"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(staging, "shared_base", lambda _: f"file://{tmp_path}/shared")
+    assert staging.clear(spark) == 0
+    a, b = staging.staged(spark.range(3), "some"), staging.staged(spark.range(4), "some-other")
+    (tmp_path / "shared" / "own").mkdir()
+    assert staging.clear(spark, older_than=3600) == 0 and a.count() == 3
+    assert staging.clear(spark, "some") == 1 and b.count() == 4
+    assert staging.clear(spark) == 1 and [f.name for f in (tmp_path / "shared").iterdir()] == ["own"]
+
+
+def test_shared_folder_without_a_setting():
+    """Tests have a folder of their own; on a cluster it is an error."""
+    from types import SimpleNamespace
+
+    from millrace.sources.staging import shared_base
+
+    def session(master, conf=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_conf=SimpleNamespace(get=lambda *_: conf), master=master, applicationId=f"app-{master}"))
+
+    assert shared_base(session("local[4]")) == shared_base(session("local[4]")) != shared_base(session("local"))
+    assert shared_base(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,900]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_base(session(master))
