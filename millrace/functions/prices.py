@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +24,13 @@ RATES = {"USD": 1.0, "CNY": 7.2, "EUR": 0.92, "GBP": 0.79, "JPY": 149.5, "KRW":
 SYMBOLS = {"CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥"}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row; a Column that is named in several places is worked out in each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
 
 
 def extract_numbers(text: Column) -> Column:
@@ -42,20 +49,23 @@ def detect_currency(text: Column) -> Column:
 
 def clean_price(text: Column, yuan: dict[str, float] = YUAN) -> Column:
     """Yuan for a price text: discounts, the mean of a range, K and W multipliers, other currencies."""
+
+    def yuan_of(x: Column) -> Column:
+        t, numbers, low, upper = x["t"], x["numbers"], x["low"], x["upper"]
+        first, second, n = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2)), F.size(numbers)
+        rate = F.lit(1.0)
+        for sign, code in reversed(CURRENCIES):
+            rate = F.when(upper.contains(sign), yuan.get(code, 1.0)).otherwise(rate)
+        times = F.when(upper.rlike(r"\dK\b") & ~upper.contains("KG"), 1000).when(upper.rlike(r"\dW\b"), 10000).otherwise(1)
+        ranged = t.contains("-") | t.contains("~") | low.contains("or")
+        return (
+            F.when(t == "", None).when(t.contains("折") & (n > 0), first / 10)
+            .when(t.contains("%") & low.contains("off") & (n > 0), first * 0.01)
+            .when(ranged & (n >= 2), (first + second) / 2).when(ranged & (n == 1), first).when(n > 0, first * times * rate)
+        )
+
     t = blank(text)
-    numbers, low, upper = extract_numbers(t), F.lower(t), F.upper(t)
-    first, second, n = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2)), F.size(numbers)
-    rate = F.lit(1.0)
-    currency = detect_currency(t)
-    for code, value in yuan.items():
-        rate = F.when(currency == code, value).otherwise(rate)
-    times = F.when(upper.rlike(r"\dK\b") & ~upper.contains("KG"), 1000).when(upper.rlike(r"\dW\b"), 10000).otherwise(1)
-    ranged = t.contains("-") | t.contains("~") | low.contains("or")
-    return (
-        F.when(t == "", None).when(t.contains("折") & (n > 0), first / 10)
-        .when(t.contains("%") & low.contains("off") & (n > 0), first * 0.01)
-        .when(ranged & (n >= 2), (first + second) / 2).when(ranged & (n == 1), first).when(n > 0, first * times * rate)
-    )
+    return let(F.struct(t.alias("t"), extract_numbers(t).alias("numbers"), F.lower(t).alias("low"), F.upper(t).alias("upper")), yuan_of)
 
 
 def number_price(value: Column) -> Column:
@@ -65,8 +75,7 @@ def number_price(value: Column) -> Column:
 
 def cell_price(text: Column) -> Column:
     """A cell that is a number counts if above 0; other texts as clean_price has them."""
-    number = blank(text).try_cast("double")
-    return F.when(number.isNotNull(), number_price(number)).otherwise(clean_price(text))
+    return let(blank(text).try_cast("double"), lambda number: F.when(number.isNotNull(), number_price(number)).otherwise(clean_price(text)))
 
 
 #: How prices are written in dollars, in yuan, and without a currency.
@@ -77,15 +86,19 @@ _PLAIN = r"(?<!\d)([\d,]+(?:\.\d+)?)(?!\d*\s*[WVKA%a-z]|\s*(?:Kg|KM|Nm|mm|Hz|rpm
 
 def price_from_value(text: Column, usd_rate: float = 7.2) -> Column:
     """(price, price_cny, currency) or null: dollars, else yuan, else a bare number between 0.01 and 1e6."""
-    t = blank(text)
 
-    def first(patterns) -> Column:
-        found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns]
+    def first(t: Column, *patterns: str) -> Column:
+        found = [let(F.regexp_extract(t, p, 1), lambda x: F.when(x != "", x)) for p in patterns]
         return F.replace(F.coalesce(*found), F.lit(",")).try_cast("double")
 
-    usd, cny, plain = first(_USD), first(_CNY), first((_PLAIN,))
     make = lambda price, yuan, code: F.struct(price.alias("price"), yuan.alias("price_cny"), F.lit(code).alias("currency"))
-    return F.when(usd > 0, make(usd, rounded(usd * usd_rate, 2), "USD")).when(cny > 0, make(cny, cny, "CNY")).when((plain > 0.01) & (plain < 1_000_000), make(plain, plain, "CNY"))
+
+    def priced(t: Column) -> Column:
+        plain = let(first(t, _PLAIN), lambda x: F.when((x > 0.01) & (x < 1_000_000), make(x, x, "CNY")))
+        cny = let(first(t, *_CNY), lambda x: F.when(x > 0, make(x, x, "CNY")).otherwise(plain))
+        return let(first(t, *_USD), lambda x: F.when(x > 0, make(x, rounded(x * usd_rate, 2), "USD")).otherwise(cny))
+
+    return let(blank(text), priced)
 
 
 #: Fixed words before a price, asked in this order.

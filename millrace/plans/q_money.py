@@ -145,7 +145,7 @@ def detect_currency(t):
 SELECT row_id, price, text, round(CASE WHEN contains(text, '%') AND contains(text, 'off') THEN ns[1] * 0.01::DOUBLE WHEN (contains(text, '-') OR contains(text, '~')) AND len(ns) >= 2 THEN (ns[1] + ns[2]) / 2
   WHEN len(ns) > 0 THEN ns[1] * CASE WHEN regexp_matches(text, '\\dK\\b') THEN 1000 WHEN regexp_matches(text, '\\dW\\b') THEN 10000 ELSE 1 END * CASE WHEN contains(text, '$') OR contains(text, 'USD') THEN 7.2::DOUBLE WHEN contains(text, 'EUR') THEN 7.8::DOUBLE ELSE 1 END END + 1e-9, 4) AS yuan FROM n""")
 def clean_price(t):
-    return t.select("row_id", "price", "text", rounded(P.clean_price(F.col("text")), 4).alias("yuan"))
+    return t.select("row_id", "price", "text", P.let(P.clean_price(F.col("text")), lambda yuan: rounded(yuan, 4)).alias("yuan"))
 
 
 def _number(*patterns: str) -> str:

@@ -12,3 +12,8 @@ def plan(df, kind="executedPlan"):
 @pytest.mark.parametrize("name", ["image_match_folder", "image_match_row", "image_match_scored", "image_match_name", "image_match_source", "image_match_page"])
 def test_images_send_no_table_through_the_driver(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize(("name", "step", "times"), [("clean_price", "regexp_extract_all(", 1), ("price_from_value", "regexp_extract(", 5)])
+def test_a_step_is_worked_out_once(spark, name, step, times):
+    assert plan(QUERIES[name](spark, SF), "optimizedPlan").count(step) <= times
