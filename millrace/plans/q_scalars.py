@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as G
 from ..functions import models as M
 from ..functions import specs as S
-from ..functions.prices import rounded
+from ..functions.prices import let, rounded
 from .registry import query
 
 C = F.col
 _STRIP = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
 
 
+def spread(t: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle tasks, before work on texts that costs far more than to move them: a
+    file of short rows is one task's input, however many rows it holds."""
+    return t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _map_rows(t: DataFrame, m: Column) -> DataFrame:
+    """id, the map's entries as one text and their number, for rows whose map has entries. The map is made once: a filter
+    and columns on it would each make it anew."""
+
+    def row(m: Column) -> Column:
+        pairs = F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+        return F.when(F.size(m) > 0, F.array(F.struct(pairs.alias("pairs"), F.size(m).alias("n"))))
+
+    return t.select("id", F.inline(let(m, row)))
+
+
 def _cleaned(source: str, text: str) -> str:
     """CTEs that end in cleaned (id, spec): clean_spec in SQL over a text column of source."""
     return rf"""c1 AS (SELECT id, {_STRIP.format(text)} AS t FROM {source}),
@@ -45,7 +63,8 @@ f3 AS (SELECT id, i, CASE WHEN name <> '' AND value <> '' AND NOT regexp_matches
 f4 AS (SELECT t.id, coalesce(array_to_string(flatten(list(made ORDER BY i)), chr(10)), '') AS raw FROM texts t LEFT JOIN f3 ON f3.id = t.id GROUP BY t.id),
 {_cleaned('f4', 'raw')} SELECT id, spec FROM cleaned""")
 def format_spec(t):
-    return t.select("id", S.format_spec(F.concat_ws("\n", "spec", "packaging", "model")).alias("spec"))
+    t = spread(t.select("id", F.concat_ws("\n", "spec", "packaging", "model").alias("text")))
+    return t.select("id", S.format_spec(C("text")).alias("spec"))
 
 
 @query("clean_spec_text", "texts", sql="SELECT id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(packaging, '\\n+', chr(10), 'g'), ' +', ' ', 'g'), '; +', ';', 'g'), ';', ';' || chr(10)), '^\\s+|\\s+$', '', 'g') AS spec FROM texts")
@@ -58,9 +77,7 @@ m2 AS (SELECT id, i, trim(regexp_extract(ps[i], '^([^:：]+)[:：]\s*(.+)$', 1))
 m3 AS (SELECT id, k, arg_max(v, i) AS v FROM m2 WHERE k <> '' AND v <> '' GROUP BY 1, 2)
 SELECT id, string_agg(k || '=' || v, '|' ORDER BY k) AS pairs, count(*) AS n FROM m3 GROUP BY id""")
 def spec_to_map(t):
-    m = S.spec_to_map(F.concat_ws(";", "packaging", "spec"))
-    pairs = F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
-    return t.withColumn("m", m).where(F.size("m") > 0).select("id", pairs.alias("pairs"), F.size("m").alias("n"))
+    return _map_rows(spread(t.select("id", F.concat_ws(";", "packaging", "spec").alias("text"))), S.spec_to_map(C("text")))
 
 
 @query("map_to_spec", "texts", sql="SELECT id, 'size: ' || s || '; kind: ' || kind AS spec FROM texts")
@@ -74,8 +91,7 @@ p3 AS (SELECT id, i, trim(substr(line, 1, cut - 1)) AS k, trim(substr(line, cut
 p4 AS (SELECT id, k, arg_max(v, i) AS v FROM p3 WHERE k <> '' AND lower(k) NOT IN ('型号', 'model', '价格', 'price', 'name', '名称') GROUP BY 1, 2)
 SELECT id, string_agg(k || '=' || v, '|' ORDER BY k) AS pairs, count(*) AS n FROM p4 GROUP BY id""")
 def parse_spec_dict(t):
-    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
-    return t.withColumn("m", S.parse_spec_dict(C("fields"))).where(F.size("m") > 0).select("id", pairs.alias("pairs"), F.size("m").alias("n"))
+    return _map_rows(spread(t.select("id", "fields")), S.parse_spec_dict(C("fields")))
 
 
 @query("serialize_specs", "texts", sql="SELECT id, concat_ws(chr(10), '尺寸: ' || s, 'HTML: ' || nullif(html, ''), CASE WHEN number_text <> '' THEN 'No: ' || number_text END) AS spec FROM texts")

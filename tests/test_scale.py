@@ -14,6 +14,11 @@ def test_images_send_no_table_through_the_driver(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize(("name", "step", "times"), [("clean_price", "regexp_extract_all(", 1), ("price_from_value", "regexp_extract(", 5)])
+@pytest.mark.parametrize("name", ["spec_to_map", "format_spec", "parse_spec_dict"])
+def test_texts_are_dealt_out(spark, name):
+    assert "RoundRobinPartitioning" in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize(("name", "step", "times"), [("spec_to_map", "regexp_extract(", 2), ("format_spec", "split(", 4), ("parse_spec_dict", "translate(", 1), ("clean_price", "regexp_extract_all(", 1), ("price_from_value", "regexp_extract(", 5)])
 def test_a_step_is_worked_out_once(spark, name, step, times):
     assert plan(QUERIES[name](spark, SF), "optimizedPlan").count(step) <= times
