@@ -272,9 +272,10 @@ def csv_export(p):
 
 @query("csv_export_file", "products", sql="SELECT id::VARCHAR AS id, sku, name_zh, name_en, category, price_rmb, price_usd, moq, 'img/' || id || '.jpg' AS image_path, source_file FROM products WHERE user_id = 'local' ORDER BY id LIMIT 10000")
 def csv_export_file(p):
-    """The export's one file, read back from the shared folder."""
+    """The export's one file, read back from the shared folder. Ids are texts there, and the first ones are the first as texts."""
     folder = shared_folder(p.sparkSession, "export")
-    files.export_csv(p.withColumn("image_path", F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".jpg"))), folder, "local")
+    p = p.withColumn("id", F.col("id").cast("string"))
+    files.export_csv(p.withColumn("image_path", F.concat(F.lit("img/"), "id", F.lit(".jpg"))), folder, "local")
     kinds = "id string, sku string, name_zh string, name_en string, category string, price_rmb double, price_usd double, moq int, image_path string, source_file string"
     back = p.sparkSession.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
     return back.select(*files.EXPORTED).fillna({"category": ""})

@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace.plans import q_library, registry
 from tests.test_queries import QUERIES, SF
 
 
@@ -22,3 +23,8 @@ def test_texts_are_dealt_out(spark, name):
 @pytest.mark.parametrize(("name", "step", "times"), [("spec_to_map", "regexp_extract(", 2), ("format_spec", "split(", 4), ("parse_spec_dict", "translate(", 1), ("clean_price", "regexp_extract_all(", 1), ("price_from_value", "regexp_extract(", 5)])
 def test_a_step_is_worked_out_once(spark, name, step, times):
     assert plan(QUERIES[name](spark, SF), "optimizedPlan").count(step) <= times
+
+
+def test_export_takes_the_first_ids_as_texts(spark):
+    p = registry.load(spark, SF, "products").limit(1).drop("id", "user_id").crossJoin(spark.range(10_050)).selectExpr("*", "'local' AS user_id")
+    assert sorted(r.id for r in q_library.csv_export_file(p).collect()) == sorted(str(n) for n in range(10_050))[:10_000]
