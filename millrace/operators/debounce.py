@@ -9,8 +9,6 @@ beginning, and each range is then walked by itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +19,7 @@ from .history import handled
 
 C = F.col
 #: Rows of a range, which one task holds.
-RANGE_ROWS = 500_000
+RANGE_ROWS = 200_000
 STEPS = "path string, no_path boolean, range int, upto array<bigint>, last array<bigint>"
 
 
@@ -55,17 +53,16 @@ def debounce(events: DataFrame, path: str, ts: str, order: str, seconds: float,
     known = events.where(C(ts).isNotNull())
     ranges = max(-(-known.count() // rows), 1)
     r = staged(known.repartitionByRange(ranges, path, ts, order).withColumn("__range", F.spark_partition_id()), "debounce")
-    names, columns = [path, ts, order], events.columns
-
-    def by_path(pdf: pd.DataFrame) -> Iterator[tuple[str | None, pd.DataFrame]]:
-        for name, own in pdf.groupby(path, sort=False, dropna=False):
-            yield None if pd.isna(name) else name, own.sort_values([ts, order], kind="stable")
+    columns = events.columns
 
     def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Steps of the range's first and last path, the only ones that other ranges may have a part of."""
         every = [None if pd.isna(p) else p for p in pdf[path].unique()]
         edge = {min(every, key=lambda p: (p is not None, p or "")), max(every, key=lambda p: (p is not None, p or ""))}
-        found = [(name, name is None, int(key[0]), *(x.tolist() for x in steps(micros(own[ts]), gap))) for name, own in by_path(pdf) if name in edge]
+        found = []
+        for name in edge:
+            own = pdf.loc[pdf[path].isna() if name is None else pdf[path] == name, ts]
+            found.append((name, name is None, int(key[0]), *(x.tolist() for x in steps(np.sort(micros(own)), gap))))
         return pd.DataFrame(found, columns=["path", "no_path", "range", "upto", "last"])
 
     def begun(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,16 +75,13 @@ def debounce(events: DataFrame, path: str, ts: str, order: str, seconds: float,
         out = pd.DataFrame(found, columns=["path", "no_path", "range", "last"])
         return out.astype({"last": "Int64"})
 
-    step = r.select(*names, "__range").groupBy("__range").applyInPandas(summed, STEPS)
+    step = r.select(path, ts, "__range").groupBy("__range").applyInPandas(summed, STEPS)
     start = step.groupBy("path", "no_path").applyInPandas(begun, "path string, no_path boolean, range int, last long").where("last is not null")
 
     def walk(key: tuple, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        last = {None if none else p: int(t) for p, none, t in starts[["path", "no_path", "last"]].itertuples(index=False)}
-        kept = []
-        for name, own in by_path(pdf):
-            times = micros(own[ts]).astype("datetime64[us]")
-            before = np.int64(last[name]).astype("datetime64[us]") if name in last else None
-            kept.append(own.iloc[handled(times, seconds, before)])
-        return pd.concat(kept)[columns] if kept else pdf[columns]
+        free = {None if none else p: int(t) + gap for p, none, t in starts[["path", "no_path", "last"]].itertuples(index=False)}
+        pdf = pdf.sort_values([ts, order], kind="stable")
+        names = (None if pd.isna(p) else p for p in pdf[path])
+        return pdf.iloc[handled(names, micros(pdf[ts]).tolist(), gap, free)][columns]
 
     return r.groupBy("__range").cogroup(start.groupBy("range")).applyInPandas(walk, events.schema)

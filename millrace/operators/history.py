@@ -86,16 +86,14 @@ def valid_file(path: Column, endings=(".xlsx", ".xls", ".docx")) -> Column:
     return F.lower(path).rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$")
 
 
-def handled(times, seconds: float, last=None) -> list[int]:
-    """Places of the times (sorted, numpy datetimes) that are handled: the first, then always the next one at least so
-    long after the last handled. last: the time handled before, if any."""
-    import numpy as np
-
-    gap, out = np.timedelta64(int(seconds * 1e9), "ns"), []
-    at = 0 if last is None else int(np.searchsorted(times, last + gap))
-    while at < len(times):
-        out.append(at)
-        at = int(np.searchsorted(times, times[at] + gap))
+def handled(paths, times, gap: int, free: dict) -> list[int]:
+    """Places of the events, given in order of time, that are handled: a path's first, then always the next one at least gap
+    after its last handled. free: by path the time from which it may be handled again, which is carried on."""
+    out = []
+    for at, (path, time) in enumerate(zip(paths, times, strict=True)):
+        if time >= free.get(path, time):
+            out.append(at)
+            free[path] = time + gap
     return out
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from millrace.operators.history import handled
 from millrace.plans import q_library, q_streams, registry
 from tests.test_queries import QUERIES, SF
 
@@ -36,3 +37,9 @@ def test_many_sessions_are_counted_exactly(spark):
     e = spark.range(30_000).selectExpr("id", "'view' AS event", "CAST(id % 15000 AS STRING) AS session_id", "'' AS payload", "timestamp_seconds(1704153600 + id % 600) AS created_at")
     got = {(r.span, r.first, r.sessions) for r in q_streams.stream_sessions_sketched(e).collect()}
     assert got == {("day", str(dt.date(2024, 1, 2)), 15_000), ("week", str(dt.date(2024, 1, 1)), 15_000)}
+
+
+def test_paths_of_a_range_are_walked_at_once():
+    free = {"b": 7}
+    assert handled(["a", "b", None, "a", "b", None, "a"], [1, 2, 3, 4, 7, 8, 11], 5, free) == [0, 2, 4, 5, 6]
+    assert free == {"a": 16, "b": 12, None: 13}
