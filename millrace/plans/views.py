@@ -5,10 +5,13 @@ Each view is one SELECT in the common part of Spark's and DuckDB's SQL; {name} s
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import staged
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _G = "CAST(floor(p_partkey / 4) AS BIGINT)"
 _USER = "CASE p_partkey % 7 WHEN 0 THEN 'ev_alls' WHEN 1 THEN 'local' ELSE 'u' || CAST(p_partkey % 7 AS STRING) END"
@@ -253,11 +256,20 @@ def _names(sql: str) -> list[str]:
     return [f for _, f, _, _ in string.Formatter().parse(sql) if f]
 
 
+#: So many times.
+MANY = 4
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or a view as a DataFrame."""
+    """A table or a view as a DataFrame. A view that another one reads many times is worked out once, with the columns that are named there."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{n: load(spark, sf_dir, n) for n in set(_names(VIEWS[name]))})
+    names = _names(VIEWS[name])
+    inputs = {n: load(spark, sf_dir, n) for n in set(names)}
+    for n in inputs:
+        if n in VIEWS and names.count(n) >= MANY:
+            inputs[n] = staged(inputs[n].select([c for c in inputs[n].columns if re.search(rf"\b{c}\b", VIEWS[name])]), n)
+    return spark.sql(VIEWS[name], **inputs)
 
 
 def with_views(names: list[str], sql: str) -> str:

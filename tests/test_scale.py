@@ -43,3 +43,7 @@ def test_paths_of_a_range_are_walked_at_once():
     free = {"b": 7}
     assert handled(["a", "b", None, "a", "b", None, "a"], [1, 2, 3, 4, 7, 8, 11], 5, free) == [0, 2, 4, 5, 6]
     assert free == {"a": 16, "b": 12, None: 13}
+
+
+def test_quotation_lines_of_invoices_are_numbered_once(spark):
+    assert "row_number" not in plan(QUERIES["invoice_sheet_rows"](spark, SF))
