@@ -44,3 +44,20 @@ def test_images_by_folder(spark):
     rows = [(1, "EV1", "E_motor-cycles.v2.xlsx"), (2, "AK7", "emotorcycles.pdf"), (3, "EV1", "nowhere.xlsx"), (4, "zz9", "price list.xlsx"), (5, "zz9", "2024 price-list new.xlsx"), (6, "", "price list.xlsx"), (7, None, "other.csv"), (8, "q", "other.csv"), (9, "EV1", None)]
     got = sorted(tuple(r) for r in J.match_in_folder(spark.createDataFrame(rows, "id int, model string, source_file string"), pictures).collect())
     assert got == [(1, "x/ev1-front.jpg"), (2, "x/k.jpg"), (3, "x/a/ev1.jpg"), (4, "x/b/zz9.png"), (5, "x/b/zz9.png"), (9, "x/a/ev1.jpg")]
+
+
+def test_scored_images_by_names_of_any_length(spark):
+    from millrace.operators import images as J
+
+    models = ["AB-7", "zz", "x", "", "a-b", None, "ab--9", "12-zz", "P-Q-77", "-", "lamp-k9", "UV", "no", "日", "SKU-1001"]
+    stems = ["ab7", "z", "q1", "photo-12-front", "zz", "k", "lamp", "uvw", "77", "日本", "sku-100", "b", ""]
+    paths = [f"images/{s}.jpg" for s in stems]
+    want = {}
+    for n, m in enumerate(models):
+        m = (m or "").lower()
+        scores = [3 if s == m else 2 if (m and m in s) or (s and s in m) else int(any(x and x in s for x in m.split("-"))) for s in stems]
+        if max(scores) and models[n] is not None:
+            want[n] = (paths[scores.index(max(scores))], max(scores))
+    got = J.match_scored(spark.createDataFrame(list(enumerate(models)), "id long, model string"), spark.createDataFrame(list(enumerate(paths)), "idx long, path string"))
+    assert {r.id: (r.path, r.score) for r in got.collect()} == want
+    assert len(want) >= 10
