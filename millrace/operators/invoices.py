@@ -17,7 +17,7 @@ NO_GOODS = (
 DOLLARS = ("usd", "$", "fob", "cif", "cfr", "dap", "ddp")
 #: Columns where the header names none.
 DESCRIPTION, SPEC, QTY, PRICE, TOTAL = 1, 3, 4, 5, 6
-#: The last row that is read.
+#: The row behind which callers who name none have sheets read no further, as the reference has it.
 LAST_ROW = 199
 
 
@@ -44,9 +44,11 @@ def invoice_heads(cells: DataFrame) -> DataFrame:
     )
 
 
-def invoice_lines(cells: DataFrame, heads: DataFrame) -> DataFrame:
-    """One row per sheet row that begins with something, down to row 199: its description, specification, quantity, price, total."""
-    own = cells.where((C("value") != "") & (C("row_no") <= LAST_ROW)).join(heads, SHEET).where(C("row_no") > C("header"))
+def invoice_lines(cells: DataFrame, heads: DataFrame, last_row: int | None = None) -> DataFrame:
+    """One row per sheet row that begins with something, down to last_row if there is one: its description, specification,
+    quantity, price, total."""
+    own = cells.where(C("value") != "").join(heads, SHEET).where(C("row_no") > C("header"))
+    own = own if last_row is None else own.where(C("row_no") <= last_row)
     at = lambda col: F.max(F.when(C("col_no") == col, C("value")))
     rows = own.groupBy(*SHEET, "row_no").agg(
         F.max("header").alias("header"), F.max("currency").alias("currency"), blank(at(F.lit(DESCRIPTION))).alias("text"), at(F.lit(SPEC)).alias("spec"), at(C("qty_col")).alias("qty"), at(C("price_col")).alias("price"), at(C("total_col")).alias("total")
@@ -61,16 +63,16 @@ def model_and_name(text: Column) -> tuple[Column, Column]:
     return model, F.substring(F.when(split, F.regexp_extract(text, r"(?s)^\S+\s+(.*)$", 1)).otherwise(text), 1, 50)
 
 
-def invoice_sheet_rows(cells: DataFrame) -> DataFrame:
+def invoice_sheet_rows(cells: DataFrame, last_row: int | None = LAST_ROW) -> DataFrame:
     """Goods of invoice sheets: file, sheet, row_no, model, name, spec, currency, qty, unit_price, total.
 
     Clauses ("1. …"), totals and lines with a word of NO_GOODS are left out, and so is all behind the first row without a
-    description that follows two goods. A missing unit price is total / quantity. A sheet has 199 rows at most here, so
-    its window is small however long the sheet.
+    description that follows two goods. A missing unit price is total / quantity. last_row: None reads whole sheets, as the
+    query does.
     """
     model, name = model_and_name(C("text"))
     low = F.lower("text")
-    r = invoice_lines(cells, invoice_heads(cells)).withColumns({"model": model, "name": name})
+    r = invoice_lines(cells, invoice_heads(cells), last_row).withColumns({"model": model, "name": name})
     goods = ~C("text").rlike(r"^\d+\.\s") & ~any_of(low, ("total", "amount")) & ~any_of(low, NO_GOODS) & (F.length("model") >= 2)
     w = Window.partitionBy(*SHEET).orderBy("row_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -37,19 +37,20 @@ k AS (SELECT h.file, h.header, coalesce(max(col_no) FILTER (width >= 6 AND regex
   coalesce(max(col_no) FILTER (width >= 6 AND lower(v) = 'total amount'), 6) AS t, CASE WHEN coalesce(bool_or(col_no = 5 AND regexp_matches(lower(v), 'usd|\\$|fob|cif|cfr|dap|ddp')), false) THEN 'USD' ELSE 'RMB' END AS currency
   FROM h JOIN s USING (file) LEFT JOIN v ON v.file = h.file AND v.row_no = h.header GROUP BY h.file, h.header),
 r AS (SELECT k.file, v.row_no, any_value(header) AS header, any_value(currency) AS currency, trim(max(v) FILTER (col_no = 1)) AS text, coalesce(trim(max(v) FILTER (col_no = 3)), '') AS spec, max(v) FILTER (col_no = q) AS qty, trim(max(v) FILTER (col_no = p)) AS price, trim(max(v) FILTER (col_no = t)) AS total
-  FROM v JOIN k ON k.file = v.file AND v.row_no > k.header AND v.row_no < 200 GROUP BY k.file, v.row_no),
+  FROM v JOIN k ON k.file = v.file AND v.row_no > k.header GROUP BY k.file, v.row_no),
 m AS (SELECT *, CASE WHEN contains(text, ' ') AND NOT regexp_matches(text, '^[0-9]') THEN substr(string_split(text, ' ')[1], 1, 20) WHEN length(text) > 25 THEN substr(text, 1, 20) ELSE text END AS model,
   substr(CASE WHEN contains(text, ' ') AND NOT regexp_matches(text, '^[0-9]') THEN trim(substr(text, instr(text, ' '))) ELSE text END, 1, 50) AS name FROM r WHERE text <> ''),
 g AS (SELECT *, NOT regexp_matches(text, '^\\d+\\.\\s') AND NOT regexp_matches(lower(text), 'total|amount|{_WORDS}') AND length(model) >= 2 AS good FROM m),
--- rows without a description: those between header and row 199 that are missing in g
-e AS (SELECT a.file, min(u.row_no) AS stop FROM k a, unnest(range(1, 200)) AS u(row_no) WHERE u.row_no > a.header AND NOT EXISTS (SELECT 1 FROM g WHERE g.file = a.file AND g.row_no = u.row_no)
+-- rows without a description: those between header and last row that are missing in g
+a AS (SELECT k.file, header, max(row_no) AS last FROM k JOIN v ON v.file = k.file GROUP BY ALL),
+e AS (SELECT a.file, min(u.row_no) AS stop FROM a, unnest(range(1, last + 1)) AS u(row_no) WHERE u.row_no > a.header AND NOT EXISTS (SELECT 1 FROM g WHERE g.file = a.file AND g.row_no = u.row_no)
   AND (SELECT count(*) FROM g WHERE g.file = a.file AND g.good AND g.row_no < u.row_no) >= 2 GROUP BY a.file),
-n AS (SELECT g.*, CAST(trunc(TRY_CAST(replace(qty, ',', '') AS DOUBLE)) AS BIGINT) AS n, {_price('price')} AS p, {_price('total')} AS t FROM g LEFT JOIN e ON e.file = g.file WHERE good AND g.row_no < coalesce(stop, 1000))
+n AS (SELECT g.*, CAST(trunc(TRY_CAST(replace(qty, ',', '') AS DOUBLE)) AS BIGINT) AS n, {_price('price')} AS p, {_price('total')} AS t FROM g LEFT JOIN e ON e.file = g.file WHERE good AND (stop IS NULL OR g.row_no < stop))
 SELECT file, row_no, model, name, substr(spec, 1, 500) AS spec, currency, n AS qty, round(CASE WHEN coalesce(p, 0) = 0 AND t <> 0 AND n > 0 THEN t / n ELSE p END, 4) AS unit_price, t AS total FROM n""")
 def invoice_sheet_rows(c):
     from pyspark.sql import functions as F
 
-    return I.invoice_sheet_rows(c).drop("sheet").withColumn("unit_price", F.round("unit_price", 4))
+    return I.invoice_sheet_rows(c, last_row=None).drop("sheet").withColumn("unit_price", F.round("unit_price", 4))
 
 
 #: The columns of header_mapping under other headers, over other cells.

@@ -91,6 +91,30 @@ def test_invoices_do_not_mix(spark):
     assert I.invoice_sheet_rows(both.limit(0)).count() == 0
 
 
+def test_the_query_reads_whole_invoice_sheets(spark):
+    import duckdb
+
+    from millrace.plans import q_sheets, registry
+
+    def rows(free, last):
+        body = {r: {1: "Bank: none" if r % 7 == 0 else f"AB-{r} lamp", 4: "2", 5: "" if r % 3 else "4.5", 6: "10"} for r in range(2, last + 1) if r not in free}
+        return {1: {1: "Description of goods", 4: "Qty", 6: "Total amount"}, **body}
+
+    kinds = {"a": rows((), 1500), "b": rows((2, 1100), 1500), "c": rows((3, 205), 230), "d": rows(range(3, 1030), 1040), "e": rows(range(4, 1026), 1030), "f": rows(range(2, 260), 263)}
+    cells = sheet(spark, kinds.pop("a"), "a")
+    for file, body in kinds.items():
+        cells = cells.unionByName(sheet(spark, body, file))
+    got = q_sheets.invoice_sheet_rows(cells).toPandas()
+    last = got.groupby("file").row_no.max().to_dict()
+    assert last == {"a": 1500, "b": 1098, "c": 204, "d": 1040, "e": 3, "f": 263}
+    con = duckdb.connect()
+    con.register("invoice_cells", cells.toPandas())
+    want = con.execute("WITH " + registry._all()["invoice_sheet_rows"][2]).df()
+    columns = ["file", "row_no", "model", "name", "spec", "currency", "qty", "unit_price", "total"]
+    plain = lambda df: sorted(tuple(None if v != v else v for v in r) for r in df[columns].itertuples(index=False))
+    assert plain(got) == plain(want)
+
+
 def test_column_roles_from_contents_and_heads(spark):
     from millrace.operators import grid as G
 
