@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prices import blank, cell_price
+from ..functions.prices import blank, cell_price, let
 from .grid import SHEET, any_of
 
 C = F.col
@@ -17,43 +17,54 @@ NO_GOODS = (
 DOLLARS = ("usd", "$", "fob", "cif", "cfr", "dap", "ddp")
 #: Columns where the header names none.
 DESCRIPTION, SPEC, QTY, PRICE, TOTAL = 1, 3, 4, 5, 6
+#: The columns that a header is looked for in, and that are read.
+WIDTH = 9
 #: The row behind which callers who name none have sheets read no further, as the reference has it.
 LAST_ROW = 199
 
 
-def invoice_heads(cells: DataFrame) -> DataFrame:
-    """Per invoice sheet: header row, columns of quantity, unit price and total, currency.
+def invoice_grid(cells: DataFrame) -> DataFrame:
+    """One row per sheet row: its first nine cells c1 to c9, whether it goes beyond the fifth column (wide) and whether its
+    first cell says that the sheet is an invoice (says, in the first 19 rows). The cells are dealt by sheet, once; all that
+    follows finds its rows together and in order. Of the other cells only the place counts, so that few of them go along."""
+    own = cells.where("file is not null and sheet is not null").where(((C("value") != "") & (C("col_no") <= WIDTH)) | (C("col_no") > 5))
+    says = (C("col_no") == DESCRIPTION) & (C("row_no") <= 19) & any_of(F.lower("value"), ("proforma", "invoice", "description"))
+    at = [F.max(F.when(C("col_no") == k, C("value"))).alias(f"c{k}") for k in range(1, WIDTH + 1)]
+    rows = own.repartition(*SHEET).groupBy(*SHEET, "row_no").agg(*at, F.max(C("col_no") > 5).alias("wide"), F.max(says).alias("says"))
+    return rows.withColumns({f"c{k}": F.nullif(f"c{k}", F.lit("")) for k in range(1, WIDTH + 1)})
+
+
+def invoice_lines(cells: DataFrame, last_row: int | None = None) -> DataFrame:
+    """One row per row of an invoice sheet that begins with something, below the header and down to last_row if there is one:
+    the sheet's currency, the row's description, specification, quantity, price, total.
 
     A sheet is an invoice if a first cell of its first 19 rows says so or it has more than 5 columns. The header is the
-    first of 24 rows whose first cell speaks of a description or an item, else row 3 if it begins with something, else 1."""
-    low, first = F.lower(C("value")), (C("col_no") == DESCRIPTION) & (C("value") != "")
-    named = F.min(F.when(first & (C("row_no") <= 24) & any_of(low, ("description", "item")), C("row_no")))
-    third = F.max(F.when(first & (C("row_no") == 3), 3))
-    says = F.max(first & (C("row_no") <= 19) & any_of(low, ("proforma", "invoice", "description")))
-    s = cells.groupBy(*SHEET).agg(F.coalesce(named, third, F.lit(1)).alias("header"), F.max("col_no").alias("width"), says.alias("says"))
-    s = s.where(C("says") | (C("width") > 5))
-    heads = cells.where((C("row_no") <= 24) & (C("col_no") <= 9) & (C("value") != "")).join(s, SHEET).where(C("row_no") == C("header"))
-    qty, price, total = any_of(low, ("quantity", "qty")), low.contains("unit") & low.contains("price"), low.contains("total") & low.contains("amount")
-    last = lambda hit: F.max(F.when((C("width") >= 6) & hit, C("col_no")))
-    g = heads.groupBy(*SHEET).agg(
-        last(qty).alias("qty_col"), last(~qty & price).alias("price_col"), last(~qty & ~price & total).alias("total_col"), F.max((C("col_no") == PRICE) & any_of(low, DOLLARS)).alias("dollars"),
-    )
-    g = s.select(*SHEET, "header").join(g, SHEET, "left")
-    return g.select(
-        *SHEET, "header", F.coalesce("qty_col", F.lit(QTY)).alias("qty_col"), F.coalesce("price_col", F.lit(PRICE)).alias("price_col"), F.coalesce("total_col", F.lit(TOTAL)).alias("total_col"), F.when(C("dollars"), "USD").otherwise("RMB").alias("currency")
-    )
-
-
-def invoice_lines(cells: DataFrame, heads: DataFrame, last_row: int | None = None) -> DataFrame:
-    """One row per sheet row that begins with something, down to last_row if there is one: its description, specification,
-    quantity, price, total."""
-    own = cells.where(C("value") != "").join(heads, SHEET).where(C("row_no") > C("header"))
-    own = own if last_row is None else own.where(C("row_no") <= last_row)
-    at = lambda col: F.max(F.when(C("col_no") == col, C("value")))
-    rows = own.groupBy(*SHEET, "row_no").agg(
-        F.max("header").alias("header"), F.max("currency").alias("currency"), blank(at(F.lit(DESCRIPTION))).alias("text"), at(F.lit(SPEC)).alias("spec"), at(C("qty_col")).alias("qty"), at(C("price_col")).alias("price"), at(C("total_col")).alias("total")
-    )
-    return rows.where("text != ''")
+    first of 24 rows whose first cell speaks of a description or an item, else row 3 if it begins with something, else 1.
+    It names the columns of quantity, unit price and total, the last one each, and the currency."""
+    first, low = C("c1").isNotNull() & (C("row_no") <= 24), F.lower("c1")
+    named, third = first & any_of(low, ("description", "item")), first & (C("row_no") == 3)
+    r = invoice_grid(cells).withColumn("head", F.when(named | third | (C("row_no") == 1), header_columns(F.array(*[C(f"c{k}") for k in range(1, WIDTH + 1)]))))
+    of = lambda hit: F.min(F.when(hit, F.struct("row_no", "head"))).over(Window.partitionBy(*SHEET))
+    ever = lambda name: F.max(name).over(Window.partitionBy(*SHEET))
+    r = r.withColumns({"at": F.coalesce(of(named), of(third), of(C("row_no") == 1)), "wide": ever("wide"), "says": ever("says"), "text": blank(C("c1"))})
+    r = r.where((C("says") | C("wide")) & (C("text") != "") & (C("row_no") > F.coalesce("at.row_no", F.lit(1))))
+    r = r if last_row is None else r.where(C("row_no") <= last_row)
+    col = lambda name, default: F.coalesce(F.when(C("wide"), C(f"at.head.{name}")), F.lit(default))
+    r = r.withColumns({"qty_col": col("qty", QTY), "price_col": col("price", PRICE), "total_col": col("total", TOTAL)})
+    at = lambda name: F.coalesce(*[F.when(C(name) == k, C(f"c{k}")) for k in range(1, WIDTH + 1)])
+    return r.select(*SHEET, "row_no", F.when(C("at.head.dollars"), "USD").otherwise("RMB").alias("currency"), "text", C(f"c{SPEC}").alias("spec"), at("qty_col").alias("qty"), at("price_col").alias("price"), at("total_col").alias("total"))
+
+
+def header_columns(cells: Column) -> Column:
+    """What the first nine cells of a header name: the last column of quantity, unit price and total each, and whether prices
+    are in dollars."""
+
+    def kind(cell: Column) -> Column:
+        low = F.lower(cell)
+        return F.when(any_of(low, ("quantity", "qty")), "qty").when(low.contains("unit") & low.contains("price"), "price").when(low.contains("total") & low.contains("amount"), "total").otherwise("")
+
+    last = lambda kinds, name: F.nullif(WIDTH + 1 - F.array_position(F.reverse(kinds), name), F.lit(WIDTH + 1)).cast("int").alias(name)
+    return let(F.transform(cells, kind), lambda kinds: F.struct(*[last(kinds, name) for name in ("qty", "price", "total")], any_of(F.lower(cells[PRICE - 1]), DOLLARS).alias("dollars")))
 
 
 def model_and_name(text: Column) -> tuple[Column, Column]:
@@ -72,16 +83,15 @@ def invoice_sheet_rows(cells: DataFrame, last_row: int | None = LAST_ROW) -> Dat
     """
     model, name = model_and_name(C("text"))
     low = F.lower("text")
-    r = invoice_lines(cells, invoice_heads(cells), last_row).withColumns({"model": model, "name": name})
+    r = invoice_lines(cells, last_row).withColumns({"model": model, "name": name})
     goods = ~C("text").rlike(r"^\d+\.\s") & ~any_of(low, ("total", "amount")) & ~any_of(low, NO_GOODS) & (F.length("model") >= 2)
-    w = Window.partitionBy(*SHEET).orderBy("row_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("goods", goods)
-    r = r.withColumn("ends", (C("row_no") > F.coalesce(F.lag("row_no").over(w), C("header")) + 1) & (F.coalesce(F.sum(C("goods").cast("int")).over(before), F.lit(0)) >= 2))
-    r = r.withColumn("ended", F.max("ends").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("goods and not ended")
+    w = Window.partitionBy(*SHEET)
+    # rows without a gap between them have the same run; what has another one than the second of the goods is behind a gap
+    r = r.withColumn("goods", goods).withColumns({"run": C("row_no") - F.count(F.lit(1)).over(w.orderBy("row_no")), "so_far": F.sum(C("goods").cast("int")).over(w.orderBy("row_no"))})
+    r = r.withColumn("ended", F.coalesce(C("run") > F.min(F.when(C("so_far") >= 2, C("run"))).over(w), F.lit(False))).where("goods and not ended")
     number = F.replace("qty", F.lit(",")).try_cast("double")
-    qty = F.when(~F.isnan(number), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))).cast("long")
+    qty = F.when(~F.isnan("number"), F.when(C("number") < 0, F.ceil("number")).otherwise(F.floor("number"))).cast("long")
     price, total = cell_price(C("price")), cell_price(C("total"))
-    r = r.withColumns({"qty": qty, "total": total, "unit_price": price})
+    r = r.withColumn("number", number).withColumns({"qty": qty, "total": total, "unit_price": price})
     unit = F.when((F.coalesce("unit_price", F.lit(0.0)) == 0) & (C("total") != 0) & (C("qty") > 0), C("total") / C("qty")).otherwise(C("unit_price"))
     return r.select(*SHEET, "row_no", "model", "name", F.substring(blank(C("spec")), 1, 500).alias("spec"), "currency", "qty", unit.alias("unit_price"), "total")

@@ -6,6 +6,7 @@ from ..functions.prices import CURRENCIES, YUAN
 from ..operators import invoices as I
 from ..operators import merged as R
 from ..operators import tables as T
+from ..sources.staging import staged_in_parts
 from .q_grid import _HEADERS, _MAPPED, _any
 from .q_quality import _ROW, YEAR
 from .registry import query
@@ -50,7 +51,8 @@ SELECT file, row_no, model, name, substr(spec, 1, 500) AS spec, currency, n AS q
 def invoice_sheet_rows(c):
     from pyspark.sql import functions as F
 
-    return I.invoice_sheet_rows(c, last_row=None).drop("sheet").withColumn("unit_price", F.round("unit_price", 4))
+    rows = staged_in_parts(lambda cells: I.invoice_sheet_rows(cells, last_row=None), c, "invoice-rows", "file", "sheet")
+    return rows.drop("sheet").withColumn("unit_price", F.round("unit_price", 4))
 
 
 #: The columns of header_mapping under other headers, over other cells.

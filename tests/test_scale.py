@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators.history import handled
 from millrace.plans import q_library, q_streams, registry
@@ -47,3 +48,21 @@ def test_paths_of_a_range_are_walked_at_once():
 
 def test_quotation_lines_of_invoices_are_numbered_once(spark):
     assert "row_number" not in plan(QUERIES["invoice_sheet_rows"](spark, SF))
+
+
+def test_cells_of_invoices_are_dealt_once(spark):
+    from millrace.operators.invoices import invoice_sheet_rows
+
+    cells = spark.range(4).selectExpr("'a' AS file", "'s' AS sheet", "CAST(id AS INT) AS row_no", "1 AS col_no", "'AB-1' AS value")
+    assert plan(invoice_sheet_rows(cells)).count("Exchange") == 1
+
+
+def test_tables_are_staged_in_parts(spark):
+    from millrace.sources.staging import SHUFFLE_CLEANUP, staged_in_parts
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = spark.range(1000).selectExpr("IF(id % 10 = 0, NULL, id % 10) AS k", "id")
+    out = staged_in_parts(lambda r: r.groupBy("k").agg(F.count("id").alias("n")), rows, "parts", "k")
+    assert sorted((r.k or 0, r.n) for r in out.collect()) == [(k, 100) for k in range(10)]
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+    assert staged_in_parts(lambda r: r, rows.limit(0), "parts", "k").count() == 0
