@@ -75,7 +75,8 @@ def number_price(value: Column) -> Column:
 
 def cell_price(text: Column) -> Column:
     """A cell that is a number counts if above 0; other texts as clean_price has them."""
-    return let(blank(text).try_cast("double"), lambda number: F.when(number.isNotNull(), number_price(number)).otherwise(clean_price(text)))
+    number = let(blank(text).try_cast("double"), lambda number: F.when(number.isNotNull(), number_price(number)).otherwise(clean_price(text)))
+    return F.when(blank(text) != "", number)
 
 
 #: How prices are written in dollars, in yuan, and without a currency.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +26,17 @@ WIDTH = 9
 LAST_ROW = 199
 
 
+def holds(text: Column, *words: str) -> Column:
+    """As any_of, by comparing, which is faster for a few words."""
+    return reduce(or_, [text.contains(w) for w in words])
+
+
 def invoice_grid(cells: DataFrame) -> DataFrame:
     """One row per sheet row: its first nine cells c1 to c9, whether it goes beyond the fifth column (wide) and whether its
     first cell says that the sheet is an invoice (says, in the first 19 rows). The cells are dealt by sheet, once; all that
     follows finds its rows together and in order. Of the other cells only the place counts, so that few of them go along."""
     own = cells.where("file is not null and sheet is not null").where(((C("value") != "") & (C("col_no") <= WIDTH)) | (C("col_no") > 5))
-    says = (C("col_no") == DESCRIPTION) & (C("row_no") <= 19) & any_of(F.lower("value"), ("proforma", "invoice", "description"))
+    says = (C("col_no") == DESCRIPTION) & (C("row_no") <= 19) & holds(F.lower("value"), "proforma", "invoice", "description")
     at = [F.max(F.when(C("col_no") == k, C("value"))).alias(f"c{k}") for k in range(1, WIDTH + 1)]
     rows = own.repartition(*SHEET).groupBy(*SHEET, "row_no").agg(*at, F.max(C("col_no") > 5).alias("wide"), F.max(says).alias("says"))
     return rows.withColumns({f"c{k}": F.nullif(f"c{k}", F.lit("")) for k in range(1, WIDTH + 1)})
@@ -41,9 +49,9 @@ def invoice_lines(cells: DataFrame, last_row: int | None = None) -> DataFrame:
     A sheet is an invoice if a first cell of its first 19 rows says so or it has more than 5 columns. The header is the
     first of 24 rows whose first cell speaks of a description or an item, else row 3 if it begins with something, else 1.
     It names the columns of quantity, unit price and total, the last one each, and the currency."""
-    first, low = C("c1").isNotNull() & (C("row_no") <= 24), F.lower("c1")
-    named, third = first & any_of(low, ("description", "item")), first & (C("row_no") == 3)
-    r = invoice_grid(cells).withColumn("head", F.when(named | third | (C("row_no") == 1), header_columns(F.array(*[C(f"c{k}") for k in range(1, WIDTH + 1)]))))
+    first, named = C("c1").isNotNull() & (C("row_no") <= 24), C("named")
+    third = first & (C("row_no") == 3)
+    r = invoice_grid(cells).withColumn("named", first & holds(F.lower("c1"), "description", "item")).withColumn("head", F.when(named | third | (C("row_no") == 1), header_columns(F.array(*[C(f"c{k}") for k in range(1, WIDTH + 1)]))))
     of = lambda hit: F.min(F.when(hit, F.struct("row_no", "head"))).over(Window.partitionBy(*SHEET))
     ever = lambda name: F.max(name).over(Window.partitionBy(*SHEET))
     r = r.withColumns({"at": F.coalesce(of(named), of(third), of(C("row_no") == 1)), "wide": ever("wide"), "says": ever("says"), "text": blank(C("c1"))})
@@ -84,10 +92,11 @@ def invoice_sheet_rows(cells: DataFrame, last_row: int | None = LAST_ROW) -> Dat
     model, name = model_and_name(C("text"))
     low = F.lower("text")
     r = invoice_lines(cells, last_row).withColumns({"model": model, "name": name})
-    goods = ~C("text").rlike(r"^\d+\.\s") & ~any_of(low, ("total", "amount")) & ~any_of(low, NO_GOODS) & (F.length("model") >= 2)
+    goods = (F.length("model") >= 2) & ~C("text").rlike(r"^\d+\.\s") & ~any_of(low, ("total", "amount", *NO_GOODS))
     w = Window.partitionBy(*SHEET)
+    down = w.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     # rows without a gap between them have the same run; what has another one than the second of the goods is behind a gap
-    r = r.withColumn("goods", goods).withColumns({"run": C("row_no") - F.count(F.lit(1)).over(w.orderBy("row_no")), "so_far": F.sum(C("goods").cast("int")).over(w.orderBy("row_no"))})
+    r = r.withColumn("goods", goods).withColumns({"run": C("row_no") - F.count(F.lit(1)).over(down), "so_far": F.sum(C("goods").cast("int")).over(down)})
     r = r.withColumn("ended", F.coalesce(C("run") > F.min(F.when(C("so_far") >= 2, C("run"))).over(w), F.lit(False))).where("goods and not ended")
     number = F.replace("qty", F.lit(",")).try_cast("double")
     qty = F.when(~F.isnan("number"), F.when(C("number") < 0, F.ceil("number")).otherwise(F.floor("number"))).cast("long")
